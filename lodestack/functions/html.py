@@ -65,7 +65,8 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", limit:
     """One row per link: page columns, pos, link (canonical), anchor, extension, same_domain.
 
     Only http links; at most ``limit`` link elements of a page are read, in order."""
-    found = F.slice(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0)), 1, limit)
+    shown = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
+    found = F.slice(F.regexp_extract_all(shown, F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0)), 1, limit)
     keep = [c for c in pages.columns if c != html]
     each = pages.select(*keep, F.posexplode(found).alias("pos", "_a"))
     raw = F.regexp_extract("_a", r"""(?is)\bhref\s*=\s*["']?([^"'>\s]*)""", 1)

@@ -15,8 +15,9 @@ def nodes(blocks: DataFrame, page: str, body: str = "body") -> DataFrame:
     text = F.trim(F.col(body))
     graph = F.get_json_object(text, "$['@graph']")
     listed = F.when(F.startswith(text, F.lit("[")), text).when(graph.isNotNull(), graph).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    objects = F.from_json(listed, "array<map<string,string>>")
-    each = blocks.filter(F.try_parse_json(body).isNotNull()).select(page, "block", F.posexplode(objects).alias("n", "node"))
+    entries = F.from_json(listed, "array<string>")
+    each = blocks.filter(F.try_parse_json(body).isNotNull()).select(page, "block", F.posexplode(entries).alias("n", "_entry"))
+    each = each.withColumn("node", F.from_json("_entry", "map<string,string>")).filter("node is not null")
     each = each.withColumn("id", F.coalesce(F.try_element_at("node", F.lit("@id")), F.concat_ws("/", F.lit("_"), F.col("block").cast("string"), F.col("n").cast("string"))))
     return each.select(page, (F.col("block") * 100_000 + F.col("n")).alias("pos"), "id", F.explode("node").alias("key", "value")).filter("key <> '@id'")
 

@@ -52,7 +52,7 @@ def _(t):
 
 
 LINKS = CANON + r""",
-a AS (SELECT page_id, sch, hst, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>')) AS tag FROM c),
+a AS (SELECT page_id, sch, hst, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>')) AS tag FROM c),
 l AS (SELECT page_id, sch, hst, replace(regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]*)', 1), '&amp;', '&') AS href FROM a),
 f AS (SELECT page_id, hst, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN sch || '://' || hst || href END AS link FROM l WHERE href <> '' AND NOT regexp_matches(lower(href), '^(mailto|tel|javascript|data):'))"""
 

@@ -49,10 +49,10 @@ def _(t):
     return t.benchmark.select("item_id", D.search_terms(F.concat(F.lit("Data "), "text", F.lit(" databases, the dataset!"))).alias("terms"))
 
 
-@query("sanitize_trace", """SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN event_type END AS status, CASE WHEN CAST(value AS INTEGER) BETWEEN 0 AND 50 THEN CAST(value AS INTEGER) END AS resource_count, CASE WHEN event_id % 2 = 0 THEN 'https://x.example/f?id=' || event_id ELSE '' END AS url FROM events""")
+@query("sanitize_trace", """SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN event_type END AS status, CASE WHEN floor(value) BETWEEN 0 AND 50 THEN CAST(floor(value) AS INTEGER) END AS resource_count, CASE WHEN event_id % 2 = 0 THEN 'https://x.example/f?id=' || event_id ELSE '' END AS url FROM events""")
 def _(t):
     e = F.col("event_id")
-    rows = t.events.select("event_id", F.col("event_type").alias("status"), F.round("value").cast("int").alias("resource_count"), F.when(e % 2 == 0, F.concat(F.lit("https://x.example/f?token=1&id="), e.cast("string"))).otherwise("file:///etc").alias("url"))
+    rows = t.events.select("event_id", F.col("event_type").alias("status"), F.floor("value").cast("int").alias("resource_count"), F.when(e % 2 == 0, F.concat(F.lit("https://x.example/f?token=1&id="), e.cast("string"))).otherwise("file:///etc").alias("url"))
     return D.sanitize_trace(rows, {"status": ("click", "error")}, {"resource_count": (0, 50)}, ["url"])
 
 
