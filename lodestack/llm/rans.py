@@ -13,8 +13,8 @@ import zlib
 import numpy as np
 
 PROB_BITS = 18
-LANES = 512
-STRIDE = 128
+LANES = 1024
+STRIDE = 64
 LOW = np.uint64(1 << 31)
 _P, _W = np.uint64(PROB_BITS), np.uint64(32)
 _MASK, _WORD = np.uint64((1 << PROB_BITS) - 1), np.uint64(0xFFFFFFFF)

@@ -8,14 +8,14 @@ words and pieces it has met (bounded; emptied when full) and asks the library on
 from __future__ import annotations
 
 import os
+import struct
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words and pieces that a worker remembers.
-MEMO = 400_000
+#: Words that a worker remembers.
+MEMO = 600_000
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters outside of this take the library's own normaliser.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-ſ]+")
@@ -46,26 +46,25 @@ class Memo(dict):
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.model, self.pieces = self.tokenizer.model, {}
-        self.letters = {b: c for b, c in _byte_letters().items()}
-        self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
+        self.merge = self.tokenizer.model.tokenize
+        self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
     def piece(self, p: str) -> bytes:
-        got = self.pieces.get(p)
-        if got is None:
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))]
-            got = self.pieces[p] = np.array(ids, dtype="<u2").tobytes()
-        return got
+        """Ids of one piece: a run of letters, a number, or a run of other characters."""
+        found = self.merge(p if p.isascii() else p.encode().decode("latin-1").translate(self.table))
+        return struct.pack(f"<{len(found)}H", *[t.id for t in found])
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text):
-            text = text.lower()
-            got = self.piece(text) if text.isalpha() else b"".join(map(self.piece, SPLIT.findall(text)))
+        if word.isalpha():  # ASCII letters stand for themselves
+            got = self.piece(word.decode("ascii"))
         else:
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+            text = word.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text):
+                pieces = SPLIT.findall(text.lower())
+                got = self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                got = struct.pack(f"<{len(ids)}H", *ids)
         if len(self) >= MEMO:
             self.clear()
         self[word] = got
