@@ -65,10 +65,6 @@ def frame(chunk: bytes) -> bytes:
     return struct.pack(">I", len(chunk)) + hashlib.sha256(chunk).digest() + chunk
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big") % MAP_BITS
-
-
 def repeated_map(docs: DataFrame, text_col: str) -> bytes:
     """Bit map of the digests that occur more than once in the corpus."""
     def run(batches):

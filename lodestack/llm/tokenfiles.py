@@ -67,6 +67,8 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     head = f"part int, block int, before long, n_ids long, ids array<{kind}>, lens array<int>"
     staged = settle(rows.mapInArrow(blocks, f"{head}, raw binary"), "ids")
 
+    arrow_rows(spark, 8)  # rows are blocks of half a megabyte from here on
+
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
@@ -87,7 +89,6 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*coded, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*b.columns[:6], *[pa.array(c, pa.binary()) for c in cols]], names=[*b.schema.names[:6], "words", "points", "sums"])
 
-    arrow_rows(spark, 8)
     out = new_path(spark, "tokens")
     staged.mapInArrow(code, f"{head}, words binary, points binary, sums binary").write.option("compression", "uncompressed").parquet(out)
     return out, counts

@@ -42,3 +42,11 @@ def test_stages_on_odd_input(spark, odd, nothing):
     for name, stage in P.STAGES:
         stage(spark, odd, SF).collect()
         assert stage(spark, nothing, SF).count() == 0, name
+
+
+def test_language_stage_without_labels(spark, odd):
+    from pyspark.sql import functions as F
+
+    rows = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = P.keep_known_languages(spark, rows, SF).collect()
+    assert sorted(str(r.text) for r in kept) == sorted(str(r.text) for r in rows.collect() if any(c.isalpha() for c in r.text or ""))
