@@ -116,6 +116,15 @@ def _(t):
     return every.groupBy("platform").agg(F.count_if(F.col("rejected").isNull()).alias("records"), F.count("*").alias("payloads"))
 
 
+@query("register_connector", f"WITH {FILES} SELECT p AS connector, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS records FROM orders JOIN n ON l_orderkey = o_orderkey CROSS JOIN (VALUES ('figshare'), ('own')) AS v(p) GROUP BY p")
+def _(t):
+    connectors = Registry("connector")
+    connectors.register("figshare", S.scan_figshare)
+    connectors.register("own", lambda payloads: S.scan_zenodo(payloads).withColumn("platform", F.lit("own")))
+    rows = S.unify_records(connectors.apply("figshare", figshare(t)), connectors.apply("own", zenodo(t)))
+    return rows.groupBy(F.col("platform").alias("connector")).agg(F.count_if(F.col("rejected").isNull()).alias("records"))
+
+
 @query("register_provider", "SELECT 'labels' AS provider, count(*) AS n FROM labels UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
 def _(t):
     from lodestack.operators.tables import combine_providers
