@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.textops import word_count
-from lodestack.scratch import settle
+from lodestack.scratch import settle, ship
 
 CAPACITY = 2048
 #: Mean number of pieces in a packing group.
@@ -64,6 +64,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) + 1).alias("length"), F.xxhash64(text).alias("cluster"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / capacity))))
@@ -71,7 +72,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     groups = max(1, -(-rows.count() // group))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "cluster", "piece"), F.lit(groups)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "cluster", "id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         s = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
         c = pd.factorize(pdf["cluster"])[0]
