@@ -2,10 +2,10 @@
 
 P(token | context) = P(class | context) * P(token | class).  Frequent tokens are classes of their
 own and the rest share classes by word-end mark and frequency band; a single-head causal attention
-layer over the last positions predicts the class.  Token shares inside classes come from counts
-over all training documents.  Attention weights are fitted by rounds of local gradient steps in
-every partition, on a fixed share of its training windows, followed by averaging, so both the
-counts and the training material grow with the corpus.
+layer over the last subwords, each with its own embedding, predicts the class.  Token shares inside
+classes come from counts over all training documents.  Weights are fitted by rounds of local
+gradient steps in every partition, on all of its training windows, followed by averaging, so both
+the counts and the training material are the whole corpus.
 
 Scoring cuts a document into overlapping windows; each token is scored once, with at least
 WINDOW - STEP tokens of context where the document has them.
@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from lodestack.llm import subwords
 from lodestack.scratch import arrow_rows, settle
 
-DIM, CLASSES, SINGLE = 16, 64, 40
+DIM, CLASSES, SINGLE = 16, 128, 96
 WINDOW, STEP = 32, 24
 BATCH = 128
 #: Windows that are held at once.
 SLICE = 1024
-#: Share of training documents, by hash of the text, whose windows take part in gradient steps.
-SHARE = 1 / 48
 ROUNDS, RATE = 2, 0.01
 END = 2
 #: Words whose counts and ids are handed to every task; all others go through a join.
@@ -37,21 +35,22 @@ FREQUENT = 1 << 18
 SHAPES = {"emb": (CLASSES + 1, DIM), "pos": (WINDOW, DIM), "wq": (DIM, DIM), "wk": (DIM, DIM), "wv": (DIM, DIM), "wo": (DIM, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,)}
 
 
-def start_weights(log_share: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Small random weights; the bias starts at the class frequencies."""
+def start_weights(log_share: np.ndarray, seed: int = 5, inputs: int = CLASSES) -> dict[str, np.ndarray]:
+    """Small random weights for ``inputs`` input tokens and the start; the bias starts at the class frequencies."""
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.3 if k == "emb" else 0.15)).astype(np.float32) for k, s in SHAPES.items()}
+    shapes = SHAPES | {"emb": (inputs + 1, DIM)}
+    w = {k: (rng.standard_normal(s) * (0.3 if k == "emb" else 0.15)).astype(np.float32) for k, s in shapes.items()}
     w["bias"] = log_share.astype(np.float32)
     return w
 
 
 def pack_weights(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES])
+    return np.concatenate([w[k].ravel() for k in SHAPES])  # emb first, so its rows lead
 
 
-def unpack_weights(v: np.ndarray) -> dict[str, np.ndarray]:
+def unpack_weights(v: np.ndarray, inputs: int = CLASSES) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in (SHAPES | {"emb": (inputs + 1, DIM)}).items():
         n = int(np.prod(s))
         out[k] = v[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -62,7 +61,7 @@ _OPEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, first: int = 0) -> tuple:
-    """Class scores for positions from ``first`` on of windows (B, WINDOW) of classes.
+    """Class scores for positions from ``first`` on of windows (B, WINDOW) of input tokens.
 
     Returns (z, total, ...) with class log-probabilities z - log(total).  Large matrix products
     are two-dimensional, and sums over keys and classes are products with ones."""
@@ -98,6 +97,14 @@ def log_probability(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, firs
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log-probability of the classes ``y`` where ``mask`` is set."""
+    g, met = sparse_gradients(w, x, y, mask)
+    emb = np.zeros_like(w["emb"])
+    emb[met] = g["emb"]
+    return g | {"emb": emb}
+
+
+def sparse_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The same with ``emb`` only for the input tokens that occur, which come second."""
     _, total, p, e, q, k, v, a, sums, c, h = forward(w, x)
     n, m = len(x), mask.reshape(-1)
     p *= (1 / total)[:, None]
@@ -118,19 +125,20 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     g["wq"], g["wk"], g["wv"] = e.T @ dq * scale, e.T @ dk, e.T @ dv
     de = dh + dq @ (w["wq"].T * scale) + dk @ w["wk"].T + dv @ w["wv"].T
     g["pos"] = de.reshape(n, WINDOW, DIM).sum(axis=0)
-    one = np.zeros((len(de), CLASSES + 1), dtype=np.float32)
-    one[np.arange(len(de)), x.reshape(-1)] = 1
-    g["emb"] = one.T @ de
-    return g
+    order = np.argsort(x, axis=None, kind="stable")
+    met, at = np.unique(x.reshape(-1)[order], return_index=True)
+    g["emb"] = np.add.reduceat(de[order], at, axis=0)
+    return g, met
 
 
 def window_count(n: int) -> int:
     return 1 + max(0, -(-(n - WINDOW) // STEP))
 
 
-def windows(ids: np.ndarray, classes: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, inputs: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, fresh) of one document's ids, its end included, for windows lo to hi.
 
+    ``inputs`` has the input of each token id; the input at the start is the first number after them.
     ``fresh`` marks the targets that a window scores; over all windows each target is marked once.
     """
     n = len(ids)
@@ -138,7 +146,7 @@ def windows(ids: np.ndarray, classes: np.ndarray, lo: int = 0, hi: int | None =
     inside = at < n
     at = np.minimum(at, n - 1)
     y = ids[at]
-    x = np.where(at > 0, classes[ids[at - 1]], CLASSES)
+    x = np.where(at > 0, inputs[ids[at - 1]], len(inputs))
     fresh = inside.copy()
     fresh[int(lo == 0) :, : WINDOW - STEP] = False
     return x, y, fresh
@@ -167,7 +175,8 @@ class Model:
         members = np.bincount(self.classes, minlength=CLASSES)
         self.inside = np.log10((counts + 0.5) / (total + 0.5 * members)[self.classes])
         share = np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES))
-        self.weights = start_weights(share)
+        self.inputs = np.arange(len(counts))
+        self.weights = start_weights(share, inputs=len(counts))
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each document's ids (end included).
@@ -181,7 +190,7 @@ class Model:
             count = window_count(len(ids))
             for lo in range(0, count, SLICE):
                 hi = min(count, lo + SLICE)
-                held.append((i, lo, windows(ids, self.classes, lo, hi)))
+                held.append((i, lo, windows(ids, self.inputs, lo, hi)))
                 size += hi - lo
                 if size >= SLICE:
                     self._add(held, out)
@@ -213,20 +222,21 @@ class Model:
         """Adam steps over the documents' windows; returns the number of windows."""
         if not docs:
             return 0
-        x, y, fresh = (np.concatenate(c) for c in zip(*[windows(d, self.classes) for d in docs], strict=True))
+        x, y, fresh = (np.concatenate(c) for c in zip(*[windows(d, self.inputs) for d in docs], strict=True))
         y = self.classes[y]
         order = np.random.default_rng(seed).permutation(len(x))
-        m = {k: np.zeros(s, dtype=np.float32) for k, s in SHAPES.items()}
-        v = {k: np.zeros(s, dtype=np.float32) for k, s in SHAPES.items()}
+        m = {k: np.zeros_like(a) for k, a in self.weights.items()}
+        v = {k: np.zeros_like(a) for k, a in self.weights.items()}
         steps = 0
         for lo in range(0, len(x), 64):
             pick = order[lo : lo + 64]
-            g = gradients(self.weights, x[pick], y[pick], fresh[pick].astype(np.float32))
+            g, met = sparse_gradients(self.weights, x[pick], y[pick], fresh[pick].astype(np.float32))
             steps += 1
             for k in SHAPES:
-                m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * g[k]
-                v[k] = np.float32(0.99) * v[k] + np.float32(0.01) * g[k] ** 2
-                self.weights[k] -= np.float32(RATE) * (m[k] / np.float32(1 - 0.9**steps)) / (np.sqrt(v[k] / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
+                at = met if k == "emb" else slice(None)  # embeddings move where their token occurs
+                m[k][at] = np.float32(0.9) * m[k][at] + np.float32(0.1) * g[k]
+                v[k][at] = np.float32(0.99) * v[k][at] + np.float32(0.01) * g[k] ** 2
+                self.weights[k][at] -= np.float32(RATE) * (m[k][at] / np.float32(1 - 0.9**steps)) / (np.sqrt(v[k][at] / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
         return len(x)
 
 
@@ -286,7 +296,9 @@ def token_counts(words: DataFrame, n_docs: int, path: str) -> np.ndarray:
 
 
 def train_model(train: DataFrame, counts: np.ndarray, path: str, text_col: str = "text") -> Model:
-    """Fit the attention weights on a fixed share of all training documents."""
+    """Fit the weights on all windows of all training documents.
+
+    Rounds average the partitions' changes, by windows, and of an embedding by its token's occurrences."""
     spark = train.sparkSession
     memo = subwords.memo(path)
     ends = np.zeros(len(counts), dtype=np.int64)
@@ -294,8 +306,8 @@ def train_model(train: DataFrame, counts: np.ndarray, path: str, text_col: str =
         ends[i] = token.endswith("</w>")
     size = memo.tokenizer.get_vocab_size()
     model = Model(counts[:size], ends[:size])
-    limit = int(SHARE * (1 << 32))
-    some = train.select(F.col(text_col).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 32)) < limit)
+    texts = train.select(F.col(text_col).alias("t"))
+    parts = [f"v{i}" for i in range(DIM)]
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -303,25 +315,34 @@ def train_model(train: DataFrame, counts: np.ndarray, path: str, text_col: str =
             import copy
 
             mine, memo, total, held, size = copy.deepcopy(shared.value), subwords.memo(path), 0, [], 0
+            seen = np.zeros(len(mine.inputs) + 1, dtype=np.int64)
             mark = np.array([END], dtype="<u2").tobytes()
             for b in batches:
                 for t in b.column(0).to_pylist():
                     held.append(np.frombuffer(memo.ids(t) + mark, dtype="<u2").astype(np.int64))
                     size += len(held[-1])
+                    seen[-1] += 1
                     if size > 200_000:
+                        seen[:-1] += np.bincount(np.concatenate(held), minlength=len(mine.inputs))
                         total += mine.fit(held)
                         held, size = [], 0
-            total += mine.fit(held)
+            if held:
+                seen[:-1] += np.bincount(np.concatenate(held), minlength=len(mine.inputs))
+                total += mine.fit(held)
             if total:
-                v = np.round(pack_weights(mine.weights).astype(np.float64) * (1 << 20)).astype(np.int64) * total
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(v)), pa.int32()), pa.array(v), pa.array(np.full(len(v), total))], names=["i", "v", "n"])
-
-        got = some.mapInArrow(run, "i int, v long, n long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n")).collect()
-        if got:  # as many rows as the model has weights
-            v = pack_weights(model.weights).astype(np.float64)
-            for r in got:
-                v[r.i] = float(r.v) / r.n / (1 << 20)
-            model.weights = unpack_weights(v)
+                moved = (pack_weights(mine.weights).astype(np.float64) - pack_weights(shared.value.weights)).reshape(-1, DIM)
+                n = np.concatenate([seen, np.full(len(moved) - len(seen), total)])
+                at = np.flatnonzero(n)
+                v = np.round(moved[at] * (1 << 20)).astype(np.int64) * n[at, None]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), *[pa.array(c) for c in np.ascontiguousarray(v.T)]], names=["i", "n", *parts])
+
+        sums = texts.mapInArrow(run, "i int, n long, " + ", ".join(f"{c} long" for c in parts)).groupBy("i")
+        sums = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in parts])
+        got = sums.select("i", *[(F.col(c).cast("double") / F.col("n") / (1 << 20)).alias(c) for c in parts]).toPandas()
+        if len(got):  # at most as many rows as the model has embeddings, and a few
+            v = pack_weights(model.weights).astype(np.float64).reshape(-1, DIM)
+            v[got["i"].to_numpy()] += got[parts].to_numpy()
+            model.weights = unpack_weights(v.ravel(), size)
     return model
 
 

@@ -401,6 +401,29 @@ def test_attention_learns_from_context():
     assert m.score([doc() for _ in range(5)]).sum() > before * 0.8
 
 
+def test_every_training_text_moves_the_weights(spark):
+    path = subwords.default_path()
+    both = ["a long walk by the river", "seven green bottles on a wall"]
+    counts = np.ones(1 << 16, dtype=np.int64)
+    start = lm.train_model(spark.createDataFrame([], "text string"), counts, path).weights["emb"]
+    for t in both:  # a single text is trained on too, however it hashes
+        got = lm.train_model(spark.createDataFrame([(t,)], "text string"), counts, path).weights["emb"]
+        moved = set(np.flatnonzero((got != start).any(axis=1)).tolist())
+        ids = subwords.memo(path).tokenizer.encode(t, add_special_tokens=False).ids
+        assert moved == {*ids, len(got) - 1}, t
+    shared = lm.train_model(spark.createDataFrame([(t,) for t in both], "text string").repartition(2), counts, path).weights["emb"]
+    assert {i for t in both for i in subwords.memo(path).tokenizer.encode(t, add_special_tokens=False).ids} <= set(np.flatnonzero((shared != start).any(axis=1)).tolist())
+
+
+def test_context_is_told_apart_by_subword():
+    m = lm.Model(np.arange(2000, 0, -1), np.zeros(2000, dtype=np.int64))
+    a, b = lm.SINGLE + 1000, lm.SINGLE + 1001
+    assert m.classes[a] == m.classes[b]
+    m.fit([np.array([a, 1] * 20), np.array([b, 2] * 20)] * 2000)
+    right, wrong = m.score([np.array([a, 1] * 8), np.array([b, 2] * 8)]), m.score([np.array([a, 2] * 8), np.array([b, 1] * 8)])
+    assert (right > wrong + 5).all()
+
+
 # op10
 
 
