@@ -277,8 +277,10 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> DataFrame:
     return words.filter(step >= least) if least is not None else words.limit(0)
 
 
-def token_counts(words: DataFrame, n_docs: int, path: str) -> np.ndarray:
-    """Counts of subword ids over the training texts, from the counts of their words."""
+def token_counts(words: DataFrame, n_docs: int, path: str, texts: DataFrame) -> np.ndarray:
+    """Counts of subword ids over the training ``texts`` (t), from the counts of their words.
+
+    Texts with the literal of an added token are counted anew, as a whole."""
     def run(batches):
         total = np.zeros(1 << 16)
         memo = subwords.memo(path)
@@ -288,8 +290,23 @@ def token_counts(words: DataFrame, n_docs: int, path: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], names=["token", "n"])
 
+    def anew(batches):
+        total = np.zeros(1 << 16, dtype=np.int64)
+        memo = subwords.memo(path)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                ws = subwords.words(t)
+                total += np.bincount(np.frombuffer(memo.ids(t, ws), dtype="<u2"), minlength=1 << 16)
+                total -= np.bincount(np.frombuffer(b"".join(map(memo.__getitem__, ws)), dtype="<u2"), minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["token", "n"])
+
+    marked = F.lit(False)
+    for a in subwords.memo(path).added:
+        marked = marked | F.contains("t", F.lit(a))
+    counts = words.select("word", "c").mapInArrow(run, "token int, n long").unionByName(texts.filter(marked).mapInArrow(anew, "token int, n long"))
     out = np.zeros(1 << 16, dtype=np.int64)
-    for r in words.select("word", "c").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy("token").agg(F.sum("n").alias("n")).collect():
         out[r.token] = r.n  # at most 65536 rows
     out[END] += n_docs
     return out
@@ -361,7 +378,7 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
     words = settle(word_counts(train, text_col), "words")
     v, n = words.agg(F.count("*"), F.sum("c")).first()
     v, n = v + (n_docs > 0), (n or 0) + n_docs
-    model = train_model(train, token_counts(words, n_docs, path), path, text_col)
+    model = train_model(train, token_counts(words, n_docs, path, train.select(F.col(text_col).alias("t"))), path, text_col)
     got = frequent_words(words).toPandas()  # at most FREQUENT words
     known = dict(zip(map(bytes, got["word"]), np.log10(got["c"].to_numpy(dtype=float) + 0.5).tolist(), strict=True))
     shared = spark.sparkContext.broadcast((model, known))
@@ -378,7 +395,7 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
             rows, ids = [], []
             for t in texts:
                 ws = subwords.words(t)
-                ids.append(np.frombuffer(b"".join(map(memo.__getitem__, ws)) + mark, dtype="<u2").astype(np.int64))
+                ids.append(np.frombuffer(memo.ids(t, ws) + mark, dtype="<u2").astype(np.int64))
                 got = [*map(log_of.get, ws)]
                 rare: dict[bytes, int] = {}
                 base, hits = logs[1], int(n_docs > 0)

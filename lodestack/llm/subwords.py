@@ -3,6 +3,7 @@
 The tokenizer normalises, splits at white space and punctuation and merges inside each piece, so
 a text's ids are those of its white-space separated words in a row.  Each worker keeps the ids of
 words and pieces it has met (bounded; emptied when full) and asks the library only for new ones.
+Texts with the literal of an added token, which counts in its own case only, go to the library whole.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ class Memo(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = Tokenizer.from_file(path)  # for words, whose case is lost
+        self.plain.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.merge = self.tokenizer.model.tokenize
@@ -63,16 +66,19 @@ class Memo(dict):
                 pieces = SPLIT.findall(text.lower())
                 got = self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
             else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = self.plain.encode(text, add_special_tokens=False).ids
                 got = struct.pack(f"<{len(ids)}H", *ids)
         if len(self) >= MEMO:
             self.clear()
         self[word] = got
         return got
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text; null counts as empty."""
-        return b"".join(map(self.__getitem__, words(text)))
+    def ids(self, text: str | None, ws: list[bytes] | None = None) -> bytes:
+        """Ids of a whole text; null counts as empty.  ``ws`` are its words if they are known."""
+        if text and any(a in text for a in self.added):
+            found = self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}H", *found)
+        return b"".join(map(self.__getitem__, words(text) if ws is None else ws))
 
 
 def words(text: str | None) -> list[bytes]:

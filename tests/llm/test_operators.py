@@ -310,6 +310,24 @@ def test_memo_is_the_library():
         assert np.frombuffer(memo.ids(t), "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    fresh, memo = Tokenizer.from_file(subwords.default_path()), subwords.memo(subwords.default_path())
+    texts = ["<|endoftext|> x", "a<|startoftext|>B  c", "<|ENDOFTEXT|> x", "É<|EndOfText|>é", "x\u3000<|endoftext|>Y's", "plain"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {49406, 49407} <= {i for ids in want for i in ids}
+    assert [np.frombuffer(memo.ids(t), "<u2").tolist() for t in texts] == want
+    frame, start = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0
+    got = {r.doc_id: r for r in tokenfiles.token_files(frame).collect()}
+    for i, ids in enumerate(want):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()))
+        start += len(ids) + 1
+    rows = frame.select(F.col("text").alias("t"))
+    counts = lm.token_counts(lm.word_counts(frame), len(texts), subwords.default_path(), rows)
+    assert np.array_equal(counts, np.bincount([i for ids in want for i in [*ids, 2]], minlength=1 << 16))
+
+
 def test_token_files(spark, docs, texts):
     got = {r.doc_id: r for r in tokenfiles.token_files(docs.repartition(6)).collect()}
     plain, start = subwords.memo(subwords.default_path()).tokenizer, 0
