@@ -1,8 +1,8 @@
 """Places and helpers for intermediate tables that must outlive a lost executor.
 
 Lineage is cut by writing Parquet below the folder that ``spark.checkpoint.dir`` names.  Every
-executor and the driver can read it, so no step depends on one machine's disk.  Only where the
-setting is absent (local tests) a temporary folder is made and set.
+executor and the driver can read it, so no step depends on one machine's disk.  Only in
+local mode without the setting (tests) a temporary folder is made and set.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, created and set only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -59,6 +63,26 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """A session setting for the jobs that run inside the block; the former value comes back afterwards."""
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Ready the session for Python tasks that run inside the block, with Arrow batches of ``rows``
+    rows; few where a row may be very long."""
+    ship(spark)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
+        yield
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``v`` bound to ``value``, which is evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
