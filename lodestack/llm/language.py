@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.scratch import arrow_rows
+from lodestack.scratch import arrow_batches, settle
 
 DIM = 1024
 N = 3
@@ -119,8 +119,6 @@ def prototypes(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
 
     Each task sends one partial vector a label, and Spark adds them.
     """
-    arrow_rows(docs.sparkSession, 512)
-
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -133,7 +131,8 @@ def prototypes(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim, pa.string()), pa.array(range(dim), pa.int32()), pa.array(v)], names=["label", "i", "v"])
 
     parts = docs.filter(F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l")).mapInArrow(run, "label string, i int, v long")
-    return parts.groupBy("label", "i").agg(F.sum("v").alias("v"))
+    with arrow_batches(docs.sparkSession, 512):
+        return settle(parts.groupBy("label", "i").agg(F.sum("v").alias("v")), "profiles")
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, n: int = N, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -144,7 +143,6 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     first in code-point order.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
     got: dict[str, np.ndarray] = {}
     for r in profiles.collect():  # labels x dim numbers, whatever the number of documents
         got.setdefault(r.label, np.zeros(dim))[r.i] = r.v
@@ -167,4 +165,5 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
 
     src = docs.select(F.col(text_col).alias("__text"), F.col(id_col), *[F.col(c) for c in keep])
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{head}, lang_pred string, score double")
+    with arrow_batches(spark, 512):
+        return settle(src.mapInArrow(run, f"{head}, lang_pred string, score double"), "identified")

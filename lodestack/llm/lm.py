@@ -1,18 +1,23 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy.
 
-P(token | context) = P(class | context) * P(token | class).  Frequent tokens are classes of their
-own and the rest share classes by word-end mark and frequency band; a single-head causal attention
-layer over the last subwords, each with its own embedding, predicts the class.  Token shares inside
-classes come from counts over all training documents.  Weights are fitted by rounds of local
-gradient steps in every partition, on all of its training windows, followed by averaging, so both
-the counts and the training material are the whole corpus.
-
-Scoring cuts a document into overlapping windows; each token is scored once, with at least
-WINDOW - STEP tokens of context where the document has them.
+P(token | context) = P(group | h) * P(member | h, group) * P(token | leaf).  ``h`` is the sum of the
+last subword's embedding and of a single-head causal attention over the embeddings of the window.
+Frequent tokens have a leaf (group, member) of their own; the rest share leaves by word-end mark and
+frequency band, and their shares inside a leaf come from counts over all training documents.
+
+Training sees every distinct training text whole.  Texts are cut into pieces, and pieces are dealt by
+a hash of the text into units of a bounded number of tokens, which grow in number with the corpus.
+In each round the next part of the units is trained on, every unit from the same weights, and the
+moves are averaged by occurrences as whole numbers.  A unit is one row of a stored table, sorted
+inside, so the weights do not depend on partitions, tasks or retries.
+
+Scoring cuts a document into overlapping windows; each token is scored once, with at least LEAD
+tokens of context (start marks before the document).
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,145 +26,129 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import subwords
-from lodestack.scratch import arrow_rows, settle
+from lodestack.scratch import arrow_batches, setting, settle
 
-DIM, CLASSES, SINGLE = 16, 128, 96
+DIM = GROUPS = SUBS = 16
+LEAVES, SINGLE = GROUPS * SUBS, 192
 WINDOW, STEP = 32, 24
-BATCH = 128
-#: Windows that are held at once.
-SLICE = 1024
-ROUNDS, RATE = 2, 0.01
+#: Positions of a window that only give context.
+LEAD = WINDOW - STEP
+#: Windows of a document that are scored together, and windows in a gradient step.
+BATCH, STEP_BATCH = 128, 64
+ROUNDS, RATE = 4, 0.02
+#: Tokens of a piece of a text, and mean tokens of a training unit.
+PIECE, UNIT = 1 << 15, 1 << 19
 END = 2
-#: Words whose counts and ids are handed to every task; all others go through a join.
+#: Words whose counts are handed to every task; all others go through a join.
 FREQUENT = 1 << 18
-SHAPES = {"emb": (CLASSES + 1, DIM), "pos": (WINDOW, DIM), "wq": (DIM, DIM), "wk": (DIM, DIM), "wv": (DIM, DIM), "wo": (DIM, DIM), "out": (DIM, CLASSES), "bias": (CLASSES,)}
+F32 = np.float32
+_OPEN = np.tril(np.ones((WINDOW, WINDOW), dtype=F32))
+_ONES = np.ones(BATCH * WINDOW, dtype=F32)
 
 
-def start_weights(log_share: np.ndarray, seed: int = 5, inputs: int = CLASSES) -> dict[str, np.ndarray]:
-    """Small random weights for ``inputs`` input tokens and the start; the bias starts at the class frequencies."""
-    rng = np.random.default_rng(seed)
-    shapes = SHAPES | {"emb": (inputs + 1, DIM)}
-    w = {k: (rng.standard_normal(s) * (0.3 if k == "emb" else 0.15)).astype(np.float32) for k, s in shapes.items()}
-    w["bias"] = log_share.astype(np.float32)
-    return w
+def shapes(vocabulary: int) -> dict[str, tuple[int, int]]:
+    """Shapes of the weights; all have DIM columns.  The last embedding is that of the start."""
+    return {"emb": (vocabulary + 1, DIM), "pos": (WINDOW, DIM), "wa": (DIM, DIM), "wo": (DIM, DIM), "wg": (DIM, GROUPS), "bg": (1, GROUPS), "gate": (GROUPS, DIM), "ws": (DIM, SUBS), "bs": (GROUPS, SUBS)}
 
 
-def pack_weights(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES])  # emb first, so its rows lead
+def forward(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndarray, first: int = 0) -> tuple:
+    """Natural log-probabilities of the leaves (g, s), flat, for positions from ``first`` on.
 
-
-def unpack_weights(v: np.ndarray, inputs: int = CLASSES) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in (SHAPES | {"emb": (inputs + 1, DIM)}).items():
-        n = int(np.prod(s))
-        out[k] = v[at : at + n].reshape(s).astype(np.float32)
-        at += n
-    return out
-
-
-_OPEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
-
-
-def forward(w: dict[str, np.ndarray], x: np.ndarray, first: int = 0) -> tuple:
-    """Class scores for positions from ``first`` on of windows (B, WINDOW) of input tokens.
-
-    Returns (z, total, ...) with class log-probabilities z - log(total).  Large matrix products
-    are two-dimensional, and sums over keys and classes are products with ones."""
+    ``x`` has windows (B, WINDOW) of input tokens.  One matrix stands for the product of query and
+    key projections, and the embeddings themselves are keys and values.
+    """
     n = len(x)
-    e = (w["emb"].take(x, axis=0) + w["pos"]).reshape(-1, DIM)
-    scale = np.float32(DIM**-0.5)
-    qkv = e @ np.concatenate([w["wq"] * scale, w["wk"], w["wv"]], axis=1)
-    q, k, v = (qkv[:, i * DIM : (i + 1) * DIM].reshape(n, WINDOW, DIM) for i in range(3))
-    q = q[:, first:]
-    a = q @ k.transpose(0, 2, 1)
-    top = float(a.max()) if n else 0.0
-    if top > 40:  # far from overflow otherwise
-        a -= a.max(axis=2, keepdims=True)
+    e = w["emb"].take(x, axis=0)
+    e += w["pos"]
+    own = np.ascontiguousarray(e[:, first:]).reshape(-1, DIM)
+    q = own @ w["wa"]
+    a = q.reshape(n, -1, DIM) @ e.transpose(0, 2, 1)
+    np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
     a *= _OPEN[first:]
-    mixed = a @ np.concatenate([v, np.ones((n, WINDOW, 1), dtype=np.float32)], axis=2)
-    sums = np.maximum(mixed[:, :, DIM:], np.float32(1e-30))
-    c = mixed[:, :, :DIM] / sums
-    h = e.reshape(n, WINDOW, DIM)[:, first:].reshape(-1, DIM) + c.reshape(-1, DIM) @ w["wo"]
-    z = h @ w["out"]
-    z += w["bias"]
-    if n and float(z.max()) > 60:
-        z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    return z, p @ np.ones(CLASSES, dtype=np.float32), p, e, q, k, v, a, sums, c, h
-
-
-def log_probability(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, first: int = 0) -> np.ndarray:
-    """Natural log-probability of the classes ``y`` (B, WINDOW - first)."""
-    z, total = forward(w, x, first)[:2]
-    return (z[np.arange(len(z)), y.reshape(-1)] - np.log(total)).reshape(y.shape)
-
-
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log-probability of the classes ``y`` where ``mask`` is set."""
-    g, met = sparse_gradients(w, x, y, mask)
-    emb = np.zeros_like(w["emb"])
-    emb[met] = g["emb"]
-    return g | {"emb": emb}
-
-
-def sparse_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The same with ``emb`` only for the input tokens that occur, which come second."""
-    _, total, p, e, q, k, v, a, sums, c, h = forward(w, x)
-    n, m = len(x), mask.reshape(-1)
-    p *= (1 / total)[:, None]
-    p[np.arange(len(p)), y.reshape(-1)] -= 1
-    p *= (m / max(1.0, float(m.sum())))[:, None].astype(np.float32)
-    a = a / sums
-    flat_c = c.reshape(-1, DIM)
-    g = {"out": h.T @ p, "bias": p.sum(axis=0)}
-    dh = p @ w["out"].T
-    g["wo"] = flat_c.T @ dh
-    dc = (dh @ w["wo"].T).reshape(n, WINDOW, DIM)
-    dv = a.transpose(0, 2, 1) @ dc
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (dc * c).sum(axis=2, keepdims=True))
-    dq, dk = (ds @ k).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
-    dv = dv.reshape(-1, DIM)
-    scale = np.float32(DIM**-0.5)
-    g["wq"], g["wk"], g["wv"] = e.T @ dq * scale, e.T @ dk, e.T @ dv
-    de = dh + dq @ (w["wq"].T * scale) + dk @ w["wk"].T + dv @ w["wv"].T
-    g["pos"] = de.reshape(n, WINDOW, DIM).sum(axis=0)
+    sums = a.reshape(-1, WINDOW) @ _ONES[:WINDOW]
+    c = (a @ e).reshape(-1, DIM)
+    c /= sums[:, None]
+    h = c @ w["wo"]
+    h += own
+    pg = h @ w["wg"]
+    pg += w["bg"]
+    np.clip(pg, -60, 60, out=pg)
+    gate = w["gate"].take(g, axis=0)
+    ps = (h * gate) @ w["ws"]
+    ps += w["bs"].take(g, axis=0)
+    np.clip(ps, -60, 60, out=ps)
+    at = np.arange(len(h))
+    z = pg[at, g] + ps[at, s]
+    np.exp(pg, out=pg)
+    np.exp(ps, out=ps)
+    tg, ts = pg @ _ONES[:GROUPS], ps @ _ONES[:SUBS]
+    return z - np.log(tg) - np.log(ts), (pg, ps, tg, ts, h, gate, c, sums, a, e, q)
+
+
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the mean negative log-probability where ``mask`` is set.
+
+    ``emb`` has rows only for the input tokens that occur, which come second."""
+    n = len(x)
+    _, (pg, ps, tg, ts, h, gate, c, sums, a, e, q) = forward(w, x, g, s)
+    m = mask.reshape(-1).astype(F32)
+    m /= max(F32(1), m.sum())
+    at, one = np.arange(len(h)), _ONES[: len(h)]
+    pg *= (m / tg)[:, None]
+    pg[at, g] -= m
+    ps *= (m / ts)[:, None]
+    ps[at, s] -= m
+    hot = np.zeros((len(h), GROUPS), dtype=F32)
+    hot[at, g] = 1
+    out = {"wg": h.T @ pg, "bg": (one @ pg)[None], "ws": (h * gate).T @ ps, "bs": hot.T @ ps}
+    d = ps @ w["ws"].T
+    out["gate"] = hot.T @ (d * h)
+    d *= gate
+    d += pg @ w["wg"].T
+    out["wo"] = c.T @ d
+    dc = d @ w["wo"].T
+    back = ((dc * c) @ _ONES[:DIM]).reshape(n, WINDOW, 1)
+    dc = dc.reshape(n, WINDOW, DIM)
+    a /= sums.reshape(n, WINDOW, 1)
+    de = a.transpose(0, 2, 1) @ dc
+    da = dc @ e.transpose(0, 2, 1)
+    da -= back
+    da *= a
+    de += da.transpose(0, 2, 1) @ q.reshape(n, WINDOW, DIM)
+    dq = (da @ e).reshape(-1, DIM)
+    out["wa"] = e.reshape(-1, DIM).T @ dq
+    de = de.reshape(-1, DIM)
+    de += dq @ w["wa"].T
+    de += d
+    out["pos"] = (_ONES[:n] @ de.reshape(n, -1)).reshape(WINDOW, DIM)
     order = np.argsort(x, axis=None, kind="stable")
-    met, at = np.unique(x.reshape(-1)[order], return_index=True)
-    g["emb"] = np.add.reduceat(de[order], at, axis=0)
-    return g, met
+    seen = x.reshape(-1)[order]
+    first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+    out["emb"] = np.add.reduceat(de[order], first, axis=0)
+    return out, seen[first]
 
 
-def window_count(n: int) -> int:
-    return 1 + max(0, -(-(n - WINDOW) // STEP))
+def training_windows(ids: np.ndarray, before: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of windows side by side, the first of which begins LEAD tokens early.
 
+    ``before`` is the input of the first token, ``start`` stands for what lies before it.  Targets
+    outside of the sequence are -1; each one inside occurs once."""
+    count = -(-(LEAD + len(ids)) // WINDOW)
+    x, y = np.zeros(count * WINDOW, dtype=ids.dtype), np.full(count * WINDOW, -1, dtype=np.int32)
+    x[:LEAD], x[LEAD], x[LEAD + 1 : LEAD + len(ids)] = start, before, ids[:-1]
+    y[LEAD : LEAD + len(ids)] = ids
+    return x.reshape(count, WINDOW), y.reshape(count, WINDOW)
 
-def windows(ids: np.ndarray, inputs: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, fresh) of one document's ids, its end included, for windows lo to hi.
 
-    ``inputs`` has the input of each token id; the input at the start is the first number after them.
-    ``fresh`` marks the targets that a window scores; over all windows each target is marked once.
-    """
-    n = len(ids)
-    at = np.arange(lo, window_count(n) if hi is None else hi)[:, None] * STEP + np.arange(WINDOW)
-    inside = at < n
-    at = np.minimum(at, n - 1)
-    y = ids[at]
-    x = np.where(at > 0, inputs[ids[at - 1]], len(inputs))
-    fresh = inside.copy()
-    fresh[int(lo == 0) :, : WINDOW - STEP] = False
-    return x, y, fresh
-
-
-def class_map(counts: np.ndarray, ends_word: np.ndarray) -> np.ndarray:
-    """Class of each token id: the SINGLE most frequent alone, the rest by word end and band."""
+def leaf_map(counts: np.ndarray, ends_word: np.ndarray) -> np.ndarray:
+    """Leaf of each token id: the SINGLE most frequent alone, the rest by word end and band."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     out = np.zeros(len(counts), dtype=np.int64)
     out[order[:SINGLE]] = np.arange(min(SINGLE, len(counts)))
-    half = (CLASSES - SINGLE) // 2
+    half = (LEAVES - SINGLE) // 2
     for end in (0, 1):
-        rest = np.array([t for t in order[SINGLE:] if ends_word[t] == end], dtype=np.int64)
+        rest = order[SINGLE:][ends_word[order[SINGLE:]] == end]
         if len(rest):
             mass = np.cumsum(counts[rest] + 0.5)
             out[rest] = SINGLE + end * half + np.minimum(half - 1, (mass / mass[-1] * half).astype(np.int64))
@@ -167,77 +156,71 @@ def class_map(counts: np.ndarray, ends_word: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """All that scoring needs: class of each token, log10 share inside its class, weights."""
-
-    def __init__(self, counts: np.ndarray, ends_word: np.ndarray):
-        self.classes = class_map(counts, ends_word)
-        total = np.bincount(self.classes, weights=counts, minlength=CLASSES)
-        members = np.bincount(self.classes, minlength=CLASSES)
-        self.inside = np.log10((counts + 0.5) / (total + 0.5 * members)[self.classes])
-        share = np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES))
-        self.inputs = np.arange(len(counts))
-        self.weights = start_weights(share, inputs=len(counts))
+    """All that scoring needs: leaf of each token, log share inside its leaf, weights."""
+
+    def __init__(self, counts: np.ndarray, ends_word: np.ndarray, seed: int = 5):
+        leaf = leaf_map(counts, ends_word)
+        self.group, self.member = leaf // SUBS, leaf % SUBS
+        total = np.bincount(leaf, weights=counts, minlength=LEAVES)
+        members = np.bincount(leaf, minlength=LEAVES)
+        self.inside = np.log((counts + 0.5) / (total + 0.5 * members)[leaf])
+        rng = np.random.default_rng(seed)
+        self.weights = {k: (rng.standard_normal(s) * (0.3 if k == "emb" else 0.15)).astype(F32) for k, s in shapes(len(counts)).items()}
+        self.weights["gate"] += 1
+        share = (total + 0.5).reshape(GROUPS, SUBS)
+        self.weights["bg"] = np.log(share.sum(axis=1) / share.sum()).astype(F32)[None]
+        self.weights["bs"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(F32)
+
+    def rows(self) -> np.ndarray:
+        """The weights as rows of DIM numbers, embeddings first."""
+        return np.concatenate([self.weights[k] for k in shapes(len(self.group))]).astype(np.float64)
+
+    def set_rows(self, rows: np.ndarray) -> None:
+        at = 0
+        for k, s in shapes(len(self.group)).items():
+            self.weights[k] = rows[at : at + s[0]].astype(F32)
+            at += s[0]
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each document's ids (end included).
+        """log10 probability of each document's ids (16 bits each, end included, none empty).
 
-        Windows of all documents are batched; very long documents go in slices."""
+        A window scores its last STEP positions; a document's windows are computed on their own, since
+        the last bit of a matrix product depends on a row's place in it."""
         out = np.zeros(len(docs))
-        held: list[tuple[int, int, tuple]] = []
-        size = 0
         for i, ids in enumerate(docs):
-            out[i] += self.inside[ids].sum()
-            count = window_count(len(ids))
-            for lo in range(0, count, SLICE):
-                hi = min(count, lo + SLICE)
-                held.append((i, lo, windows(ids, self.inputs, lo, hi)))
-                size += hi - lo
-                if size >= SLICE:
-                    self._add(held, out)
-                    held, size = [], 0
-        self._add(held, out)
-        return out
-
-    def _add(self, held: list[tuple[int, int, tuple]], out: np.ndarray) -> None:
-        """Add the scores of windows; a document's first window scores all of its positions."""
-        for head in (True, False):
-            first = 0 if head else WINDOW - STEP
-            rows, own = [], []
-            for i, lo, parts in held:
-                cut = slice(0, 1) if head else slice(int(lo == 0), None)
-                if head and lo or len(parts[0][cut]) == 0:
-                    continue
-                rows.append(tuple(p[cut] for p in parts))
-                own.append(np.full(len(rows[-1][0]), i))
-            if not rows:
-                continue
-            x, y, fresh = (np.concatenate(c) for c in zip(*rows, strict=True))
-            who = np.concatenate(own)
-            for at in range(0, len(x), BATCH):
-                part = slice(at, at + BATCH)
-                got = log_probability(self.weights, x[part], self.classes[y[part, first:]], first).astype(np.float64) * fresh[part, first:]
-                np.add.at(out, who[part], got.sum(axis=1) / np.log(10))
-
-    def fit(self, docs: list[np.ndarray], seed: int = 0) -> int:
-        """Adam steps over the documents' windows; returns the number of windows."""
-        if not docs:
-            return 0
-        x, y, fresh = (np.concatenate(c) for c in zip(*[windows(d, self.inputs) for d in docs], strict=True))
-        y = self.classes[y]
-        order = np.random.default_rng(seed).permutation(len(x))
+            total = 0.0
+            for at in range(0, len(ids), STEP * BATCH):
+                own = ids[at : at + STEP * BATCH]
+                y = np.zeros(-(-len(own) // STEP) * STEP, dtype=own.dtype)
+                y[: len(own)] = own
+                x = np.full(LEAD + 1 + len(y), len(self.group), dtype=own.dtype)
+                seen = ids[max(0, at - LEAD - 1) : at]
+                x[LEAD + 1 - len(seen) : LEAD + 1] = seen
+                x[LEAD + 1 :] = y
+                x = np.lib.stride_tricks.sliding_window_view(x[:-1], WINDOW)[::STEP]
+                got = forward(self.weights, x, self.group[y], self.member[y], LEAD)[0] + self.inside[y]
+                total += got[: len(own)].sum()
+            out[i] = total
+        return out / np.log(10)
+
+    def fit(self, pieces: list[tuple[np.ndarray, int]], rate: float, seed: int = 0) -> int:
+        """Adam steps over all windows of (ids, input before them); returns the number of targets."""
+        parts = [training_windows(d, p, len(self.group)) for d, p in pieces]
+        inputs, targets = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.random.default_rng(seed).permutation(len(inputs))
         m = {k: np.zeros_like(a) for k, a in self.weights.items()}
         v = {k: np.zeros_like(a) for k, a in self.weights.items()}
-        steps = 0
-        for lo in range(0, len(x), 64):
-            pick = order[lo : lo + 64]
-            g, met = sparse_gradients(self.weights, x[pick], y[pick], fresh[pick].astype(np.float32))
-            steps += 1
-            for k in SHAPES:
-                at = met if k == "emb" else slice(None)  # embeddings move where their token occurs
-                m[k][at] = np.float32(0.9) * m[k][at] + np.float32(0.1) * g[k]
-                v[k][at] = np.float32(0.99) * v[k][at] + np.float32(0.01) * g[k] ** 2
-                self.weights[k][at] -= np.float32(RATE) * (m[k][at] / np.float32(1 - 0.9**steps)) / (np.sqrt(v[k][at] / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
-        return len(x)
+        for step, lo in enumerate(range(0, len(order), STEP_BATCH), 1):
+            w = order[lo : lo + STEP_BATCH]
+            y = targets[w].reshape(-1)
+            grad, met = gradients(self.weights, inputs[w], self.group[y], self.member[y], y >= 0)
+            r = F32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+            for k, d in grad.items():
+                rows = met if k == "emb" else slice(None)  # embeddings move where their token occurs
+                m[k][rows] = mk = m[k][rows] * F32(0.9) + F32(0.1) * d
+                v[k][rows] = vk = v[k][rows] * F32(0.99) + F32(0.01) * d * d
+                self.weights[k][rows] -= r * mk / (np.sqrt(vk) + F32(1e-6))
+        return sum(len(d) for d, _ in pieces)
 
 
 def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
@@ -253,7 +236,7 @@ def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 held.update(subwords.words(t))
-            if len(held) > 300_000:
+            if len(held) > 600_000:
                 yield out()
                 held.clear()
         if held:
@@ -277,89 +260,126 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> DataFrame:
     return words.filter(step >= least) if least is not None else words.limit(0)
 
 
-def token_counts(words: DataFrame, n_docs: int, path: str, texts: DataFrame) -> np.ndarray:
-    """Counts of subword ids over the training ``texts`` (t), from the counts of their words.
+def encode(docs: DataFrame, words: DataFrame, n_docs: int, path: str) -> DataFrame:
+    """Rows (id, train, t) with their subword ids and their part of the base score, stored.
+
+    ``base`` lacks the gain of the words in ``rare``, whose counts are not handed to the tasks."""
+    spark = docs.sparkSession
+    got = frequent_words(words).toPandas()  # at most FREQUENT words
+    known = dict(zip(map(bytes, got["word"]), np.log10(got["c"].to_numpy(dtype=float) + 0.5).tolist(), strict=True))
+    shared = spark.sparkContext.broadcast(known)
+    unseen, ended = (float(np.log10(c + 0.5)) for c in (0, n_docs))
+    kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32()), "key": pa.binary(), "ids": pa.binary()}
 
-    Texts with the literal of an added token are counted anew, as a whole."""
     def run(batches):
-        total = np.zeros(1 << 16)
-        memo = subwords.memo(path)
+        log_of, memo = shared.value.get, subwords.memo(path)
+        mark = np.array([END], dtype="<u2").tobytes()
+        uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                np.add.at(total, np.frombuffer(memo[w], dtype="<u2"), c)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], names=["token", "n"])
+            rows = []
+            for t in b.column(2).to_pylist():
+                ws = subwords.words(t)
+                ids = memo.ids(t, ws) + mark
+                logs = [*map(log_of, ws)]
+                rare: dict[bytes, int] = {}
+                base, hits = ended, int(n_docs > 0)
+                if None in logs:
+                    for w, x in zip(ws, logs, strict=True):
+                        if x is None:
+                            rare[w] = rare.get(w, 0) + 1
+                    logs = [x for x in logs if x is not None]
+                    base += (len(ws) - len(logs)) * unseen
+                rows.append((len(ws) + 1, hits + len(logs), base + sum(logs), list(rare), list(rare.values()), hashlib.md5(ids).digest(), ids))
+            cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            uids = pa.array(np.arange(uid, uid + len(rows)))
+            uid += len(rows)
+            yield pa.RecordBatch.from_arrays([uids, b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)]], names=["uid", "id", "train", *kinds])
+
+    kind = dict(docs.dtypes)["id"]
+    with arrow_batches(spark, 256):
+        return settle(docs.mapInArrow(run, f"uid long, id {kind}, train boolean, n_tokens long, n_known long, base double, rare array<binary>, times array<int>, key binary, ids binary"), "encoded")
 
-    def anew(batches):
-        total = np.zeros(1 << 16, dtype=np.int64)
-        memo = subwords.memo(path)
+
+def token_counts(ids: DataFrame) -> np.ndarray:
+    """Counts of subword ids over rows of ``ids`` (one binary column)."""
+    def run(batches):
+        total, none = np.zeros(1 << 16, dtype=np.int64), np.zeros(0, dtype="<u2")
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = subwords.words(t)
-                total += np.bincount(np.frombuffer(memo.ids(t, ws), dtype="<u2"), minlength=1 << 16)
-                total -= np.bincount(np.frombuffer(b"".join(map(memo.__getitem__, ws)), dtype="<u2"), minlength=1 << 16)
+            held = []
+            for x in b.column(0).to_pylist():
+                held.append(np.frombuffer(x, dtype="<u2"))
+            total += np.bincount(np.concatenate([none, *held]), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["token", "n"])
 
-    marked = F.lit(False)
-    for a in subwords.memo(path).added:
-        marked = marked | F.contains("t", F.lit(a))
-    counts = words.select("word", "c").mapInArrow(run, "token int, n long").unionByName(texts.filter(marked).mapInArrow(anew, "token int, n long"))
     out = np.zeros(1 << 16, dtype=np.int64)
-    for r in counts.groupBy("token").agg(F.sum("n").alias("n")).collect():
-        out[r.token] = r.n  # at most 65536 rows
-    out[END] += n_docs
+    with arrow_batches(ids.sparkSession, 256):
+        for r in ids.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+            out[r.token] = r.n  # at most 65536 rows
     return out
 
 
-def train_model(train: DataFrame, counts: np.ndarray, path: str, text_col: str = "text") -> Model:
-    """Fit the weights on all windows of all training documents.
+def training_units(train: DataFrame, tokens: int) -> DataFrame:
+    """(round, unit, pieces): the distinct pieces of (key, ids) rows, sorted inside each unit.
 
-    Rounds average the partitions' changes, by windows, and of an embedding by its token's occurrences."""
-    spark = train.sparkSession
-    memo = subwords.memo(path)
-    ends = np.zeros(len(counts), dtype=np.int64)
-    for token, i in memo.tokenizer.get_vocab().items():
+    A piece is the key, its number in 4 bytes, and its ids; all but a text's first begin with the id
+    before them.  Equal texts are one text, so copies neither crowd a unit nor count twice.
+    """
+    units = ROUNDS * max(1, -(-tokens // (ROUNDS * UNIT)))
+    piece = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") / 2 - 1) / PIECE).cast("int")))
+    rows = train.select("key", "ids", piece.alias("i"))
+    lead = F.when(F.col("i") > 0, 1).otherwise(0)
+    part = F.substring(F.col("ids"), (F.col("i") * PIECE - lead) * 2 + 1, (F.lit(PIECE) + lead) * 2)
+    rows = rows.select(F.pmod(F.xxhash64("key", "i"), F.lit(units)).cast("int").alias("unit"), F.concat("key", F.unhex(F.lpad(F.hex("i"), 8, "0")), part).alias("piece"))
+    rows = rows.groupBy("unit").agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
+    # few bytes but much work: as many tasks as the shuffle has partitions, not as bytes would give
+    with setting(train.sparkSession, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        return settle(rows.select((F.col("unit") % ROUNDS).alias("round"), "unit", "pieces"), "units")
+
+
+def train_model(units: DataFrame, counts: np.ndarray, path: str) -> Model:
+    """Fit the weights on all training units, in ROUNDS rounds of local steps and averaging.
+
+    A round averages the units' moves by targets, and an embedding's by its token's occurrences."""
+    spark = units.sparkSession
+    tokenizer = subwords.memo(path).tokenizer
+    size = tokenizer.get_vocab_size()
+    ends = np.zeros(size, dtype=np.int64)
+    for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith("</w>")
-    size = memo.tokenizer.get_vocab_size()
-    model = Model(counts[:size], ends[:size])
-    texts = train.select(F.col(text_col).alias("t"))
+    model = Model(counts[:size], ends)
     parts = [f"v{i}" for i in range(DIM)]
-    for _ in range(ROUNDS):
+    for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
+        rate = RATE * (1 - 0.8 * r / ROUNDS)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, rate=rate):
             import copy
 
-            mine, memo, total, held, size = copy.deepcopy(shared.value), subwords.memo(path), 0, [], 0
-            seen = np.zeros(len(mine.inputs) + 1, dtype=np.int64)
-            mark = np.array([END], dtype="<u2").tobytes()
+            start = shared.value.rows()
+            n, moved = np.zeros(len(start), dtype=np.int64), np.zeros(start.shape, dtype=np.int64)
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    held.append(np.frombuffer(memo.ids(t) + mark, dtype="<u2").astype(np.int64))
-                    size += len(held[-1])
-                    seen[-1] += 1
-                    if size > 200_000:
-                        seen[:-1] += np.bincount(np.concatenate(held), minlength=len(mine.inputs))
-                        total += mine.fit(held)
-                        held, size = [], 0
-            if held:
-                seen[:-1] += np.bincount(np.concatenate(held), minlength=len(mine.inputs))
-                total += mine.fit(held)
-            if total:
-                moved = (pack_weights(mine.weights).astype(np.float64) - pack_weights(shared.value.weights)).reshape(-1, DIM)
-                n = np.concatenate([seen, np.full(len(moved) - len(seen), total)])
-                at = np.flatnonzero(n)
-                v = np.round(moved[at] * (1 << 20)).astype(np.int64) * n[at, None]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), *[pa.array(c) for c in np.ascontiguousarray(v.T)]], names=["i", "n", *parts])
-
-        sums = texts.mapInArrow(run, "i int, n long, " + ", ".join(f"{c} long" for c in parts)).groupBy("i")
-        sums = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in parts])
-        got = sums.select("i", *[(F.col(c).cast("double") / F.col("n") / (1 << 20)).alias(c) for c in parts]).toPandas()
-        if len(got):  # at most as many rows as the model has embeddings, and a few
-            v = pack_weights(model.weights).astype(np.float64).reshape(-1, DIM)
-            v[got["i"].to_numpy()] += got[parts].to_numpy()
-            model.weights = unpack_weights(v.ravel(), size)
+                for unit, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    mine, docs = copy.deepcopy(shared.value), []
+                    for p in pieces:
+                        ids, lead = np.frombuffer(p, dtype="<u2", offset=20), int(any(p[16:20]))
+                        docs.append((ids[lead:], int(ids[0]) if lead else size))
+                    seen = np.bincount(np.concatenate([d for d, _ in docs]), minlength=size)
+                    total = mine.fit(docs, rate, unit)
+                    times = np.concatenate([seen, np.full(len(start) - size, total)])
+                    moved += np.round((mine.rows() - start) * (1 << 20)).astype(np.int64) * times[:, None]
+                    n += times
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), *[pa.array(c) for c in np.ascontiguousarray(moved[at].T)]], names=["i", "n", *parts])
+
+        with arrow_batches(spark, 4):
+            sums = units.filter(F.col("round") == r).select("unit", "pieces").mapInArrow(run, "i int, n long, " + ", ".join(f"{c} long" for c in parts)).groupBy("i")
+            sums = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in parts])
+            got = sums.select("i", *[(F.col(c).cast("double") / F.col("n") / (1 << 20)).alias(c) for c in parts]).toPandas()
+        if len(got):  # at most as many rows as the model has
+            rows = model.rows()
+            rows[got["i"].to_numpy()] += got[parts].to_numpy()
+            model.set_rows(rows)
     return model
 
 
@@ -368,56 +388,35 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
 
     ``is_train`` picks the rows to learn from (null counts as not held out and not learned from).
     Null texts count as empty: one end token.  base_score is the smoothed log10 unigram probability
-    of words and end; score is the model's log10 probability of all subwords and the end id.
+    of words and end; score is the model's log10 probability of all subwords and the end id, to six
+    decimals.  Equal texts get equal scores, whatever the partitions.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
     path = vocabulary or subwords.default_path()
-    train = docs.filter(is_train)
+    rows = docs.select(F.col(id_col).alias("id"), is_train.alias("train"), F.col(text_col).alias("t"))
+    train = rows.filter("train")
     n_docs = train.count()
-    words = settle(word_counts(train, text_col), "words")
+    with arrow_batches(spark, 256):
+        words = settle(word_counts(train, "t"), "words")
     v, n = words.agg(F.count("*"), F.sum("c")).first()
     v, n = v + (n_docs > 0), (n or 0) + n_docs
-    model = train_model(train, token_counts(words, n_docs, path, train.select(F.col(text_col).alias("t"))), path, text_col)
-    got = frequent_words(words).toPandas()  # at most FREQUENT words
-    known = dict(zip(map(bytes, got["word"]), np.log10(got["c"].to_numpy(dtype=float) + 0.5).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((model, known))
-    logs = [float(np.log10(c + 0.5)) for c in (0, n_docs)]
-    kind = dict(docs.dtypes)[id_col]
+    encoded = encode(rows, words, n_docs, path)
+    learn = encoded.filter("train")
+    counts = token_counts(learn.select("ids"))
+    model = train_model(training_units(learn, int(counts.sum())), counts, path)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        model, log_of = shared.value
-        memo = subwords.memo(path)
-        mark = np.array([END], dtype="<u2").tobytes()
-        part, uid = TaskContext.get().partitionId() << 40, 0
         for b in batches:
-            texts = b.column(2).to_pylist()
-            rows, ids = [], []
-            for t in texts:
-                ws = subwords.words(t)
-                ids.append(np.frombuffer(memo.ids(t, ws) + mark, dtype="<u2").astype(np.int64))
-                got = [*map(log_of.get, ws)]
-                rare: dict[bytes, int] = {}
-                base, hits = logs[1], int(n_docs > 0)
-                if None in got:
-                    for w, x in zip(ws, got, strict=True):
-                        if x is None:
-                            rare[w] = rare.get(w, 0) + 1
-                    missing = sum(rare.values())
-                    got = [x for x in got if x is not None]
-                    base += missing * logs[0]
-                rows.append((len(ws) + 1, hits + len(got), base + sum(got), list(rare), list(rare.values())))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            uids = np.arange(uid, uid + len(texts)) + part
-            uid += len(texts)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(uids), b.column(0), b.column(1), pa.array(model.score(ids)), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["uid", "id", "train", "score", "n_tokens", "n_known", "base", "rare", "times"])
-
-    rows = docs.select(F.col(id_col).alias("id"), is_train.alias("train"), F.col(text_col).alias("t"))
-    rows = settle(rows.mapInArrow(run, f"uid long, id {kind}, train boolean, score double, n_tokens long, n_known long, base double, rare array<binary>, times array<int>"), "scored")
-    each = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
-    gain = each.join(words, "word").groupBy("uid").agg(F.sum("k").alias("found"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - F.lit(logs[0]))).alias("gain"))
-    gain = settle(gain, "rare")
-    out = rows.drop("rare", "times").join(gain, "uid", "left")
+            got = shared.value.score([np.frombuffer(x, dtype="<u2") for x in b.column(5).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(6), pa.array(np.round(got, 6))], names=[*b.schema.names[:5], "base", "score"])
+
+    kind = dict(encoded.dtypes)["id"]
+    with arrow_batches(spark, 256):
+        scored = encoded.select("uid", "id", "train", "n_tokens", "n_known", "ids", "base").mapInArrow(run, f"uid long, id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
+        scored = settle(scored, "scored")
+    each = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
+    gain = each.join(words, "word").groupBy("uid").agg(F.sum("k").alias("found"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - float(np.log10(0.5)))).alias("gain"))
+    out = scored.join(gain, "uid", "left")
     base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
     return out.select(F.col("id").alias(id_col), (~F.coalesce("train", F.lit(True))).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

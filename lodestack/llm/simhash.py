@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.scratch import arrow_rows, settle
+from lodestack.scratch import arrow_batches, settle
 
 BITS = 64
 RADIUS = 2
@@ -65,15 +65,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null, empty and blank texts get fingerprint 0.  Null ids pass through.
     """
-    arrow_rows(docs.sparkSession, 512)
-
     def run(batches):
         for b in batches:
             fps = np.array([text_fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp bigint")
+    with arrow_batches(docs.sparkSession, 512):
+        return settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp bigint"), "fingerprints")
 
 
 def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -133,7 +132,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gives null.  Copies fold into their fingerprint before any link is sought.  Repeated rows are
     kept; an empty table gives an empty result; other columns are ignored.
     """
-    rows = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    rows = fingerprints(docs, id_col, text_col, shingle)
     least = settle(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     labels = components(close_links(least.select("fp"), radius))
     roots = settle(labels.join(least, F.col("node") == F.col("fp")).groupBy("label").agg(F.min("first").alias("root")), "roots")

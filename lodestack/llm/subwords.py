@@ -18,6 +18,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers.
 MEMO = 600_000
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Marks that often end a word and are a piece of their own.
+MARKS = frozenset(b"%c" % c for c in b",.;:!?")
 #: Characters outside of this take the library's own normaliser.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-ſ]+")
 
@@ -47,8 +49,8 @@ class Memo(dict):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = Tokenizer.from_file(path)  # for words, whose case is lost
         self.plain.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
+        if self.tokenizer.get_vocab_size() >= 1 << 16:
+            raise ValueError("ids and one more number must fit 16 bits")
         self.merge = self.tokenizer.model.tokenize
         self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
@@ -60,6 +62,8 @@ class Memo(dict):
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters stand for themselves
             got = self.piece(word.decode("ascii"))
+        elif word[-1:] in MARKS and word[:-1].isalpha():
+            got = self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode("utf-8", "replace")
             if PLAIN.fullmatch(text):

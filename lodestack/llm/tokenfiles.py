@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import rans, subwords
-from lodestack.scratch import arrow_rows, new_path, settle
+from lodestack.scratch import arrow_batches, new_path, settle
 
 END = 2
 #: Ids after which a block is closed; a block holds whole documents.
 BLOCK = 1 << 18
+#: Blocks in an Arrow batch; a block has half a megabyte of ids.
+BATCH = 8
 
 
 def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END) -> tuple[str, np.ndarray]:
@@ -31,7 +33,6 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal ids are ordered by a hash of the text.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
     path = vocabulary or subwords.default_path()
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
@@ -65,9 +66,8 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield row()
 
     head = f"part int, block int, before long, n_ids long, ids array<{kind}>, lens array<int>"
-    staged = settle(rows.mapInArrow(blocks, f"{head}, raw binary"), "ids")
-
-    arrow_rows(spark, 8)  # rows are blocks of half a megabyte from here on
+    with arrow_batches(spark, 256):
+        staged = settle(rows.mapInArrow(blocks, f"{head}, raw binary"), "ids")
 
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
@@ -78,8 +78,9 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["token", "n"])
 
     counts = np.zeros(1 << 16, dtype=np.int64)
-    for r in staged.select("raw").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
-        counts[r.token] = r.n  # at most 65536 rows
+    with arrow_batches(spark, BATCH):
+        for r in staged.select("raw").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+            counts[r.token] = r.n  # at most 65536 rows
     shared = spark.sparkContext.broadcast(counts)
 
     def code(batches):
@@ -90,13 +91,13 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns[:6], *[pa.array(c, pa.binary()) for c in cols]], names=[*b.schema.names[:6], "words", "points", "sums"])
 
     out = new_path(spark, "tokens")
-    staged.mapInArrow(code, f"{head}, words binary, points binary, sums binary").write.option("compression", "uncompressed").parquet(out)
+    with arrow_batches(spark, BATCH):
+        staged.mapInArrow(code, f"{head}, words binary, points binary, sums binary").write.option("compression", "uncompressed").parquet(out)
     return out, counts
 
 
 def read_files(spark: SparkSession, path: str, counts: np.ndarray) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    arrow_rows(spark, 8)
     files = spark.read.parquet(path)
     kind = dict(files.dtypes)["ids"][len("array<") : -1]
     shared = spark.sparkContext.broadcast(counts)
@@ -114,7 +115,8 @@ def read_files(spark: SparkSession, path: str, counts: np.ndarray) -> DataFrame:
                 start = ends - lens + col["before"][i].as_py()
                 yield pa.RecordBatch.from_arrays([col["ids"].slice(i, 1).flatten(), pa.array([col["part"][i].as_py()] * len(lens), pa.int32()), pa.array(start), pa.array(lens), pa.array(crc, pa.int64())], names=["id", "part", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.mapInArrow(documents, f"id {kind}, part int, start long, n_tokens long, ids_crc32 long")
+    with arrow_batches(spark, BATCH):
+        rows = settle(files.mapInArrow(documents, f"id {kind}, part int, start long, n_tokens long, ids_crc32 long"), "decoded")
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a file part
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", base.alias("base"))

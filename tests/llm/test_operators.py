@@ -323,9 +323,9 @@ def test_added_tokens_are_the_library_s(spark):
     for i, ids in enumerate(want):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()))
         start += len(ids) + 1
-    rows = frame.select(F.col("text").alias("t"))
-    counts = lm.token_counts(lm.word_counts(frame), len(texts), subwords.default_path(), rows)
-    assert np.array_equal(counts, np.bincount([i for ids in want for i in [*ids, 2]], minlength=1 << 16))
+    rows = frame.select("doc_id", F.lit(True).alias("train"), F.col("text").alias("t")).withColumnRenamed("doc_id", "id")
+    coded = lm.encode(rows, lm.word_counts(rows, "t"), len(texts), subwords.default_path())
+    assert np.array_equal(lm.token_counts(coded.select("ids")), np.bincount([i for ids in want for i in [*ids, 2]], minlength=1 << 16))
 
 
 def test_token_files(spark, docs, texts):
@@ -380,65 +380,123 @@ def test_lm_scores(spark, docs, texts):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
-def test_attention_gradients_and_normalisation():
-    rng = np.random.default_rng(4)
-    w = lm.start_weights(np.full(lm.CLASSES, -math.log(lm.CLASSES)))
-    x, y = rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
-    mask = np.ones((3, lm.WINDOW), dtype=np.float32)
-    loss = lambda: -lm.log_probability(w, x, y).astype(float).mean()
-    g = lm.gradients(w, x, y, mask)
-    for k in lm.SHAPES:
-        at = tuple(int(rng.integers(0, s)) for s in lm.SHAPES[k]) if k != "emb" else (int(x[0, 0]), 1)
-        kept, step = w[k][at], 1e-2
-        w[k][at] = kept + step
-        up = loss()
-        w[k][at] = kept - step
-        assert g[k][at] == pytest.approx((up - loss()) / (2 * step), abs=2e-3), k
-        w[k][at] = kept
-    whole = sum(np.exp(lm.log_probability(w, x, np.full_like(y, c))) for c in range(lm.CLASSES))
-    assert whole == pytest.approx(np.ones((3, lm.WINDOW)), rel=1e-4)
-    changed = x.copy()
+def small_model(n=300, seed=4):
+    m = lm.Model(np.arange(n, 0, -1) * 3, np.arange(n) % 2)
+    rng = np.random.default_rng(seed)
+    for k, a in m.weights.items():
+        m.weights[k] = (a + rng.standard_normal(a.shape) * 0.2).astype(np.float32)
+    return m, rng
+
+
+def plain_score(m, ids):
+    """log10 probability of a document, token by token in double precision."""
+    w, n, total = {k: a.astype(float) for k, a in m.weights.items()}, len(ids), 0.0
+    for t in range(n):
+        lo = t // lm.STEP * lm.STEP - lm.LEAD
+        x = [len(m.group) if j <= 0 else ids[j - 1] for j in range(lo, t + 1)]
+        e = np.array([w["emb"][i] + w["pos"][p] for p, i in enumerate(x)])
+        a = np.exp(np.clip(e[-1] @ w["wa"] @ e.T, -30, 30))
+        h = e[-1] + (a / a.sum()) @ e @ w["wo"]
+        g, s = m.group[ids[t]], m.member[ids[t]]
+        pg = h @ w["wg"] + w["bg"][0]
+        ps = (h * w["gate"][g]) @ w["ws"] + w["bs"][g]
+        total += pg[g] - np.log(np.exp(pg).sum()) + ps[s] - np.log(np.exp(ps).sum()) + m.inside[ids[t]]
+    return total / math.log(10)
+
+
+def test_scores_are_the_plain_ones():
+    m, rng = small_model()
+    docs = [rng.integers(0, 300, n).astype("<u2") for n in (1, 2, 31, 32, 33, 55, 56, 57, 81, 400, 5000)]
+    got = m.score(docs)
+    assert got == pytest.approx([plain_score(m, d.tolist()) for d in docs], abs=1e-4, rel=1e-6)
+    assert np.array_equal(got[::-1], m.score(docs[::-1])) and m.score([docs[3]])[0] == got[3]
+
+
+def test_probabilities_add_up_and_see_no_future():
+    m, rng = small_model()
+    x = rng.integers(0, 300, (2, lm.WINDOW)).astype("<u2")
+    whole = 0
+    for t in range(300):
+        y = np.full(2 * lm.WINDOW, t)
+        whole = whole + np.exp(lm.forward(m.weights, x, m.group[y], m.member[y])[0] + m.inside[y])
+    assert whole == pytest.approx(np.ones(2 * lm.WINDOW), rel=1e-4)
+    changed, y = x.copy(), np.zeros(2 * lm.WINDOW, dtype=int)
     changed[:, 20:] = 0
-    assert np.allclose(lm.forward(w, x)[0].reshape(3, lm.WINDOW, -1)[:, :20], lm.forward(w, changed)[0].reshape(3, lm.WINDOW, -1)[:, :20])
-
-
-def test_windows_score_each_token_once():
-    for n in (1, 31, 32, 33, 56, 57, 500):
-        ids = np.arange(n)
-        _, y, fresh = lm.windows(ids, np.zeros(n, dtype=np.int64))
-        assert sorted(y[fresh].tolist()) == list(range(n))
+    a, b = (lm.forward(m.weights, z, y, y)[0].reshape(2, -1)[:, :20] for z in (x, changed))
+    assert np.allclose(a, b)
+
+
+def test_attention_gradients():
+    m, rng = small_model()
+    x, y = rng.integers(0, 300, (3, lm.WINDOW)).astype("<u2"), rng.integers(0, 300, 3 * lm.WINDOW)
+    w = {k: a.astype(float) for k, a in m.weights.items()}
+    loss = lambda: -lm.forward(w, x, m.group[y], m.member[y])[0].mean()
+    g, met = lm.gradients(m.weights, x, m.group[y], m.member[y], np.ones((3, lm.WINDOW)))
+    for k in w:
+        for _ in range(4):
+            at = tuple(int(rng.integers(0, s)) for s in g[k].shape)
+            place = (met[at[0]], at[1]) if k == "emb" else at
+            kept = w[k][place]
+            w[k][place] = kept + 1e-4
+            up = loss()
+            w[k][place] = kept - 1e-4
+            assert g[k][at] == pytest.approx((up - loss()) / 2e-4, abs=2e-4), k
+            w[k][place] = kept
 
 
 def test_attention_learns_from_context():
     rng = np.random.default_rng(0)
-    counts = np.full(2000, 10)
-    doc = lambda: np.cumsum(rng.integers(1, 3, 400)) % 90
-    m = lm.Model(counts, np.zeros(2000, dtype=np.int64))
+    doc = lambda: (np.cumsum(rng.integers(1, 3, 400)) % 90).astype("<u2")
+    m = lm.Model(np.full(2000, 10), np.zeros(2000, dtype=np.int64))
     before = m.score([doc() for _ in range(5)]).sum()
-    m.fit([doc() for _ in range(60)])
+    m.fit([(doc(), 2000) for _ in range(60)], 0.02)
     assert m.score([doc() for _ in range(5)]).sum() > before * 0.8
 
 
+def frame_of(spark, texts):
+    return lm.encode(spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "id long, train boolean, t string"), spark.createDataFrame([], "word binary, c long"), len(texts), subwords.default_path())
+
+
+def test_units_hold_every_distinct_text_once(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 8)
+    texts = ["a long walk by the river and over the hills " * 3, "seven green bottles", "", "seven green bottles"]
+    pieces = [p for r in lm.training_units(frame_of(spark, texts), 100).collect() for p in r.pieces]
+    want = set()
+    for t in set(texts):
+        ids = [*subwords.memo(subwords.default_path()).tokenizer.encode(t, add_special_tokens=False).ids, lm.END]
+        want |= {tuple(ids[max(0, at - 1) : at + 8]) for at in range(0, len(ids), 8)}
+    assert len(pieces) == len(want) and {tuple(np.frombuffer(p, "<u2", offset=20).tolist()) for p in pieces} == want
+
+
 def test_every_training_text_moves_the_weights(spark):
-    path = subwords.default_path()
-    both = ["a long walk by the river", "seven green bottles on a wall"]
-    counts = np.ones(1 << 16, dtype=np.int64)
-    start = lm.train_model(spark.createDataFrame([], "text string"), counts, path).weights["emb"]
-    for t in both:  # a single text is trained on too, however it hashes
-        got = lm.train_model(spark.createDataFrame([(t,)], "text string"), counts, path).weights["emb"]
-        moved = set(np.flatnonzero((got != start).any(axis=1)).tolist())
-        ids = subwords.memo(path).tokenizer.encode(t, add_special_tokens=False).ids
-        assert moved == {*ids, len(got) - 1}, t
-    shared = lm.train_model(spark.createDataFrame([(t,) for t in both], "text string").repartition(2), counts, path).weights["emb"]
-    assert {i for t in both for i in subwords.memo(path).tokenizer.encode(t, add_special_tokens=False).ids} <= set(np.flatnonzero((shared != start).any(axis=1)).tolist())
+    path, counts = subwords.default_path(), np.ones(1 << 16, dtype=np.int64)
+    texts = ["a long walk by the river", "seven green bottles on a wall"]
+    start = lm.train_model(lm.training_units(frame_of(spark, []), 0), counts, path).weights["emb"]
+    got = lm.train_model(lm.training_units(frame_of(spark, texts), 20), counts, path).weights["emb"]
+    moved = set(np.flatnonzero((got != start).any(axis=1)).tolist())
+    assert moved == {i for t in texts for i in subwords.memo(path).tokenizer.encode(t, add_special_tokens=False).ids} | {len(got) - 1}
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_the_unigram(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "UNIT", 20_000)  # several units a round
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    one, many = (lm.score(d, learn).toPandas().set_index("doc_id").sort_index() for d in (docs.coalesce(1), docs.repartition(7)))
+    assert (one["score"] == many["score"]).all()
+    memo = subwords.memo(subwords.default_path())
+    ids = {r.doc_id: np.frombuffer(memo.ids(r.text), "<u2") for r in docs.collect()}
+    held = one.index[one["held_out"]]
+    counts = np.bincount(np.concatenate([ids[d] for d in one.index[~one["held_out"]]]), minlength=memo.tokenizer.get_vocab_size()) + 0.5
+    unigram = sum(np.log10(counts / counts.sum())[ids[d]].sum() for d in held)
+    assert one.loc[held, "score"].sum() > unigram
 
 
 def test_context_is_told_apart_by_subword():
     m = lm.Model(np.arange(2000, 0, -1), np.zeros(2000, dtype=np.int64))
     a, b = lm.SINGLE + 1000, lm.SINGLE + 1001
-    assert m.classes[a] == m.classes[b]
-    m.fit([np.array([a, 1] * 20), np.array([b, 2] * 20)] * 2000)
-    right, wrong = m.score([np.array([a, 1] * 8), np.array([b, 2] * 8)]), m.score([np.array([a, 2] * 8), np.array([b, 1] * 8)])
+    assert (m.group[a], m.member[a]) == (m.group[b], m.member[b])
+    ids = lambda *x: np.array(x * 8, dtype="<u2")
+    m.fit([(ids(a, 1), 2000), (ids(b, 2), 2000)] * 4000, 0.02)
+    right, wrong = m.score([ids(a, 1), ids(b, 2)]), m.score([ids(a, 2), ids(b, 1)])
     assert (right > wrong + 5).all()
 
 
