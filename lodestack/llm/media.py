@@ -1,16 +1,20 @@
 """Media columns: content-defined chunks of 8-bit payloads, deduplicated and reassembled.
 
 A payload is cut where a rolling gear hash of its last 32 bytes has ``MASK_BITS`` zero bits (within
-least and greatest chunk sizes), so shared passages give shared chunks.  Chunks are named by
-SHA-256.  The store has two Parquet tables in the shared folder:
+least and greatest chunk sizes), so shared passages give shared chunks.  A chunk is stored as a
+frame: its length, its SHA-256 and its samples.  The store has two Parquet tables in the shared folder:
 
-* ``media``: one row per input row with its ordered chunk list; chunks seen nowhere else are
-  held inline, all others are references;
-* ``chunks``: each chunk that may occur more than once, exactly once, found by a join of digests.
+* ``media``: one row per input row with its ordered list of entries; chunks seen nowhere else are
+  frames in the list, all others are references (an empty frame with the chunk's digest);
+* ``chunks``: the frame of each chunk that may occur more than once, exactly once, found by a join
+  of digests.
+
+The stored form of a medium is its frames in order, wherever they lie.
 
 Which digests repeat is counted over the whole corpus with Spark and handed to the writing tasks
-as a bit map of fixed size.  A false positive only moves a chunk into the shared table.  So bytes
-cross the network only for repeated content, however large the corpus is.
+as a bit map.  A false positive only moves a chunk into the shared table.  The map has 16 bits for
+each repeated digest up to MOST_BITS (16 MB); a corpus with far more repeated chunks fills it, which
+moves chunks that need not move, each once, and changes no result.
 """
 
 from __future__ import annotations
@@ -18,19 +22,21 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.scratch import arrow_rows, new_path
+from lodestack.scratch import arrow_batches, new_path, settle
 
 UNIT = 576
 MASK_BITS, LEAST, GREATEST = 11, 512, 8192
-#: Bits of the map of repeated digests: 2 MB, whatever the input.
-MAP_BITS = 1 << 24
+#: Least and most bits of the map of repeated digests; the most are 16 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Bytes of a frame before its samples.
+HEAD = 36
 GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -60,24 +66,37 @@ def cut(payload: bytes) -> list[bytes]:
     return out
 
 
-def frame(chunk: bytes) -> bytes:
+def frame(chunk: bytes, digest: bytes) -> bytes:
     """A chunk's stored form: length, digest, samples."""
-    return struct.pack(">I", len(chunk)) + hashlib.sha256(chunk).digest() + chunk
+    return struct.pack(">I", len(chunk)) + digest + chunk
+
+
+def entries(body: bytes) -> Iterator[tuple[bytes, bytes | None]]:
+    """(digest, frame) of every entry of a medium's list; the frame of a reference is None."""
+    at = 0
+    while at < len(body):
+        size, digest = struct.unpack(">I", body[at : at + 4])[0], body[at + 4 : at + HEAD]
+        yield digest, body[at : at + HEAD + size] if size else None
+        at += HEAD + size
 
 
 def repeated_map(docs: DataFrame, text_col: str) -> bytes:
-    """Bit map of the digests that occur more than once in the corpus."""
+    """Bit map of the digests that occur more than once in the corpus; its length is a power of 2."""
     def run(batches):
         for b in batches:
             out = [hashlib.sha256(c).digest()[:16] for t in b.column(0).to_pylist() for c in cut(payload_of(t)[0])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["d"])
 
     digests = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "d binary")
-    twice = digests.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1")
-    bit = F.pmod(F.conv(F.hex(F.substring("d", 5, 4)), 16, 10).cast("long"), F.lit(MAP_BITS))
+    with arrow_batches(docs.sparkSession, 256):
+        twice = settle(digests.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * twice.count()):
+        bits *= 2
+    bit = F.pmod(F.conv(F.hex(F.substring("d", 5, 4)), 16, 10).cast("long"), F.lit(bits))
     words = twice.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS int))")).alias("v"))
-    out = np.zeros(MAP_BITS // 32, dtype="<u4")
-    got = words.toPandas()  # at most MAP_BITS / 32 rows
+    out = np.zeros(bits // 32, dtype="<u4")
+    got = words.toPandas()  # at most MOST_BITS / 32 rows
     out[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).astype(np.uint32)
     return out.tobytes()
 
@@ -89,131 +108,114 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     rows are told apart by the digest of their chunk list.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
     bits = spark.sparkContext.broadcast(repeated_map(docs, text_col))
 
     def is_shared(digest: bytes) -> bool:
-        i = int.from_bytes(digest[4:8], "big") % MAP_BITS
+        i = int.from_bytes(digest[4:8], "big") % (8 * len(bits.value))
         return bool(bits.value[i >> 3] >> (i & 7) & 1)
 
-    names = ["id", "n_bytes", "recipe", "media_key", "inline"]
-
     def media(batches):
         for b in batches:
-            ids, rows = b.column(0), []
+            sizes, bodies = [], []
             for t in b.column(1).to_pylist():
                 payload, n = payload_of(t)
-                recipe, inline = [], []
-                for c in cut(payload):
-                    d = hashlib.sha256(c).digest()
-                    recipe.append(d + struct.pack(">I", len(c)))
-                    if not is_shared(d):
-                        inline.append(c)
-                listed = b"".join(recipe)
-                rows.append((n, listed, hashlib.sha256(listed).digest(), b"".join(inline)))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+                digests = [(hashlib.sha256(c).digest(), c) for c in cut(payload)]
+                bodies.append(b"".join([frame(b"" if is_shared(d) else c, d) for d, c in digests]))
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["id", "n_bytes", "body"])
 
     def shared(batches):
-        packer, seen = zstandard.ZstdCompressor(level=1), set()
+        seen = set()
         for b in batches:
             out = {}
             for t in b.column(0).to_pylist():
                 for c in cut(payload_of(t)[0]):
                     d = hashlib.sha256(c).digest()
                     if is_shared(d) and d not in seen:
-                        out[d] = packer.compress(c)
+                        out[d] = frame(c, d)
                         if len(seen) < 1 << 16:  # spares repeats inside a task; the rest fold in the shuffle
                             seen.add(d)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["digest", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["digest", "frame"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     at_media, at_chunks = new_path(spark, "media"), new_path(spark, "chunks")
-    rows.mapInArrow(media, f"id {kind}, n_bytes long, recipe binary, media_key binary, inline binary").write.option("compression", "zstd").parquet(at_media)
-    once = rows.select("t").mapInArrow(shared, "digest binary, packed binary").groupBy("digest").agg(F.min("packed").alias("packed"))
-    once.write.option("compression", "uncompressed").parquet(at_chunks)
+    with arrow_batches(spark, 256):
+        rows.mapInArrow(media, f"id {kind}, n_bytes long, body binary").write.option("compression", "zstd").parquet(at_media)
+        once = rows.select("t").mapInArrow(shared, "digest binary, frame binary").groupBy("digest").agg(F.min("frame").alias("frame"))
+        once.write.option("compression", "zstd").parquet(at_chunks)
     return at_media, at_chunks
 
 
-def _measure(recipe: bytes, inline: bytes, refs: dict[bytes, bytes] | None) -> tuple:
-    """Reassemble one payload, verify every chunk, and compute its features."""
-    sha, media, at, size = hashlib.sha256(), hashlib.sha256(), 0, 0
+def _measure(body: bytes, refs: dict[bytes, bytes]) -> tuple:
+    """Reassemble one payload, verify every chunk, and compute its features.
+
+    ``refs`` has the stored frames of the chunks that ``body`` only refers to."""
+    sha, media, stored, size = hashlib.sha256(), hashlib.sha256(), 0, 0
     hist, tail, n = np.zeros(256, dtype=np.int64), b"", 0
-    unpack = zstandard.ZstdDecompressor()
-    for i in range(0, len(recipe), 36):
-        d, length = recipe[i : i + 32], struct.unpack(">I", recipe[i + 32 : i + 36])[0]
-        if refs is not None and d in refs:
-            c = unpack.decompress(refs[d])
-        else:
-            c = inline[at : at + length]
-            at += length
-        if hashlib.sha256(c).digest() != d:
+    for digest, held in entries(body):
+        held = refs[digest] if held is None else held
+        c = held[HEAD:]
+        if held[:HEAD] != struct.pack(">I", len(c)) + digest or hashlib.sha256(c).digest() != digest:
             raise ValueError("a stored chunk does not match its digest")
         sha.update(c)
-        media.update(recipe[i + 32 : i + 36] + d + c)
+        media.update(held)
         hist += np.bincount(np.frombuffer(c, dtype=np.uint8), minlength=256)
-        size, n, tail = size + len(c), n + 1, (tail + c)[-32:]
+        size, stored, n, tail = size + len(c), stored + len(held), n + 1, (tail + c)[-32:]
     share = hist[hist > 0] / size
     mean = float((hist * np.arange(256)).sum() / size)
     feature = f"chunks={n};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};peak={int(hist.argmax())}"
-    return size, sha.hexdigest(), zlib.crc32(tail), size + 36 * n, media.hexdigest(), feature
+    return size, sha.hexdigest(), zlib.crc32(tail), stored, media.hexdigest(), feature
 
 
 OUT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _batch(keys: list, measured: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = zip(*measured, strict=True) if measured else [[]] * 6
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*names, *[x.split()[0] for x in OUT.split(", ")]])
+
+
 def read_back(spark, at_media: str, at_chunks: str) -> DataFrame:
     """One row per stored row: id, n_bytes and what the reassembled, verified samples show.
 
-    Rows with all chunks inline are measured where they are read.  For the others, each distinct
-    chunk list is assembled once: its references are joined with the chunk table, gathered by list
-    and measured; copies share the result.
+    Media without references are measured where they are read.  Of the others, each distinct list
+    is assembled once: its references are joined with the chunk table, gathered by list and
+    measured; copies share the result.
     """
-    arrow_rows(spark, 256)
     media, chunks = spark.read.parquet(at_media), spark.read.parquet(at_chunks)
     kind = dict(media.dtypes)["id"]
-    total = F.octet_length("recipe") / 36
-
-    def lengths(recipe):
-        at = F.sequence(F.lit(0), (total - 1).cast("int"))
-        return F.aggregate(F.transform(at, lambda i: F.conv(F.hex(F.substring(recipe, i * 36 + 33, 4)), 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-
-    media = media.withColumn("whole", lengths(F.col("recipe")) == F.octet_length("inline"))
 
-    def plain(batches):
+    def first(batches):  # measures what needs no other table, and lists what the rest refers to
         for b in batches:
-            got = [_measure(r, x, None) for r, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            cols = list(zip(*got, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "n_bytes", *[x.split()[0] for x in OUT.split(", ")]])
-
-    alone = media.filter("whole").select("id", "n_bytes", "recipe", "inline").mapInArrow(plain, f"id {kind}, n_bytes long, {OUT}")
-
-    part = media.filter(~F.col("whole"))
-    lists = part.groupBy("media_key").agg(F.min("recipe").alias("recipe"), F.min("inline").alias("inline"))
-    at_lists = new_path(spark, "lists")
-    lists.write.option("compression", "zstd").parquet(at_lists)
-    lists = spark.read.parquet(at_lists)
-    step = F.transform(F.sequence(F.lit(0), (total - 1).cast("int")), lambda i: F.substring(F.col("recipe"), i * 36 + 1, 32))
-    refs = lists.select("media_key", F.explode(F.array_distinct(step)).alias("digest")).join(chunks, "digest")
-    held = refs.groupBy("media_key").agg(F.collect_list(F.struct("digest", "packed")).alias("refs"))
-    whole = lists.join(held, "media_key").select("media_key", "recipe", "inline", "refs")
+            got, keys, refs = [], [], []
+            for x in b.column(2).to_pylist():
+                wanted = list(dict.fromkeys(d for d, held in entries(x) if held is None))
+                got.append((None,) * 6 if wanted else _measure(x, {}))
+                keys.append(hashlib.md5(x).digest() if wanted else None)
+                refs.append(wanted or None)
+            body = [x if k else None for x, k in zip(b.column(2).to_pylist(), keys, strict=True)]
+            yield _batch([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(refs, pa.list_(pa.binary())), pa.array(body, pa.binary())], got, ["id", "n_bytes", "media_key", "wanted", "body"])
+
+    with arrow_batches(spark, 256):
+        rows = settle(media.select("id", "n_bytes", "body").mapInArrow(first, f"id {kind}, n_bytes long, media_key binary, wanted array<binary>, body binary, {OUT}"), "measured")
+    part = rows.filter(F.col("media_key").isNotNull())
+    lists = settle(part.groupBy("media_key").agg(F.min("body").alias("body"), F.min("wanted").alias("wanted")), "lists")
+    refs = lists.select("media_key", F.explode("wanted").alias("digest")).join(chunks, "digest")
+    held = refs.groupBy("media_key").agg(F.collect_list("frame").alias("frames"))
 
     def assembled(batches):
         for b in batches:
-            got = []
-            for r, x, refs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                got.append(_measure(r, x, {p["digest"]: p["packed"] for p in refs}))
-            cols = list(zip(*got, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["media_key", *[x.split()[0] for x in OUT.split(", ")]])
-
-    at_parts = new_path(spark, "measured")
-    whole.mapInArrow(assembled, f"media_key binary, {OUT}").write.parquet(at_parts)
-    shared = part.select("id", "n_bytes", "media_key").join(spark.read.parquet(at_parts), "media_key").drop("media_key")
-    return alone.unionByName(shared)
+            got = [_measure(x, {f[4:HEAD]: f for f in frames}) for x, frames in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield _batch([b.column(0)], got, ["media_key"])
+
+    with arrow_batches(spark, 64):
+        whole = lists.select("media_key", "body").join(held, "media_key").select("media_key", "body", "frames")
+        whole = settle(whole.mapInArrow(assembled, f"media_key binary, {OUT}"), "assembled")
+    shown = [x.split()[0] for x in OUT.split(", ")]
+    shared = part.select("id", "n_bytes", "media_key").join(whole, "media_key").select("id", "n_bytes", *shown)
+    return rows.filter(F.col("media_key").isNull()).select("id", "n_bytes", *shown).unionByName(shared)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -141,13 +142,35 @@ def test_mixing_follows_document_weights(spark):
 # op4
 
 
+def stored_form(body, chunks):
+    """The frames of one medium in order, read from the two Parquet tables by the format alone."""
+    out, at = b"", 0
+    while at < len(body):
+        size = int.from_bytes(body[at : at + 4], "big")
+        out += body[at : at + 36 + size] if size else chunks[body[at + 4 : at + 36]]
+        at += 36 + size
+    return out
+
+
 def test_media_round_trip(spark, docs, texts):
-    for r in media.media_columns(docs).collect():
-        payload, n = media.payload_of(texts[r.doc_id])
-        assert (r.n_bytes, r.payload_bytes) == (n, len(payload)) and len(payload) % 576 == 0
+    at_media, at_chunks = media.store(docs.unionByName(docs.limit(20)))
+    got = {r.id: r for r in media.read_back(spark, at_media, at_chunks).collect()}
+    chunks = {r.digest: r.frame for r in pq.read_table(at_chunks.removeprefix("file://")).to_pandas().itertuples()}
+    rows = list(pq.read_table(at_media.removeprefix("file://")).to_pandas().itertuples())
+    assert len(rows) == len(texts) + 20 and len(chunks) > 0
+    for row in rows:
+        payload, n = media.payload_of(texts[row.id])
+        stored, r = stored_form(row.body, chunks), got[row.id]
+        assert (r.n_bytes, r.payload_bytes) == (row.n_bytes, len(payload)) == (n, len(payload)) and len(payload) % 576 == 0
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
-        stored = b"".join(media.frame(c) for c in media.cut(payload))
-        assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        samples, at = b"", 0
+        while at < len(stored):
+            size = int.from_bytes(stored[at : at + 4], "big")
+            samples += stored[at + 36 : at + 36 + size]
+            assert hashlib.sha256(stored[at + 36 : at + 36 + size]).digest() == stored[at + 4 : at + 36]
+            at += 36 + size
+        assert samples == payload
 
 
 def test_chunks_of_shared_passages_are_stored_once(spark, tmp_path):
@@ -156,17 +179,19 @@ def test_chunks_of_shared_passages_are_stored_once(spark, tmp_path):
     rows = [(i, "".join(map(chr, rng.integers(97, 123, 3000))) + shared) for i in range(20)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     at_media, at_chunks = media.store(frame)
-    inline = spark.read.parquet(at_media).agg(F.sum(F.octet_length("inline"))).first()[0]
+    inline = spark.read.parquet(at_media).agg(F.sum(F.octet_length("body"))).first()[0]
     assert inline < 20 * 8000 and spark.read.parquet(at_chunks).count() < 60
     assert {r.payload_sha256 for r in media.read_back(spark, at_media, at_chunks).collect()} == {hashlib.sha256(media.payload_of(t)[0]).hexdigest() for _, t in rows}
 
 
 def test_damage_is_noticed():
     c = b"x" * 600
-    recipe = hashlib.sha256(c).digest() + (600).to_bytes(4, "big")
-    assert media._measure(recipe, c, None)[0] == 600
-    with pytest.raises(ValueError):
-        media._measure(recipe, b"y" * 600, None)
+    digest = hashlib.sha256(c).digest()
+    assert media._measure(media.frame(c, digest), {})[0] == 600
+    assert media._measure(media.frame(b"", digest), {digest: media.frame(c, digest)})[0] == 600
+    for wrong in (media.frame(b"y" * 600, digest), media.frame(b"", digest)):
+        with pytest.raises((ValueError, KeyError)):
+            media._measure(wrong, {})
 
 
 # op5
