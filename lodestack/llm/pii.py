@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
-Seeds are the identifiers that the base patterns find in every whole text.  The words in front of
-a seed are a lexical pattern.  Every other identifier-like token is a candidate and carries the
-patterns in front of it, which makes a graph of patterns and instances.  Rounds over that graph
-score a pattern by the share of its distinct instances that are believed, and an instance by the
-patterns that lead to it; instances that trusted patterns lead to are added as spans.  Base spans
-are never changed.
+Seeds are the identifiers that the base patterns find in every whole text, and strings in the form
+of a key or token.  The words around a seed are lexical patterns.  Every other identifier-like
+string, in one token or in groups of digits, is a candidate and carries the patterns around it,
+which makes a graph of patterns and instances.  A pattern's score is the share of its distinct
+instances that are believed; an instance is believed once the trusted patterns around it say so
+with enough certainty.  Rounds over the graph go on until no further instance is believed, so an
+instance found in one round can support a pattern in the next.  Believed instances are added as
+spans; seeds in the form of a key count as instances and become spans only that way.  Base spans are
+never changed.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestack.scratch import let, settle
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds of spans; secrets have no base pattern.
+ALL = (*KINDS, "secret")
 #: The base patterns, written without backtracking so that long runs cost linear time and no
 #: stack: possessive runs, and starts only where a run or the previous match ends.
 PATTERNS = {
@@ -28,17 +33,22 @@ HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: What a discovered instance of each kind must look like.
 SHAPES = {
     "email": r"^[^@\s]+@[^@\s]+$",
-    "ip": r"^(?=(?:[^0-9]*[0-9]){4})[0-9a-fA-F]*[.:][0-9a-fA-F.:]*$",
-    "card": r"^(?=(?:[^0-9]*[0-9]){12})[0-9][0-9Xx*-]*$",
-    "phone": r"^(?=(?:[^0-9]*[0-9]){7})[+(]?[0-9][0-9().-]*$",
+    "ip": r"^(?=(?:[^0-9]*[0-9]){4})(?=.*[.:].*[.:])[0-9a-fA-F.:]+$",
+    "card": r"^(?=(?:[^0-9]*[0-9]){12})[0-9][0-9Xx*\x20-]*$",
+    "phone": r"^(?=(?:[^0-9]*[0-9]){7})[+(]?[0-9][0-9().\x20-]*$",
+    "secret": r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=.-]{16,}$",
 }
-#: A pattern needs this many distinct seeds of a kind, and this score to be trusted.
+#: Seeds of secrets: 32 or more hexadecimal digits with letters among them, and public key prefixes.
+SECRET = r"^(?:(?=[^a-f]*[a-f])(?=[^0-9]*[0-9])[0-9a-f]{32,}|(?=[^A-F]*[A-F])(?=[^0-9]*[0-9])[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})$"
+#: Candidates: groups of digits with single spaces, and tokens with a digit or an at sign.
+GROUPED = r"(?:\G|(?<![\p{L}\p{N}@._+-]))[+(]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++"
+TOKEN = r"(?:\G|(?<![\p{L}\p{N}@._%+/*:=-]))(?=[\p{L}._%+/*:=-]*+[0-9@])[\p{L}\p{N}@._%+/*:=-]++"
+#: A pattern needs this many believed instances of a kind, and this score to be trusted.
 LEAST_SEEDS, TRUST = 3, 0.75
-#: An instance is accepted from this score on.
+#: An instance is believed from this certainty on.
 ACCEPT = 0.75
-ROUNDS = 3
-#: Code points in front of an instance from which its pattern words are read.
-REACH = 64
+#: Code points beside an instance in which its pattern words lie; longer words are no pattern words.
+REACH = 48
 BLOCK = 64
 
 
@@ -82,6 +92,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
+PLACES = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def _kind_spans(text: Column, rank: int, kind: str) -> Column:
@@ -105,45 +116,105 @@ def base_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), every).otherwise(F.array().cast(SPAN))
 
 
-def _left_words(text: Column, start: Column) -> Column:
-    """Up to two words in front of ``start``, lower-cased, digits as 0; '' if there is none."""
-    begin = F.greatest(start - REACH, F.lit(0).cast("long"))
-    before = F.substring(text, (begin + 1).cast("int"), (start - begin).cast("int"))
-    return F.regexp_replace(F.lower(F.regexp_extract(before, r"(?:\S+\s+)?\S+\s*$", 0)), "[0-9]+", "0")
+def _matches(text: Column, pattern: str) -> Column:
+    """All matches with their places: structs of start, end, value."""
+    def place(v: Column) -> Column:
+        lens = F.transform(v["m"], lambda m: F.length(m).cast("long"))
+        gaps = F.transform(F.slice(v["g"], F.lit(1), F.size(v["m"])), lambda g: F.length(g).cast("long"))
+        return F.zip_with(_starts(gaps, lens), v["m"], lambda at, m: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("value")))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    return F.coalesce(F.when(text.rlike(pattern), let(found, place)), F.array().cast(PLACES))
+
 
+def _trimmed(x: Column) -> Column:
+    """The span without punctuation at its ends and without brackets around it."""
+    boxed = x["value"].rlike(r"^\([^()]*\)[^\p{L}\p{N}]*$")
+    open_ = F.when(boxed, r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$").otherwise(r"^[^\p{L}\p{N}+(]+|[^\p{L}\p{N})]+$")
+    core = F.regexp_replace(x["value"], open_, F.lit(""))
+    lead = F.length(F.regexp_extract(x["value"], r"^[^\p{L}\p{N}+(]*", 0)) + F.when(boxed, 1).otherwise(0)
+    return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("value"))
 
-def candidate_tokens(text: Column) -> Column:
-    """Identifier-like tokens with their places: four digits or an at sign, at most 64 long."""
-    words = F.split(text, r"[\x20\x09-\x0D]", -1)
 
-    def pick(ws: Column) -> Column:
-        marked = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].rlike("@|[0-9].*[0-9].*[0-9].*[0-9]") & (F.length(x["w"]) <= 96))
+def candidates(text: Column, base: Column) -> Column:
+    """Identifier-like strings with their places: four digits or an at sign, in order.
 
-        def place(x: Column) -> Column:
-            head = F.length(F.array_join(F.slice(ws, F.lit(1), x["i"]), " ")).cast("long") + F.when(x["i"] > 0, 1).otherwise(0)
-            lead = F.length(F.regexp_extract(x["w"], r"^[^\p{L}\p{N}+(]*", 0))
-            core = F.regexp_replace(F.regexp_replace(x["w"], r"^[^\p{L}\p{N}+(]*", ""), r"[^\p{L}\p{N}]+$", "")
-            return F.struct((head + lead).alias("start"), (head + lead + F.length(core)).alias("end"), core.alias("value"))
+    A token inside of grouped digits is part of the group.  What touches a base span is no candidate
+    unless it has the form of a secret and holds the whole span."""
+    enough = lambda x: x["value"].rlike("[^@]@[^@]|[0-9][^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9]")
+    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-        return F.filter(F.transform(marked, place), lambda x: (F.length(x["value"]) > 0) & (F.length(x["value"]) <= 64))
+    def pick(v: Column) -> Column:
+        tokens = F.filter(v["t"], lambda t: ~F.exists(v["g"], lambda g: touch(t, g)))
+        rows = F.filter(F.transform(F.array_sort(F.concat(v["g"], tokens)), _trimmed), enough)
+        return F.filter(rows, lambda c: ~F.exists(base, lambda b: touch(b, c) & ~((c["start"] <= b["start"]) & (b["end"] <= c["end"]) & c["value"].rlike(SHAPES["secret"]))))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    return F.when(text.rlike("@|[0-9][^\\x20\\x09-\\x0D]*[0-9]"), let(words, pick)).otherwise(none)
+    none = F.array().cast(PLACES)
+    return F.when(text.rlike("[0-9@]"), let(F.struct(F.filter(_matches(text, GROUPED), enough).alias("g"), _matches(text, TOKEN).alias("t")), pick)).otherwise(none)
 
 
-def _patterns(left: Column) -> Column:
-    """The lexical patterns of a left context: its last word, and its last two."""
-    last = F.regexp_extract(left, r"(\S+)\s*$", 1)
-    two = F.regexp_replace(F.trim(left), r"\s+", " ")
-    return F.array_distinct(F.filter(F.array(last, two), lambda p: p.rlike(r"\p{L}")))
+def _patterns(text: Column, x: Column) -> Column:
+    """The lexical patterns around a span, lower-cased, the span as ``_``: the last word before it,
+    the last two, the word after it, and both sides.  Words are runs of letters; anything else
+    between them and the span is skipped."""
+    begin = F.greatest(x["start"] - REACH, F.lit(0).cast("long"))
+    before = F.lower(F.substring(text, (begin + 1).cast("int"), (x["start"] - begin).cast("int")))
+    after = F.lower(F.substring(text, (x["end"] + 1).cast("int"), F.lit(REACH)))
+    word = r"(?<![\p{L}])(\p{L}+)[^\p{L}]*$"
+    last = F.regexp_extract(before, word, 1)
+    two = F.regexp_extract(before, r"(?<![\p{L}])(\p{L}+[^\p{L}]+\p{L}+)[^\p{L}]*$", 1)
+    nxt = F.regexp_extract(after, r"^[^\p{L}]*(\p{L}+)(?![\p{L}])", 1)
+
+    def build(v: Column) -> Column:
+        some = lambda c, out: F.when(c != "", out)
+        every = F.array(some(v["last"], F.concat(v["last"], F.lit(" _"))), some(v["two"], F.concat(F.regexp_replace(v["two"], r"[^\p{L}]+", " "), F.lit(" _"))),
+                        some(v["next"], F.concat(F.lit("_ "), v["next"])), F.when((v["last"] != "") & (v["next"] != ""), F.concat(v["last"], F.lit(" _ "), v["next"])))
+        return F.array_compact(every)
+
+    return let(F.struct(last.alias("last"), two.alias("two"), nxt.alias("next")), build)
 
 
 def _list(spans: Column) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in ALL])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, seeds: int = LEAST_SEEDS) -> DataFrame:
+def believed(edges: DataFrame, seeds: int = LEAST_SEEDS) -> DataFrame:
+    """(value, kind): the instances that rounds over the graph come to believe.
+
+    ``edges`` has distinct (pattern, value, rank, seed): ``rank`` is the kind of a base seed, which is
+    believed from the start and never changes, ``seed`` the kind of a seed that has yet to be
+    confirmed.  A pattern is trusted for a kind when at least ``seeds`` of its instances are believed
+    or seeds of it and they are a share of at least TRUST of (instances + 1).  A candidate of the
+    kind's shape is believed when 1 - product(1 - share) over its trusted patterns reaches ACCEPT.
+    What is believed only grows, so the rounds end; ties between kinds go to the first.
+    """
+    kinds = range(len(ALL))
+    edges = settle(edges, "edges")
+    spark, known, count = edges.sparkSession, None, -1
+    while True:
+        rows = edges.withColumn("kind", F.coalesce("rank", "seed"))
+        if known is not None:
+            rows = rows.drop("kind").join(known, "value", "left").withColumn("kind", F.coalesce("rank", "kind", "seed"))
+        share = [(F.count_if(F.col("kind") == k)).alias(f"c{k}") for k in kinds]
+        trust = rows.groupBy("pattern").agg(F.count("*").alias("n"), *share)
+        trust = trust.select("pattern", *[F.when(F.col(f"c{k}") >= seeds, F.col(f"c{k}") / (F.col("n") + 1)).otherwise(0.0).alias(f"p{k}") for k in kinds])
+        trust = settle(trust.filter(F.greatest(*[F.col(f"p{k}") for k in kinds]) >= TRUST), "trusted")
+        doubt = [F.sum(F.when(F.col(f"p{k}") >= TRUST, F.log(1 - F.col(f"p{k}"))).otherwise(0.0)).alias(f"d{k}") for k in kinds]
+        found = edges.filter("rank is null").join(trust, "pattern").groupBy("value").agg(*doubt)
+        sure = [F.struct(F.when(F.col("value").rlike(SHAPES[ALL[k]]), 1 - F.exp(F.col(f"d{k}"))).otherwise(0.0).alias("a"), F.lit(-k).alias("k")) for k in kinds]
+        found = found.select("value", F.array_max(F.array(*sure)).alias("best")).filter(F.col("best.a") >= ACCEPT)
+        found = found.select("value", (-F.col("best.k")).alias("kind"))
+        if known is not None:  # the first kind that a value is believed for stays
+            found = known.unionByName(found.join(known, "value", "left_anti"))
+        known = settle(found, "believed")
+        now = known.count()
+        if now == count or now == 0:
+            return known if now else spark.createDataFrame([], "value string, kind int")
+        count = now
+
+
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = LEAST_SEEDS) -> DataFrame:
     """One row per input row: id, key (hash of the text), base and spans (arrays of structs).
 
     ``base`` has the base spans, ``spans`` the base and the discovered ones, each ordered by start
@@ -152,35 +223,18 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
-    rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("tokens", candidate_tokens(F.col("t")))
-    apart = F.filter("tokens", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    seeds_in = F.transform("base", lambda b: F.struct(b["start"], b["end"], b["value"], b["rank"], _left_words(F.col("t"), b["start"]).alias("left")))
-    free_in = F.transform(apart, lambda c: F.struct(c["start"], c["end"], c["value"], F.lit(None).cast("int").alias("rank"), _left_words(F.col("t"), c["start"]).alias("left")))
+    rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("free", candidates(F.col("t"), F.col("base")))
+    t, none = F.col("t"), F.lit(None).cast("int")
+    seeds_in = F.transform("base", lambda b: F.struct(b["start"], b["end"], b["value"], b["rank"], none.alias("seed"), _patterns(t, b).alias("patterns")))
+    secret = lambda c: F.when(c["value"].rlike(SECRET), F.lit(len(KINDS)))
+    free_in = F.transform("free", lambda c: F.struct(c["start"], c["end"], c["value"], none.alias("rank"), secret(c).alias("seed"), _patterns(t, c).alias("patterns")))
     rows = settle(rows.select("id", "key", "base", F.concat(seeds_in, free_in).alias("seen")), "spans")
 
-    seen = rows.select("id", "key", F.explode("seen").alias("s")).select("id", "key", "s.*")
-    edges = seen.select(F.explode(_patterns(F.col("left"))).alias("pattern"), F.lower("value").alias("value"), "rank")
-    edges = edges.groupBy("pattern", "value").agg(F.max("rank").alias("rank"))
-    kinds = range(len(KINDS))
-    rich = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("rank") == k).alias(f"n{k}") for k in kinds])
-    rich = settle(rich.filter((F.greatest(*[F.col(f"n{k}") for k in kinds]) >= seeds)).select("pattern", "n"), "patterns")
-    edges = settle(edges.join(rich, "pattern"), "edges")
-    belief = [F.when(F.col("rank") == k, 1.0).otherwise(0.0).alias(f"s{k}") for k in kinds]
-    scored = edges.select("pattern", "value", "rank", "n", *belief)
-    accepted = None
-    for _ in range(rounds):
-        trust = scored.groupBy("pattern").agg(*[(F.sum(f"s{k}") / (F.first("n") + 1)).alias(f"p{k}") for k in kinds])
-        trust = settle(trust.filter(F.greatest(*[F.col(f"p{k}") for k in kinds]) >= TRUST), "trusted")
-        doubt = [F.sum(F.when(F.col(f"p{k}") >= TRUST, F.log(1 - F.col(f"p{k}"))).otherwise(0.0)).alias(f"d{k}") for k in kinds]
-        found = edges.filter("rank is null").join(trust, "pattern").groupBy("value").agg(*doubt)
-        shaped = [F.when(F.col("value").rlike(SHAPES[KINDS[k]]), 1 - F.exp(F.col(f"d{k}"))).otherwise(0.0).alias(f"a{k}") for k in kinds]
-        accepted = settle(found.select("value", *shaped).filter(F.greatest(*[F.col(f"a{k}") for k in kinds]) >= ACCEPT), "instances")
-        scored = edges.join(accepted, "value", "left").select("pattern", "value", "rank", "n", *[F.when(F.col("rank") == k, 1.0).when(F.col("rank").isNull(), F.coalesce(f"a{k}", F.lit(0.0))).otherwise(0.0).alias(f"s{k}") for k in kinds])
-    if accepted is None:
-        return rows.select("id", "key", "base", F.col("base").alias("spans"))
-    best = F.array_max(F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.lit(-k).alias("k")) for k in kinds]))
-    named = accepted.select("value", (-best["k"]).alias("kind"))
-    more = seen.filter("rank is null").withColumn("v", F.lower("value")).join(named.withColumnRenamed("value", "v"), "v")
+    seen = rows.select("id", "key", F.explode("seen").alias("s")).select("id", "key", "s.*").withColumn("v", F.lower("value"))
+    edges = seen.select(F.explode("patterns").alias("pattern"), F.col("v").alias("value"), "rank", "seed")
+    edges = edges.groupBy("pattern", "value").agg(F.max("rank").alias("rank"), F.max("seed").alias("seed"))
+    named = believed(edges, seeds).withColumnRenamed("value", "v")
+    more = seen.filter("rank is null").join(named, "v")
     more = more.groupBy("id", "key").agg(F.collect_set(F.struct("start", F.col("kind").alias("rank"), "end", "value")).alias("more"))
     more = settle(more, "discovered")
     out = rows.alias("r").join(more.alias("m"), F.col("r.id").eqNullSafe(F.col("m.id")) & (F.col("r.key") == F.col("m.key")), "left")
@@ -200,7 +254,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``found`` replaced by ``<KIND>``; overlapping spans merge into
     the first.  Rows without spans keep their text, null included."""
-    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in ALL])
     spans = settle(found.filter(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["rank"])).alias("__spans")).distinct(), "redactions")
     text = F.col(text_col)
 

@@ -78,6 +78,64 @@ def test_pii_discovers_by_context_and_leaves_others_alone(spark):
     assert text[0] == "please write to mailbox: <EMAIL> today" and text[100].startswith("and the mailbox: <EMAIL> is") and text[102] == "nothing"
 
 
+def plain_beliefs(edges, least=pii.LEAST_SEEDS):
+    """{value: kind} by sets and loops; edges are (pattern, value, rank, seed)."""
+    of = defaultdict(dict)
+    for p, v, rank, seed in edges:
+        of[p][v] = (rank, seed)
+    known = {}
+    while True:
+        trust = {}
+        for p, vs in of.items():
+            for k in range(len(pii.ALL)):
+                c = sum(k == (r if r is not None else known.get(v, s)) for v, (r, s) in vs.items())
+                if c >= least and c / (len(vs) + 1) >= pii.TRUST:
+                    trust[p, k] = c / (len(vs) + 1)
+        new = {}
+        for v in {v for vs in of.values() for v, (r, _) in vs.items() if r is None} - set(known):
+            best = []
+            for k, name in enumerate(pii.ALL):
+                doubt = math.prod(1 - trust.get((p, k), 0) for p, vs in of.items() if v in vs)
+                if re.search(pii.SHAPES[name], v) and 1 - doubt >= pii.ACCEPT:
+                    best.append((1 - doubt, -k))
+            if best:
+                new[v] = -max(best)[1]
+        if not new:
+            return known
+        known |= new
+
+
+def test_beliefs_are_the_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    values = [f"+1 55501{i:05}" if i % 3 else f"{i:012}x" for i in range(120)]
+    edges = {}
+    for v in values:
+        rank = int(rng.integers(0, 4)) if rng.random() < 0.3 else 3 if rng.random() < 0.4 else None
+        seed = None if rank is not None or rng.random() < 0.8 else 4
+        for p in rng.choice(24, 3):
+            edges[f"word{p} _", v] = (rank, seed)
+    for i in range(8):  # a chain: each instance is what makes the next pattern trusted
+        for j in range(12):
+            edges[f"chain{i} _", f"+44 20 7946 {i + j:04}"] = (3 if i + j < 12 else None, None)
+    rows = [(p, v, *x) for (p, v), x in edges.items()]
+    got = {r.value: r.kind for r in pii.believed(spark.createDataFrame(rows, "pattern string, value string, rank int, seed int")).collect()}
+    want = plain_beliefs(rows)
+    assert got == want and sum(v.startswith("+44") for v in want) >= 6
+
+
+def test_pii_discovers_groups_of_digits_and_secrets(spark):
+    rows = [(i, f"You can call our office: +44 20 7946 {1000 + i} (daily), or write.") for i in range(12)]
+    rows += [(50 + i, f"the api token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" of host {i}") for i in range(12)]
+    hidden = [(100, "You can call our OFFICE: (555) 123-4567 today"), (101, "Call our office (020 7946 0958)."), (102, "api token = 'Zx81-abcDEF_0012345678'"), (103, "a total of 4242 0001 apples"), (104, "commit " + "ab12" * 10)]
+    frame = spark.createDataFrame(rows + hidden, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.digest(pii.extract(frame)).collect()}
+    text = dict(rows + hidden)
+    cut = lambda d: [(x.split(":")[0], text[d][int(x.split(":")[1]) : int(x.split(":")[2])]) for x in found[d].split(",") if x]
+    assert cut(100) == [("phone", "(555) 123-4567")] and cut(101) == [("phone", "020 7946 0958")]
+    assert cut(102) == [("secret", "Zx81-abcDEF_0012345678")] and cut(103) == cut(104) == []
+    assert all(cut(50 + i) == [("secret", hashlib.sha1(str(i).encode()).hexdigest())] for i in range(12))
+
+
 # op2
 
 
