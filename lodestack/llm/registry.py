@@ -31,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixture of all sources by weights 5, 2, 1 with at most three copies of a document."""
+    """Mixture of all sources by weights 5, 2, 1, documents by the weight of their length, with at most three copies of one."""
     out = mixing.mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -89,6 +89,8 @@ def queries() -> dict:
 OP3_SQL = """
 WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\x0C\\r]+')) AS BIGINT) AS size FROM documents),
+steps AS (
+  SELECT *, CASE WHEN size >= 1024 THEN 24 WHEN size >= 256 THEN 32 WHEN size >= 64 THEN 24 ELSE 16 END AS steps FROM base),
 per AS (SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 3 AS cap FROM per),
@@ -101,28 +103,42 @@ summed AS (SELECT *, sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS rest,
 targets AS (
   SELECT source, n, source_size,
     CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(total - rest AS DOUBLE) / CAST(open_w AS DOUBLE) * w END AS target FROM summed),
-plans AS (
-  SELECT *, CASE WHEN target >= source_size * 3 THEN 3 WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
-rests AS (SELECT *, greatest(target - whole * source_size, 0.0) AS left_words FROM plans),
-odds AS (SELECT *, least(greatest(CASE WHEN source_size > 0 THEN left_words / source_size ELSE 0.0 END, 1e-9), 1 - 1e-9) AS p FROM rests),
+weighted AS (SELECT source, steps, CAST(sum(size) AS BIGINT) AS words FROM steps GROUP BY source, steps HAVING sum(size) > 0),
+solved AS (
+  SELECT w.*, t.source_size, t.target,
+    (t.target - coalesce(sum(w.words) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3)
+      / CAST(sum(w.words * w.steps) OVER (d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM weighted w JOIN targets t ON w.source IS NOT DISTINCT FROM t.source WINDOW d AS (PARTITION BY w.source ORDER BY w.steps DESC)),
+limits AS (SELECT *, target >= source_size * 3 OR level * steps >= 3 AS full_up FROM solved),
+opened AS (SELECT source, arg_max(level, steps) AS level FROM limits WHERE NOT full_up GROUP BY source),
+expected AS (
+  SELECT l.* EXCLUDE (level), CASE WHEN full_up THEN 3.0::DOUBLE ELSE o.level * steps END AS copies
+  FROM limits l LEFT JOIN opened o ON l.source IS NOT DISTINCT FROM o.source),
+split AS (SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p FROM expected),
+rests AS (
+  SELECT source, greatest(any_value(target) - CAST(sum(whole * words) AS BIGINT), 0.0) AS left_words, CAST(sum(CASE WHEN p > 0 THEN words ELSE 0 END) AS BIGINT) AS pool
+  FROM split GROUP BY source),
+shares AS (SELECT source, left_words, least(greatest(CASE WHEN pool > 0 THEN left_words / pool ELSE 0.0 END, 1e-9), 1 - 1e-9) AS share FROM rests),
 drawn AS (
-  SELECT b.doc_id, b.size, o.* EXCLUDE (source), b.source,
+  SELECT b.doc_id, b.size, b.source, t.n, t.source_size, t.target, coalesce(s.whole, 0) AS whole, coalesce(s.p, 0) AS p0, coalesce(r.left_words, 0) AS left_words, coalesce(r.share, 0) AS share,
+    least(greatest(coalesce(s.p, 0), 1e-9), 1 - 1e-9) AS p,
     (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(b.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
-  FROM base b JOIN odds o ON b.source IS NOT DISTINCT FROM o.source),
-ranked AS (SELECT *, (u / (1 - u)) / (p / (1 - p) * 1.0) AS q, CAST(ceil(sqrt(n)) AS BIGINT) AS slots FROM drawn),
-spread AS (SELECT *, q * (p / (1 - p)) AS even FROM ranked),
+  FROM steps b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN split s ON b.source IS NOT DISTINCT FROM s.source AND b.steps = s.steps LEFT JOIN shares r ON b.source IS NOT DISTINCT FROM r.source),
+ranked AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q, CAST(ceil(sqrt(n)) AS BIGINT) AS slots, size > 0 AND left_words > 0 AND p0 > 0 AS can FROM drawn),
+spread AS (SELECT *, q * (share / (1 - share)) AS even FROM ranked),
 slotted AS (SELECT *, least(CAST(floor(even / (1 + even) * slots) AS BIGINT), slots - 1) AS slot FROM spread),
-slot_sums AS (SELECT source, slot, sum(size) AS words, any_value(left_words) AS left_words FROM slotted WHERE size > 0 AND left_words > 0 GROUP BY source, slot),
+slot_sums AS (SELECT source, slot, sum(size) AS words, any_value(left_words) AS left_words FROM slotted WHERE can GROUP BY source, slot),
 running AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY slot) AS upto FROM slot_sums),
 border AS (SELECT source, min(slot) AS border, min(upto) AS upto, arg_min(words, slot) AS words FROM running WHERE upto > left_words GROUP BY source),
 joined AS (SELECT s.*, b.border, b.upto - b.words AS before FROM slotted s LEFT JOIN border b ON s.source IS NOT DISTINCT FROM b.source),
-e0 AS (SELECT *, left_words - before AS room, false AS took FROM joined WHERE size > 0 AND left_words > 0 AND slot BETWEEN border AND border + 7),
+e0 AS (SELECT *, left_words - before AS room, false AS took FROM joined WHERE can AND slot BETWEEN border AND border + 7),
 {fills}
 nearest AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN took THEN NULL ELSE abs(size - room) END ASC NULLS LAST, q, doc_id, size) AS rn FROM e{n}),
 final_edge AS (SELECT * EXCLUDE (took), took OR (rn = 1 AND abs(size - room) < room) AS took FROM nearest),
 done AS (
-  SELECT doc_id, size, source_size, target, whole + CASE WHEN size > 0 AND left_words > 0 AND (border IS NULL OR slot < border) THEN 1 ELSE 0 END AS copies
-  FROM joined WHERE NOT coalesce(size > 0 AND left_words > 0 AND slot BETWEEN border AND border + 7, false)
+  SELECT doc_id, size, source_size, target, whole + CASE WHEN can AND (border IS NULL OR slot < border) THEN 1 ELSE 0 END AS copies
+  FROM joined WHERE NOT coalesce(can AND slot BETWEEN border AND border + 7, false)
   UNION ALL
   SELECT doc_id, size, source_size, target, whole + CASE WHEN took THEN 1 ELSE 0 END FROM final_edge)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM done

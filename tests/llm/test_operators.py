@@ -189,12 +189,39 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= 0.01 * want[s], s
 
 
+def plain_copies(words, target):
+    """Expected copies of each weight, from {weight: words}: the level by bisection."""
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(n * min(3, mid * w) for w, n in words.items()) < target else (lo, mid)
+    return {w: min(3, hi * w) for w in words}
+
+
+def test_mixing_draws_by_weight(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    weight = lambda n: 1.5 if n >= 1024 else 2.0 if n >= 256 else 1.5 if n >= 64 else 1.0
+    words, got, taken, target = defaultdict(Counter), defaultdict(list), Counter(), {}
+    for r in mixing.mix(docs).collect():
+        words[r.source][weight(r.size)] += r.size
+        got[r.source, weight(r.size)].append((r.size, r.copies))
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.002 * target[s]
+        for w, mean in plain_copies(words[s], target[s]).items():
+            rows = [x for x in got[s, w] if x[0]]
+            assert all(math.floor(mean + 1e-9) <= c <= math.ceil(mean - 1e-9) for _, c in rows), (s, w, mean)
+            spread = math.sqrt((mean % 1) * (1 - mean % 1) / len(rows))
+            assert abs(sum(c for _, c in rows) / len(rows) - mean) <= 5 * spread + 0.02, (s, w, mean)
+
+
 def test_mixing_follows_document_weights(spark):
     rows = [(i, "w " * 10, "a" if i % 2 else "b", 20.0 if i < 200 else 1.0) for i in range(2000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
     got = mixing.mix(frame, weight_col="weight", weights=(1, 3)).filter("source = 'b'").collect()
-    more = {r.doc_id for r in got if r.copies == 2}
-    assert len([d for d in more if d < 200]) / 100 > 0.85 and abs(sum(r.taken for r in got) - got[0].target) <= 10
+    assert all(r.copies == 3 for r in got if r.doc_id < 200) and {r.copies for r in got if r.doc_id >= 200} == {1, 2}
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 10
 
 
 # op4
