@@ -16,7 +16,7 @@ import regex
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers.
-MEMO = 600_000
+MEMO = 1_200_000
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Marks that often end a word and are a piece of their own.
 MARKS = frozenset(b"%c" % c for c in b",.;:!?")

@@ -505,7 +505,7 @@ def plain_score(m, ids):
         lo = t // lm.STEP * lm.STEP - lm.LEAD
         x = [len(m.group) if j <= 0 else ids[j - 1] for j in range(lo, t + 1)]
         e = np.array([w["emb"][i] + w["pos"][p] for p, i in enumerate(x)])
-        a = np.exp(np.clip(e[-1] @ w["wa"] @ e.T, -30, 30))
+        a = np.exp(np.minimum(e[-1] @ w["wa"] @ e.T, 60))
         h = e[-1] + (a / a.sum()) @ e @ w["wo"]
         g, s = m.group[ids[t]], m.member[ids[t]]
         pg = h @ w["wg"] + w["bg"][0]
