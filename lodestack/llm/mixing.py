@@ -123,6 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     named = plan.withColumnsRenamed({"source": "of", "steps": "at"})
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("of")) & (F.col("steps") == F.col("at")), "left").drop("of", "at", "steps")
     rows = rows.fillna(0, ["whole", "p", "left", "share"])  # sources without words
+    rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
     u, p = unit_hash(id_text(F.col("id")), seed), F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
     rows = rows.withColumn("q", (u / (1 - u)) / (p / (1 - p))).withColumn("slots", F.ceil(F.sqrt("n")).cast("long"))
     # ranks over the source's mean odds spread about as u does, which maps them into slots

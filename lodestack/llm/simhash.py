@@ -6,6 +6,11 @@ fingerprints that differ in at most ``radius`` positions leave at least one nonz
 to all differing positions, so they agree under the mask of that v: with 2^(radius+1) - 1 tables
 no pair within the radius is missed.
 
+Near copies of a text differ in far more of their five-word shingles than of their two-word ones, so
+``similar_rows`` takes fingerprints over distinct two-word shingles, in several families with
+hashes of their own, and links texts that are within the radius in any family.  How that relates to
+a similarity of 0.8 over five words is measured in the README.
+
 Only distinct fingerprints enter the tables.  Inside a bucket of at most ``BUCKET`` members the
 members are compared; a larger bucket is handled exactly and in linear size by single-bit flips:
 two fingerprints within two bits share a neighbour one flip away, and any two that share such a
@@ -16,10 +21,12 @@ gives the same components.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +34,8 @@ from lodestack.scratch import arrow_batches, settle
 
 BITS = 64
 RADIUS = 2
+#: Families of fingerprints for near copies, and words in their shingles.
+FAMILIES, PAIR = 8, 2
 #: Buckets up to this size are compared pair by pair; larger ones go by flips.
 BUCKET = 24
 
@@ -52,12 +61,33 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
     else:
         hashes = [xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle))))]
-    counts, total = np.zeros(BITS, dtype=np.int64), len(hashes)
-    for at in range(0, total, 1 << 16):  # bounded memory for very long texts
-        block = np.array(hashes[at : at + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return int(majority(np.array(hashes, dtype="<u8")))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
+        block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > total).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    bits = (2 * counts > len(hashes)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<u8")[0]
+
+
+def family_fingerprints(text: str | None, families: int = FAMILIES, shingle: int = PAIR) -> list[int]:
+    """One unsigned fingerprint a family over the distinct shingles of a whole text; 0 without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * families
+    shingles: Iterable[bytes] = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    h = np.array([*{xxhash.xxh64_intdigest(s, 42) for s in shingles}], dtype="<u8")
+    out = []
+    for f in range(families):
+        x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * f + 1)) % (1 << 64))
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(int(majority(x ^ (x >> np.uint64(32)))))
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -76,31 +106,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b), a < b, whose components are those of all pairs within ``radius`` bits.
+    """Links (family, a, b), a < b, whose components are those of all pairs within ``radius`` bits.
 
-    ``fps`` has one row for each distinct ``fp``.  Radius 1 or 2.
+    ``fps`` has one row for each distinct (``family``, ``fp``).  Radius 1 or 2.
     """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(covering_masks(radius))])
-    rows = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.k")
-    full = settle(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    held = settle(rows.join(full, ["t", "k"]), "members")
+    rows = fps.select("family", "fp", F.explode(tables).alias("x")).select("family", "fp", "x.t", "x.k")
+    at = ["family", "t", "k"]
+    full = settle(rows.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    held = settle(rows.join(full, at), "members")
     small = held.filter(F.col("n") <= BUCKET)
-    left, right = small.select("t", "k", F.col("fp").alias("a")), small.select("t", "k", F.col("fp").alias("b"))
+    left, right = small.select(*at, F.col("fp").alias("a")), small.select(*at, F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = left.join(right, ["t", "k"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    large = held.filter(F.col("n") > BUCKET).select("fp").distinct()
+    pairs = left.join(right, at).filter((F.col("a") < F.col("b")) & near).select("family", "a", "b")
+    large = held.filter(F.col("n") > BUCKET).select("family", "fp").distinct()
+    ones = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)]
     if radius == 2:
-        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
-        around = large.select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
+        flips = F.array(F.lit(0).cast("long"), *ones)
+        around = large.select("family", "fp", F.explode(flips).alias("f")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
         # at most 65 fingerprints surround any z, so these groups are bounded by construction
-        stars = around.groupBy("z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("bs")).filter(F.size("bs") > 1)
-        linked = stars.select("a", F.explode("bs").alias("b")).filter("a < b")
+        stars = around.groupBy("family", "z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("bs")).filter(F.size("bs") > 1)
+        linked = stars.select("family", "a", F.explode("bs").alias("b")).filter("a < b")
     else:
-        ones = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
-        out = large.select(F.col("fp").alias("b"), F.explode(ones).alias("f")).select("b", F.col("b").bitwiseXOR(F.col("f")).alias("a"))
-        linked = out.join(large.withColumnRenamed("fp", "a"), "a").filter("a < b").select("a", "b")
+        out = large.select("family", F.col("fp").alias("b"), F.explode(F.array(*ones)).alias("f")).select("family", "b", F.col("b").bitwiseXOR(F.col("f")).alias("a"))
+        linked = out.join(large.withColumnRenamed("fp", "a"), ["family", "a"]).filter("a < b").select("family", "a", "b")
     return pairs.unionByName(linked).distinct()
 
 
@@ -134,7 +165,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = fingerprints(docs, id_col, text_col, shingle)
     least = settle(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    labels = components(close_links(least.select("fp"), radius))
+    labels = components(close_links(least.select(F.lit(0).alias("family"), "fp"), radius))
     roots = settle(labels.join(least, F.col("node") == F.col("fp")).groupBy("label").agg(F.min("first").alias("root")), "roots")
     linked = labels.join(roots, "label").select("node", "root")
     named = least.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component_id"))
@@ -142,6 +173,53 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def similar_rows(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, families: int = FAMILIES, shingle: int = PAIR) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups) of near copies.
+
+    ``rows`` has one row per input row: the input columns in a struct ``doc`` and a number ``row`` that
+    is unique, however ids and texts repeat.  ``groups`` has ``row`` and ``group``, which is equal for rows
+    whose texts are linked, directly or through others, by fingerprints of one family that differ in
+    at most ``radius`` bits.  Null texts count as empty, and texts without
+    words are one group.
+    """
+    def run(batches):
+        at = TaskContext.get().partitionId() << 40
+        for b in batches:
+            fps = [family_fingerprints(t, families, shingle) for t in b.column(1).to_pylist()]
+            ids = pa.array(np.arange(at, at + len(fps)))
+            at += len(fps)
+            signed = np.array(fps, dtype=np.uint64).reshape(-1, families).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(list(signed), pa.list_(pa.int64()))], names=["row", "doc", "fps"])
+
+    src = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("t"))
+    with arrow_batches(docs.sparkSession, 256):
+        rows = settle(src.mapInArrow(run, f"row long, doc {src.schema['doc'].dataType.simpleString()}, fps array<long>"), "fingerprinted")
+    # a text is known by its first fingerprint; the other families link those
+    own = rows.select("row", F.col("fps")[0].alias("node"), "fps")
+    every = own.select("node", F.posexplode("fps").alias("family", "fp"))
+    least = settle(every.groupBy("family", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "distinct")
+    links = close_links(least.select("family", "fp"), radius)
+    first = least.select("family", "fp", "first")
+    named = links.join(first.select("family", F.col("fp").alias("a"), F.col("first").alias("x")), ["family", "a"]).join(first.select("family", F.col("fp").alias("b"), F.col("first").alias("y")), ["family", "b"]).select("x", "y")
+    # texts with one fingerprint in a family but several first ones are linked to the least of these
+    same = every.join(first.filter("family > 0").join(least.filter("first < last").select("family", "fp"), ["family", "fp"]), ["family", "fp"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
+    links = named.unionByName(same).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    labels = components(links)
+    groups = own.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("group"))
+    return rows.select("row", "doc"), settle(groups, "groups")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """One row of each group of near copies, with the columns of ``docs``: the one with the least id
+    (nulls last), the first of those.  Which rows go is joined by row number, so no group of copies
+    is gathered anywhere, and texts move at most once."""
+    rows, groups = similar_rows(docs, text_col, **options)
+    ranked = groups.join(rows.select("row", F.col(f"doc.{id_col}").alias("id")), "row")
+    kept = ranked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    gone = settle(groups.select("row").join(kept, "row", "left_anti"), "copies")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
+
+
 def hex64(fp):
     """16 lowercase hex digits of a bigint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -382,8 +382,8 @@ def test_large_buckets_and_chains(spark):
         chain.append(chain[-1] ^ (3 << (2 * i)))
     fps |= set(chain) | {int(x) for x in rng.integers(0, 1 << 62, 60)}
     named = dict(enumerate(sorted(fps)))
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    labels = {r.node & (1 << 64) - 1: r.label for r in simhash.components(simhash.close_links(spark.createDataFrame(signed, "fp long"))).collect()}
+    signed = [(0, f - (1 << 64) if f >> 63 else f) for f in fps]
+    labels = {r.node & (1 << 64) - 1: r.label for r in simhash.components(simhash.close_links(spark.createDataFrame(signed, "family int, fp long"))).collect()}
     want = plain_components(named)
     groups, mine = defaultdict(set), defaultdict(set)
     for i, f in named.items():
@@ -392,6 +392,61 @@ def test_large_buckets_and_chains(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def plain_families(text, families=simhash.FAMILIES):
+    ws, full = lower(text or "").encode().split(), (1 << 64) - 1
+    if not ws:
+        return [0] * families
+    hs = {xxhash.xxh64_intdigest(b" ".join(ws[i : i + 2]), 42) for i in range(max(1, len(ws) - 1))}
+    out = []
+    for f in range(families):
+        mixed = []
+        for h in hs:
+            x = h * (0x9E3779B97F4A7C15 * (2 * f + 1)) & full
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & full
+            mixed.append(x ^ x >> 32)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return out
+
+
+def plain_groups(prints):
+    """{key: least key of its group}: keys are linked within two bits in any family."""
+    parent = {k: k for k in prints}
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if any(bin(x ^ y).count("1") <= 2 for x, y in zip(prints[a], prints[b], strict=True)):
+                while parent[a] != a:
+                    a = parent[a]
+                while parent[b] != b:
+                    b = parent[b]
+                parent[max(a, b)] = min(a, b)
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+    return {k: root(k) for k in keys}
+
+
+def test_similar_rows_are_the_plain_groups(spark, docs, texts):
+    rng, more = np.random.default_rng(8), {}
+    for d, t in list(texts.items())[:60]:  # near copies by changed words
+        ws = t.split()
+        for at in rng.integers(0, len(ws), max(1, len(ws) // 60)):
+            ws[at] = "changed"
+        more[10_000 + d] = " ".join(ws)
+    every = texts | more
+    frame = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(5)
+    rows, groups = simhash.similar_rows(frame)
+    got = {r.doc_id: r.group for r in rows.join(groups, "row").select("doc.doc_id", "group").collect()}
+    want = plain_groups({d: plain_families(t) for d, t in every.items()})
+    mine, theirs = defaultdict(set), defaultdict(set)
+    for d in every:
+        mine[got[d]].add(d)
+        theirs[want[d]].add(d)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+    assert {r.doc_id for r in simhash.keep_one(frame).collect()} == {min(g) for g in theirs.values()}
+
+
 # op7
 
 
