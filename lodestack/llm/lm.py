@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ WINDOW, STEP = 24, 18
 #: Positions of a window that only give context.
 LEAD = WINDOW - STEP
 #: Windows of a document that are scored together, and windows in a gradient step.
-BATCH, STEP_BATCH = 128, 128
+BATCH, STEP_BATCH = 128, 192
 ROUNDS, RATE = 4, 0.03
 #: Tokens of a piece of a text, and mean tokens of a training unit.
 PIECE, UNIT = 1 << 15, 1 << 19
@@ -43,7 +44,7 @@ END = 2
 FREQUENT = 1 << 18
 F32 = np.float32
 _OPEN = np.tril(np.ones((WINDOW, WINDOW), dtype=F32))
-_ONES = np.ones(BATCH * WINDOW, dtype=F32)
+_ONES = np.ones(max(BATCH, STEP_BATCH) * WINDOW, dtype=F32)
 
 
 def shapes(vocabulary: int) -> dict[str, tuple[int, int]]:
@@ -126,7 +127,7 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndar
     out["pos"] = (_ONES[:n] @ de.reshape(n, -1)).reshape(WINDOW, DIM)
     order = np.argsort(x, axis=None, kind="stable")
     seen = x.reshape(-1)[order]
-    first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+    first = np.concatenate([[0], np.flatnonzero(seen[1:] != seen[:-1]) + 1])
     out["emb"] = np.add.reduceat(de[order], first, axis=0)
     return out, seen[first]
 
@@ -225,24 +226,31 @@ class Model:
         return sum(len(d) for d, _ in pieces)
 
 
+def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a batch of texts, A-Z lower-cased, as one binary array, and the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.binary())
+    own = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    return words.filter(some), own[some.to_numpy(zero_copy_only=False)]
+
+
 def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, c) over all rows: words of every whole text, without end marks."""
     def run(batches):
-        from collections import Counter
-
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        def out(held):
+            got = pa.chunked_array(held, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], names=["word", "c"])
 
+        held, size = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(subwords.words(t))
-            if len(held) > 600_000:
-                yield out()
-                held.clear()
+            held.append(flat_words(b.column(0))[0])
+            size += len(held[-1])
+            if size > 4_000_000:
+                yield out(held)
+                held, size = [], 0
         if held:
-            yield out()
+            yield out(held)
 
     return train.select(F.col(text_col).alias("t")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -268,37 +276,34 @@ def encode(docs: DataFrame, words: DataFrame, n_docs: int, path: str) -> DataFra
     ``base`` lacks the gain of the words in ``rare``, whose counts are not handed to the tasks."""
     spark = docs.sparkSession
     got = frequent_words(words).toPandas()  # at most FREQUENT words
-    known = dict(zip(map(bytes, got["word"]), np.log10(got["c"].to_numpy(dtype=float) + 0.5).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast(known)
-    unseen, ended = (float(np.log10(c + 0.5)) for c in (0, n_docs))
-    kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32()), "key": pa.binary(), "ids": pa.binary()}
+    shared = spark.sparkContext.broadcast((pa.array(map(bytes, got["word"]), pa.binary()), np.append(np.log10(got["c"].to_numpy(dtype=float) + 0.5), np.log10(0.5))))
+    ended = float(np.log10(n_docs + 0.5))
 
     def run(batches):
-        log_of, memo = shared.value.get, subwords.memo(path)
+        (known, logs), memo = shared.value, subwords.memo(path)
         mark = np.array([END], dtype="<u2").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            rows = []
-            for t in b.column(2).to_pylist():
-                ws = subwords.words(t)
-                ids = memo.ids(t, ws) + mark
-                logs = [*map(log_of, ws)]
-                rare: dict[bytes, int] = {}
-                base, hits = ended, int(n_docs > 0)
-                if None in logs:
-                    for w, x in zip(ws, logs, strict=True):
-                        if x is None:
-                            rare[w] = rare.get(w, 0) + 1
-                    logs = [x for x in logs if x is not None]
-                    base += (len(ws) - len(logs)) * unseen
-                rows.append((len(ws) + 1, hits + len(logs), base + sum(logs), list(rare), list(rare.values()), hashlib.md5(ids).digest(), ids))
-            cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            uids = pa.array(np.arange(uid, uid + len(rows)))
-            uid += len(rows)
-            yield pa.RecordBatch.from_arrays([uids, b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)]], names=["uid", "id", "train", *kinds])
+            n = b.num_rows
+            ids = [memo.ids(t) + mark for t in b.column(2).to_pylist()]
+            words, own = flat_words(b.column(2))
+            at = pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False)
+            base = ended + np.bincount(own, weights=logs[at], minlength=n)
+            hits = np.bincount(own[at >= 0], minlength=n) + int(n_docs > 0)
+            # the rest, each word of a text once with its number
+            rest = words.filter(pa.array(at < 0)).dictionary_encode()
+            pairs, times = np.unique(own[at < 0] * max(1, len(rest.dictionary)) + rest.indices.to_numpy(), return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // max(1, len(rest.dictionary)), minlength=n))])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest.dictionary.take(pa.array(pairs % max(1, len(rest.dictionary)))))
+            times = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32()))
+            sizes = np.bincount(own, minlength=n) + 1
+            keys = [hashlib.md5(x).digest() for x in ids]
+            columns = [np.arange(uid, uid + n), b.column(0), b.column(1), sizes, hits, base, rare, times, pa.array(keys, pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["uid", "id", "train", "n_tokens", "n_known", "base", "rare", "times", "key", "ids"])
+            uid += n
 
     kind = dict(docs.dtypes)["id"]
-    with arrow_batches(spark, 256):
+    with arrow_batches(spark, 512):
         return settle(docs.mapInArrow(run, f"uid long, id {kind}, train boolean, n_tokens long, n_known long, base double, rare array<binary>, times array<int>, key binary, ids binary"), "encoded")
 
 
