@@ -5,7 +5,7 @@ Less tolerant than a parser for malformed markup; callers can count pages withou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls as U
@@ -52,13 +52,56 @@ def canonical_link(html: Column) -> Column:
     return F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1)
 
 
+#: Names of meta elements that give the publisher, and names, properties and item properties that
+#: give places. Fixed values.
+PUBLISHER = ("publisher", "author", "citation_publisher")
+PLACES = ("citation_country", "country", "countries", "coverage", "dc.coverage", "dc:coverage", "dcterms.coverage", "dcterms:coverage", "dcterms.spatial", "dcterms:spatial", "geo.country")
+PLACE_ITEMS = ("country", "spatialcoverage", "contentlocation")
+
+
+def metas(html: Column) -> Column:
+    """All meta elements in order: structs of name, property, itemprop (lower-cased) and content."""
+    value = lambda tag, a: decode(F.regexp_replace(F.regexp_extract(tag, rf"""(?is)\b{a}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), r"""^["']|["']$""", ""))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    return F.transform(tags, lambda tag: F.struct(*[F.lower(value(tag, a)).alias(a) for a in ("name", "property", "itemprop")], _squeeze(value(tag, "content")).alias("content")))
+
+
 def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Title, headings and descriptive fields of every page as columns."""
+    """Title, headings, descriptive fields, publisher, places and DOI of every page as columns.
+
+    Places are split at commas and semicolons; the last citation DOI that is one counts."""
+    from lodestack.operators.metadata import clean_strings, normalize_doi
+
     h = F.col(html)
     heads = F.concat(element_texts(h, "h2"), element_texts(h, "h3"))
-    return pages.withColumns({
+    rows = pages.withColumn("_m", F.filter(metas(h), lambda m: m["content"] != ""))
+    first = lambda ok: F.coalesce(F.try_element_at(F.filter("_m", ok), F.lit(1))["content"], F.lit(""))
+    place = lambda m: m["name"].isin(*PLACES) | m["property"].isin(*PLACES) | m["itemprop"].isin(*PLACE_ITEMS)
+    dois = F.filter(F.transform(F.filter("_m", lambda m: m["name"] == "citation_doi"), lambda m: normalize_doi(m["content"])), lambda d: d.isNotNull())
+    return rows.withColumns({
         "title": element_text(h, "title"), "h1": element_text(h, "h1"), "headings": F.filter(heads, lambda x: x != ""),
-        "description": meta(h, "description"), "og_title": meta(h, "og:title"), "og_description": meta(h, "og:description"), "canonical": canonical_link(h)})
+        "description": first(lambda m: m["name"] == "description"), "og_title": first(lambda m: m["property"] == "og:title"), "og_description": first(lambda m: m["property"] == "og:description"),
+        "publisher": first(lambda m: m["name"].isin(*PUBLISHER)), "geography": clean_strings(F.flatten(F.transform(F.filter("_m", place), lambda m: F.split(m["content"], "[,;]")))),
+        "doi": F.coalesce(F.try_element_at(dois, F.lit(-1)), F.lit("")), "canonical": canonical_link(h)}).drop("_m")
+
+
+def scan_pages(spark: SparkSession, path: str, columns: tuple[str, ...] = ("page_id", "url", "html")) -> DataFrame:
+    """Crawled pages with only the columns that are asked for; rows without url or html go."""
+    rows = spark.read.parquet(path).select(*columns)
+    for c in {"url", "html"} & set(columns):
+        rows = rows.filter(F.col(c).isNotNull())
+    return rows
+
+
+def page_to_links(html: str, url: str) -> Column:
+    """The links of one page as an array of structs (pos, href, anchor), for LATERAL use on any table."""
+    shown = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
+    found = F.slice(F.regexp_extract_all(shown, F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0)), 1, MAX_LINKS)
+    href = lambda a: decode(F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']?([^"'>\s]*)""", 1))
+    rows = F.transform(found, lambda a, i: F.struct(i.alias("pos"), href(a).alias("href"), visible_text(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a\s*>$", "")).alias("anchor")))
+    rows = F.filter(rows, lambda r: (r["href"] != "") & ~F.lower(r["href"]).rlike("^(mailto|tel|javascript|data):"))
+    rows = F.transform(rows, lambda r: F.struct(r["pos"].alias("pos"), U.canonical(r["href"], F.col(url)).alias("link"), r["anchor"].alias("anchor")))
+    return F.filter(rows, lambda r: U.problem(r["link"]).isNull())
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html", limit: int = MAX_LINKS) -> DataFrame:

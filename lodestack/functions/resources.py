@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls as U
+from lodestack.scratch import let
 
 #: Data file extensions and their formats, in order. Fixed values.
 FORMATS = {
@@ -20,11 +21,13 @@ THRESHOLD = 0.35
 
 def path_extension(url: Column) -> Column:
     """The longest known or excluded suffix of the path, '' if none."""
-    p = F.lower(U.path(url))
-    out = F.lit("")
-    for ext in sorted([*FORMATS, *EXCLUDED], key=len):
-        out = F.when(F.endswith(p, F.lit(ext)), F.lit(ext)).otherwise(out)
-    return out
+    def longest(p: Column) -> Column:
+        out = F.lit("")
+        for ext in sorted([*FORMATS, *EXCLUDED], key=len):
+            out = F.when(F.endswith(p, F.lit(ext)), F.lit(ext)).otherwise(out)
+        return out
+
+    return let(F.lower(U.path(url)), longest)
 
 
 def looks_like_api(url: Column, anchor: Column) -> Column:
@@ -69,3 +72,19 @@ def usable_resources(rows: DataFrame, url: str, mime: str) -> DataFrame:
     """Without excluded extensions, PDF and HTML media types."""
     kind = F.lower(F.trim(F.split_part(F.col(mime), F.lit(";"), F.lit(1))))
     return rows.filter(~path_extension(F.col(url)).isin(*EXCLUDED) & ~kind.isin("application/pdf", "text/html"))
+
+
+def page_resources(links: DataFrame, schema: DataFrame, nodes: DataFrame, page: str) -> DataFrame:
+    """Resources of each page, best first: entries of its dataset node and links that may be data.
+
+    ``links`` is the page's links, ``schema`` its schema entries (page, id, link, mime, probability) and
+    ``nodes`` one row per page with Dataset nodes: the chosen node, whether the choice is ambiguous
+    and how many nodes there are.  An ambiguous page gives nothing; a page with several datasets gives only
+    entries of the chosen one, as its links may belong to another."""
+    chosen = nodes.select(page, F.col("node").alias("_node"), F.col("ambiguous").alias("_ambiguous"), F.col("datasets").alias("_n"))
+    own = schema.join(chosen, page).filter(~F.col("_ambiguous") & (F.col("id") == F.col("_node")))
+    own = own.withColumn("format", format_guess(F.col("link"), F.lit(""), F.col("mime")))
+    entries = usable_resources(own, "link", "mime").select(page, "link", "format", F.col("probability").cast("double").alias("probability"), F.lit(-1).alias("pos"))
+    free = links.join(chosen, page, "left").filter(F.coalesce(~F.col("_ambiguous") & (F.col("_n") <= 1), F.lit(True)))
+    found = candidate_resources(free).select(page, "link", "format", F.col("probability").cast("double").alias("probability"), "pos")
+    return rank_resources(entries.unionByName(found), page)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestack.scratch import let
+
 #: Query keys that only track visitors. Fixed values; keys that start with utm_ count as well.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
 #: Query keys that may be shown in public logs. Fixed values.
@@ -32,16 +34,26 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(authority(url), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments folded away, however many there are."""
+    def fold(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+        return F.array_join(F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    return let(let(F.split(path, "/"), fold), lambda out: F.when(F.startswith(out, F.lit("/")), out).otherwise(F.concat(F.lit("/"), out)))
+
+
 def resolve(url: Column, base: Column) -> Column:
-    """Absolute form of a reference; dot segments are removed two levels deep."""
+    """Absolute form of a reference, without dot segments."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = F.concat(root, F.when(folder == "", "/").otherwise(folder), url)
-    for _ in range(2):
-        joined = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"(?<!:/)(?<!:)/[^/?#]+/\.\./", "/")
+    own, rest = F.regexp_extract(url, r"^[^?#]*", 0), F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    whole = F.when(F.startswith(url, F.lit("/")), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    joined = F.concat(root, let(whole, lambda p: F.when(p.rlike(r"/\.{1,2}(/|$)"), without_dots(p)).otherwise(p)), rest)
     plain = F.concat(root, path(base))
     return (F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(F.startswith(url, F.lit("//")), F.concat(scheme(base), F.lit(":"), url))
-            .when(F.startswith(url, F.lit("/")), F.concat(root, url)).when(F.startswith(url, F.lit("?")), F.concat(plain, url))
+            .when(F.startswith(url, F.lit("?")), F.concat(plain, url))
             .when((url == "") | F.startswith(url, F.lit("#")), F.regexp_replace(base, "#.*$", "")).otherwise(joined))
 
 
@@ -71,7 +83,7 @@ def canonical(url: Column, base: Column | None = None) -> Column:
 
     Path case, default ports and trailing slashes are left as they are."""
     absolute = F.trim(url) if base is None else resolve(F.trim(url), base)
-    return assemble(absolute, clean_query(query_string(absolute), _not_tracking))
+    return let(absolute, lambda u: assemble(u, clean_query(query_string(u), _not_tracking)))
 
 
 def problem(url: Column) -> Column:
@@ -85,9 +97,8 @@ def problem(url: Column) -> Column:
 
 def dataset_url(page: Column, declared: Column) -> Column:
     """The declared canonical link if it is usable and on the page's host, else the page itself."""
-    d = canonical(declared, page)
-    ok = (F.coalesce(F.trim(declared), F.lit("")) != "") & problem(d).isNull() & (host(d) == host(page))
-    return F.when(ok, d).otherwise(canonical(page))
+    said = F.coalesce(F.trim(declared), F.lit("")) != ""
+    return let(canonical(declared, page), lambda d: F.when(said & problem(d).isNull() & (host(d) == host(page)), d).otherwise(canonical(page)))
 
 
 def redacted(url: Column) -> Column:

@@ -44,14 +44,22 @@ def resolve_references(merged: DataFrame, page: str, depth: int = 4) -> DataFram
     return found.drop("ref", "seen")
 
 
-def dataset_scores(merged: DataFrame, page: str, doi: DataFrame, url: DataFrame) -> DataFrame:
-    """Identity score of each Dataset node: 8 for the page's DOI, 2 for mainEntity, 1 for its url."""
+def dataset_scores(merged: DataFrame, page: str, doi: DataFrame, url: DataFrame, native: DataFrame | None = None) -> DataFrame:
+    """Identity score of each Dataset node: 8 for the page's DOI, 4 for one of the page's own
+    identifiers (``native``: page, native_id), 2 for mainEntity, 1 for its url."""
     typed = merged.groupBy(page, "id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     own = typed.filter(F.coalesce(F.try_element_at("m", F.lit("@type")), F.lit("")).rlike(r"\bDataset\b"))
     j = own.join(doi, page, "left").join(url, page, "left")
+    if native is None:
+        j = j.withColumn("natives", F.array().cast("array<string>"))
+    else:
+        j = j.join(native.groupBy(page).agg(F.collect_set("native_id").alias("natives")), page, "left")
     named = F.concat_ws(" ", F.try_element_at("m", F.lit("identifier")), F.try_element_at("m", F.lit("sameAs")), "id")
     has_doi = F.col("doi").isNotNull() & F.contains(F.lower(named), F.col("doi"))
-    score = F.when(has_doi, 8).otherwise(0) + F.when(F.try_element_at("m", F.lit("mainEntityOfPage")).isNotNull(), 2).otherwise(0) + F.when(F.try_element_at("m", F.lit("url")) == F.col("url"), 1).otherwise(0)
+    values = F.array_compact(F.array(F.col("id"), *[F.try_element_at("m", F.lit(k)) for k in ("identifier", "sameAs", "url")]))
+    values = F.flatten(F.transform(values, lambda v: F.coalesce(F.when(F.startswith(F.trim(v), F.lit("[")), F.from_json(v, "array<string>")), F.array(F.coalesce(F.get_json_object(v, "$.value"), v)))))
+    known = F.coalesce(F.arrays_overlap(values, "natives"), F.lit(False))
+    score = F.when(has_doi, 8).otherwise(0) + F.when(known, 4).otherwise(0) + F.when(F.try_element_at("m", F.lit("mainEntityOfPage")).isNotNull(), 2).otherwise(0) + F.when(F.try_element_at("m", F.lit("url")) == F.col("url"), 1).otherwise(0)
     return j.select(page, "id", score.alias("score"))
 
 

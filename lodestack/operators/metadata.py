@@ -12,6 +12,9 @@ FIELDS = ("Title", "Geography", "Date of publication", "Dataset URL", "Disease(s
 MISSING = "NA"
 #: Greatest lengths of candidate fields. Fixed values.
 LIMITS = {"title": 500, "url": 2083, "description": 20_000, "source": 100, "publisher": 500, "date": 100, "doi": 500}
+#: Words of the longest vocabulary term that is compared, and first words of terms that are handed to
+#: the tasks; a vocabulary with more of them is joined as a table.
+WORDS, HEADS = 8, 4096
 MAX_KEYWORDS, MAX_KEYWORD_CHARS, MAX_BYTES = 100, 200, 100_000
 
 
@@ -110,13 +113,30 @@ def publication_dates(dates: DataFrame, key: str) -> DataFrame:
     return good.groupBy(key).agg(F.min_by(F.struct("kind", "date"), F.struct("rank", "date")).alias("_d")).select(key, F.col("_d.kind").alias("rule"), F.col("_d.date").alias("date"))
 
 
-def tag_terms(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, terms): whole-word vocabulary terms of every document, by equi-join on tokens."""
-    flat = F.regexp_replace(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}\p{N}]+", " ")
-    words = F.array_distinct(F.split(F.trim(flat), " "))
-    each = docs.select(key, F.explode(words).alias("term"))
-    hit = each.join(vocabulary.select(F.lower("term").alias("term"), "kind").distinct(), "term")
-    return hit.groupBy(key, "kind").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+def normalized(text: Column) -> Column:
+    """Words of a text side by side: lower-cased, without markup, other characters as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}\p{N}]+", " "))
+
+
+def tag_terms(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, subjects: str | None = None) -> DataFrame:
+    """(key, kind, terms): whole-word vocabulary terms (term, kind) of every document, one or more words long.
+
+    Where a document's ``subjects`` (array) hold terms of a kind, only those count for the kind.
+    Words are cut down to the first words of terms by a semi-join before the rest of a longer term
+    is compared, so the join carries few rows of a text."""
+    terms = vocabulary.select(normalized(F.col("term")).alias("term"), "kind").filter("term <> ''").distinct()
+    terms = terms.withColumns({"parts": F.split("term", " ")}).withColumns({"head": F.col("parts")[0], "len": F.size("parts")})
+    places = F.array(F.struct(F.lit(1).alias("rank"), normalized(F.col(text)).alias("text")), *([F.struct(F.lit(0).alias("rank"), normalized(F.array_join(F.col(subjects), " | ")).alias("text"))] if subjects else []))
+    heads = [r.head for r in terms.select("head").distinct().limit(HEADS + 1).collect()]  # at most HEADS + 1 rows
+    each = docs.select(key, F.explode(places).alias("p")).select(key, "p.rank", F.split("p.text", " ").alias("words"))
+    at = F.transform(F.col("words"), lambda w, i: F.struct(w.alias("head"), i.alias("i")))
+    if len(heads) <= HEADS:  # a small vocabulary is looked up before rows are made
+        at = F.filter(at, lambda x: x["head"].isin(heads)) if heads else F.filter(at, lambda x: F.lit(False))
+    each = each.select(key, "rank", "words", F.explode(at).alias("x"))
+    windows = each.select(key, "rank", F.col("x.head").alias("head"), F.slice("words", F.col("x.i") + 1, F.lit(WORDS)).alias("own")).distinct()
+    hit = windows.join(terms, "head").filter(F.slice("own", F.lit(1), F.col("len")) == F.col("parts"))
+    best = hit.groupBy(key, "kind", "rank").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+    return best.groupBy(key, "kind").agg(F.min_by("terms", "rank").alias("terms"))
 
 
 def dataset_sizes(docs: DataFrame, key: str, text: str, units: tuple[str, ...]) -> DataFrame:
@@ -127,10 +147,27 @@ def dataset_sizes(docs: DataFrame, key: str, text: str, units: tuple[str, ...])
     return each.filter("n is not null").groupBy(key, "unit").agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
 
 
-def geography_index(records: DataFrame, key: str, lat: Column, lon: Column) -> DataFrame:
-    """(key, place) for points inside the bounds, to whole degrees."""
-    ok = lat.between(-90, 90) & lon.between(-180, 180)
-    return records.filter(ok).select(key, F.format_string("%d,%d", F.floor(lat).cast("int"), F.floor(lon).cast("int")).alias("place"))
+def coordinate(value: Column, maximum: int) -> Column:
+    """A number within its bounds from text or number, else null."""
+    n = F.trim(value.cast("string")).try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) <= maximum), n)
+
+
+def geo_point(lat: Column, lon: Column) -> Column:
+    """"lat, lon" of a point inside the bounds, else null."""
+    ok = coordinate(lat, 90).isNotNull() & coordinate(lon, 180).isNotNull()
+    return F.when(ok, F.concat_ws(", ", F.trim(lat.cast("string")), F.trim(lon.cast("string"))))
+
+
+def geo_box(south: Column, west: Column, north: Column, east: Column) -> Column:
+    """"south, west to north, east" of a box inside the bounds; west may exceed east (antimeridian)."""
+    return F.when(coordinate(south, 90) <= coordinate(north, 90), F.concat(geo_point(south, west), F.lit(" to "), geo_point(north, east)))
+
+
+def geography_index(records: DataFrame, key: str, places: Column, countries: Column, point: Column | None = None, box: Column | None = None) -> DataFrame:
+    """(key, place): places, countries, point and box of every record, each once, blanks left out."""
+    every = F.concat(F.coalesce(places, F.array().cast("array<string>")), F.coalesce(countries, F.array().cast("array<string>")), F.array(*[c for c in (point, box) if c is not None]).cast("array<string>"))
+    return records.select(key, F.explode(clean_strings(every)).alias("place"))
 
 
 def search_terms(text: Column) -> Column:
@@ -141,16 +178,43 @@ def search_terms(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: ~bare(w).isin(*generic) & ~F.regexp_replace(bare(w), "s$", "").isin(*generic)), " ")
 
 
-def bounded_payload(text: Column, headings: Column, chars: int = 4000, heads: int = 20) -> Column:
-    return F.struct(F.substring(text, 1, chars).alias("text"), F.slice(headings, 1, heads).alias("headings"))
+#: Greatest lengths and numbers of the classifier's input. Fixed values.
+PAYLOAD = {"url": 2000, "short": 500, "description": 2000, "text": 4000, "value": 1000, "context": 300, "format": 100, "headings": 20, "distributions": 10}
+
+
+def bounded_payload(page: dict[str, Column], headings: Column, metadata: Column, distributions: Column) -> Column:
+    """The classifier's input: page fields by name, headings, metadata and distributions (structs of
+    url, format, probability, anchor, mime_type, nearby_text), all cut to their limits."""
+    kind = {"url": "url", "canonical_url": "url", "meta_description": "description", "og_description": "description", "text": "text"}
+    cut = lambda c, k: F.substring(c, 1, PAYLOAD[k])
+    limit = lambda k: F.when(k == "Description of dataset", PAYLOAD["description"]).when(k == "Dataset URL", PAYLOAD["url"]).when(k == "Title", PAYLOAD["short"]).otherwise(PAYLOAD["value"])
+    fields = [cut(c, kind.get(n, "short")).alias(n) for n, c in page.items()]
+    heads = F.transform(F.slice(headings, 1, PAYLOAD["headings"]), lambda h: cut(h, "short"))
+    meta = F.transform_values(metadata, lambda k, v: F.substring(v, F.lit(1), limit(k)))
+    parts = {"url": "url", "format": "format", "anchor": "context", "mime_type": "format", "nearby_text": "context"}
+    resources = F.transform(F.slice(distributions, 1, PAYLOAD["distributions"]), lambda d: F.struct(d["probability"].alias("probability"), *[cut(d[n], k).alias(n) for n, k in parts.items()]))
+    return F.struct(F.struct(*fields, heads.alias("headings"), meta.alias("metadata")).alias("page"), resources.alias("distributions"))
 
 
 def public_label(value: Column, maximum: int = 200) -> Column:
     """The value if it is a plain label, else ''."""
-    ok = value.rlike(r"^[\p{L}\p{N}][\p{L}\p{N} ._#:/@-]*$") & (F.length(value) <= maximum) & ~F.contains(value, F.lit("://"))
+    ok = value.rlike(r"^[A-Za-z0-9][A-Za-z0-9 ._:/+()-]*$") & (F.length(value) <= maximum) & ~F.contains(value, F.lit("://"))
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise("")
 
 
+def public_identifier(value: Column) -> Column:
+    """A UUID in its plain form, from any of its spellings, else null."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace(F.trim(value), r"^(?i:urn:uuid:)", ""), r"[{}-]", ""))
+    cut = [F.substring(bare, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *cut))
+
+
+def public_timestamp(value: Column) -> Column:
+    """An ISO timestamp of at most 64 characters that names its zone, as a timestamp, else null."""
+    zoned = value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$") & (F.length(value) <= 64)
+    return F.when(zoned, F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+
+
 def sanitize_trace(traces: DataFrame, enums: dict[str, tuple[str, ...]], ranges: dict[str, tuple[int, int]], urls: list[str]) -> DataFrame:
     """Unknown enum values and out-of-range counters become null; urls are redacted."""
     cols = {c: F.when(F.col(c).isin(*v), F.col(c)) for c, v in enums.items()}

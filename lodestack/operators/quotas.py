@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.scratch import let
+
 
 def quota_replay_units(requests: DataFrame, keys: list[str], time: str, order: str, limit: int, unit: str) -> DataFrame:
     """Requests of amount 1: the first ``limit`` of each window are admitted."""
@@ -70,16 +72,68 @@ def capacity_replay(requests: DataFrame, queue: str, time: str, order: str, capa
     return requests.withColumn("admitted", started + rank <= capacity)
 
 
+def address_groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address, four hexadecimal digits each; null if it is none."""
+    def plain(bare: Column) -> Column:  # a dotted end becomes two groups
+        byte = F.transform(F.split(F.regexp_extract(bare, r"(\d+\.\d+\.\d+\.\d+)$", 1), r"\."), lambda x: F.lpad(F.hex(x.try_cast("int")), 2, "0"))
+        tail = let(byte, lambda b: F.concat(F.try_element_at(b, F.lit(1)), F.try_element_at(b, F.lit(2)), F.lit(":"), F.try_element_at(b, F.lit(3)), F.try_element_at(b, F.lit(4))))
+        return F.when(bare.rlike(r":\d+\.\d+\.\d+\.\d+$"), F.concat(F.regexp_replace(bare, r"[^:]+$", ""), F.lower(tail))).otherwise(bare)
+
+    bare = let(F.lower(F.regexp_replace(F.trim(address), r"^\[|\]$|%.*$", "")), plain)
+
+    def expand(v: Column) -> Column:
+        side = lambda i: F.filter(F.split(F.split_part(v, F.lit("::"), F.lit(i)), ":"), lambda x: x != "")
+        gap = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(side(1)) - F.size(side(2)), F.lit(0)))
+        whole = F.when(F.contains(v, F.lit("::")), F.concat(side(1), gap, side(2))).when(F.contains(v, F.lit(":")), F.split(v, ":"))
+        return F.transform(whole, lambda x: F.lpad(x, 4, "0"))
+
+    return let(let(bare, expand), lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{4}$")), g))
+
+
+def network(address: Column) -> Column:
+    """An IPv4 address whole, also where IPv6 only carries it; else the IPv6 /64 in full form."""
+    def name(groups: Column) -> Column:
+        number = lambda i, at: F.conv(F.substring(F.element_at(groups, i), at, 2), 16, 10)
+        mapped = F.array_join(F.slice(groups, 1, 6), ":") == "0000:0000:0000:0000:0000:ffff"
+        inner = F.concat_ws(".", number(7, 1), number(7, 3), number(8, 1), number(8, 3))
+        return F.when(groups.isNull(), F.trim(address)).when(mapped, inner).otherwise(F.concat(F.array_join(F.slice(groups, 1, 4), ":"), F.lit("::/64")))
+
+    return let(address_groups(address), name)
+
+
 def client_network(address: Column, secret: str) -> Column:
-    """Keyed digest of the client's network: an IPv6 /64 or a whole IPv4 address."""
-    six = F.array_join(F.slice(F.split(address, ":"), 1, 4), ":")
-    return F.sha2(F.concat(F.lit(secret), F.when(F.contains(address, F.lit(":")), six).otherwise(address)), 256)
+    """Keyed digest of the client's network."""
+    return F.sha2(F.concat(F.lit(secret), network(address)), 256)
+
+
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def http_date(value: Column) -> Column:
+    """Timestamp of an HTTP date in any of its three forms, in UTC unless it names an offset."""
+    clock = r"(\d{2}:\d{2}:\d{2})"
+    forms = (
+        (r"^(?:[A-Za-z]{3,9},\s*)?(\d{1,2})[ -]([A-Za-z]{3})[ -](\d{4}|\d{2})\s+" + clock + r"\s*(?:GMT|UTC|Z|([+-]\d{4}))?$", (1, 2, 3, 4, 5)),
+        (r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+" + clock + r"\s+(\d{4})()$", (2, 1, 4, 3, 5)),
+    )
+    out = F.lit(None).cast("timestamp")
+    for pattern, places in forms:
+        day, month, year, time, zone = (F.regexp_extract(F.trim(value), pattern, i) for i in places)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month)).cast("string")
+        year = F.when(F.length(year) == 4, year).when(year.try_cast("int") < 69, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
+        zone = F.when(zone == "", "+00:00").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+        text = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), time, zone)
+        out = F.coalesce(out, F.when(F.trim(value).rlike(pattern), text.try_cast("timestamp")))
+    return out
 
 
 def next_allowed(responses: DataFrame, provider: str, received: str, header: str) -> DataFrame:
-    """Per provider the latest retry time (seconds or a date), never before the response."""
-    seconds = F.expr(f"try_cast({header} AS BIGINT)")
-    by_seconds = F.when(seconds >= 0, F.timestamp_micros(F.unix_micros(F.col(received)) + seconds * 1_000_000))
-    by_date = F.try_to_timestamp(F.col(header), F.lit("yyyy-MM-dd HH:mm:ss"))
-    at = F.greatest(F.coalesce(by_seconds, by_date), F.col(received))
+    """Per provider the latest retry time (seconds or an HTTP date), never before the response.
+
+    A header that is neither says nothing."""
+    bare = F.trim(header)
+    seconds = F.when(bare.rlike(r"^\d{1,12}$"), bare.try_cast("bigint"))
+    by_seconds = F.timestamp_micros(F.unix_micros(F.col(received)) + seconds * 1_000_000)
+    said = F.coalesce(by_seconds, http_date(F.col(header)))
+    at = F.when(said.isNotNull(), F.greatest(said, F.col(received)))
     return responses.withColumn("_at", at).groupBy(provider).agg(F.max("_at").alias("next_allowed"))

@@ -7,13 +7,23 @@ crossed.  Stop words are removed before postings are made, which also keeps the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.scratch import let, settle
+
 #: Weights of title, description, publisher and place, platform and url words. Fixed values.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-#: Suffix rules of the light English stemmer, applied in order.
-STEMS = ((r"ies$", "y"), (r"(ss|us|is)$", "$1"), (r"sses$", "ss"), (r"([^s])s$", "$1"), (r"(\w{3,})(ing|edly|ed|ly)$", "$1"), (r"(\w{4,})e$", "$1"))
+#: Suffix rules of the light English stemmer in groups; of each group the first rule that fits is
+#: applied.  A rule with nothing to put in keeps the word as it is, which guards its ending.
+STEMS = (
+    ((r"sses$", "ss"), (r"([a-z]{2})ies$", "$1y"), (r"(ss|us|is|ous)$", None), (r"([a-z]{2})s$", "$1")),
+    ((r"eed$", None), (r"([a-z]*[aeiouy][a-z]*[bcdfghjklmnpqrtvwxz])(ing|edly|ed)$", "$1"), (r"([a-z]*[aeiouy][a-z]*[aeiouys])(ing|edly|ed)$", "$1"), (r"([a-z]{3})ly$", "$1")),
+    tuple((rf"([a-z]{{2}}{c}){c}$", "$1") for c in "bdfgmnprt"),
+    ((r"([a-z]{3})e$", "$1"),),
+)
 
 
 def tokens(text: Column) -> Column:
@@ -21,8 +31,18 @@ def tokens(text: Column) -> Column:
 
 
 def stem(term: Column) -> Column:
-    for pattern, to in STEMS:
-        term = F.regexp_replace(term, pattern, to)
+    """A light English stem: plurals, -ing, -ed, -ly, doubled consonants before them, a final e."""
+    def step(group: tuple) -> Callable[[Column], Column]:
+        def apply(x: Column) -> Column:
+            out = F.when(F.lit(False), x)
+            for pattern, to in group:
+                out = out.when(x.rlike(pattern), x if to is None else F.regexp_replace(x, pattern, to))
+            return out.otherwise(x)
+
+        return apply
+
+    for group in STEMS:
+        term = let(term, step(group))
     return term
 
 
@@ -31,6 +51,17 @@ def stem_vocabulary(postings: DataFrame) -> DataFrame:
     return postings.select("term").distinct().withColumn("stem", stem(F.col("term")))
 
 
+def prepare(postings: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, queries) by stems, and only of stems that a query asks for, stored for reuse.
+
+    Terms become stems on both sides, so variants of a word match each other.  The vocabulary is cut
+    to the asked stems first; the postings then meet only the few terms that are left."""
+    asked = queries.withColumn("term", stem(F.col("term")))
+    wanted = stem_vocabulary(postings).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+    held = postings.join(settle(wanted, "variants"), "term").select("doc", F.col("stem").alias("term"), "pos", "weight")
+    return settle(held, "postings"), settle(asked, "asked")
+
+
 def build_postings(catalog: DataFrame, key: str, fields: dict[str, str], stop_words: DataFrame | None = None) -> DataFrame:
     """(doc, term, pos, weight) from fields by weight class; classes follow each other in position."""
     parts = F.array(*[F.struct(F.lit(i).alias("f"), F.lit(WEIGHTS[w]).alias("weight"), tokens(F.col(c)).alias("words")) for i, (c, w) in enumerate(fields.items())])
@@ -56,13 +87,26 @@ def match_terms(postings: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def cover_density(postings: DataFrame, queries: DataFrame, matched: DataFrame) -> DataFrame:
-    """(query, doc, rank): sum of weight / (1 + gap to the previous query term) over occurrences."""
+    """(query, doc, rank): how close a query's terms stand in each matched document.
+
+    At every occurrence the cover reaches back to the oldest of the last positions of all terms that
+    the document has; each cover that begins later than the one before adds the weight of its last
+    word / (1 + words in it that are no term).  Occurrences are folded per (query, document)."""
     terms = queries.filter("role <> 'not'").select("query", "term").distinct()
     seen = postings.join(terms, "term").join(matched, ["query", "doc"])
-    before = F.lag("pos").over(Window.partitionBy("query", "doc").orderBy("pos", "term"))
-    gap = F.coalesce(F.least(F.col("pos") - before - 1, F.lit(1000)), F.lit(0))
-    scored = seen.withColumn("part", F.floor(F.col("weight") * 1_000_000 / (1 + gap)).cast("bigint"))
-    return scored.groupBy("query", "doc").agg((F.sum("part") / 1_000_000).alias("rank"))
+    held = seen.groupBy("query", "doc").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("rows"), F.array_sort(F.collect_set("term")).alias("terms"))
+    zero = F.struct(F.transform("terms", lambda _: F.lit(-1).cast("bigint")).alias("last"), F.lit(-1).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("sum"))
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.transform(acc["last"], lambda v, i: F.when(F.col("terms")[i] == r["term"], r["pos"].cast("bigint")).otherwise(v))
+        return let(F.struct(last.alias("last"), F.array_min(last).alias("start")), lambda now: add(acc, now, r))
+
+    def add(acc: Column, now: Column, r: Column) -> Column:
+        gap = F.greatest(r["pos"] - now["start"] + 1 - F.size(now["last"]), F.lit(0))
+        part = F.when(now["start"] > acc["start"], F.floor(r["weight"] * 1_000_000 / (1 + gap)).cast("bigint")).otherwise(0)
+        return F.struct(now["last"].alias("last"), F.greatest(acc["start"], now["start"]).alias("start"), (acc["sum"] + part).alias("sum"))
+
+    return held.select("query", "doc", (F.aggregate("rows", zero, step, lambda a: a["sum"]) / 1_000_000).alias("rank"))
 
 
 def rank_catalog(ranked: DataFrame, updated: DataFrame, k: int) -> DataFrame:

@@ -92,11 +92,14 @@ def method_fallback(df: DataFrame, group: str, order: str, terminal: str) -> Dat
 
 
 def combine_providers(parts: dict[str, DataFrame], status: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows in provider order, warnings): union of provider results; a failed one only warns."""
+    """(rows in provider order, warnings): union of provider results; a failed one only warns.
+
+    A warning names its provider; its code is all_failed where every provider failed."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("provider_rank", F.lit(i)).withColumn("provider", F.lit(n)) for i, (n, df) in enumerate(parts.items())])
-    failed = status.filter("ok = false")
-    code = F.when(F.count("*") == len(parts), "all_failed").otherwise("incomplete")
-    return rows.join(failed.select("provider"), "provider", "left_anti"), failed.groupBy().agg(F.count("*").alias("failed"), code.alias("code"))
+    failed = status.filter("ok = false").select("provider").distinct()
+    names = [r.provider for r in failed.limit(len(parts) + 1).collect()]  # at most one row a provider
+    code = "all_failed" if len(names) >= len(parts) else "incomplete"
+    return rows.join(failed, "provider", "left_anti"), failed.withColumn("code", F.lit(code))
 
 
 def plan_collection(candidates: DataFrame, collected: DataFrame, active: DataFrame) -> DataFrame:
@@ -128,6 +131,5 @@ def close_stale(df: DataFrame, status: str, running: tuple[str, ...], code: str)
 
 
 def evidence_checksum(fields: list[str]) -> Column:
-    """SHA-256 over a canonical rendering: fields in name order, nulls kept apart from blanks."""
-    parts = [F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("\0"))) for f in sorted(fields)]
-    return F.sha2(F.concat_ws("\n", *parts), 256)
+    """SHA-256 over one JSON object of the fields in name order; nulls are written, so they differ from blanks."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"}), 256)

@@ -64,12 +64,14 @@ def _(t):
 
 @query("page_to_links", f"WITH {LINKS} SELECT regexp_extract(link, '://([^/?#]*)', 1) AS host, count(*) AS n FROM f GROUP BY 1")
 def _(t):
-    return H.extract_links(t.pages).groupBy(U.host(F.col("link")).alias("host")).agg(F.count("*").alias("n"))
+    each = t.pages.select(F.explode(H.page_to_links("html", "url")).alias("r"))
+    return each.groupBy(U.host(F.col("r.link")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("scan_pages", "SELECT count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages")
+@query("scan_pages", r"""SELECT page_id, url, md5(html) AS digest FROM pages WHERE url IS NOT NULL AND html IS NOT NULL""")
 def _(t):
-    return t.pages.agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
+    pages = H.scan_pages(t.spark, f"{t.dir}/pages.parquet")
+    return pages.select("page_id", "url", F.md5("html").alias("digest"))
 
 
 def _text_sql(x: str) -> str:
@@ -86,20 +88,24 @@ def _(t):
     return t.pages.select("page_id", F.md5(H.visible_text(F.col("html"))).alias("digest"))
 
 
-@query("extract_page_fields", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<h[23]\b[^>]*>(.*?)</h[23]\s*>', 1)) AS INTEGER) AS n_heads, regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1) <> '' AS has_h1 FROM pages""")
+@query("extract_page_fields", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<h2\b[^>]*>(.*?)</h2\s*>', 1)) AS INTEGER) AS n_h2,
+md5(trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))) AS h1, md5(trim(regexp_replace(replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&amp;', '&'), '\s+', ' ', 'g'))) AS title,
+'Press & Co' AS publisher, 'Chad|Mali' AS geography, CASE WHEN page_id % 3 = 0 THEN '10.1234/p' || page_id ELSE '' END AS doi FROM pages""")
 def _(t):
-    f = H.page_fields(t.pages)
-    heads = F.size(H.element_texts(F.col("html"), "h2")) + F.size(H.element_texts(F.col("html"), "h3"))
-    return f.select("page_id", heads.alias("n_heads"), (F.col("h1") != "").alias("has_h1"))
+    k = F.col("page_id") % 3
+    extra = F.concat(F.lit('<meta content="Press &amp; Co" name="Publisher"><meta name="author" content="Other"><meta property="dcterms:spatial" content="Chad; Mali, Chad">'),
+                     F.when(k == 0, F.concat(F.lit("<meta name='citation_doi' content='https://doi.org/10.1234/P"), F.col("page_id").cast("string"), F.lit("'>"))).otherwise('<meta name="citation_doi" content="none">'))
+    f = H.page_fields(t.pages.withColumn("html", F.concat(extra, "html")))
+    return f.select("page_id", F.size(H.element_texts(F.col("html"), "h2")).alias("n_h2"), F.md5("h1").alias("h1"), F.md5("title").alias("title"), "publisher", F.array_join("geography", "|").alias("geography"), "doi")
 
 
-@query("page_defaults", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'own ' || page_id WHEN page_id % 3 = 1 THEN 'h1 ' || page_id ELSE 'og' END AS title FROM pages""")
+@query("page_defaults", r"""WITH f AS (SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS h1, trim(regexp_replace(replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages)
+SELECT page_id, md5(CASE WHEN page_id % 3 <> 0 AND title <> '' THEN title ELSE h1 END) AS title FROM f""")
 def _(t):
-    k = F.col("page_id") % 3
-    p = t.pages.select("page_id", F.when(k == 0, F.concat(F.lit("own "), F.col("page_id").cast("string"))).otherwise("  ").alias("title"), F.when(k == 1, F.concat(F.lit(" h1 "), F.col("page_id").cast("string"))).otherwise("").alias("h1"), F.lit("og").alias("og_title"))
     from lodestack.operators.metadata import first_filled
 
-    return p.select("page_id", first_filled("title", "h1", "og_title").alias("title"))
+    f = H.page_fields(t.pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "(?is)<title.*?</title>", "<title> </title>")).otherwise(F.col("html"))))
+    return f.select("page_id", F.md5(first_filled("title", "h1", "og_title")).alias("title"))
 
 
 @query("limits_audit", r"SELECT 'links' AS rule, count(*) AS n FROM pages WHERE len(regexp_extract_all(lower(html), '<a\s')) > 10 HAVING count(*) > 0 UNION ALL SELECT 'html_chars', count(*) FROM pages WHERE length(html) > 5000 HAVING count(*) > 0")
@@ -138,10 +144,20 @@ def _(t):
     return R.rank_resources(rows, "page").drop("pos").orderBy("page", F.desc("probability"), "link")
 
 
-@query("page_resources", f"WITH {LINKS} SELECT page_id, count(*) AS candidates FROM f WHERE page_id % 7 <> 0 AND regexp_matches(lower(regexp_extract(link, '://[^/?#]*([^?#]*)', 1)), '\\.(csv|json|zip|xml|gz)$') GROUP BY page_id")
+@query("page_resources", r"""SELECT page_id, page_id || '.csv' AS file, 'CSV' AS format, CAST(95 AS INTEGER) AS percent FROM pages WHERE page_id % 6 <> 3
+UNION ALL SELECT page_id, page_id || '.csv', 'CSV', CAST(80 AS INTEGER) FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, page_id || '.zip', 'ZIP', CAST(90 AS INTEGER) FROM pages WHERE page_id % 3 <> 0""")
 def _(t):
-    links = H.extract_links(t.pages).filter("page_id % 7 <> 0")  # ambiguous pages give nothing
-    return R.candidate_resources(links).filter("format <> 'UNKNOWN' and format <> 'API'").groupBy("page_id").agg(F.count("*").alias("candidates"))
+    from lodestack.operators import jsonld as J
+    from lodestack.plans.repositories import jsonld_pages
+
+    pages = jsonld_pages(t)
+    more = F.concat(F.lit('<a href="../a/../files/'), F.col("page_id").cast("string"), F.lit('.zip">download data</a><a href="/x/'), F.col("page_id").cast("string"), F.lit('.csv">data file</a>'))
+    pages = pages.withColumn("html", F.concat("html", more))
+    merged = J.merge_nodes(J.nodes(H.jsonld_blocks(pages), "page_id"), "page_id")
+    scores = J.dataset_scores(merged, "page_id", pages.select("page_id", F.lit(None).cast("string").alias("doi")), pages.select("page_id", "url"), pages.select("page_id", F.when(F.col("page_id") % 6 == 0, "#d").alias("native_id")))
+    node = J.select_best_node(scores.withColumnRenamed("id", "node"), "page_id", "node", "score").join(scores.groupBy("page_id").agg(F.count("*").alias("datasets")), "page_id")
+    out = R.page_resources(H.extract_links(pages), J.schema_resources(merged, "page_id"), node, "page_id")
+    return out.filter(F.col("format").isin("CSV", "ZIP")).select("page_id", F.regexp_extract("link", "[^/]*$", 0).alias("file"), "format", F.round(F.col("probability") * 100).cast("int").alias("percent"))
 
 
 @query("usable_resources", f"WITH {LINKS} SELECT page_id, count(*) AS n FROM f WHERE NOT regexp_matches(lower(regexp_extract(link, '://[^/?#]*([^?#]*)', 1)), '\\.(pdf|html|htm|png|jpg|jpeg|gif|svg)$') GROUP BY page_id")
@@ -207,11 +223,12 @@ def _(t):
     return sniff_files(t.spark, f"{t.dir}/*.parquet").groupBy("format", "claimed", "mismatch").agg(F.count("*").alias("n"))
 
 
-@query("plausible_tables", r"""SELECT doc_id % 3 AS kind, doc_id % 3 = 0 AS plausible, count(*) AS n FROM documents GROUP BY 1, 2""")
+@query("plausible_tables", r"""WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(replace(text, '. ', '.' || chr(10)), '"[^"]*"', 'q', 'g'), chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
+w AS (SELECT doc_id, len(lines) AS n, list_distinct(list_transform(lines, lambda x: len(string_split(x, ',')))) AS widths FROM l)
+SELECT doc_id, n >= 2 AND len(widths) = 1 AND widths[1] >= 2 AS plausible FROM w""")
 def _(t):
-    k = F.col("doc_id") % 3
-    text = F.when(k == 0, 'a,b\n"x,y",2\n\n').when(k == 1, "a,b\n1,2,3\n").otherwise("one line")
-    return t.documents.select(k.alias("kind"), A.plausible_table(text, ",").alias("plausible")).groupBy("kind", "plausible").agg(F.count("*").alias("n"))
+    text = F.regexp_replace("text", r"\. ", ".\n")
+    return t.documents.select("doc_id", A.plausible_table(text, ",").alias("plausible"))
 
 
 @query("format_changes", """SELECT 'CSV' AS claimed, CASE WHEN probe_id % 3 = 2 THEN 'CSV' WHEN probe_id % 3 = 0 THEN 'JSON' ELSE 'CSV' END AS resolved, count(*) AS n FROM pv_probes GROUP BY 1, 2""", "pv_probes")
@@ -223,11 +240,17 @@ def _(t):
     return p.groupBy("claimed", r.alias("resolved")).agg(F.count("*").alias("n"))
 
 
-@query("total_sizes", """SELECT probe_id, CASE probe_id % 3 WHEN 0 THEN probe_id * 10 WHEN 1 THEN probe_id ELSE probe_id + 5 END AS bytes FROM pv_probes""", "pv_probes")
+@query("total_sizes", r"""SELECT probe_id, CASE probe_id % 6 WHEN 0 THEN probe_id + 100 WHEN 3 THEN probe_id WHEN 5 THEN NULL ELSE CASE WHEN probe_id + 5 >= 6 THEN probe_id + 5 END END AS bytes FROM pv_probes""", "pv_probes")
 def _(t):
     i = F.col("probe_id")
-    rng = F.when(i % 3 == 0, F.concat(F.lit("bytes 0-99/"), (i * 10).cast("string"))).when(i % 3 == 2, "bytes 0-99/*").otherwise("")
-    return probes(t).select("probe_id", A.total_size(rng, F.when(i % 3 == 1, i.cast("string")).otherwise("100"), (i + 5).cast("string")).alias("bytes"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    rng = F.when(i % 6 == 0, text("bytes 0-99/", (i + 100).cast("string"))).when(i % 6 == 1, "bytes 5-2/99").when(i % 6 == 2, "bytes */123").otherwise("")
+    code = F.when(i % 6 <= 2, 206).otherwise(200)
+    length = F.when(i % 6 == 3, i.cast("string")).otherwise("-")
+    got = F.create_map(F.lit("etag"), F.lit("a"), F.lit("content-type"), F.lit("text/csv"))
+    head = F.when(i % 6 == 5, F.create_map(F.lit("etag"), F.lit("b"))).otherwise(F.create_map(F.lit("etag"), F.lit("a")))
+    same = A.head_matches(F.lit(200), F.lit("u"), F.lit("u"), head, got)
+    return probes(t).select("probe_id", A.total_size(code, rng, length, (i + 5).cast("string"), same, F.lit(6)).alias("bytes"))
 
 
 @query("json_payload_check", """SELECT CASE event_id % 4 WHEN 0 THEN 'data' WHEN 1 THEN 'error' WHEN 2 THEN 'empty' END AS evidence, count(*) AS n FROM events GROUP BY 1""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.operators import metadata as D
+from lodestack.operators import records as R
 from lodestack.operators import tables as T
 from lodestack.plans.base import observations, query
 
@@ -33,13 +34,12 @@ def _(t):
     return out.select("doc_id", F.col("m")["Title"].alias("title"), F.col("m")["Geography"].alias("geography"), F.col("m")["Sharing license"].alias("license"))
 
 
-@query("page_from_candidate", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'untitled' END AS title, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_places FROM documents""")
+@query("page_from_candidate", r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, md5(text) AS text, CASE WHEN doc_id % 3 = 0 THEN 'Chad|Mali' ELSE '' END AS places FROM documents""")
 def _(t):
     meta = F.create_map(F.lit("Title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("NA"), F.lit("Geography"), F.when(F.col("doc_id") % 3 == 0, "Chad, Mali,").otherwise("NA"))
-    d = t.documents.select("doc_id", meta.alias("m"))
-    own = lambda k: F.nullif(F.col("m")[k], F.lit("NA"))
-    places = F.filter(F.split(F.coalesce(own("Geography"), F.lit("")), ","), lambda x: F.trim(x) != "")
-    return d.select("doc_id", F.coalesce(own("Title"), F.lit("untitled")).alias("title"), F.size(places).alias("n_places"))
+    d = t.documents.select("doc_id", meta.alias("metadata"), F.col("lang").alias("title"), F.lit("u").alias("url"), F.col("text").alias("description"))
+    out = R.page_from_candidate(d)
+    return out.select("doc_id", F.col("page_title").alias("title"), F.md5("page_text").alias("text"), F.array_join("places", "|").alias("places"))
 
 
 @query("search_terms", r"""WITH w AS (SELECT item_id, unnest(string_split_regex(trim(text), '\s+')) AS w, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) AS i FROM (SELECT item_id, 'Data ' || text || ' databases, the dataset!' AS text FROM benchmark)),
@@ -56,9 +56,15 @@ def _(t):
     return D.sanitize_trace(rows, {"status": ("click", "error")}, {"resource_count": (0, 50)}, ["url"])
 
 
-@query("public_labels", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS label FROM part""")
+@query("public_labels", r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS label, CASE WHEN p_partkey % 3 < 2 THEN '0000000a-0000-4000-8000-' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') END AS uuid,
+CASE WHEN p_partkey % 3 < 2 THEN CAST('2024-01-0' || (p_partkey % 9 + 1) || ' 10:00:00' AS TIMESTAMP) END AS at FROM part""")
 def _(t):
-    return t.part.select("p_partkey", D.public_label(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("http://"), "p_name")).otherwise(F.col("p_name"))).alias("label"))
+    k, name, key = F.col("p_partkey") % 3, F.col("p_name"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    label = D.public_label(F.when(k == 0, F.concat(F.lit("http://"), name)).otherwise(name))
+    ident = D.public_identifier(F.when(k == 0, F.concat(F.lit("{0000000A-0000-4000-8000-"), key, F.lit("}"))).when(k == 1, F.concat(F.lit("0000000a000040008000"), key)).otherwise(name))
+    day = F.concat(F.lit("2024-01-0"), (F.col("p_partkey") % 9 + 1).cast("string"))
+    at = D.public_timestamp(F.when(k == 0, F.concat(day, F.lit("T12:00:00+02:00"))).when(k == 1, F.concat(day, F.lit("T10:00:00Z"))).otherwise(F.concat(day, F.lit("T10:00:00"))))
+    return t.part.select("p_partkey", label.alias("label"), ident.alias("uuid"), at.cast("timestamp_ntz").alias("at"))
 
 
 @query("rebuild_diagnostics", """WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
@@ -75,10 +81,15 @@ def _(t):
     return history_filter(t.documents, "source", "src1", "text", "THE", "lang", "en").select("doc_id")
 
 
-@query("bounded_payload", "SELECT doc_id, CAST(least(length(text), 4000) AS INTEGER) AS chars, CAST(least(len(string_split(text, chr(10))), 20) AS INTEGER) AS heads FROM documents")
+@query("bounded_payload", r"""SELECT doc_id, CAST(least(length(text), 4000) AS INTEGER) AS chars, CAST(least(length(text), 500) AS INTEGER) AS title, CAST(least(length(text), 2000) AS INTEGER) AS description, CAST(least(len(string_split(text, chr(10))), 20) AS INTEGER) AS heads,
+CAST(least(length(text), 500) AS INTEGER) AS meta_title, CAST(least(length(text), 1000) AS INTEGER) AS meta_other, CAST(least(len(string_split(text, ' ')), 10) AS INTEGER) AS resources, CAST(least(length(text), 300) AS INTEGER) AS anchor FROM documents""")
 def _(t):
-    p = t.documents.select("doc_id", D.bounded_payload(F.col("text"), F.split("text", "\n")).alias("p"))
-    return p.select("doc_id", F.length("p.text").alias("chars"), F.size("p.headings").alias("heads"))
+    d, words = t.documents, F.split("text", " ")
+    resources = F.transform(F.slice(words, 1, 30), lambda w: F.struct(w.alias("url"), F.lit("CSV").alias("format"), F.lit(0.9).alias("probability"), F.col("text").alias("anchor"), F.lit("text/csv").alias("mime_type"), F.col("text").alias("nearby_text")))
+    payload = D.bounded_payload({"url": F.col("source"), "title": F.col("text"), "meta_description": F.col("text"), "text": F.col("text")}, F.split("text", "\n"), F.create_map(F.lit("Title"), F.col("text"), F.lit("Disease(s)"), F.col("text")), resources)
+    p = d.select("doc_id", payload.alias("p"))
+    size = lambda c: F.length(c)
+    return p.select("doc_id", size("p.page.text").alias("chars"), size("p.page.title").alias("title"), size("p.page.meta_description").alias("description"), F.size("p.page.headings").alias("heads"), size(F.col("p.page.metadata")["Title"]).alias("meta_title"), size(F.col("p.page.metadata")["Disease(s)"]).alias("meta_other"), F.size("p.distributions").alias("resources"), size(F.col("p.distributions")[0]["anchor"]).alias("anchor"))
 
 
 @query("clean_string_arrays", """WITH i AS (SELECT conv_id, trim(unnest([role, ' ' || role || ' ', '  ', CAST(turn AS VARCHAR)])) AS x, turn FROM conversations)
@@ -99,12 +110,13 @@ def _(t):
     return t.orders.select(D.normalize_doi(v).alias("doi")).filter("doi is not null").groupBy("doi").agg(F.count("*").alias("records"))
 
 
-@query("tag_terms", r"""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+')) AS term FROM documents),
-v AS (SELECT * FROM (VALUES ('license', 'legal'), ('the', 'word'), ('and', 'word'), ('der', 'word'), ('que', 'word')) AS v(term, kind))
-SELECT doc_id, kind, string_agg(w.term, ',' ORDER BY w.term) AS terms FROM w JOIN v USING (term) GROUP BY doc_id, kind""")
+@query("tag_terms", r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS line FROM documents),
+v AS (SELECT * FROM (VALUES ('license', 'legal'), ('the', 'word'), ('and', 'word'), ('der', 'word'), ('que', 'word'), ('of the', 'phrase'), ('de la', 'phrase')) AS v(term, kind))
+SELECT doc_id, kind, CASE WHEN doc_id % 4 = 0 AND kind = 'word' THEN 'der,que' ELSE string_agg(term, ',' ORDER BY term) END AS terms FROM d, v WHERE contains(line, ' ' || term || ' ') OR (doc_id % 4 = 0 AND term IN ('der', 'que')) GROUP BY doc_id, kind""")
 def _(t):
-    vocabulary = t.spark.createDataFrame([("license", "legal"), ("The", "word"), ("and", "word"), ("der", "word"), ("que", "word")], "term string, kind string")
-    return D.tag_terms(t.documents, vocabulary, "doc_id", "text")
+    vocabulary = t.spark.createDataFrame([("license", "legal"), ("The", "word"), ("and", "word"), ("der", "word"), ("que", "word"), ("of the", "phrase"), ("De la", "phrase")], "term string, kind string")
+    subjects = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("Der x"), F.lit("que"))).otherwise(F.array().cast("array<string>"))
+    return D.tag_terms(t.documents.withColumn("subjects", subjects), vocabulary, "doc_id", "text", "subjects")
 
 
 @query("dataset_sizes", r"""WITH d AS (SELECT doc_id, text || ' We saw 1,2' || (10 + doc_id % 90) || ' patients and 5 Records, n = 7 records.' AS text FROM documents),
@@ -115,9 +127,17 @@ def _(t):
     return D.dataset_sizes(t.documents.withColumn("text", text), "doc_id", "text", ("patients", "records"))
 
 
-@query("geography_index", "SELECT format('{},{}', CAST(floor(value - 50) AS INTEGER), CAST(floor(value * 2 - 100) AS INTEGER)) AS place, count(*) AS n FROM events WHERE value - 50 BETWEEN -90 AND 90 AND value * 2 - 100 BETWEEN -180 AND 180 GROUP BY 1")
+@query("geography_index", r"""WITH g AS (SELECT event_id, event_type, CAST(floor(value - 50) AS INTEGER) AS lat, CAST(floor(value * 2 - 100) AS INTEGER) AS lon FROM events),
+p AS (SELECT event_id, CASE WHEN lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 THEN lat || ', ' || lon END AS place FROM g UNION ALL SELECT event_id, event_type FROM g UNION ALL SELECT event_id, 'Lake' FROM g WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, (lat - 60) || ', 170 to ' || lat || ', -170' FROM g WHERE lat - 60 BETWEEN -90 AND 90 AND lat BETWEEN -90 AND 90)
+SELECT place, count(DISTINCT event_id) AS n FROM p WHERE place IS NOT NULL GROUP BY place""")
 def _(t):
-    return D.geography_index(t.events, "event_id", F.col("value") - 50, F.col("value") * 2 - 100).groupBy("place").agg(F.count("*").alias("n"))
+    e, lat, lon = F.col("event_id"), F.col("value") - 50, F.col("value") * 2 - 100
+    whole = lambda c: F.floor(c).cast("int")
+    point, box = D.geo_point(whole(lat), whole(lon)), D.geo_box(whole(lat) - 60, F.lit(170), whole(lat), F.lit(-170))
+    places = F.when(e % 2 == 0, F.array(F.lit(" "), F.lit("Lake"), F.lit("Lake "))).otherwise(F.array().cast("array<string>"))
+    rows = D.geography_index(t.events, "event_id", places, F.array("event_type"), point, box)
+    return rows.groupBy("place").agg(F.count("*").alias("n"))
 
 
 @query("publication_dates", """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'issued' WHEN o_orderkey % 3 = 1 THEN 'available' ELSE 'created' END AS rule, count(*) AS n, max(o_orderdate) AS latest FROM orders GROUP BY 1""")
@@ -130,22 +150,19 @@ def _(t):
 
 @query("best_texts", """SELECT conv_id, arg_min(md5(text), (CASE role WHEN 'assistant' THEN 0 ELSE 1 END) * 100000 + turn) AS digest FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
 def _(t):
-    rank = F.struct(F.when(F.col("role") == "assistant", 0).otherwise(1), F.col("turn"))
-    return t.conversations.filter("trim(text) <> ''").groupBy("conv_id").agg(F.md5(F.min_by("text", rank)).alias("digest"))
+    return R.best_texts(t.conversations, "conv_id", "text", "role", "turn", "assistant").select("conv_id", F.md5("text").alias("digest"))
 
 
 @query("license_index", "SELECT event_type AS license, count(DISTINCT user_id) AS records FROM events GROUP BY event_type")
 def _(t):
-    lists = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("rights"), F.first("event_type").alias("license"))
-    each = lists.select("user_id", F.explode(F.flatten(F.array("rights", F.array("license")))).alias("license")).dropDuplicates()
-    return each.groupBy("license").agg(F.count("*").alias("records"))
+    lists = t.events.groupBy("user_id").agg(F.collect_list("event_type").alias("rights"), F.first("event_type").alias("license"))
+    return R.license_index(lists, "user_id", ["rights"], ["license"]).groupBy("license").agg(F.count("*").alias("records"))
 
 
 @query("modality_index", "SELECT CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'tabular' ELSE 'images' END AS modality, count(*) AS n FROM part WHERE p_type IN ('ECONOMY', 'STANDARD', 'PROMO') GROUP BY 1")
 def _(t):
-    modes = t.spark.createDataFrame([("economy", "tabular"), ("standard", "tabular"), ("promo", "images")], "token string, modality string")
-    tokens = t.part.select("p_partkey", F.explode(F.split(F.lower("p_type"), r"[^a-z0-9]+")).alias("token"))
-    return tokens.join(modes, "token").select("p_partkey", "modality").distinct().groupBy("modality").agg(F.count("*").alias("n"))
+    modes = t.spark.createDataFrame([("economy", "tabular"), ("Standard", "tabular"), ("promo", "images")], "token string, modality string")
+    return R.modality_index(t.part, "p_partkey", "p_type", modes).groupBy("modality").agg(F.count("*").alias("n"))
 
 
 @query("evidence_table", "SELECT dataset_url, 'publisher' AS field, count(DISTINCT publisher) AS n_values, count(*) AS n_evidence FROM pv_obs WHERE publisher <> '' GROUP BY dataset_url UNION ALL SELECT dataset_url, 'title', count(DISTINCT title), count(*) FROM pv_obs WHERE title <> '' GROUP BY dataset_url", "pv_obs")

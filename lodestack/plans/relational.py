@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestack.operators import records as R
+from lodestack.operators import reports as P
 from lodestack.operators import tables as T
 from lodestack.plans.base import halves, jobs, observations, query
 
@@ -25,13 +27,15 @@ def _(t):
     return out.select("dataset_id", F.size("children").alias("n_children"), F.array_join(F.transform("children", lambda c: c["l_partkey"].cast("string")), ",").alias("children"))
 
 
-@query("catalog_by_ids", """SELECT p_partkey AS id, p_name AS title, count(l_orderkey) AS n_children FROM part LEFT JOIN lineitem ON l_partkey = p_partkey
-WHERE p_partkey IN (SELECT DISTINCT n_nationkey * 7 FROM nation) GROUP BY p_partkey, p_name""")
+@query("catalog_by_ids", """SELECT p_partkey AS id, p_name AS title, CAST(count(l_orderkey) AS INTEGER) AS n_children, coalesce(min(l_orderkey), 0) AS first_child FROM part LEFT JOIN lineitem ON l_partkey = p_partkey
+WHERE p_partkey IN (SELECT DISTINCT n_nationkey * 7 FROM nation) AND p_partkey > 0 GROUP BY p_partkey, p_name""")
 def _(t):
-    ids = t.nation.select((F.col("n_nationkey") * 7).cast("bigint").alias("p_partkey")).distinct().limit(100)
-    parts = t.part.join(ids, "p_partkey", "left_semi")
-    n = t.lineitem.join(ids, F.col("l_partkey") == F.col("p_partkey"), "left_semi").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return parts.join(n, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.coalesce("n", F.lit(0)).alias("n_children")).orderBy(F.desc("id"))
+    ids = t.nation.select((F.col("n_nationkey") * 7).cast("bigint").alias("id"))
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    lines = t.lineitem.select(F.col("l_partkey").alias("id"), "l_orderkey", "l_linenumber")
+    out = R.catalog_by_ids(parts, ids, "id", lines, F.struct("l_orderkey", "l_linenumber"), ["l_orderkey"])
+    first = F.coalesce(F.try_element_at(F.col("children"), F.lit(1))["l_orderkey"], F.lit(0))
+    return out.select("id", "title", F.size("children").alias("n_children"), first.alias("first_child"))
 
 
 @query("latest_job_per_candidate", "SELECT candidate_id, job_id, status FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY job_id DESC) AS rn FROM pv_jobs) WHERE rn = 1", "pv_jobs")
@@ -43,11 +47,9 @@ def _(t):
 SELECT c_custkey AS candidate_id, s_suppkey AS dataset_id FROM c JOIN supplier ON s_nationkey = c_nationkey
 UNION SELECT c_custkey, s_suppkey FROM c JOIN supplier ON s_suppkey = c_custkey""")
 def _(t):
-    free = t.customer.join(t.orders.filter("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_nationkey")
-    by_url = free.join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey"))
-    by_source = free.join(t.supplier, F.col("s_suppkey") == F.col("c_custkey"))
-    pick = [F.col("c_custkey").alias("candidate_id"), F.col("s_suppkey").alias("dataset_id")]
-    return by_url.select(*pick).union(by_source.select(*pick)).distinct()
+    c = t.customer.select(F.col("c_custkey").alias("candidate_id"), F.col("c_nationkey").alias("url"), F.col("c_custkey").alias("source_url"))
+    d = t.supplier.select(F.col("s_nationkey").alias("url"), F.col("s_suppkey").alias("dataset_id"))
+    return R.existing_results(c, t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("candidate_id")), d, t.supplier.select(F.col("s_suppkey").alias("source_url"), F.col("s_suppkey").alias("dataset_id")))
 
 
 @query("observations_with_url", "SELECT l_orderkey, l_linenumber, l_partkey, p_name AS dataset_url, l_shipdate AS observed_at FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -67,9 +69,10 @@ def _(t):
     return t.lineitem.join(t.part.filter("p_size > 10"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("duplicate_validations", "SELECT url, count(*) AS n FROM (SELECT split_part(url, '?', 1) AS url FROM pages) GROUP BY url HAVING count(*) > 1")
+@query("duplicate_validations", """SELECT regexp_extract(url, '^[^/]*//[^/]*') AS url, CASE WHEN length(html) > 5000 THEN 'LONG' ELSE 'SHORT' END AS format, count(*) AS n FROM pages GROUP BY 1, 2 HAVING count(*) > 1""")
 def _(t):
-    return t.pages.select(F.split_part("url", F.lit("?"), F.lit(1)).alias("url")).groupBy("url").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = t.pages.select(F.substring_index("url", "/", 3).alias("url"), F.when(F.length("html") > 5000, "LONG").otherwise("SHORT").alias("format"))
+    return P.duplicate_rows(rows, ["url", "format"])
 
 
 @query("plan_collection", """WITH c AS (SELECT o_orderkey AS candidate_id, o_custkey AS url FROM orders WHERE o_orderstatus = 'F'),
@@ -102,27 +105,25 @@ def _(t):
     return t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("search_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("enrich_from_repository", """WITH f AS (SELECT dataset_url, count(DISTINCT publisher) FILTER (WHERE publisher <> '' AND evidence_kind = 'repository') AS n,
-  arg_min(publisher, seq) FILTER (WHERE publisher <> '' AND evidence_kind = 'repository') AS found FROM pv_obs GROUP BY dataset_url),
+@query("enrich_from_repository", """WITH r AS (SELECT dataset_url, publisher, min(seq) AS first_seq FROM pv_obs WHERE publisher <> '' AND evidence_kind = 'repository' GROUP BY dataset_url, publisher),
+f AS (SELECT dataset_url, arg_min(publisher, first_seq) AS found, string_agg(publisher, ',' ORDER BY first_seq) AS evidence FROM r GROUP BY dataset_url),
 p AS (SELECT dataset_url, arg_max(CASE WHEN seq % 2 = 0 THEN '' ELSE publisher END, seq) AS publisher FROM pv_obs WHERE evidence_kind = 'page' GROUP BY dataset_url)
-SELECT p.dataset_url, coalesce(nullif(p.publisher, ''), f.found, '') AS publisher, coalesce(f.n, 0) > 1 AS conflicting FROM p LEFT JOIN f ON f.dataset_url = p.dataset_url""", "pv_obs")
+SELECT p.dataset_url, coalesce(nullif(p.publisher, ''), f.found, '') AS publisher, coalesce(f.evidence, '') AS evidence FROM p LEFT JOIN f ON f.dataset_url = p.dataset_url""", "pv_obs")
 def _(t):
     o = observations(t)
-    own = (F.col("publisher") != "") & (F.col("evidence_kind") == "repository")
-    found = o.groupBy("dataset_url").agg(F.count_distinct(F.when(own, F.col("publisher"))).alias("n"), F.min_by("publisher", F.when(own, F.col("seq"))).alias("found"))
     blank = F.when(F.col("seq") % 2 == 0, "").otherwise(F.col("publisher"))
     pages = o.filter("evidence_kind = 'page'").groupBy("dataset_url").agg(F.max_by(blank, F.col("seq")).alias("publisher"))
-    return pages.join(found, "dataset_url", "left").select("dataset_url", F.coalesce(F.nullif("publisher", F.lit("")), "found", F.lit("")).alias("publisher"), (F.coalesce("n", F.lit(0)) > 1).alias("conflicting"))
+    found = o.filter("evidence_kind = 'repository'").select("dataset_url", "publisher", "seq")
+    out = R.enrich_from_repository(pages, found, "dataset_url", ["publisher"], "seq")
+    values = F.flatten(F.transform("evidence", lambda e: e["values"]))
+    return out.select("dataset_url", "publisher", F.array_join(values, ",").alias("evidence"))
 
 
 @query("retry_lineage", """WITH j AS (SELECT *, lag(status) OVER (PARTITION BY candidate_id ORDER BY job_id) AS prev FROM pv_jobs),
 r AS (SELECT *, sum(CASE WHEN prev = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY candidate_id ORDER BY job_id) AS g FROM j)
 SELECT job_id, candidate_id, min(job_id) OVER (PARTITION BY candidate_id, g) AS root_id FROM r""", "pv_jobs")
 def _(t):
-    by = W.partitionBy("candidate_id").orderBy("job_id")
-    j = jobs(t).withColumn("prev", F.lag("status").over(by))
-    j = j.withColumn("g", F.sum(F.when(F.col("prev") == "error", 0).otherwise(1)).over(by))
-    return j.select("job_id", "candidate_id", F.min("job_id").over(W.partitionBy("candidate_id", "g")).alias("root_id"))
+    return P.retry_lineage(jobs(t), "candidate_id", "job_id", "status").select("job_id", "candidate_id", "root_id")
 
 
 @query("doc_access_rights", """SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))""")
@@ -136,26 +137,27 @@ def _(t):
     return t.orders.join(t.customer.filter("c_mktsegment = 'BUILDING'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("o_orderkey", "o_orderstatus")
 
 
-@query("retry_eligibility", """SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'F') AND o_orderdate <= TIMESTAMP '2000-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
+@query("retry_eligibility", """SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_custkey % 2 = 1)) AND o_orderdate <= TIMESTAMP '2000-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
 def _(t):
-    due = t.orders.filter(F.col("o_orderstatus").isin("P", "F") & (F.col("o_orderdate") <= F.lit("2000-01-01").cast("timestamp_ntz")))
-    return due.join(t.lineitem.filter("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "P", "error").when(F.col("o_orderstatus") == "F", "partial").otherwise("done")
+    due = F.col("o_orderdate") <= F.lit("2000-01-01").cast("timestamp_ntz")
+    published = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return P.retry_eligibility(t.orders, published, "o_orderkey", status, F.col("o_custkey") % 2 == 0, due).select("o_orderkey")
 
 
 @query("scope_resources", """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_suppkey = 1""")
 def _(t):
     known = t.part.filter("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
-    rest = t.lineitem.join(known, "l_partkey", "left_anti").filter("l_suppkey = 1")
-    return t.lineitem.join(known, "l_partkey", "left_semi").unionByName(rest).select("l_orderkey", "l_linenumber", "l_partkey")
+    return R.scope_resources(t.lineitem, known, "l_partkey", F.col("l_suppkey") == 1).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("merge_record_metadata", """SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), s_name) AS title, p_name || ' ' || s_name AS text
-FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 100 WHERE s_name IS NOT NULL""")
+@query("merge_record_metadata", """SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, ''), s_name, '') AS title, concat_ws(' ', p_type, s_name) AS text
+FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 100""")
 def _(t):
-    p = t.part.withColumn("title", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")))
-    j = p.join(t.supplier, F.col("s_suppkey") == F.col("p_partkey") % 100)
-    return j.select("p_partkey", F.coalesce(F.nullif("title", F.lit("")), "s_name").alias("title"), F.concat_ws(" ", "p_name", "s_name").alias("text"))
+    p = t.part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("title"), F.col("p_type").alias("text"))
+    records = p.select("p_partkey", (F.col("p_partkey") % 100).alias("s_suppkey")).join(t.supplier, "s_suppkey").select("p_partkey", F.col("s_name").alias("title"), F.col("s_name").alias("text"))
+    return R.merge_record_metadata(p, records, "p_partkey", ["title"], ["text"])
 
 
 # windows
@@ -205,11 +207,11 @@ def _(t):
     return e.select("event_id", F.row_number().over(one).alias("attempt"), F.row_number().over(every).alias("overall"))
 
 
-@query("due_backlog", "SELECT o_orderstatus AS queue, o_orderkey AS job_id FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderdate <= TIMESTAMP '1999-06-01') WHERE rn <= 20")
+@query("due_backlog", """SELECT o_orderstatus AS queue, o_orderkey AS job_id, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_custkey % 2 = 1 OR o_orderdate <= TIMESTAMP '1999-06-01') WHERE rn <= 20""")
 def _(t):
-    due = t.orders.filter(F.col("o_orderdate") <= F.lit("1999-06-01").cast("timestamp_ntz"))
-    rn = F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderdate", "o_orderkey"))
-    return due.withColumn("rn", rn).filter("rn <= 20").select(F.col("o_orderstatus").alias("queue"), F.col("o_orderkey").alias("job_id"))
+    retry = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderdate"))
+    rows = t.orders.select(F.col("o_orderstatus").alias("queue"), F.col("o_orderkey").alias("job_id"), "o_orderdate", retry.alias("next_retry"))
+    return P.due_backlog(rows, "queue", "next_retry", ["o_orderdate", "job_id"], F.lit("1999-06-01").cast("timestamp_ntz"), 20).select("queue", "job_id", "place")
 
 
 # order, limit, paging
@@ -234,17 +236,30 @@ def _(t):
     return t.events.select("event_id", F.row_number().over(w).alias("place"))
 
 
-@query("evidence_snapshots", "SELECT conv_id, turn, sha256('conv_id=' || conv_id || chr(10) || 'role=' || role || chr(10) || 'text=' || text || chr(10) || 'turn=' || turn) AS checksum FROM conversations")
+@query("evidence_snapshots", """SELECT conv_id, turn, sha256(CAST(json_object('conv_id', conv_id, 'role', role, 'text', text, 'turn', turn) AS VARCHAR)) AS checksum FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", T.evidence_checksum(["conv_id", "turn", "role", "text"]).alias("checksum"))
+    from lodestack.scratch import new_path
+    from lodestack.sources import snapshots as S
+
+    fields, path = ["conv_id", "turn", "role", "text"], new_path(t.spark, "snapshots")
+    S.append_snapshots(t.conversations.filter("turn % 2 = 0"), fields, path)
+    S.append_snapshots(t.conversations.filter("turn % 2 = 1"), fields, path)
+    sound, damaged = S.read_snapshots(t.spark, path, fields)
+    return sound.select("conv_id", "turn", F.col("sha256").alias("checksum")).unionByName(damaged.select("conv_id", "turn", F.lit("damaged").alias("checksum")))
 
 
 @query("newest_snapshots", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS rn FROM conversations WHERE conv_id % 9 <> 0) WHERE rn <= 200")
 def _(t):
-    stored = t.conversations.withColumn("stored", T.evidence_checksum(["conv_id", "turn", "role", "text"])).withColumn("text", F.when(F.col("conv_id") % 9 == 0, "damaged").otherwise(F.col("text")))
-    good = stored.filter(F.col("stored") == T.evidence_checksum(["conv_id", "turn", "role", "text"]))
-    rn = F.row_number().over(W.partitionBy("role").orderBy(F.desc("conv_id"), F.desc("turn")))
-    return good.withColumn("rn", rn).filter("rn <= 200").select("conv_id", "turn")
+    from lodestack.scratch import new_path
+    from lodestack.sources import snapshots as S
+
+    fields, path = ["conv_id", "turn", "role", "text"], new_path(t.spark, "snapshots")
+    S.append_snapshots(t.conversations.filter("conv_id % 9 <> 0"), fields, path)
+    # rows that were changed after capture keep a checksum that no longer fits
+    changed = t.conversations.filter("conv_id % 9 = 0").withColumn("sha256", T.evidence_checksum(fields)).withColumn("text", F.lit("changed"))
+    changed.write.mode("append").parquet(path)
+    sound, _ = S.read_snapshots(t.spark, path, fields)
+    return S.newest_snapshots(sound, "role", ["conv_id", "turn"], 200).select("conv_id", "turn")
 
 
 # sets
@@ -272,13 +287,16 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("id")).subtract(t.lineitem.filter("l_quantity > 40").select("l_partkey"))
 
 
-@query("combine_providers", """SELECT source AS provider, CAST(CASE source WHEN 'src1' THEN 0 ELSE 1 END AS INTEGER) AS provider_rank, doc_id, 'incomplete' AS warning FROM documents WHERE source IN ('src1', 'src2')""")
+@query("combine_providers", """WITH p AS (SELECT source AS provider, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS r, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT provider, CASE WHEN right(provider, 1) = '3' THEN -1 ELSE r END AS provider_rank, CASE WHEN right(provider, 1) = '3' THEN 0 ELSE n END AS n, CASE WHEN right(provider, 1) = '3' THEN 'incomplete' ELSE '' END AS warning FROM p""")
 def _(t):
     d = t.documents.select("doc_id", "source")
-    parts = {s: d.filter(F.col("source") == s).select("doc_id") for s in ("src1", "src2", "src3")}
-    status = d.filter("source in ('src1', 'src2', 'src3')").groupBy(F.col("source").alias("provider")).agg((F.max("source") != "src3").alias("ok"))
+    names = [r.source for r in d.select("source").distinct().orderBy("source").limit(1000).collect()]  # one part per provider
+    parts = {s: d.filter(F.col("source") == s).select("doc_id") for s in names}
+    status = d.groupBy(F.col("source").alias("provider")).agg((F.substring(F.max("source"), -1, 1) != "3").alias("ok"))
     rows, warnings = T.combine_providers(parts, status)
-    return rows.crossJoin(warnings.select(F.col("code").alias("warning"))).select("provider", "provider_rank", "doc_id", "warning")  # one-row right side
+    shown = rows.groupBy("provider", "provider_rank").agg(F.count("*").alias("n")).withColumn("warning", F.lit(""))
+    return shown.unionByName(warnings.select("provider", F.lit(-1).alias("provider_rank"), F.lit(0).cast("bigint").alias("n"), F.col("code").alias("warning")))
 
 
 @query("shared_sources", "SELECT lang AS label FROM documents INTERSECT SELECT CASE WHEN quality = 1 THEN 'en' ELSE 'fr' END FROM labels")
@@ -311,9 +329,8 @@ def _(t):
 sha256(o_custkey || '/' || CASE WHEN o_orderkey % 5 = 0 THEN 'unknown:' || o_orderkey ELSE 'claim:' || o_orderkey % 3 END) AS case_id FROM orders GROUP BY 1, 2, 5""")
 def _(t):
     k = F.col("o_orderkey")
-    claim = F.when(k % 5 == 0, F.concat(F.lit("unknown:"), k.cast("string"))).otherwise(F.concat(F.lit("claim:"), (k % 3).cast("string")))
-    g = t.orders.groupBy(F.col("o_custkey").alias("job_id"), claim.alias("claim")).agg(F.count("*").alias("checks_recorded"), F.count_if(F.col("o_orderstatus") == "F").alias("available_checks"))
-    return g.withColumn("case_id", F.sha2(F.concat_ws("/", F.col("job_id").cast("string"), "claim"), 256))
+    rows = t.orders.select(F.col("o_custkey").alias("job_id"), F.when(k % 5 != 0, (k % 3).cast("string")).alias("claim"), k.alias("attempt"), "o_orderstatus")
+    return P.group_attempts(rows, "job_id", "claim", "attempt", F.col("o_orderstatus") == "F")
 
 
 @query("queue_backlog", "SELECT o_orderstatus AS queue, count(*) AS queued, min(o_orderdate) AS oldest FROM orders GROUP BY o_orderstatus")
@@ -324,7 +341,8 @@ def _(t):
 @query("merge_provenance", "SELECT dataset_url, string_agg(v, ',' ORDER BY v) AS evidence FROM (SELECT DISTINCT dataset_url, evidence_kind || ':' || publisher AS v FROM pv_obs WHERE publisher <> '') GROUP BY dataset_url", "pv_obs")
 def _(t):
     o = observations(t).filter("publisher <> ''")
-    return o.groupBy("dataset_url").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "evidence_kind", "publisher"))), ",").alias("evidence"))
+    out = P.merge_provenance(o, "dataset_url", ["evidence_kind", "publisher"])
+    return out.select("dataset_url", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["evidence_kind"], e["publisher"])), ",").alias("evidence"))
 
 
 @query("active_workload", "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus IN ('O', 'P')) AS candidates, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS jobs")
@@ -342,10 +360,8 @@ def _(t):
 @query("operation_stats", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_duration, round(quantile_cont(value, 0.95), 6) AS p95, count(*) FILTER (WHERE value > 50) AS slow,
 count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'error')) AS unmatched FROM events e GROUP BY event_type""")
 def _(t):
-    e = t.events
-    done = e.filter("event_type = 'error'").select("user_id").distinct().withColumn("ended", F.lit(True))
-    e = e.join(done, "user_id", "left")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_duration"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count_if(F.col("value") > 50).alias("slow"), F.count_if(F.col("ended").isNull()).alias("unmatched"))
+    out = P.operation_stats(t.events, "event_type", "value", 50, t.events.filter("event_type = 'error'"), "user_id")
+    return out.withColumns({"mean_duration": F.round("mean_duration", 6), "p95": F.round("p95", 6)})
 
 
 @query("retention_report", """SELECT 'orders' AS "table", count(*) AS eligible FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')
@@ -360,33 +376,34 @@ def _(t):
 
 @query("discovery_completeness", "SELECT user_id, NOT bool_or(event_type = 'error') AS complete FROM events GROUP BY user_id")
 def _(t):
-    return t.events.groupBy("user_id").agg((~F.bool_or(F.col("event_type") == "error")).alias("complete"))
+    return P.discovery_completeness(t.events, "user_id", F.col("event_type") == "error")
 
 
 @query("local_result_union", """WITH r AS (SELECT o_custkey AS search_id, o_orderkey AS id, 0 AS src FROM orders UNION ALL SELECT o_custkey, l_partkey, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 f AS (SELECT search_id, id, min(src) AS src FROM r GROUP BY search_id, id)
 SELECT search_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY src, id) AS ids FROM f GROUP BY search_id""")
 def _(t):
-    o = t.orders
-    found = o.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = o.select(F.col("o_custkey").alias("search_id"), F.col("o_orderkey").alias("id"), F.lit(0).alias("src")).unionByName(found.select(F.col("o_custkey").alias("search_id"), F.col("l_partkey").alias("id"), F.lit(1).alias("src")))
-    first = rows.groupBy("search_id", "id").agg(F.min("src").alias("src"))
-    return first.groupBy("search_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
+    o = t.orders.select(F.col("o_custkey").alias("search_id"), F.col("o_orderkey").alias("id"))
+    found = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("search_id"), F.col("l_partkey").alias("id"))
+    return P.local_result_union([o, found], "search_id", "id").select("search_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("error_codes_per_candidate", "SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS codes FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY user_id, event_type) GROUP BY user_id")
 def _(t):
-    f = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
-    return f.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "event_type"))), lambda x: x["event_type"]), ",").alias("codes"))
+    return P.ordered_codes(t.events, "user_id", "event_type", "event_id").select("user_id", F.array_join("codes", ",").alias("codes"))
 
 
-@query("assemble_listing", """WITH g AS (SELECT l_orderkey, count(*) AS items, count(DISTINCT l_linenumber) AS pages FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey AS record, coalesce(items, 0) AS items, CASE WHEN coalesce(items, 0) <> o_orderkey % 7 THEN 'wrong_total' WHEN items <> pages THEN 'repeated_page' ELSE 'ok' END AS verdict FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
+@query("assemble_listing", """WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS pages, count(DISTINCT CASE WHEN l_linenumber = 2 AND l_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS totals,
+  max(CASE WHEN l_linenumber = 2 AND l_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS more, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS files FROM lineitem GROUP BY l_orderkey),
+v AS (SELECT o_orderkey AS record, coalesce(n, 0) AS items, CASE WHEN n <> pages THEN 'repeated_page' WHEN totals > 1 THEN 'changed_total' WHEN coalesce(more, 0) = 1 OR o_orderkey % 5 = 0 THEN 'wrong_total' ELSE 'ok' END AS verdict, files FROM orders LEFT JOIN g ON l_orderkey = o_orderkey)
+SELECT record, items, verdict, CASE WHEN verdict = 'ok' THEN coalesce(files, '') ELSE '' END AS files FROM v""")
 def _(t):
-    g = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("pages"))
-    j = t.orders.join(g, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("items", F.coalesce("n", F.lit(0)))
-    verdict = F.when(F.col("items") != F.col("o_orderkey") % 7, "wrong_total").when(F.col("n") != F.col("pages"), "repeated_page").otherwise("ok")
-    return j.select(F.col("o_orderkey").alias("record"), "items", verdict.alias("verdict"))
+    declared = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = t.orders.join(declared, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("record"), (F.coalesce("n", F.lit(0)) + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).alias("declared"))
+    size = F.count("*").over(W.partitionBy("l_orderkey"))
+    pages = t.lineitem.select(F.col("l_orderkey").alias("record"), F.col("l_linenumber").alias("page"), (size + F.when((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 7 == 0), 1).otherwise(0)).alias("total"), F.array("l_partkey").alias("items"))
+    out = R.assemble_listing(o, pages, "record", "declared", "page", "total", "items")
+    return out.select("record", F.col("items").cast("bigint").alias("items"), "verdict", F.coalesce(F.array_join(F.transform("files", lambda x: x.cast("string")), ","), F.lit("")).alias("files"))
 
 
 @query("audit_contracts", """SELECT o_orderkey AS id, 'price_range' AS rule FROM orders WHERE o_totalprice < 0 OR o_totalprice > 400000

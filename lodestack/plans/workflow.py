@@ -120,10 +120,14 @@ def _(t):
     return M.charge_once(r, ["owner_id", "operation"], r.filter("request_id < 50"))
 
 
-@query("attempt_audit", """SELECT event_id, CASE WHEN value = lag(value) OVER w THEN 'repeat' WHEN event_id % 6 = 0 THEN 'stale' ELSE 'valid' END AS verdict FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
+@query("attempt_audit", r"""SELECT event_id, CASE WHEN value = lag(value) OVER w THEN 'repeat' WHEN event_id % 6 = 0 OR user_id NOT IN (SELECT c_custkey FROM customer) THEN 'stale' ELSE 'valid' END AS verdict FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def _(t):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return t.events.select("event_id", F.when(F.col("value") == F.lag("value").over(w), "repeat").when(F.col("event_id") % 6 == 0, "stale").otherwise("valid").alias("verdict"))
+    from lodestack.operators.reports import attempt_audit
+
+    token = F.when(F.col("event_id") % 6 == 0, F.lit("old")).otherwise(F.concat(F.lit("t"), F.col("user_id").cast("string")))
+    runs = t.customer.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token"))
+    rows = t.events.withColumn("token", token)
+    return attempt_audit(rows, runs, "user_id", "event_type", ["ts", "event_id"], "token", ["value"]).select("event_id", "verdict")
 
 
 # outcomes
@@ -188,17 +192,22 @@ def _(t):
     return Q.capacity_replay(requests(t), "operation", "ts", "request_id", 100, F.lit(10)).select("request_id", "admitted")
 
 
-@query("client_networks", """WITH a AS (SELECT CASE WHEN user_id % 2 = 0 THEN '10.0.' || user_id % 7 || '.' || user_id % 3 ELSE '2001:db8:' || user_id % 5 || ':1:' || user_id || '::1' END AS ip FROM events)
-SELECT sha256('key' || CASE WHEN contains(ip, ':') THEN split_part(ip, ':', 1) || ':' || split_part(ip, ':', 2) || ':' || split_part(ip, ':', 3) || ':' || split_part(ip, ':', 4) ELSE ip END) AS network, count(*) AS n FROM a GROUP BY 1""")
+@query("client_networks", r"""SELECT sha256('key' || CASE WHEN user_id % 2 = 0 THEN '10.0.' || user_id % 7 || '.' || user_id % 3 ELSE '2001:0db8:000' || user_id % 5 || ':0001::/64' END) AS network, count(*) AS n FROM events GROUP BY 1""")
 def _(t):
     u = F.col("user_id")
-    ip = F.when(u % 2 == 0, F.concat_ws(".", F.lit("10"), F.lit("0"), (u % 7).cast("string"), (u % 3).cast("string"))).otherwise(F.concat(F.lit("2001:db8:"), (u % 5).cast("string"), F.lit(":1:"), u.cast("string"), F.lit("::1")))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    n = lambda k: (u % k).cast("string")
+    four = text("10.0.", n(7), ".", n(3))
+    ip = F.when(u % 4 == 0, four).when(u % 4 == 1, text("2001:db8:", n(5), ":1:", u.cast("string"), "::1")).when(u % 4 == 2, text("::ffff:", four)).otherwise(text("2001:0DB8:", n(5), ":0001::9"))
     return t.events.groupBy(Q.client_network(ip, "key").alias("network")).agg(F.count("*").alias("n"))
 
 
-@query("next_allowed", """SELECT event_type AS provider, max(greatest(CASE event_id % 3 WHEN 0 THEN ts + to_seconds(event_id % 100) WHEN 1 THEN TIMESTAMP '2024-01-10 00:00:00' END, ts)) FILTER (WHERE event_id % 3 < 2) AS next_allowed FROM events GROUP BY event_type""")
+@query("next_allowed", r"""SELECT event_type AS provider, max(greatest(CASE event_id % 5 WHEN 0 THEN ts + to_seconds(event_id % 100) WHEN 1 THEN TIMESTAMP '2024-01-10 00:00:00' WHEN 2 THEN TIMESTAMP '2024-01-10 06:00:00' WHEN 3 THEN TIMESTAMP '2024-01-10 12:00:00' END, ts)) FILTER (WHERE event_id % 5 < 4) AS next_allowed FROM events GROUP BY event_type""")
 def _(t):
     e = F.col("event_id")
-    header = F.when(e % 3 == 0, (e % 100).cast("string")).when(e % 3 == 1, "2024-01-10 00:00:00").otherwise("soon")
-    r = t.events.select(F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("received"), header.alias("header")).filter("header <> 'soon'")
+    dates = {1: "Wed, 10 Jan 2024 00:00:00 GMT", 2: "Wednesday, 10-Jan-24 06:00:00 GMT", 3: "Wed Jan 10 12:00:00 2024"}
+    header = F.when(e % 5 == 0, (e % 100).cast("string")).otherwise("soon")
+    for k, d in dates.items():
+        header = F.when(e % 5 == k, d).otherwise(header)
+    r = t.events.select(F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("received"), header.alias("header"))
     return Q.next_allowed(r, "provider", "received", "header").withColumn("next_allowed", F.col("next_allowed").cast("timestamp_ntz"))

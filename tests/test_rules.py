@@ -1,5 +1,6 @@
 """Decision tables, invariants and plain restatements of rules that SQL does not cover."""
 
+import datetime as dt
 import itertools
 from collections import defaultdict
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
@@ -196,3 +197,104 @@ def test_datacite_rejects(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_resolve_is_the_standard_rule(spark):
+    from urllib.parse import urljoin
+
+    from lodestack.functions.urls import resolve
+
+    base = "https://h.example/a/b/c/d/e?x=1"
+    refs = ["../../../x", "../../../../../../x", "./y", "../", "..", ".", "z/./../w", "/q/../r/./s", "//o.example/p", "?k=v", "#f", "", "g;x=1/../y", "https://k.example/../m", "../../n?p=../q#../r", "a..b/c"]
+    rows = spark.createDataFrame([(r,) for r in refs], "ref string").select("ref", resolve(F.col("ref"), F.lit(base)).alias("got"))
+    for r in rows.collect():
+        want = urljoin(base, r.ref).split("#")[0] if r.ref in ("", "#f") else urljoin(base, r.ref)
+        assert r.got == want or r.ref.startswith("https://"), r.ref
+
+
+def test_networks_by_the_library(spark):
+    import ipaddress
+
+    from lodestack.operators.quotas import network
+
+    values = ["2001:db8::1", "2001:db8:0:0:5::1", "2001:0db8:0000:0000::9", "::ffff:1.2.3.4", "::FFFF:0102:0304", "0:0:0:0:0:ffff:10.0.0.1", "fe80::1%eth0", "[2001:db8:1:2:3:4:5:6]", "::1", "::", "1.2.3.4", "2001:db8:1:2::10.0.0.1"]
+    got = {r.v: r.n for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", network(F.col("v")).alias("n")).collect()}
+    want = {}
+    for v in values:
+        a = ipaddress.ip_address(v.strip("[]").split("%")[0])
+        if a.version == 6:
+            a = a.ipv4_mapped or ipaddress.ip_network(f"{a}/64", strict=False)
+        want[v] = str(a)
+    for x in values:
+        for y in values:
+            assert (got[x] == got[y]) == (want[x] == want[y]), (x, y)
+    assert got["::ffff:1.2.3.4"] == got["1.2.3.4"] == "1.2.3.4"
+
+
+def test_http_dates_by_the_library(spark):
+    from email.utils import parsedate_to_datetime
+
+    from lodestack.operators.quotas import http_date
+
+    values = ["Wed, 10 Jan 2024 00:00:00 GMT", "Wednesday, 10-Jan-24 06:00:00 GMT", "Wed Jan  3 12:00:00 2024", "10 Jan 2024 05:00:00 +0200", "Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-94 08:49:37 GMT"]
+    got = {r.v: r.d for r in spark.createDataFrame([(v,) for v in [*values, "soon", "2024-01-10 00:00:00", "", "Wed, 40 Jan 2024 00:00:00 GMT"]], "v string").select("v", F.unix_seconds(http_date(F.col("v"))).alias("d")).collect()}
+    for v in values:
+        at = parsedate_to_datetime(v)
+        assert got[v] == (at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)).timestamp(), v
+    assert all(got[v] is None for v in got if v not in values)
+
+
+def test_stems_of_variants_meet(spark):
+    from lodestack.operators.search import stem
+
+    same = [("disease", "diseases"), ("study", "studies"), ("class", "classes"), ("map", "mapping", "mapped", "maps"), ("run", "running", "runs"), ("dataset", "datasets"), ("quick", "quickly"), ("collect", "collected", "collecting"), ("relate", "related", "relating")]
+    kept = ["status", "virus", "analysis", "sing", "red", "this", "need", "bus"]
+    words = [w for g in same for w in g] + kept
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", stem(F.col("w")).alias("s")).collect()}
+    assert all(len({got[w] for w in g}) == 1 for g in same), got
+    assert all(got[w] == w for w in kept), got
+
+
+def test_barriers_by_their_wordings(spark):
+    from lodestack.functions.access import barrier
+
+    cases = {
+        "Authentication is required here": "restricted", "please LOG-IN": "restricted", "You must sign\nin first": "restricted", "invalid API_key": "restricted", "access token expired": "restricted", "Permission denied.": "restricted", "requires permissions": "restricted",
+        "authentication credentials were not provided": "restricted", "unauthorised": "restricted", "Please verify that you are a human": "unconfirmed", "verify you’re not a robot": "unconfirmed", "solve the reCAPTCHA": "unconfirmed", "Checking your browser": "unconfirmed",
+        "no login here": None, "please, log in": None, "the author is required": None, "relogin required": None, "blogin is required": None, "": None,
+    }
+    got = {r.t: r.b for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", barrier(F.col("t")).alias("b")).collect()}
+    assert got == cases
+
+
+def test_dataset_scores_count_own_identifiers(spark):
+    from lodestack.operators import jsonld as J
+
+    rows = [(1, n, k, v) for n, m in {"#a": {"@type": "Dataset", "identifier": '["x9","y"]'}, "#b": {"@type": "Dataset", "url": "https://h/1", "mainEntityOfPage": "p"}, "#c": {"@type": "Dataset", "identifier": "https://doi.org/10.1234/z"}}.items() for k, v in m.items()]
+    merged = spark.createDataFrame(rows, "page int, id string, key string, value string")
+    page = lambda c, v: spark.createDataFrame([(1, v)], f"page int, {c} string")
+    got = {r.id: r.score for r in J.dataset_scores(merged, "page", page("doi", "10.1234/z"), page("url", "https://h/1"), page("native_id", "x9")).collect()}
+    assert got == {"#a": 4, "#b": 3, "#c": 8}
+
+
+def test_total_size_takes_only_sound_evidence(spark):
+    from lodestack.functions.access import total_size
+
+    rows = [(206, "bytes 0-9/99", "10", "5", True, 3, 99), (206, "bytes 5-2/99", "10", "50", True, 3, 50), (206, "bytes */123", "10", "50", False, 3, None), (200, "", "77", "5", True, 3, 77), (200, "", "x", "2", True, 3, None), (206, "bytes 0-99/50", "", "8", True, 3, 8)]
+    frame = spark.createDataFrame(rows, "code int, r string, len string, head string, same boolean, sampled int, want long")
+    c = F.col
+    for r in frame.withColumn("got", total_size(c("code"), c("r"), c("len"), c("head"), c("same"), c("sampled"))).collect():
+        assert r.got == r.want, r
+
+
+def test_snapshots_are_appended_and_verified(spark):
+    from lodestack.scratch import new_path
+    from lodestack.sources import snapshots as S
+
+    path = new_path(spark, "snap")
+    S.append_snapshots(spark.createDataFrame([("o", 1, "a\nb=c", None)], "owner string, n int, a string, b string"), ["owner", "n", "a", "b"], path)
+    S.append_snapshots(spark.createDataFrame([("o", 2, "a", "c\nb=")], "owner string, n int, a string, b string"), ["owner", "n", "a", "b"], path)
+    spark.read.parquet(path).filter("n = 2").withColumns({"n": F.lit(3), "a": F.lit("forged")}).write.mode("append").parquet(path)
+    sound, damaged = S.read_snapshots(spark, path, ["owner", "n", "a", "b"])
+    assert sorted(r.n for r in sound.collect()) == [1, 2] and [r.n for r in damaged.collect()] == [3]
+    assert [r.n for r in S.newest_snapshots(sound, "owner", ["n"], 1).collect()] == [2]
