@@ -2,7 +2,8 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has ``MASK_BITS`` zero bits (within
 least and greatest chunk sizes), so shared passages give shared chunks.  A chunk is stored as a
-frame: its length, its SHA-256 and its samples.  The store has two Parquet tables in the shared folder:
+frame: a length, its SHA-256 and its samples, packed by zstd where the chunk is shared.  The store has
+two Parquet tables in the shared folder:
 
 * ``media``: one row per input row with its ordered list of entries; chunks seen nowhere else are
   frames in the list, all others are references (an empty frame with the chunk's digest);
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ UNIT = 576
 MASK_BITS, LEAST, GREATEST = 11, 512, 8192
 #: Least and most bits of the map of repeated digests; the most are 16 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-#: Bytes of a frame before its samples.
-HEAD = 36
+#: Bytes of a frame before its samples, and the mark in its length of packed ones.
+HEAD, PACKED = 36, 1 << 31
 GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -66,9 +68,21 @@ def cut(payload: bytes) -> list[bytes]:
     return out
 
 
-def frame(chunk: bytes, digest: bytes) -> bytes:
-    """A chunk's stored form: length, digest, samples."""
-    return struct.pack(">I", len(chunk)) + digest + chunk
+def frame(chunk: bytes, digest: bytes, packer: zstandard.ZstdCompressor | None = None) -> bytes:
+    """A chunk's stored form: length, digest, samples, the latter packed if there is a packer."""
+    if packer is None:
+        return struct.pack(">I", len(chunk)) + digest + chunk
+    body = packer.compress(chunk)
+    return struct.pack(">I", len(body) | PACKED) + digest + body
+
+
+def samples(stored: bytes) -> bytes:
+    """The samples of a frame, checked against its length and digest."""
+    size, body = struct.unpack(">I", stored[:4])[0], stored[HEAD:]
+    chunk = zstandard.ZstdDecompressor().decompress(body) if size & PACKED else body
+    if size & ~PACKED != len(body) or hashlib.sha256(chunk).digest() != stored[4:HEAD]:
+        raise ValueError("a stored chunk does not match its digest")
+    return chunk
 
 
 def entries(body: bytes) -> Iterator[tuple[bytes, bytes | None]]:
@@ -125,14 +139,14 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["id", "n_bytes", "body"])
 
     def shared(batches):
-        seen = set()
+        packer, seen = zstandard.ZstdCompressor(level=1), set()
         for b in batches:
             out = {}
             for t in b.column(0).to_pylist():
                 for c in cut(payload_of(t)[0]):
                     d = hashlib.sha256(c).digest()
                     if is_shared(d) and d not in seen:
-                        out[d] = frame(c, d)
+                        out[d] = frame(c, d, packer)
                         if len(seen) < 1 << 16:  # spares repeats inside a task; the rest fold in the shuffle
                             seen.add(d)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["digest", "frame"])
@@ -143,7 +157,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     with arrow_batches(spark, 256):
         rows.mapInArrow(media, f"id {kind}, n_bytes long, body binary").write.option("compression", "zstd").parquet(at_media)
         once = rows.select("t").mapInArrow(shared, "digest binary, frame binary").groupBy("digest").agg(F.min("frame").alias("frame"))
-        once.write.option("compression", "zstd").parquet(at_chunks)
+        once.write.option("compression", "uncompressed").parquet(at_chunks)
     return at_media, at_chunks
 
 
@@ -155,9 +169,9 @@ def _measure(body: bytes, refs: dict[bytes, bytes]) -> tuple:
     hist, tail, n = np.zeros(256, dtype=np.int64), b"", 0
     for digest, held in entries(body):
         held = refs[digest] if held is None else held
-        c = held[HEAD:]
-        if held[:HEAD] != struct.pack(">I", len(c)) + digest or hashlib.sha256(c).digest() != digest:
-            raise ValueError("a stored chunk does not match its digest")
+        if held[4:HEAD] != digest:
+            raise ValueError("a stored chunk does not match its reference")
+        c = samples(held)
         sha.update(c)
         media.update(held)
         hist += np.bincount(np.frombuffer(c, dtype=np.uint8), minlength=256)
@@ -187,34 +201,43 @@ def read_back(spark, at_media: str, at_chunks: str) -> DataFrame:
     media, chunks = spark.read.parquet(at_media), spark.read.parquet(at_chunks)
     kind = dict(media.dtypes)["id"]
 
-    def first(batches):  # measures what needs no other table, and lists what the rest refers to
+    def first(batches):  # measures what needs no other table
         for b in batches:
-            got, keys, refs = [], [], []
+            got, keys = [], []
             for x in b.column(2).to_pylist():
-                wanted = list(dict.fromkeys(d for d, held in entries(x) if held is None))
-                got.append((None,) * 6 if wanted else _measure(x, {}))
-                keys.append(hashlib.md5(x).digest() if wanted else None)
-                refs.append(wanted or None)
-            body = [x if k else None for x, k in zip(b.column(2).to_pylist(), keys, strict=True)]
-            yield _batch([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(refs, pa.list_(pa.binary())), pa.array(body, pa.binary())], got, ["id", "n_bytes", "media_key", "wanted", "body"])
+                alone = all(held is not None for _, held in entries(x))
+                got.append(_measure(x, {}) if alone else (None,) * 6)
+                keys.append(None if alone else hashlib.md5(x).digest())
+            yield _batch([b.column(0), b.column(1), pa.array(keys, pa.binary())], got, ["id", "n_bytes", "media_key"])
+
+    def listed(batches):  # the lists of the rest, and what they refer to
+        for b in batches:
+            rows = [(x, [*dict.fromkeys(d for d, held in entries(x) if held is None)]) for x in b.column(0).to_pylist()]
+            rows = [(hashlib.md5(x).digest(), x, wanted) for x, wanted in rows if wanted]
+            cols = zip(*rows, strict=True) if rows else [[]] * 3
+            kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["media_key", "body", "wanted"])
 
     with arrow_batches(spark, 256):
-        rows = settle(media.select("id", "n_bytes", "body").mapInArrow(first, f"id {kind}, n_bytes long, media_key binary, wanted array<binary>, body binary, {OUT}"), "measured")
-    part = rows.filter(F.col("media_key").isNotNull())
-    lists = settle(part.groupBy("media_key").agg(F.min("body").alias("body"), F.min("wanted").alias("wanted")), "lists")
+        rows = settle(media.select("id", "n_bytes", "body").mapInArrow(first, f"id {kind}, n_bytes long, media_key binary, {OUT}"), "measured")
+        lists = media.select("body").mapInArrow(listed, "media_key binary, body binary, wanted array<binary>")
+        lists = settle(lists.groupBy("media_key").agg(F.min("body").alias("body"), F.min("wanted").alias("wanted")), "lists")
     refs = lists.select("media_key", F.explode("wanted").alias("digest")).join(chunks, "digest")
-    held = refs.groupBy("media_key").agg(F.collect_list("frame").alias("frames"))
+    parts = refs.select("media_key", F.lit(False).alias("whole"), F.col("frame").alias("data")).unionByName(lists.select("media_key", F.lit(True).alias("whole"), F.col("body").alias("data")))
+    held = parts.groupBy("media_key").agg(F.collect_list(F.struct("whole", "data")).alias("parts"))
 
     def assembled(batches):
         for b in batches:
-            got = [_measure(x, {f[4:HEAD]: f for f in frames}) for x, frames in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            got = []
+            for parts in b.column(1).to_pylist():
+                body = next(p["data"] for p in parts if p["whole"])
+                got.append(_measure(body, {p["data"][4:HEAD]: p["data"] for p in parts if not p["whole"]}))
             yield _batch([b.column(0)], got, ["media_key"])
 
     with arrow_batches(spark, 64):
-        whole = lists.select("media_key", "body").join(held, "media_key").select("media_key", "body", "frames")
-        whole = settle(whole.mapInArrow(assembled, f"media_key binary, {OUT}"), "assembled")
+        whole = settle(held.mapInArrow(assembled, f"media_key binary, {OUT}"), "assembled")
     shown = [x.split()[0] for x in OUT.split(", ")]
-    shared = part.select("id", "n_bytes", "media_key").join(whole, "media_key").select("id", "n_bytes", *shown)
+    shared = rows.filter(F.col("media_key").isNotNull()).select("id", "n_bytes", "media_key").join(whole, "media_key").select("id", "n_bytes", *shown)
     return rows.filter(F.col("media_key").isNull()).select("id", "n_bytes", *shown).unionByName(shared)
 
 
