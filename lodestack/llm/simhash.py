@@ -6,10 +6,10 @@ fingerprints that differ in at most ``radius`` positions leave at least one nonz
 to all differing positions, so they agree under the mask of that v: with 2^(radius+1) - 1 tables
 no pair within the radius is missed.
 
-Near copies of a text differ in far more of their five-word shingles than of their two-word ones, so
-``similar_rows`` takes fingerprints over distinct two-word shingles, in several families with
-hashes of their own, and links texts that are within the radius in any family.  How that relates to
-a similarity of 0.8 over five words is measured in the README.
+Near copies differ in far more of their five-word shingles than of their words.  So ``similar_rows``
+seeks candidates by fingerprints over distinct words, in several families with hashes of their own,
+and keeps a pair whose five-word shingles are alike by at least ``SIMILARITY`` (Jaccard).  How many of
+all such pairs are found is measured in the README.
 
 Only distinct fingerprints enter the tables.  Inside a bucket of at most ``BUCKET`` members the
 members are compared; a larger bucket is handled exactly and in linear size by single-bit flips:
@@ -21,7 +21,6 @@ gives the same components.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,8 @@ from lodestack.scratch import arrow_batches, settle
 
 BITS = 64
 RADIUS = 2
-#: Families of fingerprints for near copies, and words in their shingles.
-FAMILIES, PAIR = 8, 2
+#: Families of fingerprints for near copies; words in a compared shingle, and the least similarity.
+FAMILIES, WORDS, SIMILARITY = 12, 5, 0.8
 #: Buckets up to this size are compared pair by pair; larger ones go by flips.
 BUCKET = 24
 
@@ -74,13 +73,19 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(bits, bitorder="little").view("<u8")[0]
 
 
-def family_fingerprints(text: str | None, families: int = FAMILIES, shingle: int = PAIR) -> list[int]:
-    """One unsigned fingerprint a family over the distinct shingles of a whole text; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Hashes of the distinct shingles of a whole text (fewer words: all of them), ascending."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return sorted({xxhash.xxh64_intdigest(s, 42) for s in shingles})
+
+
+def family_fingerprints(text: str | None, families: int = FAMILIES) -> list[int]:
+    """One unsigned fingerprint a family over the distinct words of a whole text; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return [0] * families
-    shingles: Iterable[bytes] = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    h = np.array([*{xxhash.xxh64_intdigest(s, 42) for s in shingles}], dtype="<u8")
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in {*words}], dtype="<u8")
     out = []
     for f in range(families):
         x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * f + 1)) % (1 << 64))
@@ -106,7 +111,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (family, a, b), a < b, whose components are those of all pairs within ``radius`` bits.
+    """Links (family, a, b, dense), a < b, whose components are those of all pairs within ``radius`` bits.
+
+    ``dense`` marks links in large buckets, which stand for all of a bucket's pairs.
 
     ``fps`` has one row for each distinct (``family``, ``fp``).  Radius 1 or 2.
     """
@@ -132,7 +139,8 @@ def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     else:
         out = large.select("family", F.col("fp").alias("b"), F.explode(F.array(*ones)).alias("f")).select("family", "b", F.col("b").bitwiseXOR(F.col("f")).alias("a"))
         linked = out.join(large.withColumnRenamed("fp", "a"), ["family", "a"]).filter("a < b").select("family", "a", "b")
-    return pairs.unionByName(linked).distinct()
+    every = pairs.withColumn("dense", F.lit(False)).unionByName(linked.withColumn("dense", F.lit(True)))
+    return every.groupBy("family", "a", "b").agg(F.max("dense").alias("dense"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,43 +181,64 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def similar_rows(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, families: int = FAMILIES, shingle: int = PAIR) -> tuple[DataFrame, DataFrame]:
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (x, y) of nodes whose texts (node, t) have a Jaccard similarity of at least
+    ``similarity`` over their distinct shingles.  Sizes that differ too much are told first."""
+    def run(batches):
+        for b in batches:
+            sets = [np.array(shingle_hashes(t, shingle), dtype="<u8").view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "s"])
+
+    need = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    with arrow_batches(pairs.sparkSession, 256):
+        sets = settle(texts.join(need, "node", "left_semi").select("node", "t").mapInArrow(run, "node long, n long, s array<long>"), "shingles")
+    size = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    whole = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
+    close = pairs.join(size("x"), "x").join(size("y"), "y").filter(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+    both = close.join(whole("x"), "x").join(whole("y"), "y").withColumn("i", F.size(F.array_intersect("sx", "sy")))
+    return both.filter(F.col("i") >= similarity * (F.col("nx") + F.col("ny") - F.col("i"))).select("x", "y")
+
+
+def similar_rows(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, families: int = FAMILIES, shingle: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, groups) of near copies.
 
     ``rows`` has one row per input row: the input columns in a struct ``doc`` and a number ``row`` that
     is unique, however ids and texts repeat.  ``groups`` has ``row`` and ``group``, which is equal for rows
-    whose texts are linked, directly or through others, by fingerprints of one family that differ in
-    at most ``radius`` bits.  Null texts count as empty, and texts without
-    words are one group.
+    with the same words in the same order, and for rows linked, directly or through others: by
+    fingerprints of one family that differ in at most ``radius`` bits, and a similarity that is
+    verified except for links of large buckets.  A fingerprint that several texts share is verified
+    by the least of them, which the others are compared with.  Null texts count as empty, and texts
+    without words are one group.
     """
     def run(batches):
         at = TaskContext.get().partitionId() << 40
         for b in batches:
-            fps = [family_fingerprints(t, families, shingle) for t in b.column(1).to_pylist()]
-            ids = pa.array(np.arange(at, at + len(fps)))
-            at += len(fps)
-            signed = np.array(fps, dtype=np.uint64).reshape(-1, families).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(list(signed), pa.list_(pa.int64()))], names=["row", "doc", "fps"])
+            texts = b.column(1).to_pylist()
+            fps = np.array([family_fingerprints(t, families) for t in texts], dtype=np.uint64).reshape(-1, families).view(np.int64)
+            nodes = np.array([xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7) for t in texts], dtype=np.uint64).view(np.int64)
+            ids = pa.array(np.arange(at, at + len(texts)))
+            at += len(texts)
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(nodes), pa.array(list(fps), pa.list_(pa.int64()))], names=["row", "doc", "node", "fps"])
 
     src = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("t"))
     with arrow_batches(docs.sparkSession, 256):
-        rows = settle(src.mapInArrow(run, f"row long, doc {src.schema['doc'].dataType.simpleString()}, fps array<long>"), "fingerprinted")
-    # a text is known by its first fingerprint; the other families link those
-    own = rows.select("row", F.col("fps")[0].alias("node"), "fps")
-    every = own.select("node", F.posexplode("fps").alias("family", "fp"))
-    least = settle(every.groupBy("family", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "distinct")
-    links = close_links(least.select("family", "fp"), radius)
-    first = least.select("family", "fp", "first")
-    named = links.join(first.select("family", F.col("fp").alias("a"), F.col("first").alias("x")), ["family", "a"]).join(first.select("family", F.col("fp").alias("b"), F.col("first").alias("y")), ["family", "b"]).select("x", "y")
-    # texts with one fingerprint in a family but several first ones are linked to the least of these
-    same = every.join(first.filter("family > 0").join(least.filter("first < last").select("family", "fp"), ["family", "fp"]), ["family", "fp"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
-    links = named.unionByName(same).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    labels = components(links)
-    groups = own.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("group"))
+        rows = settle(src.mapInArrow(run, f"row long, doc {src.schema['doc'].dataType.simpleString()}, node long, fps array<long>"), "fingerprinted")
+    nodes = settle(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fps").alias("fps")), "nodes")
+    every = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
+    least = settle(every.groupBy("family", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")
+    first = lambda fp, name: least.select("family", F.col("fp").alias(fp), F.col("first").alias(name))
+    links = close_links(least.select("family", "fp"), radius).join(first("a", "x"), ["family", "a"]).join(first("b", "y"), ["family", "b"]).select("x", "y", "dense")
+    same = every.join(least.filter("n > 1").select("family", "fp", "first"), ["family", "fp"]).select(F.col("first").alias("x"), F.col("node").alias("y"), F.lit(False).alias("dense"))
+    links = links.unionByName(same).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "dense")
+    links = settle(links.groupBy("x", "y").agg(F.max("dense").alias("dense")), "candidates")
+    texts = rows.select("row", F.col(f"doc.{text_col}").alias("t")).join(nodes.select("row", "node"), "row")
+    sure = links.filter("dense").select("x", "y").unionByName(alike(links.filter("not dense").select("x", "y"), texts, shingle, similarity))
+    labels = components(sure.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = rows.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("group"))
     return rows.select("row", "doc"), settle(groups, "groups")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """One row of each group of near copies, with the columns of ``docs``: the one with the least id
     (nulls last), the first of those.  Which rows go is joined by row number, so no group of copies
     is gathered anywhere, and texts move at most once."""

@@ -396,11 +396,8 @@ def test_large_buckets_and_chains(spark):
 
 
 def plain_families(text, families=simhash.FAMILIES):
-    ws, full = lower(text or "").encode().split(), (1 << 64) - 1
-    if not ws:
-        return [0] * families
-    hs = {xxhash.xxh64_intdigest(b" ".join(ws[i : i + 2]), 42) for i in range(max(1, len(ws) - 1))}
-    out = []
+    ws, full = {*lower(text or "").encode().split()}, (1 << 64) - 1
+    hs, out = {xxhash.xxh64_intdigest(w, 42) for w in ws}, []
     for f in range(families):
         mixed = []
         for h in hs:
@@ -411,22 +408,25 @@ def plain_families(text, families=simhash.FAMILIES):
     return out
 
 
-def plain_groups(prints):
-    """{key: least key of its group}: keys are linked within two bits in any family."""
-    parent = {k: k for k in prints}
-    keys = sorted(prints)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            if any(bin(x ^ y).count("1") <= 2 for x, y in zip(prints[a], prints[b], strict=True)):
-                while parent[a] != a:
-                    a = parent[a]
-                while parent[b] != b:
-                    b = parent[b]
-                parent[max(a, b)] = min(a, b)
+def plain_groups(texts):
+    """{key: least key of its group}: keys are linked by equal words, or within two bits in any family
+    and by a similarity of 0.8 over five words."""
+    words = {k: tuple(lower(t or "").encode().split()) for k, t in texts.items()}
+    prints = {k: plain_families(t) for k, t in texts.items()}
+    sets = {k: {w[i : i + 5] for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    parent, keys = {k: k for k in texts}, sorted(texts)
+
     def root(k):
         while parent[k] != k:
             k = parent[k]
         return k
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            near = any(bin(x ^ y).count("1") <= 2 for x, y in zip(prints[a], prints[b], strict=True))
+            if words[a] == words[b] or (near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
     return {k: root(k) for k in keys}
 
 
@@ -441,7 +441,7 @@ def test_similar_rows_are_the_plain_groups(spark, docs, texts):
     frame = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(5)
     rows, groups = simhash.similar_rows(frame)
     got = {r.doc_id: r.group for r in rows.join(groups, "row").select("doc.doc_id", "group").collect()}
-    want = plain_groups({d: plain_families(t) for d, t in every.items()})
+    want = plain_groups(every)
     mine, theirs = defaultdict(set), defaultdict(set)
     for d in every:
         mine[got[d]].add(d)

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as P
 import __spark_entry__
 from tests.conftest import SF
-from tests.llm.test_operators import check_bins, plain_families, plain_groups, plain_spans
+from tests.llm.test_operators import check_bins, plain_groups, plain_spans
 
 
 def test_stages_decide(spark):
@@ -16,7 +16,7 @@ def test_stages_decide(spark):
         assert out.columns == docs.columns, name
         kept = out
     before = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text)}
-    want = set(plain_groups({d: plain_families(t) for d, t in before.items()}).values())
+    want = set(plain_groups(before).values())
     assert {r.doc_id for r in kept.collect()} == want
     clean = P.redact_personal_data(spark, kept, SF).cache()
     for r in clean.collect():
@@ -60,7 +60,7 @@ def test_stages_keep_their_rows_on_odd_input(spark, odd):
     rows = odd.collect()
     lettered = [r for r in rows if any(c.isalpha() for c in r.text or "")]
     assert P.keep_known_languages(spark, odd, SF).count() == len(lettered)
-    groups = plain_groups({i: plain_families(r.text) for i, r in enumerate(rows)})
+    groups = plain_groups({i: r.text for i, r in enumerate(rows)})
     assert P.keep_one_of_near_duplicates(spark, odd, SF).count() == len(set(groups.values()))
     assert P.redact_personal_data(spark, odd, SF).count() == len(rows)
     mixed = P.mix_sources(spark, odd, SF).collect()
