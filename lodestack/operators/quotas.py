@@ -6,10 +6,13 @@ is refused and leaves the counter alone, so later smaller requests may still pas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.scratch import let
+from lodestack.scratch import arrow_batches, let, settle
 
 
 def quota_replay_units(requests: DataFrame, keys: list[str], time: str, order: str, limit: int, unit: str) -> DataFrame:
@@ -21,55 +24,101 @@ def quota_replay_units(requests: DataFrame, keys: list[str], time: str, order: s
     return out.withColumn("retry_after", F.when(~F.col("admitted"), F.col("_wait"))).drop("_wait")
 
 
-def _fold(rows: Column, limits: list[int], used: list[Column]) -> Column:
-    """Greedy admission over ordered rows (struct with amount); charges all counters or none."""
-    zero = F.struct(F.array(*[F.lit(0).cast("long") for _ in limits]).alias("used"), F.array().cast("array<boolean>").alias("ok"))
+def _walk(rows: DataFrame, keys: list[str], out: str, make: Callable[[], Callable[[tuple], bool]]) -> DataFrame:
+    """``rows`` (keys, window, ts, id, ...) with ``admitted``, gone through in time order per (keys, window).
+
+    Rows are dealt by key and sorted by Spark; a task keeps only the counters of the window it is in,
+    so a window may have any number of requests.  ``make`` gives the rule of a new window."""
+    spark, head = rows.sparkSession, [*keys, "window"]
+    rows = rows.repartition(*head).sortWithinPartitions(*head, "ts", "id")
+
+    def run(batches):
+        now, rule = None, None
+        for b in batches:
+            ok = []
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[: len(head)] != now:
+                    now, rule = row[: len(head)], make()
+                ok.append(rule(row[len(head) + 2 :]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], names=[*b.schema.names, "admitted"])
+
+    with arrow_batches(spark, 10_000):
+        return settle(rows.mapInArrow(run, _schema(rows) + ", admitted boolean"), out)
 
-    def step(acc: Column, r: Column) -> Column:
-        fits = F.lit(True)
-        for i, limit in enumerate(limits):
-            fits = fits & (acc["used"][i] + r["amount"] <= limit)
-        return F.struct(F.transform(acc["used"], lambda u: u + F.when(fits, r["amount"]).otherwise(0).cast("long")).alias("used"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
 
-    return F.aggregate(rows, zero, step, lambda a: a["ok"])
+def _schema(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
 
 def quota_replay(requests: DataFrame, keys: list[str], time: str, order: str, amount: str, limit: int, unit: str) -> DataFrame:
-    """Requests of any amount, folded in time order inside one owner's window.
+    """Requests of any amount in time order inside one owner's window: (keys, window, order, admitted)."""
+    rows = requests.select(*keys, F.date_trunc(unit, F.col(time)).alias("window"), F.col(time).alias("ts"), F.col(order).alias("id"), F.col(amount).cast("long").alias("amount"))
+
+    def make() -> Callable[[tuple], bool]:
+        used = 0
+
+        def rule(row: tuple) -> bool:
+            nonlocal used
+            fits = used + row[0] <= limit
+            used += row[0] if fits else 0
+            return fits
+
+        return rule
 
-    A window of one owner is the unit of work; at most ``limit`` admitted requests fit into it, and
-    a window with more requests than an executor can hold belongs on the streaming form.
-    """
-    rows = requests.groupBy(*keys, F.date_trunc(unit, F.col(time)).alias("window")).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("ts"), F.col(order).alias("id"), F.col(amount).cast("long").alias("amount")))).alias("rows"))
-    rows = rows.withColumn("ok", _fold(F.col("rows"), [limit], []))
-    return rows.select(*keys, "window", F.explode(F.arrays_zip("rows", "ok")).alias("r")).select(*keys, "window", F.col("r.rows.id").alias(order), F.col("r.ok").alias("admitted"))
+    return _walk(rows, keys, "admitted", make).select(*keys, "window", F.col("id").alias(order), "admitted")
 
 
 def quota_replay_all(requests: DataFrame, client: str, owner: str, time: str, order: str, owner_limit: int, client_limit: int, global_limit: int, unit: str = "day") -> DataFrame:
     """Owner and client limits are charged together or not at all; then the global limit applies
     over admitted requests in time order.  A request refused by the global limit has already used
-    its client's room."""
-    day = F.date_trunc(unit, F.col(time))
-    entry = F.struct(F.col(time).alias("ts"), F.col(order).alias("id"), F.col(owner).alias("owner"))
-    rows = requests.groupBy(client, day.alias("window")).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")).alias("own"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc: Column, r: Column) -> Column:
-        mine = F.coalesce(F.try_element_at(acc["own"], r["owner"]), F.lit(0).cast("long"))
-        fits = (acc["n"] < client_limit) & (mine < owner_limit)
-        own = F.when(fits, F.map_concat(F.map_filter(acc["own"], lambda k, _: k != r["owner"]), F.map_from_arrays(F.array(r["owner"]), F.array(mine + 1)))).otherwise(acc["own"])
-        return F.struct((acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"), own.alias("own"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
-
-    rows = rows.withColumn("ok", F.aggregate("rows", zero, step, lambda a: a["ok"]))
-    each = rows.select("window", F.explode(F.arrays_zip("rows", "ok")).alias("r")).select("window", F.col("r.rows.id").alias(order), F.col("r.rows.ts").alias("ts"), F.col("r.ok").alias("_ok"))
-    run = F.sum(F.col("_ok").cast("int")).over(Window.partitionBy("window").orderBy("ts", order))
-    return each.withColumn("admitted", F.col("_ok") & (run <= global_limit)).select(order, "admitted")
-
-
-def capacity_replay(requests: DataFrame, queue: str, time: str, order: str, capacity: int, started: Column) -> DataFrame:
-    """Unit requests are admitted while those already active plus the admitted ones fit."""
+    its client's room.
+
+    Where the global limit falls is found from totals per minute; only the requests of that one
+    minute are ranked."""
+    rows = requests.select(F.col(client).alias("client"), F.date_trunc(unit, F.col(time)).alias("window"), F.col(time).alias("ts"), F.col(order).alias("id"), F.col(owner).cast("string").alias("owner"))
+
+    def make() -> Callable[[tuple], bool]:
+        own: dict[str, int] = {}  # at most client_limit owners are ever charged
+        total = 0
+
+        def rule(row: tuple) -> bool:
+            nonlocal total
+            fits = total < client_limit and own.get(row[0], 0) < owner_limit
+            if fits:
+                own[row[0]] = own.get(row[0], 0) + 1
+                total += 1
+            return fits
+
+        return rule
+
+    each = _walk(rows, ["client"], "charged", make).withColumn("slot", F.date_trunc("minute", "ts"))
+    totals = each.filter("admitted").groupBy("window", "slot").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("window").orderBy("slot"))
+    totals = totals.select("window", "slot", upto.alias("upto"), (upto - F.col("n")).alias("before"))
+    j = each.join(totals, ["window", "slot"], "left")
+    border = j.filter(F.col("admitted") & (F.col("before") < global_limit) & (F.col("upto") > global_limit))
+    rank = F.row_number().over(Window.partitionBy("window").orderBy("ts", "id"))
+    border = border.select("id", (F.col("before") + rank <= global_limit).alias("admitted"))
+    rest = j.filter(~(F.col("admitted") & (F.col("before") < global_limit) & (F.col("upto") > global_limit)))
+    rest = rest.select("id", (F.col("admitted") & F.coalesce(F.col("upto") <= global_limit, F.lit(False))).alias("admitted"))
+    return rest.unionByName(border).withColumnRenamed("id", order)
+
+
+def capacity_replay(requests: DataFrame, queue: str, time: str, order: str, capacity: int, started: int) -> DataFrame:
+    """Unit requests are admitted while those already active plus the admitted ones fit.
+
+    The minute in which a queue fills is found from totals per minute; only its requests are ranked."""
+    room = capacity - started
+    rows = requests.withColumn("_slot", F.date_trunc("minute", F.col(time)))
+    totals = rows.groupBy(queue, "_slot").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(queue).orderBy("_slot"))
+    totals = totals.select(queue, "_slot", upto.alias("_upto"), (upto - F.col("_n")).alias("_before"))
+    j = rows.join(totals, [queue, "_slot"])
+    at_border = (F.col("_before") < room) & (F.col("_upto") > room)
     rank = F.row_number().over(Window.partitionBy(queue).orderBy(time, order))
-    return requests.withColumn("admitted", started + rank <= capacity)
+    border = j.filter(at_border).withColumn("admitted", F.col("_before") + rank <= room)
+    rest = j.filter(~at_border).withColumn("admitted", F.col("_upto") <= room)
+    return rest.unionByName(border).select(*requests.columns, "admitted")
 
 
 def address_groups(address: Column) -> Column:

@@ -19,7 +19,10 @@ def _(t):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("quota_admit_stream")
+@query("quota_admit_stream", """WITH RECURSIVE r AS (SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS owner_id, date_trunc('day', ts) AS d, event_id % 3 + 1 AS amount, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT request_id, owner_id, d, rn, amount <= 4 AS ok, CASE WHEN amount <= 4 THEN amount ELSE 0 END AS used FROM r WHERE rn = 1
+  UNION ALL SELECT r.request_id, r.owner_id, r.d, r.rn, f.used + r.amount <= 4, CASE WHEN f.used + r.amount <= 4 THEN f.used + r.amount ELSE f.used END FROM f JOIN r ON r.owner_id = f.owner_id AND r.d = f.d AND r.rn = f.rn + 1)
+SELECT owner_id, request_id, ok AS admitted FROM f""")
 def _(t):
     e = events(t).select(F.col("user_id").cast("string").alias("owner_id"), F.col("event_id").alias("request_id"), F.unix_micros("ts").alias("ts_us"), (F.col("event_id") % 3 + 1).alias("amount"))
     return J.run_to_table(J.quota_admit_stream(e, 4, 86_400_000_000), "admitted")
@@ -31,6 +34,13 @@ def _(t):
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("command_conflict_stream", """WITH c AS (SELECT event_id, user_id || '/' || event_type AS command_key, event_id % 2 AS p, first_value(event_id % 2) OVER w AS f, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
+SELECT event_id AS command_id, command_key, CASE WHEN rn = 1 THEN 'accepted' WHEN p = f THEN 'replay' ELSE 'conflict' END AS outcome FROM c""")
+def _(t):
+    e = events(t).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("command_key"), F.col("event_id").alias("command_id"), F.unix_micros("ts").alias("ts_us"), (F.col("event_id") % 2).cast("string").alias("fingerprint"), "ts")
+    return J.run_to_table(J.command_outcome_stream(e, "ts", 400 * 86_400_000), "outcomes")
+
+
 @query("job_state_stream", "SELECT user_id AS job_id, max(event_id) AS version, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def _(t):
     e = events(t).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("version"), F.col("event_type").alias("status"))

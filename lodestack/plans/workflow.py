@@ -189,7 +189,7 @@ def _(t):
 
 @query("capacity_replay", "SELECT request_id, 10 + row_number() OVER (PARTITION BY operation ORDER BY ts, request_id) <= 100 AS admitted FROM pv_requests", "pv_requests")
 def _(t):
-    return Q.capacity_replay(requests(t), "operation", "ts", "request_id", 100, F.lit(10)).select("request_id", "admitted")
+    return Q.capacity_replay(requests(t), "operation", "ts", "request_id", 100, 10).select("request_id", "admitted")
 
 
 @query("client_networks", r"""SELECT sha256('key' || CASE WHEN user_id % 2 = 0 THEN '10.0.' || user_id % 7 || '.' || user_id % 3 ELSE '2001:0db8:000' || user_id % 5 || ':0001::/64' END) AS network, count(*) AS n FROM events GROUP BY 1""")

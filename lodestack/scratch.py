@@ -57,12 +57,6 @@ def ship(spark: SparkSession) -> None:
     sc._lodestack_sent = True
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Ready the session for Python tasks, with small Arrow batches where texts may be very long."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 @contextmanager
 def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
     """A session setting for the jobs that run inside the block; the former value comes back afterwards."""

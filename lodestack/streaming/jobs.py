@@ -54,18 +54,18 @@ class Admit(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         window, used = self.state.get() if self.state.exists() else (-1, 0)
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts_us", "request_id"], kind="stable")
-            out = []
-            for request, at, amount in zip(pdf["request_id"], pdf["ts_us"], pdf["amount"], strict=True):
-                own = int(at) // self.micros
-                if own > window:
-                    window, used = own, 0
-                ok = used + int(amount) <= self.limit
-                used += int(amount) if ok else 0
-                out.append((key[0], int(request), ok))
-            yield pd.DataFrame(out, columns=["owner_id", "request_id", "admitted"])
+        # a key's rows of one batch come in chunks, which are not in order among themselves
+        pdf = pd.concat(rows).sort_values(["ts_us", "request_id"], kind="stable")
+        out = []
+        for request, at, amount in zip(pdf["request_id"], pdf["ts_us"], pdf["amount"], strict=True):
+            own = int(at) // self.micros
+            if own > window:
+                window, used = own, 0
+            ok = used + int(amount) <= self.limit
+            used += int(amount) if ok else 0
+            out.append((key[0], int(request), ok))
         self.state.update((window, used))
+        yield pd.DataFrame(out, columns=["owner_id", "request_id", "admitted"])
 
     def close(self) -> None:
         pass
@@ -82,6 +82,45 @@ def command_dedup_stream(commands: DataFrame, time: str, keys: list[str], retent
     return commands.withWatermark(time, retention).dropDuplicatesWithinWatermark(keys)
 
 
+class Commands(StatefulProcessor):
+    """First command of a key is accepted; the same one again is a replay, another one a conflict."""
+
+    def __init__(self, retention_ms: int):
+        self.retention = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("first", "print string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(rows).sort_values(["ts_us", "command_id"], kind="stable")
+        first = self.state.get()[0] if self.state.exists() else None
+        out = []
+        for command, mark, at in zip(pdf["command_id"], pdf["fingerprint"], pdf["ts_us"], strict=True):
+            if first is None:
+                first, outcome = mark, "accepted"
+                self.state.update((mark,))
+                self.handle.registerTimer(int(at) // 1000 + self.retention)
+            else:
+                outcome = "replay" if mark == first else "conflict"
+            out.append((key[0], int(command), outcome))
+        yield pd.DataFrame(out, columns=["command_key", "command_id", "outcome"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def command_outcome_stream(commands: DataFrame, time: str, retention_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """(command_key, command_id, outcome) of commands with command_key, command_id, ts_us, fingerprint and
+    ``time``; a key is forgotten the retention time after its first command, in event time."""
+    ship(commands.sparkSession)
+    return commands.withWatermark(time, late).groupBy("command_key").transformWithStateInPandas(Commands(retention_ms), "command_key string, command_id long, outcome string", "Append", "EventTime")
+
+
 class LatestState(StatefulProcessor):
     """Keeps the newest version of a job; older versions are dropped."""
 
@@ -148,21 +187,39 @@ def stalled_work_stream(events: DataFrame, time: str, deadline_s: int = 300, lat
     return events.withWatermark(time, late).groupBy("work_id").transformWithStateInPandas(Stalled(deadline_s * 1000), "work_id long, started_ms long", "Append", "EventTime")
 
 
-def catalog_upsert_stream(observations: DataFrame, label: str = "catalogue") -> DataFrame:
-    """Fold observations into a catalogue, one version of the table per micro-batch."""
+#: Parts of a streamed catalogue; a batch rewrites only those that it touches.
+PARTS = 64
+
+
+def read_streamed_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of every part of a streamed catalogue."""
+    newest = spark.read.parquet(f"{root}/pointer").groupBy("part").agg(F.max("version").alias("version")).collect()  # at most PARTS rows
+    return spark.read.option("basePath", f"{root}/data").parquet(*[f"{root}/data/version={r.version}/part={r.part}" for r in newest]).drop("version", "part")
+
+
+def catalog_upsert_stream(observations: DataFrame, root: str | None = None) -> DataFrame:
+    """Fold observations into a catalogue below ``root`` and return it.
+
+    A micro-batch reads and rewrites the parts that it touches and publishes them in a pointer table
+    under its number; state and progress lie below ``root``, so a stream that is started again with
+    the same root goes on where it was, and a batch that is run again gives the same version."""
     spark = observations.sparkSession
-    state = {"path": None}
+    root = root or new_path(spark, "catalogue")
+    part = F.pmod(F.xxhash64("dataset_url"), F.lit(PARTS)).cast("int")
+    spark.createDataFrame([], "part int, version long").write.mode("append").parquet(f"{root}/pointer")
 
-    def fold(batch: DataFrame, _: int) -> None:
+    def fold(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        if state["path"]:
-            old = spark.read.parquet(state["path"])
+        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # at most PARTS rows
+        known = spark.read.parquet(f"{root}/pointer").filter((F.col("version") < version) & F.col("part").isin(touched)).groupBy("part").agg(F.max("version").alias("version")).collect()
+        if known:
+            old = spark.read.option("basePath", f"{root}/data").parquet(*[f"{root}/data/version={r.version}/part={r.part}" for r in known]).drop("version", "part")
         else:
             old = batch.limit(0).withColumns({"first_seen": F.col("observed_at"), "last_seen": F.col("observed_at")}).drop("observed_at")
-        path = new_path(spark, label)
-        M.upsert_datasets(old, batch, "dataset_url", ["title", "publisher"], ["source"], "observed_at").write.parquet(path)
-        state["path"] = path
+        rows = M.upsert_datasets(old, batch, "dataset_url", ["title", "publisher"], ["source"], "observed_at")
+        rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{root}/data/version={version}")
+        spark.createDataFrame([(p, version) for p in touched], "part int, version long").write.mode("append").parquet(f"{root}/pointer")
 
-    q = observations.writeStream.foreachBatch(fold).option("checkpointLocation", new_path(spark, f"{label}-log")).trigger(availableNow=True).start()
+    q = observations.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(state["path"])
+    return read_streamed_catalog(spark, root)

@@ -298,3 +298,48 @@ def test_snapshots_are_appended_and_verified(spark):
     sound, damaged = S.read_snapshots(spark, path, ["owner", "n", "a", "b"])
     assert sorted(r.n for r in sound.collect()) == [1, 2] and [r.n for r in damaged.collect()] == [3]
     assert [r.n for r in S.newest_snapshots(sound, "owner", ["n"], 1).collect()] == [2]
+
+
+def test_stalled_work_by_hand(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect()
+    end = max(r.ts for r in rows) - dt.timedelta(minutes=1)
+    started = {}
+    for r in rows:
+        if r.event_type == "error":
+            started.pop(r.user_id, None)
+        else:
+            started.setdefault(r.user_id, r.ts)
+    want = {u: t for u, t in started.items() if t + dt.timedelta(seconds=300) <= end}
+    got = {r.work_id: r.started_ms for r in plans.load()["stalled_work_stream"][0](spark, SF).collect()}
+    assert len(want) > 5 and got == {u: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for u, t in want.items()}
+
+
+def test_admission_does_not_depend_on_chunks(spark):
+    from lodestack.scratch import setting
+
+    run = lambda: sorted(map(tuple, plans.load()["quota_admit_stream"][0](spark, SF).collect()))
+    whole = run()
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 2):
+        assert run() == whole
+
+
+def test_streamed_catalogue_goes_on_where_it_was(spark):
+    from lodestack.plans.base import observations
+    from lodestack.scratch import new_path
+    from lodestack.streaming import jobs as J
+
+    root, src = new_path(spark, "streamed"), new_path(spark, "source")
+
+    class Part:
+        def __init__(self, events):
+            self.events = events
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for rest in (0, 1):
+        events.filter(F.col("event_id") % 2 == rest).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.schema).parquet(src)
+        o = observations(Part(stream)).withColumnRenamed("evidence_kind", "source").drop("checked_now", "probability")
+        got = J.catalog_upsert_stream(o, root)
+    whole = observations(Part(events)).groupBy("dataset_url").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+    mine = {r.dataset_url: (r.first_seen, r.last_seen) for r in got.collect()}
+    assert mine == {r.dataset_url: (r.first_seen, r.last_seen) for r in whole.collect()} and got.count() == len(mine)
