@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.scratch import arrow_batches, settle
 
@@ -136,7 +137,7 @@ def prototypes(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, n: int = N, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs``' id (and ``keep`` columns) with lang_pred and score for every row.
+    """``docs``' id with lang_pred and score for every row, and ``keep`` columns in a struct ``kept``.
 
     The score is the cosine with the best prototype, cut to 0..1.  A null text, one without
     letters, or an empty set of profiles gives ``und`` with score 0.  Ties go to the label that is
@@ -163,7 +164,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
                     pred[i], score[i] = labels[best[i]], min(1.0, max(0.0, float(cos[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names[1:], "lang_pred", "score"])
 
-    src = docs.select(F.col(text_col).alias("__text"), F.col(id_col), *[F.col(c) for c in keep])
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
+    src = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("id"), *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []))
+    schema = StructType(src.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
     with arrow_batches(spark, 512):
-        return settle(src.mapInArrow(run, f"{head}, lang_pred string, score double"), "identified")
+        return settle(src.mapInArrow(run, schema), "identified").withColumnRenamed("id", id_col)

@@ -28,6 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from lodestack.scratch import arrow_batches, settle
 
@@ -222,7 +223,8 @@ def similar_rows(docs: DataFrame, text_col: str = "text", radius: int = RADIUS,
 
     src = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("t"))
     with arrow_batches(docs.sparkSession, 256):
-        rows = settle(src.mapInArrow(run, f"row long, doc {src.schema['doc'].dataType.simpleString()}, node long, fps array<long>"), "fingerprinted")
+        schema = StructType().add("row", "long").add(src.schema["doc"]).add("node", "long").add("fps", ArrayType(LongType()))
+        rows = settle(src.mapInArrow(run, schema), "fingerprinted")
     nodes = settle(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fps").alias("fps")), "nodes")
     every = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
     least = settle(every.groupBy("family", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")

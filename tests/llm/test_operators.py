@@ -155,6 +155,36 @@ def test_language_vectors_are_the_plain_sum():
     assert np.array_equal(got[0], want) and has.tolist() == [True, False, False, True]
 
 
+def test_language_predictions_are_the_plain_cosines(spark, docs, texts):
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    some = [d for d in sorted(texts) if len(texts[d]) < 3000][:60]
+
+    def vector(text):
+        chars = "".join(c if c.isalpha() else " " for c in text.lower())
+        chars = [ord(c) for c in (" " + " ".join(chars.split()) + " ")] if chars.split() else []
+        out = np.zeros(language.DIM)
+        for a, b, c in zip(chars, chars[1:], chars[2:], strict=False):
+            out += np.roll(language.letter_vector(a), 2) * np.roll(language.letter_vector(b), 1) * language.letter_vector(c)
+        return out
+
+    vectors = {d: vector(texts[d]) for d in some}
+    learned = some[:40]
+    proto = {k: sum(vectors[d] for d in learned if langs[d] == k) for k in sorted({langs[d] for d in learned if langs[d]})}
+    frame = docs.filter(F.col("doc_id").isin(some))
+    profiles = language.prototypes(frame.filter(F.col("doc_id").isin(learned)))
+    for r in language.identify(frame, profiles).collect():
+        cos = {k: float(vectors[r.doc_id] @ p / np.linalg.norm(vectors[r.doc_id]) / np.linalg.norm(p)) for k, p in proto.items()}
+        best = max(cos, key=cos.get)
+        assert r.lang_pred == best and r.score == pytest.approx(max(0, cos[best]), abs=1e-6)
+
+
+def test_language_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "the cat and the dog", "en", 0.5, "x")], "doc_id long, text string, lang string, score double, `lang pred` string")
+    row = language.identify(frame, language.prototypes(frame), keep=tuple(frame.columns)).first()
+    assert (row.kept.score, row.kept["lang pred"], row.lang_pred) == (0.5, "x", "en") and row.score == pytest.approx(1, abs=1e-6)
+    assert [tuple(r) for r in simhash.keep_one(frame).collect()] == [tuple(r) for r in frame.collect()]
+
+
 # op3
 
 
@@ -314,6 +344,13 @@ def test_search_is_exact(spark, docs, texts):
         assert [s for _, s in got[i]] == pytest.approx([s for _, s in want])
 
 
+def test_search_takes_ids_of_any_kind(spark):
+    docs = spark.createDataFrame([("b", "red fox"), ("a", "red fox"), (None, "red fox"), ("c", "blue fox")], "key string, text string")
+    queries = spark.createDataFrame([("q1", "red"), ("q1", "fox"), ("q2", "blue")], "doc_id string, text string")
+    got = [(r.doc_id, r["rank"], r.found_id) for r in search.search(search.build_index(docs.coalesce(1), "key"), queries, 3, "doc_id").orderBy("doc_id", "rank").collect()]
+    assert got == [("q1", 1, "a"), ("q1", 2, "b"), ("q1", 3, None), ("q2", 1, "c")]
+
+
 def test_wand_skips_but_stays_exact():
     rng = np.random.default_rng(3)
     dl = rng.integers(5, 400, 20_000).astype(np.int32)
@@ -725,6 +762,7 @@ def test_odd_input(spark, odd, nothing):
     pieces = packing.pack(odd, capacity=50).collect()
     assert sum(r.piece == 0 for r in pieces) == n and packing.pack(nothing).count() == 0
     index = search.build_index(odd)
-    assert search.search(index, odd.filter("doc_id = 1").limit(1), 5, "doc_id").first().doc_id == 1
+    first = search.search(index, odd.filter("doc_id = 1").limit(1), 5, "doc_id").first()
+    assert (first.doc_id, first.found_id) == (1, 1)
     assert search.search(search.build_index(nothing), odd.filter("doc_id = 7"), 5, "doc_id").count() == 0
     assert search.search(index, nothing, 5, "doc_id").count() == 0
