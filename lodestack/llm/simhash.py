@@ -144,13 +144,23 @@ def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return every.groupBy("family", "a", "b").agg(F.max("dense").alias("dense"))
 
 
+def contract(links: DataFrame) -> DataFrame:
+    """Links with the same components and, in dense groups, far fewer: a node and its lower neighbours
+    are all linked to the least of these, where links of many nodes fall together.
+
+    A node has a bounded number of lower neighbours: flips and small buckets times families."""
+    near = links.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("lower"))
+    others = F.transform(F.filter("lower", lambda a: a != F.col("m")), lambda a: F.struct(F.col("m").alias("a"), a.alias("b")))
+    return near.select(F.explode(F.concat(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b"))), others)).alias("e")).select("e.a", "e.b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): connected components of links (a, b); the label is the least node reached.
 
     Alternates neighbour minima with pointer jumping; every round is a table in the shared folder,
     so a lost executor costs a task and no round.  Ends when no label changes.
     """
-    links = settle(links, "links")
+    links = settle(contract(contract(links.select("a", "b").distinct())), "links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
