@@ -13,7 +13,7 @@ two Parquet tables in the shared folder:
 The stored form of a medium is its frames in order, wherever they lie.
 
 Which digests repeat is counted over the whole corpus with Spark and handed to the writing tasks
-as a bit map.  A false positive only moves a chunk into the shared table.  The map has 16 bits for
+as a bit map.  A false positive only moves a chunk into the shared table.  The map has 64 bits for
 each repeated digest up to MOST_BITS (16 MB); a corpus with far more repeated chunks fills it, which
 moves chunks that need not move, each once, and changes no result.
 """
@@ -36,7 +36,7 @@ from lodestack.scratch import arrow_batches, new_path, settle
 UNIT = 576
 MASK_BITS, LEAST, GREATEST = 11, 512, 8192
 #: Least and most bits of the map of repeated digests; the most are 16 MB.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27
 #: Bytes of a frame before its samples, and the mark in its length of packed ones.
 HEAD, PACKED = 36, 1 << 31
 GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -105,7 +105,7 @@ def repeated_map(docs: DataFrame, text_col: str) -> bytes:
     with arrow_batches(docs.sparkSession, 256):
         twice = settle(digests.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     bits = LEAST_BITS
-    while bits < min(MOST_BITS, 16 * twice.count()):
+    while bits < min(MOST_BITS, 64 * twice.count()):
         bits *= 2
     bit = F.pmod(F.conv(F.hex(F.substring("d", 5, 4)), 16, 10).cast("long"), F.lit(bits))
     words = twice.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 AS int))")).alias("v"))
