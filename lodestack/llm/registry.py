@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import language, lm, media, mixing, packing, pii, search, sharding, simhash, tokenfiles
+from lodestack.llm import language, lm, media, merkle, mixing, packing, pii, search, sharding, simhash, tokenfiles
 from lodestack.llm.textops import id_crc
 
 
@@ -74,6 +74,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by lang, proofs, and the check of rows of which some were tampered with.
+
+    Where 7 divides crc32(doc_id), n_chars is one more than when the manifest was made; null ids and
+    null n_chars stay as they are."""
+    docs, changed = documents(spark, sf_dir), id_crc(F.col("doc_id")) % 7 == 0
+    fields = lambda n: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang")], n, F.col("text"))
+    more = F.col("n_chars").cast("decimal(20,0)") + 1  # no overflow
+    rows = docs.select("doc_id", "lang", fields(F.col("n_chars")).alias("leaf"), F.when(changed, fields(more)).alias("now"))
+    out = merkle.verified(merkle.manifest(rows, "lang", "doc_id", carry=("now",)), F.coalesce("now", "leaf"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.sha256(merkle.proof(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline of corpus_pipeline.py."""
     import corpus_pipeline
@@ -82,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_pii, op2_language_id, op3_mixing, op4_media, op5_topk_search, op6_simhash, op7_token_files, op8_sharding, op9_lm_score, op10_packing)
+    own = (op1_pii, op2_language_id, op3_mixing, op4_media, op5_topk_search, op6_simhash, op7_token_files, op8_sharding, op9_lm_score, op10_packing, op12_merkle)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -170,8 +183,42 @@ ranked AS (SELECT item_id, doc_id, s, row_number() OVER (PARTITION BY item_id OR
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(s AS DOUBLE) / 1000000.0 AS score FROM ranked WHERE rank <= 10
 """
 
+OP12_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS before,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS after, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END AS id,
+    xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), lambda a, b:
+      list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(id || before || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || after) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(id || before || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END || after) END AS now FROM fields),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS i FROM leaves),
+trees(lang, lvl, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY i) FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, lvl + 1, [sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')) FOR k IN range(0, (len(nodes) + 1) // 2)] FROM trees WHERE len(nodes) > 1),
+levels AS (SELECT lang, list(nodes ORDER BY lvl) AS levels FROM trees GROUP BY lang),
+subs AS (SELECT *, levels[-1][1] AS subroot, CAST(row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS BIGINT) AS j FROM levels),
+tops(lvl, nodes) AS (
+  SELECT 0, list(subroot ORDER BY j) FROM subs
+  UNION ALL
+  SELECT lvl + 1, [sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')) FOR k IN range(0, (len(nodes) + 1) // 2)] FROM tops WHERE len(nodes) > 1),
+top AS (SELECT list(nodes ORDER BY lvl) AS upper FROM tops),
+paths AS (
+  SELECT p.doc_id, p.leaf, coalesce(p.now, p.leaf) AS now, s.subroot, t.upper[-1][1] AS root,
+    list_concat([{'r': (i >> k) & 1 = 1, 's': coalesce(levels[k + 1][xor(i >> k, 1) + 1], '')} FOR k IN range(0, len(levels) - 1)],
+                [{'r': (j >> k) & 1 = 1, 's': coalesce(upper[k + 1][xor(j >> k, 1) + 1], '')} FOR k IN range(0, len(upper) - 1)]) AS path
+  FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang, top t),
+folded AS (
+  SELECT *, sha256(array_to_string([x.s FOR x IN path], '')) AS proof_sha256,
+    list_reduce(list_prepend({'r': false, 's': now}, path), lambda a, x: {'r': false, 's': sha256(CASE WHEN x.r THEN x.s || a.s ELSE a.s || x.s END)}).s AS folded_root
+  FROM paths)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force."""
     fills = "".join(FILL_SQL.format(i=i, j=i - 1) for i in range(1, mixing.FILLS + 1))
-    return {"op3_mixing": OP3_SQL.replace("{fills}", fills).replace("{n}", str(mixing.FILLS)), "op5_topk_search": OP5_SQL}
+    return {"op3_mixing": OP3_SQL.replace("{fills}", fills).replace("{n}", str(mixing.FILLS)), "op5_topk_search": OP5_SQL, "op12_merkle": OP12_SQL}
