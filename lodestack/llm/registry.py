@@ -1,11 +1,11 @@
-"""The corpus operators as registered queries over the ``documents`` and ``benchmark`` tables."""
+"""The corpus operators as registered queries over the ``documents``, ``benchmark`` and ``embeddings`` tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import language, lm, media, merkle, mixing, packing, pii, search, sharding, simhash, tokenfiles
+from lodestack.llm import language, lm, media, merkle, mixing, packing, pii, search, sharding, simhash, tokenfiles, whitening
 from lodestack.llm.textops import id_crc
 
 
@@ -87,6 +87,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.sha256(merkle.proof(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings, by exact covariances."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline of corpus_pipeline.py."""
     import corpus_pipeline
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_pii, op2_language_id, op3_mixing, op4_media, op5_topk_search, op6_simhash, op7_token_files, op8_sharding, op9_lm_score, op10_packing, op12_merkle)
+    own = (op1_pii, op2_language_id, op3_mixing, op4_media, op5_topk_search, op6_simhash, op7_token_files, op8_sharding, op9_lm_score, op10_packing, op12_merkle, op13_whitening)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
