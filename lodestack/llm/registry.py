@@ -1,11 +1,11 @@
-"""The corpus operators as registered queries over the ``documents``, ``benchmark`` and ``embeddings`` tables."""
+"""The corpus operators as registered queries over the ``documents``, ``benchmark``, ``labels`` and ``embeddings`` tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import language, lm, media, merkle, mixing, packing, pii, search, sharding, simhash, tokenfiles, whitening
+from lodestack.llm import language, lm, media, merkle, mixing, packing, pii, search, sharding, simhash, tokenfiles, toxicity, whitening
 from lodestack.llm.textops import id_crc
 
 
@@ -74,6 +74,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores; documents whose crc32(doc_id) mod 4 is 2 are held out, null ids are neither learned from nor held out."""
+    docs, part = documents(spark, sf_dir), id_crc(F.col("doc_id")) % 4
+    out = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), part != 2)
+    return out.select("doc_id", (F.coalesce(part, F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents by lang, proofs, and the check of rows of which some were tampered with.
 
@@ -100,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_pii, op2_language_id, op3_mixing, op4_media, op5_topk_search, op6_simhash, op7_token_files, op8_sharding, op9_lm_score, op10_packing, op12_merkle, op13_whitening)
+    own = (op1_pii, op2_language_id, op3_mixing, op4_media, op5_topk_search, op6_simhash, op7_token_files, op8_sharding, op9_lm_score, op10_packing, op11_toxicity, op12_merkle, op13_whitening)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
