@@ -8,8 +8,8 @@ no pair within the radius is missed.
 
 Near copies differ in far more of their five-word shingles than of their words.  So ``similar_rows``
 seeks candidates by fingerprints over distinct words, in several families with hashes of their own,
-and keeps a pair whose five-word shingles are alike by at least ``SIMILARITY`` (Jaccard).  How many of
-all such pairs are found is measured in the README.
+and links those whose five-word shingles are alike by at least ``SIMILARITY`` (Jaccard), which an exact
+join within each group of candidates tells.  How many of all such pairs are found is tested.
 
 Only distinct fingerprints enter the tables.  Inside a bucket of at most ``BUCKET`` members the
 members are compared; a larger bucket is handled exactly and in linear size by single-bit flips:
@@ -36,6 +36,8 @@ BITS = 64
 RADIUS = 2
 #: Families of fingerprints for near copies; words in a compared shingle, and the least similarity.
 FAMILIES, WORDS, SIMILARITY = 12, 5, 0.8
+#: Rounds in which a group of candidates is compared with one of its texts.
+STARS = 3
 #: Buckets up to this size are compared pair by pair; larger ones go by flips.
 BUCKET = 24
 
@@ -112,9 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (family, a, b, dense), a < b, whose components are those of all pairs within ``radius`` bits.
-
-    ``dense`` marks links in large buckets, which stand for all of a bucket's pairs.
+    """Links (family, a, b), a < b, whose components are those of all pairs within ``radius`` bits.
 
     ``fps`` has one row for each distinct (``family``, ``fp``).  Radius 1 or 2.
     """
@@ -140,8 +140,7 @@ def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     else:
         out = large.select("family", F.col("fp").alias("b"), F.explode(F.array(*ones)).alias("f")).select("family", "b", F.col("b").bitwiseXOR(F.col("f")).alias("a"))
         linked = out.join(large.withColumnRenamed("fp", "a"), ["family", "a"]).filter("a < b").select("family", "a", "b")
-    every = pairs.withColumn("dense", F.lit(False)).unionByName(linked.withColumn("dense", F.lit(True)))
-    return every.groupBy("family", "a", "b").agg(F.max("dense").alias("dense"))
+    return pairs.unionByName(linked).distinct()
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -192,17 +191,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (x, y) of nodes whose texts (node, t) have a Jaccard similarity of at least
-    ``similarity`` over their distinct shingles.  Sizes that differ too much are told first."""
+def shingle_sets(texts: DataFrame, shingle: int = WORDS) -> DataFrame:
+    """(node, n, s): the distinct shingles of each text (node, t) as ascending hashes, and their number."""
     def run(batches):
         for b in batches:
             sets = [np.array(shingle_hashes(t, shingle), dtype="<u8").view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "s"])
 
-    need = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    with arrow_batches(pairs.sparkSession, 256):
-        sets = settle(texts.join(need, "node", "left_semi").select("node", "t").mapInArrow(run, "node long, n long, s array<long>"), "shingles")
+    with arrow_batches(texts.sparkSession, 256):
+        return settle(texts.select("node", "t").mapInArrow(run, "node long, n long, s array<long>"), "shingles")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (x, y) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``.
+    Sizes that differ too much are told first."""
     size = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
     whole = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
     close = pairs.join(size("x"), "x").join(size("y"), "y").filter(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
@@ -210,16 +212,56 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int = WORDS, similarity:
     return both.filter(F.col("i") >= similarity * (F.col("nx") + F.col("ny") - F.col("i"))).select("x", "y")
 
 
+def verified_links(candidates: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) with the components of all pairs of nodes of one ``candidate`` group (node, group) whose
+    sets are alike.  One exact rule for groups of any size.
+
+    Two sets that are alike share one of their first shingles, in any order that is the same for all: of n
+    shingles the first n - ceil(similarity * n) + 1.  The rarest in the group come first, so sets that
+    differ rarely meet.  Groups of many near copies would still meet pair by pair, so before that
+    ``STARS`` rounds compare a whole group with one of its sets, the one whose shingles are most common, and
+    pairs that are linked through these need no comparison any more.
+    """
+    each = candidates.join(sets, "node").select("group", "node", "n", F.explode("s").alias("s"))
+    shared = each.groupBy("group", "s").agg(F.count("*").alias("df")).filter("df > 1")
+    held = each.join(shared, ["group", "s"]).groupBy("group", "node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"), (F.sum("df") / F.col("n")).alias("common"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("own"))  # shingles that no other has come first
+    own = held.withColumn("first", first).filter("first > 0").select("group", "node", "n", "common", F.transform(F.slice("own", 1, F.col("first").cast("int")), lambda x: x["s"]).alias("s"))
+    own = settle(own, "prefixes")
+    stars = None
+    rest = own.select("group", "node", "common")
+    for _ in range(STARS):
+        pivots = rest.groupBy("group").agg(F.max_by("node", F.struct("common", "node")).alias("x"))
+        pairs = own.select("group", F.col("node").alias("y")).join(pivots, "group").filter("x <> y").select("x", "y")
+        pivots = settle(pivots, "pivots")
+        found = settle(alike(pairs, sets, similarity), "stars")
+        stars = found if stars is None else stars.unionByName(found)
+        done = found.select(F.col("y").alias("node")).unionByName(pivots.select(F.col("x").alias("node"))).distinct()
+        rest = settle(rest.join(done, "node", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    stars = stars.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = own.select("group", "node", "n", "s").join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lists = settle(labels.select("group", "node", "n", "label", F.explode("s").alias("s")), "lists")
+    mixed = lists.groupBy("group", "s", "label").agg(F.count("*").alias("k")).groupBy("group", "s").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels"))
+    mixed = settle(mixed.filter("labels > 1").select("group", "s", "most"), "mixed")
+    minor = lists.join(mixed, ["group", "s"]).filter("label <> most").select("group", "s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    other = lists.join(mixed.select("group", "s"), ["group", "s"]).select("group", "s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    meet = minor.join(other, ["group", "s"]).filter((F.col("lx") != F.col("ly")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")))
+    pairs = settle(meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    return settle(stars.unionByName(alike(pairs, sets, similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
+
+
 def similar_rows(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, families: int = FAMILIES, shingle: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, groups) of near copies.
 
     ``rows`` has one row per input row: the input columns in a struct ``doc`` and a number ``row`` that
     is unique, however ids and texts repeat.  ``groups`` has ``row`` and ``group``, which is equal for rows
-    with the same words in the same order, and for rows linked, directly or through others: by
-    fingerprints of one family that differ in at most ``radius`` bits, and a similarity that is
-    verified except for links of large buckets.  A fingerprint that several texts share is verified
-    by the least of them, which the others are compared with.  Null texts count as empty, and texts
-    without words are one group.
+    with the same words in the same order, and for rows linked, directly or through others.  Two texts are
+    linked if their shingles have a Jaccard similarity of at least ``similarity`` and they are candidates:
+    connected by fingerprints of one family that differ in at most ``radius`` bits, directly or through other
+    texts.  So more rows never undo a link.  Null texts count as empty, and texts without words are
+    one group.
     """
     def run(batches):
         at = TaskContext.get().partitionId() << 40
@@ -239,13 +281,12 @@ def similar_rows(docs: DataFrame, text_col: str = "text", radius: int = RADIUS,
     every = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
     least = settle(every.groupBy("family", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct")
     first = lambda fp, name: least.select("family", F.col("fp").alias(fp), F.col("first").alias(name))
-    links = close_links(least.select("family", "fp"), radius).join(first("a", "x"), ["family", "a"]).join(first("b", "y"), ["family", "b"]).select("x", "y", "dense")
-    same = every.join(least.filter("n > 1").select("family", "fp", "first"), ["family", "fp"]).select(F.col("first").alias("x"), F.col("node").alias("y"), F.lit(False).alias("dense"))
-    links = links.unionByName(same).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "dense")
-    links = settle(links.groupBy("x", "y").agg(F.max("dense").alias("dense")), "candidates")
-    texts = rows.select("row", F.col(f"doc.{text_col}").alias("t")).join(nodes.select("row", "node"), "row")
-    sure = links.filter("dense").select("x", "y").unionByName(alike(links.filter("not dense").select("x", "y"), texts, shingle, similarity))
-    labels = components(sure.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = close_links(least.select("family", "fp"), radius).join(first("a", "x"), ["family", "a"]).join(first("b", "y"), ["family", "b"]).select("x", "y")
+    same = every.join(least.filter("n > 1").select("family", "fp", "first"), ["family", "fp"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
+    links = links.unionByName(same).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    candidates = settle(components(links).withColumnRenamed("label", "group"), "candidates")
+    texts = rows.select("row", F.col(f"doc.{text_col}").alias("t")).join(nodes.select("row", "node").join(candidates, "node"), "row")
+    labels = components(verified_links(candidates, shingle_sets(texts, shingle), similarity))
     groups = rows.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("group"))
     return rows.select("row", "doc"), settle(groups, "groups")
 
