@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestack.scratch import arrow_batches, settle
 
 #: Distinct texts, at most, that the classifier is trained on; features it uses, chosen by association.
-SAMPLE, FEATURES = 20_000, 4096
+SAMPLE, FEATURES = 20_000, 1024
 #: Lengths of the beginnings of words that are features beside whole words of up to ``LONGEST`` letters.
 BEGINNINGS, LONGEST = (4, 5, 6, 7), 24
 #: Least texts with a feature; least z-score of a lexicon's entries; least precision (smoothed) of its bands, as
@@ -43,19 +44,19 @@ DENSE = (2, 0.01)
 ROUNDS, GIVEN, HIDDEN, PENALTY = 6, 0.99, 0.1, 0.3
 #: Distinct features a task counts before it hands them on.
 HELD = 500_000
+LOGS = [math.log1p(n) for n in range(64)]
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Insults and hostile phrases that need no labels. A fixed list.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile fool jerk creep filth vermin bastard coward".split())
-PATTERNS = (
-    re.compile(r"(?i)\b(?:shut up|go away|get lost|drop dead|hate you|kill (?:you|yourself)|shame on you|piece of)\b"),
-    re.compile(r"\b(?:[A-Z]{3,}\s+){3}"),
-    re.compile(r"[!?]{3}"),
-    re.compile(r"(?i)\b[a-z]+[*#@$]{2,}[a-z]*"),
-)
+#: Hostile phrases, sought in lower-cased text.
+PHRASES = ("shut up", "go away", "get lost", "drop dead", "hate you", "kill you", "kill yourself", "shame on you", "piece of")
+#: Heaps of marks, masked words (in lower-cased text), and shouting.
+MARKS, MASKS = ("!!!", "???", "!?!"), ("**", "##", "@@", "$$", "*#", "#*", "@#", "$#")
+SHOUTING = re.compile(r"[A-Z]{3,}\s+[A-Z]{3,}\s+[A-Z]{3}")
 KINDS = ("word", *BEGINNINGS)
-#: Two voters for each lexicon and for the fixed list, one for each pattern, and the absence of any strong entry.
-VOTERS = 2 * len(KINDS) * len(BANDS) + 2 + len(PATTERNS) + 1
+#: Two voters for each lexicon and for the fixed list, one each for phrases, marks, masks and shouting, and one for the absence of any strong entry.
+VOTERS = 2 * len(KINDS) * len(BANDS) + 2 + 5
 
 
 def features(word: str) -> list[str]:
@@ -100,41 +101,40 @@ def chosen(counts: DataFrame, toxic: int, n: int) -> list[tuple[str, float, floa
 
 
 class Reader:
-    """Votes and features of a text; holds only the chosen features, so its size is bounded."""
+    """Votes and features of a text, by one automaton over the chosen features, so its size is bounded."""
 
     def __init__(self, entries: list[tuple[str, float, float]], base: float):
-        self.at = {f: i for i, (f, _, _) in enumerate(entries)}
         lines = [base + (1 - base) * share for share in BANDS]
-        self.lexicons: dict[int, list[int]] = {}  # feature -> the lexicons that hold it
+        held: dict[str, tuple[int, bool, list[int]]] = {}  # pattern -> (feature or -1, a beginning only, lexicons)
         for i, (f, z, p) in enumerate(entries):
-            if z >= STRONG:
-                kind = 0 if f.endswith("$") else KINDS.index(len(f))
-                self.lexicons[i] = [kind * len(BANDS) + k for k, line in enumerate(lines) if p >= line]
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > 1 << 17:
-                self.memo.clear()
-            got = self.memo[word] = tuple(i for i in map(self.at.get, features(word)) if i is not None)
-        return got
+            kind = 0 if f.endswith("$") else KINDS.index(len(f))
+            lexicons = [kind * len(BANDS) + k for k, line in enumerate(lines) if z >= STRONG and p >= line]
+            held[f" {f[:-1]} " if kind == 0 else f" {f}"] = (i, kind > 0, lexicons)
+        for w in INSULTS:
+            i, start, lexicons = held.get(f" {w} ", (-1, False, []))
+            held[f" {w} "] = (i, start, [*lexicons, len(KINDS) * len(BANDS)])
+        self.automaton = ahocorasick.Automaton()
+        for pattern, what in held.items():
+            self.automaton.add_word(pattern, what)
+        self.automaton.make_automaton()
 
     def read(self, text: str | None) -> tuple[int, dict[int, int]]:
         """(votes as bits, occurrences of each chosen feature)."""
         text = text or ""
-        words = Counter(WORDS.findall(text.lower()))
-        found: dict[int, int] = {}
-        for w, n in words.items():
-            for i in self.of_word(w):
-                found[i] = found.get(i, 0) + n
-        hits = [0] * (len(KINDS) * len(BANDS))
-        for i, n in found.items():
-            for k in self.lexicons.get(i, ()):
-                hits[k] += n
-        hits.append(sum(n for w, n in words.items() if w in INSULTS))
-        dense = max(DENSE[0], DENSE[1] * words.total())
-        fires = [h >= at for h in hits for at in (1, dense)] + [bool(p.search(text)) for p in PATTERNS] + [not any(hits)]
+        low = text.lower()
+        words = WORDS.findall(low)
+        line = f" {'  '.join(words)} "  # words share no space, so whole words side by side are both found
+        hits, found = [0] * (len(KINDS) * len(BANDS) + 1), {}
+        for end, (i, start, lexicons) in self.automaton.iter(line):
+            if start and line[end + 1] == " ":
+                continue
+            if i >= 0:
+                found[i] = found.get(i, 0) + 1
+            for k in lexicons:
+                hits[k] += 1
+        dense = max(DENSE[0], DENSE[1] * len(words))
+        fires = [h >= at for h in hits for at in (1, dense)]
+        fires += [any(p in low for p in PHRASES), any(m in text for m in MARKS), any(m in low for m in MASKS), bool(SHOUTING.search(text)), not any(hits)]
         return sum(1 << k for k, f in enumerate(fires) if f), found
 
     def inputs(self, text: str | None) -> tuple[int, list[int], list[float]]:
@@ -142,7 +142,8 @@ class Reader:
         occurrences, then votes, and the logarithm of the length."""
         votes, found = self.read(text)
         at = [*found, *[FEATURES + k for k in range(VOTERS) if votes >> k & 1], FEATURES + VOTERS]
-        return votes, at, [*[math.log1p(n) for n in found.values()], *[1.0] * votes.bit_count(), math.log1p(len(text or "")) / 10]
+        logs = [LOGS[n] if n < 64 else math.log1p(n) for n in found.values()]
+        return votes, at, [*logs, *[1.0] * votes.bit_count(), math.log1p(len(text or "")) / 10]
 
 
 def bits(votes: np.ndarray) -> np.ndarray:
@@ -299,10 +300,8 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_i
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(entries, base)
         for b in batches:
-            out = [reader.inputs(t) for t in b.column(1).to_pylist()]
-            taken = b.column(2).to_pylist()
-            at = pa.array([x[1] if t else None for x, t in zip(out, taken, strict=True)], pa.list_(pa.int32()))
-            values = pa.array([x[2] if t else None for x, t in zip(out, taken, strict=True)], pa.list_(pa.float64()))
+            out = [reader.inputs(t) if taken else (reader.read(t)[0], None, None) for t, taken in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            at, values = pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), at, values], names=["h", "votes", "at", "values"])
 
     texts = rows.select(F.approx_count_distinct("h")).first()[0]
@@ -334,7 +333,7 @@ def score(docs: DataFrame, learned: tuple[list, float, np.ndarray], id_col: str
             out = []
             for t in b.column(1).to_pylist():
                 _, at, values = reader.inputs(t)
-                m = w[-1] + sum(w[i] * x for i, x in zip(at, values, strict=True))
+                m = w[-1] + math.sumprod(map(w.__getitem__, at), values)
                 out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, m)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
