@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from uuid import uuid4
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls as U
+from lodestack.functions.phrases import built
+from lodestack.scratch import arrow_batches, settle
 
 #: The ten metadata fields in order, and the mark of a missing one. Fixed values.
 FIELDS = ("Title", "Geography", "Date of publication", "Dataset URL", "Disease(s)", "Size of dataset", "Demographic information", "Sharing license", "Modality of data", "Description of dataset")
 MISSING = "NA"
 #: Greatest lengths of candidate fields. Fixed values.
 LIMITS = {"title": 500, "url": 2083, "description": 20_000, "source": 100, "publisher": 500, "date": 100, "doi": 500}
-#: Words of the longest vocabulary term that is compared, and first words of terms that are handed to
-#: the tasks; a vocabulary with more of them is joined as a table.
-WORDS, HEADS = 8, 4096
+#: Vocabulary terms, about, that a task holds at once.
+PART = 200_000
 MAX_KEYWORDS, MAX_KEYWORD_CHARS, MAX_BYTES = 100, 200, 100_000
 
 
@@ -118,25 +124,47 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "<[^>]*>", " ")), r"[^\p{L}\p{N}]+", " "))
 
 
-def tag_terms(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, subjects: str | None = None) -> DataFrame:
-    """(key, kind, terms): whole-word vocabulary terms (term, kind) of every document, one or more words long.
-
-    Where a document's ``subjects`` (array) hold terms of a kind, only those count for the kind.
-    Words are cut down to the first words of terms by a semi-join before the rest of a longer term
-    is compared, so the join carries few rows of a text."""
-    terms = vocabulary.select(normalized(F.col("term")).alias("term"), "kind").filter("term <> ''").distinct()
-    terms = terms.withColumns({"parts": F.split("term", " ")}).withColumns({"head": F.col("parts")[0], "len": F.size("parts")})
-    places = F.array(F.struct(F.lit(1).alias("rank"), normalized(F.col(text)).alias("text")), *([F.struct(F.lit(0).alias("rank"), normalized(F.array_join(F.col(subjects), " | ")).alias("text"))] if subjects else []))
-    heads = [r.head for r in terms.select("head").distinct().limit(HEADS + 1).collect()]  # at most HEADS + 1 rows
-    each = docs.select(key, F.explode(places).alias("p")).select(key, "p.rank", F.split("p.text", " ").alias("words"))
-    at = F.transform(F.col("words"), lambda w, i: F.struct(w.alias("head"), i.alias("i")))
-    if len(heads) <= HEADS:  # a small vocabulary is looked up before rows are made
-        at = F.filter(at, lambda x: x["head"].isin(heads)) if heads else F.filter(at, lambda x: F.lit(False))
-    each = each.select(key, "rank", "words", F.explode(at).alias("x"))
-    windows = each.select(key, "rank", F.col("x.head").alias("head"), F.slice("words", F.col("x.i") + 1, F.lit(WORDS)).alias("own")).distinct()
-    hit = windows.join(terms, "head").filter(F.slice("own", F.lit(1), F.col("len")) == F.col("parts"))
-    best = hit.groupBy(key, "kind", "rank").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
-    return best.groupBy(key, "kind").agg(F.min_by("terms", "rank").alias("terms"))
+def tag_terms(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, subjects: str | None = None, part: int = PART) -> DataFrame:
+    """(key, kind, terms): whole-word vocabulary terms (term, kind) of every document, of any number of words.
+
+    Where a document's ``subjects`` (array) hold terms of a kind, only those count for the kind; a term does
+    not reach from one subject into the next.  The vocabulary is dealt into parts of about ``part`` terms, and
+    an automaton of each part reads every text once, so nothing is made per word of a text."""
+    spark = docs.sparkSession
+    terms = vocabulary.select(normalized(F.col("term")).alias("term"), "kind").filter("term <> ''")
+    terms = settle(terms.groupBy("term").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "terms")
+    parts = max(1, -(-terms.count() // part))
+    own = F.transform(F.coalesce(F.col(subjects), F.array().cast("array<string>")), normalized) if subjects else F.array().cast("array<string>")
+    lines = docs.select(F.col(key).alias("key"), normalized(F.coalesce(F.col(text), F.lit(""))).alias("text"), own.alias("subjects"))
+    kind = dict(docs.dtypes)[key]
+
+    def finder(name: str, rows: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases, listed = built(name, rows), rows.value
+            for b in batches:
+                at, ranks, kinds, found = [], [], [], []
+                for i, (text, heads) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    here = {n for h in heads if h for n in phrases.find(h.split(" "))}
+                    for rank, ns in ((0, here), (1, phrases.find(text.split(" ")))):
+                        for n in ns:
+                            for k in listed[n][1]:
+                                at.append(i)
+                                ranks.append(rank)
+                                kinds.append(k)
+                                found.append(listed[n][0])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(ranks, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["key", "rank", "kind", "term"])
+
+        return run
+
+    hit = None
+    with arrow_batches(spark, 256):
+        for i in range(parts):
+            rows = spark.sparkContext.broadcast([(r.term, r.kinds) for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()])  # about ``part`` terms
+            found = settle(lines.mapInArrow(finder(uuid4().hex, rows), f"key {kind}, rank int, kind string, term string"), "tagged")
+            hit = found if hit is None else hit.unionByName(found)
+            rows.unpersist()
+    best = hit.groupBy("key", "kind", "rank").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+    return best.groupBy(F.col("key").alias(key), "kind").agg(F.min_by("terms", "rank").alias("terms"))
 
 
 def dataset_sizes(docs: DataFrame, key: str, text: str, units: tuple[str, ...]) -> DataFrame:

@@ -110,13 +110,17 @@ def _(t):
     return t.orders.select(D.normalize_doi(v).alias("doi")).filter("doi is not null").groupBy("doi").agg(F.count("*").alias("records"))
 
 
-@query("tag_terms", r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS line FROM documents),
-v AS (SELECT * FROM (VALUES ('license', 'legal'), ('the', 'word'), ('and', 'word'), ('der', 'word'), ('que', 'word'), ('of the', 'phrase'), ('de la', 'phrase')) AS v(term, kind))
-SELECT doc_id, kind, CASE WHEN doc_id % 4 = 0 AND kind = 'word' THEN 'der,que' ELSE string_agg(term, ',' ORDER BY term) END AS terms FROM d, v WHERE contains(line, ' ' || term || ' ') OR (doc_id % 4 = 0 AND term IN ('der', 'que')) GROUP BY doc_id, kind""")
-def _(t):
-    vocabulary = t.spark.createDataFrame([("license", "legal"), ("The", "word"), ("and", "word"), ("der", "word"), ("que", "word"), ("of the", "phrase"), ("De la", "phrase")], "term string, kind string")
+@query("tag_terms", r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(regexp_replace(text, '<[^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS line, CASE WHEN doc_id % 4 = 0 THEN [' der x ', ' que '] ELSE [] END AS subjects FROM documents),
+b AS (SELECT DISTINCT array_to_string(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')[1:12], ' ') AS term, 'passage' AS kind FROM benchmark),
+v AS (SELECT * FROM (VALUES ('license', 'legal'), ('the', 'word'), ('and', 'word'), ('der', 'word'), ('que', 'word'), ('x que', 'word'), ('of the', 'phrase'), ('de la', 'phrase')) AS v(term, kind) UNION ALL SELECT * FROM b WHERE term <> ''),
+h AS (SELECT doc_id, kind, term, 1 AS rank FROM d, v WHERE contains(line, ' ' || term || ' ') UNION ALL SELECT doc_id, kind, term, 0 FROM d, v WHERE len(list_filter(subjects, lambda s: contains(s, ' ' || term || ' '))) > 0),
+r AS (SELECT *, min(rank) OVER (PARTITION BY doc_id, kind) AS best FROM h)
+SELECT doc_id, kind, string_agg(term, ',' ORDER BY term) AS terms FROM r WHERE rank = best GROUP BY doc_id, kind""")
+def _(t):
+    fixed = t.spark.createDataFrame([("license", "legal"), ("The", "word"), ("and", "word"), ("der", "word"), ("que", "word"), ("x que", "word"), ("of the", "phrase"), ("De la", "phrase")], "term string, kind string")
+    passages = t.benchmark.select(F.array_join(F.slice(F.split(D.normalized(F.col("text")), " "), 1, 12), " ").alias("term"), F.lit("passage").alias("kind"))
     subjects = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("Der x"), F.lit("que"))).otherwise(F.array().cast("array<string>"))
-    return D.tag_terms(t.documents.withColumn("subjects", subjects), vocabulary, "doc_id", "text", "subjects")
+    return D.tag_terms(t.documents.withColumn("subjects", subjects), fixed.unionByName(passages), "doc_id", "text", "subjects")
 
 
 @query("dataset_sizes", r"""WITH d AS (SELECT doc_id, text || ' We saw 1,2' || (10 + doc_id % 90) || ' patients and 5 Records, n = 7 records.' AS text FROM documents),
