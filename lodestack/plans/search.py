@@ -14,7 +14,7 @@ tc AS (SELECT doc_id AS doc, unnest({TOK.format("lang")}) AS term, generate_subs
 td AS (SELECT doc_id AS doc, unnest({TOK.format("'https://' || source || '.example/' || doc_id")}) AS term, generate_subscripts({TOK.format("'https://' || source || '.example/' || doc_id")}, 1) - 1 AS i FROM documents),
 tb AS (SELECT doc_id AS doc, unnest({TOK.format("text")}) AS term, generate_subscripts({TOK.format("text")}, 1) - 1 AS i FROM documents),
 stops AS (SELECT * FROM (VALUES ('the'), ('of'), ('and'), ('de'), ('la'), ('to'), ('in'), ('a')) AS s(term)),
-post0 AS (SELECT * FROM (SELECT doc, term, i AS pos, 1.0::DOUBLE AS weight FROM ta UNION ALL SELECT doc, term, 1000000 + i, 0.4::DOUBLE FROM tb UNION ALL SELECT doc, term, 2000000 + i, 0.2::DOUBLE FROM tc UNION ALL SELECT doc, term, 3000000 + i, 0.1::DOUBLE FROM td) WHERE term NOT IN (SELECT term FROM stops))"""
+post0 AS (SELECT * FROM (SELECT doc, term, i AS pos, 1.0::DOUBLE AS weight FROM ta UNION ALL SELECT doc, term, 1099511627776 + i, 0.4::DOUBLE FROM tb UNION ALL SELECT doc, term, 2 * 1099511627776 + i, 0.2::DOUBLE FROM tc UNION ALL SELECT doc, term, 3 * 1099511627776 + i, 0.1::DOUBLE FROM td) WHERE term NOT IN (SELECT term FROM stops))"""
 def _stems() -> str:
     """CTEs v0 .. voc (term, stem): the stemmer's groups of rules, one step each."""
     steps = ["v0 AS (SELECT term, term AS x FROM (SELECT term FROM post0 UNION SELECT term FROM qt))"]
@@ -61,8 +61,7 @@ def prepared(t):
 
 
 def top_ten(t, p, q):
-    ranked = S.cover_density(p, q, S.match_terms(p, q))
-    return S.rank_catalog(ranked, t.documents.select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("updated")), 10)
+    return S.rank_top(p, q, t.documents.select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("updated")), 10)
 
 
 @query("build_postings", f"WITH {POST} SELECT doc, count(*) AS n, count(DISTINCT term) AS terms, CAST(sum(pos) AS BIGINT) AS positions, round(sum(weight), 3) AS weight FROM post0 GROUP BY doc")
