@@ -92,11 +92,10 @@ def prepare(postings: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFra
 
     Terms become stems on both sides, so variants of a word match each other.  The vocabulary is cut
     to the asked stems first; the postings then meet only the few terms that are left."""
-    docs = postings.select(F.approx_count_distinct("doc")).first()[0]
     asked = settle(queries.withColumn("term", stem(F.col("term"))), "asked")
     wanted = stem_vocabulary(postings).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
     held = postings.join(settle(wanted, "variants"), "term").select("doc", F.col("stem").alias("term"), "pos", "weight")
-    return posting_lists(held, docs), asked
+    return posting_lists(settle(held, "postings")), asked
 
 
 def build_postings(catalog: DataFrame, key: str, fields: dict[str, str], stop_words: DataFrame | None = None) -> DataFrame:

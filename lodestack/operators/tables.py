@@ -91,15 +91,21 @@ def method_fallback(df: DataFrame, group: str, order: str, terminal: str) -> Dat
     return df.join(stop, group).filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop")
 
 
-def combine_providers(parts: dict[str, DataFrame], status: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows in provider order, warnings): union of provider results; a failed one only warns.
+def provider_results(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``provider``, ranks) of readers that give a frame each, in their order."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("provider", F.lit(n)) for n, df in parts.items()])
+    return rows, rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(parts)], "provider string, provider_rank int")
 
-    A warning names its provider; its code is all_failed where every provider failed."""
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("provider_rank", F.lit(i)).withColumn("provider", F.lit(n)) for i, (n, df) in enumerate(parts.items())])
+
+def combine_providers(rows: DataFrame, ranks: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with provider_rank, warnings) of all providers' results in one table with a ``provider`` column.
+
+    ``ranks`` (provider, provider_rank) has every provider that was asked; ``status`` (provider, ok) tells
+    which failed.  A failed one only warns: its rows go, and a warning names it, whose code is all_failed
+    where every provider failed.  One pass over the rows, whatever the number of providers."""
     failed = status.filter("ok = false").select("provider").distinct()
-    names = [r.provider for r in failed.limit(len(parts) + 1).collect()]  # at most one row a provider
-    code = "all_failed" if len(names) >= len(parts) else "incomplete"
-    return rows.join(failed, "provider", "left_anti"), failed.withColumn("code", F.lit(code))
+    code = "all_failed" if ranks.join(failed, "provider", "left_anti").isEmpty() else "incomplete"
+    return rows.join(ranks.join(failed, "provider", "left_anti"), "provider"), failed.withColumn("code", F.lit(code))
 
 
 def plan_collection(candidates: DataFrame, collected: DataFrame, active: DataFrame) -> DataFrame:

@@ -127,13 +127,13 @@ def _(t):
 
 @query("register_provider", "SELECT 'labels' AS provider, count(*) AS n FROM labels UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
 def _(t):
-    from lodestack.operators.tables import combine_providers
+    from lodestack.operators.tables import combine_providers, provider_results
 
     readers = Registry("provider")
     readers.register("labels", lambda: t.labels.select(F.col("doc_id").alias("id")))
     readers.register("benchmark", lambda: t.benchmark.select(F.col("item_id").alias("id")))
     status = t.spark.range(1).select(F.lit("labels").alias("provider"), F.lit(True).alias("ok"))
-    rows, _w = combine_providers({n: readers.apply(n) for n in ("labels", "benchmark")}, status)
+    rows, _w = combine_providers(*provider_results({n: readers.apply(n) for n in ("labels", "benchmark")}), status)
     return rows.groupBy("provider").agg(F.count("*").alias("n"))
 
 

@@ -48,7 +48,12 @@ def _(t):
     return out.groupBy("job_id").agg(F.max("version").alias("version"), F.max_by("status", "version").alias("status"))
 
 
-@query("stalled_work_stream")
+@query("stalled_work_stream", """WITH RECURSIVE m AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS mark FROM events),
+r AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS fin, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type <> 'error') AS rn FROM events, m WHERE epoch_us(ts) // 1000 <= mark),
+f AS (SELECT user_id, rn, CASE WHEN NOT fin THEN ms END AS opened, CAST(NULL AS BIGINT) AS late FROM r WHERE rn = 1
+  UNION ALL SELECT r.user_id, r.rn, CASE WHEN fin THEN NULL WHEN f.opened IS NULL OR r.ms > f.opened + 300000 THEN r.ms ELSE f.opened END, CASE WHEN r.ms > f.opened + 300000 THEN f.opened END FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)
+SELECT user_id AS work_id, late AS started_ms FROM f WHERE late IS NOT NULL
+UNION ALL SELECT user_id, opened FROM (SELECT user_id, arg_max(coalesce(opened, -1), rn) AS opened FROM f GROUP BY user_id), m WHERE opened >= 0 AND opened + 300000 <= mark""")
 def _(t):
     e = events(t).select(F.col("user_id").alias("work_id"), F.when(F.col("event_type") == "error", "finished").otherwise("started").alias("kind"), F.unix_millis("ts").alias("ms"), "ts")
     return J.run_to_table(J.stalled_work_stream(e, "ts"), "stalled")

@@ -147,42 +147,62 @@ def job_state_stream(events: DataFrame) -> DataFrame:
 
 
 class Stalled(StatefulProcessor):
-    """Emits work that has not finished by its deadline in event time."""
+    """Work that was not finished within its deadline, by event time.
+
+    Rows wait in a buffer until the watermark has passed them and are then folded in order of time (at one time
+    finished first), so order, chunks and batches of arrival do not matter.  A start opens work until it is
+    finished or its deadline has passed; starts of open work do not count."""
 
     def __init__(self, deadline_ms: int):
         self.deadline = deadline_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("started", "ms long")
+        self.waiting = handle.getListState("waiting", "ms long, kind string")
+        self.open = handle.getValueState("open", "ms long")
+
+    def settled(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        """Fold all that the watermark has passed; wake again for the next of the rest."""
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        started = self.open.get()[0] if self.open.exists() else None
+        due, rest = [r for r in rows if r[0] <= watermark], [r for r in rows if r[0] > watermark]
+        late = []
+        for at, kind in [*due, (watermark, "")]:
+            if started is not None and started + self.deadline < at + (not kind):  # the mark itself tells that nothing came up to it
+                late.append(started)
+                started = None
+            if kind == "finished":
+                started = None
+            elif kind and started is None:
+                started = at
+        if due:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put([(int(ms), kind) for ms, kind in rest])
+        self.open.clear()
+        if started is not None:
+            self.open.update((int(started),))
+            self.handle.registerTimer(int(started + self.deadline))
+        if rest:
+            self.handle.registerTimer(int(rest[0][0]))
+        if late:
+            yield pd.DataFrame({"work_id": [key[0]] * len(late), "started_ms": late})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started = self.state.get()[0] if self.state.exists() else None
         for pdf in rows:
-            for at, kind in pdf.sort_values("ms")[["ms", "kind"]].itertuples(index=False):
-                if kind == "finished":
-                    started = None
-                elif started is None:
-                    started = int(at)
-        self.state.clear()
-        if started is not None:
-            self.state.update((started,))
-            self.handle.registerTimer(started + self.deadline)
-        return iter([])
+            self.waiting.appendList([(int(ms), str(kind)) for ms, kind in zip(pdf["ms"], pdf["kind"], strict=True)])
+        return self.settled(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            started = self.state.get()[0]
-            if started + self.deadline <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
-                yield pd.DataFrame({"work_id": [key[0]], "started_ms": [started]})
+        return self.settled(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stalled_work_stream(events: DataFrame, time: str, deadline_s: int = 300, late: str = "1 minute") -> DataFrame:
-    """(work_id, started_ms) of work past its deadline; events has work_id, kind, ms and time."""
+    """(work_id, started_ms) of work that was not finished within its deadline; events has work_id, kind
+    (started or finished), ms and time.  Rows later than the watermark are dropped."""
     ship(events.sparkSession)
     return events.withWatermark(time, late).groupBy("work_id").transformWithStateInPandas(Stalled(deadline_s * 1000), "work_id long, started_ms long", "Append", "EventTime")
 

@@ -300,18 +300,47 @@ def test_snapshots_are_appended_and_verified(spark):
     assert [r.n for r in S.newest_snapshots(sound, "owner", ["n"], 1).collect()] == [2]
 
 
-def test_stalled_work_by_hand(spark):
-    rows = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect()
-    end = max(r.ts for r in rows) - dt.timedelta(minutes=1)
-    started = {}
-    for r in rows:
-        if r.event_type == "error":
-            started.pop(r.user_id, None)
+def stalled(rows, mark, deadline=300_000):
+    """(work, start) not finished within the deadline, of (work, ms, kind) up to the watermark."""
+    out, opened = [], {}
+    for work, ms, kind in sorted(r for r in rows if r[1] <= mark):
+        if work in opened and ms > opened[work] + deadline:
+            out.append((work, opened.pop(work)))
+        if kind == "finished":
+            opened.pop(work, None)
         else:
-            started.setdefault(r.user_id, r.ts)
-    want = {u: t for u, t in started.items() if t + dt.timedelta(seconds=300) <= end}
-    got = {r.work_id: r.started_ms for r in plans.load()["stalled_work_stream"][0](spark, SF).collect()}
-    assert len(want) > 5 and got == {u: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for u, t in want.items()}
+            opened.setdefault(work, ms)
+    return sorted(out + [(w, ms) for w, ms in opened.items() if ms + deadline <= mark])
+
+
+def test_stalled_work_by_hand(spark):
+    rows = [(r.user_id, int(r.ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1000), "finished" if r.event_type == "error" else "started") for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    want = stalled(rows, max(ms for _, ms, _ in rows) - 60_000)
+    got = sorted((r.work_id, r.started_ms) for r in plans.load()["stalled_work_stream"][0](spark, SF).collect())
+    assert len(want) > 5 and got == want
+
+
+def test_stalled_work_in_any_order_chunks_and_batches(spark):
+    """Rows arrive late and out of order, within the allowed lateness, cut into batches and chunks anyhow."""
+    import random
+
+    from lodestack.scratch import new_path, setting
+    from lodestack.streaming import jobs as J
+
+    rng = random.Random(6)
+    log = [(w, 1_000_000 + rng.randrange(3000) * 1000, rng.choice(("started", "finished"))) for w in range(12) for _ in range(25)]
+    want = stalled(log, max(ms for _, ms, _ in log) - 3_600_000 * 2)
+    for chunk in (1, 10_000):
+        rng.shuffle(log)
+        src = new_path(spark, "work")
+        end = (99, 1_000_000 + 3000 * 1000 + 7_200_000, "started")  # carries the watermark past all others
+        for part in [log[i::4] for i in range(4)] + [[end]]:
+            spark.createDataFrame(part, "work_id long, ms long, kind string").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("work_id long, ms long, kind string").option("maxFilesPerTrigger", 1).parquet(src).withColumn("time", F.timestamp_millis("ms"))
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", chunk):
+            got = J.run_to_table(J.stalled_work_stream(stream, "time", 300, "2 hours"), "stalled").collect()
+        want = stalled([*log, end], end[1] - 7_200_000)
+        assert sorted((r.work_id, r.started_ms) for r in got) == want and len(want) > 20
 
 
 def test_admission_does_not_depend_on_chunks(spark):
@@ -343,3 +372,17 @@ def test_streamed_catalogue_goes_on_where_it_was(spark):
     whole = observations(Part(events)).groupBy("dataset_url").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
     mine = {r.dataset_url: (r.first_seen, r.last_seen) for r in got.collect()}
     assert mine == {r.dataset_url: (r.first_seen, r.last_seen) for r in whole.collect()} and got.count() == len(mine)
+
+
+def test_many_providers_in_one_pass(spark):
+    from lodestack.operators.tables import combine_providers
+
+    n = 5000
+    rows = spark.range(3 * n).selectExpr(f"concat('p', id % {n}) AS provider", "id")
+    ranks = spark.range(n).selectExpr("concat('p', id) AS provider", "cast(id AS int) AS provider_rank")
+    status = spark.range(n).selectExpr("concat('p', id) AS provider", "id % 10 <> 0 AS ok")
+    got, warnings = combine_providers(rows, ranks, status)
+    assert got.count() == 3 * n * 9 // 10 and got.select("provider_rank").distinct().count() == n * 9 // 10
+    assert {r.code for r in warnings.collect()} == {"incomplete"} and warnings.count() == n // 10
+    got, warnings = combine_providers(rows, ranks, status.withColumn("ok", F.lit(False)))
+    assert got.count() == 0 and {r.code for r in warnings.collect()} == {"all_failed"}
