@@ -26,6 +26,8 @@ N = 3
 UNKNOWN = "und"
 #: Characters that are counted together in one matrix product.
 BLOCK = 200_000
+#: Distinct n-grams, at most, whose vectors are held at once.
+GRAMS = 8192
 
 
 @lru_cache(maxsize=1)
@@ -92,7 +94,7 @@ def bundle(texts: list[str | None], dim: int = DIM, n: int = N) -> tuple[np.ndar
             grams, where = np.unique(key, return_inverse=True)
         parts = np.stack([alphabet[(grams // len(alphabet) ** (n - 1 - i)) % len(alphabet)] for i in range(n)], axis=1)
         rows = np.repeat(np.arange(len(held)), sizes)
-        step = max(1, (1 << 22) // max(1, len(held)))  # grams a product, so the count matrix stays small
+        step = max(1, min(GRAMS, (1 << 22) // max(1, len(held))))  # so the count matrix and the table of grams stay small
         at_rows = [i for i, _ in held]
         for lo in range(0, len(grams), step):
             hi = min(len(grams), lo + step)

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of token sequences into bins of fixed capacity.
 
-Documents are dealt by hash into packing groups of a bounded number of pieces, so one source or one
-family of copies never lands in one task.  Inside a group, pieces go longest first.  Open bins are
+Documents are dealt by hash, repeated rows by their number too, into packing groups of a bounded number
+of pieces, so no source, family of copies or repeated row ever lands in one task.  Inside a group, pieces go longest first.  Open bins are
 kept in order of residual room, each with a bitmap of the sources and a bitmap of the duplicate
 clusters it holds.  The search starts at the first bin whose residual is at least the piece's
 length and moves on to the successor while a bitmap shows a conflict, so the tightest compatible
@@ -70,10 +70,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / capacity))))
     rows = settle(rows.select("id", "source", "cluster", "piece", F.least(F.col("length") - F.col("piece") * capacity, F.lit(capacity)).alias("n")), "pieces")
     groups = max(1, -(-rows.count() // group))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "cluster", "piece"), F.lit(groups)))
+    # equal rows are counted and numbered, so that many of them are dealt over all groups too
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_rows")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).drop("_rows")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "cluster", "piece", "copy"), F.lit(groups)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "cluster", "id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n", "cluster", "id", "piece", "copy"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         s = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
         c = pd.factorize(pdf["cluster"])[0]
         bins = pd.Series(best_fit(list(zip(pdf["n"].tolist(), s.tolist(), c.tolist(), strict=True)), capacity))

@@ -50,6 +50,9 @@ ACCEPT = 0.75
 #: Code points beside an instance in which its pattern words lie; longer words are no pattern words.
 REACH = 48
 BLOCK = 64
+#: Code points, at least, of the pieces that a long text is cut into, each up to a space between two letters.
+PIECE = 16_384
+CUT = rf"(?s).{{{PIECE}}}.*?(?<=\p{{L}})\x20(?=\p{{L}})|.+"
 
 
 def _starts(gaps: Column, lens: Column) -> Column:
@@ -174,6 +177,40 @@ def _patterns(text: Column, x: Column) -> Column:
     return let(F.struct(last.alias("last"), two.alias("two"), nxt.alias("next")), build)
 
 
+def _pieces(text: Column) -> Column:
+    """The text as structs of t, at (its start), and left and right (what stands around it, as far as patterns
+    reach).  A long text is cut about every ``PIECE`` code points, at a space between two letters, which no span
+    can hold; so all work on a piece is bounded, and on a text linear."""
+    def build(cut: Column) -> Column:
+        lens = F.transform(cut, lambda p: F.length(p).cast("long"))
+
+        def piece(p: Column, i: Column) -> Column:
+            at = F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b)
+            left, right = F.right(F.get(cut, i - 1), F.lit(REACH)), F.left(F.get(cut, i + 1), F.lit(REACH))
+            return F.struct(p.alias("t"), at.alias("at"), F.coalesce(left, F.lit("")).alias("left"), F.coalesce(right, F.lit("")).alias("right"))
+
+        return F.transform(cut, piece)
+
+    return let(F.when(F.length(text) <= 2 * PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(CUT), F.lit(0))), build)
+
+
+def _seen(piece: Column) -> Column:
+    """Base spans and candidates of a piece, placed in its text, with their patterns."""
+    none, lead = F.lit(None).cast("int"), F.length(piece["left"])
+    around = F.concat(piece["left"], piece["t"], piece["right"])
+    secret = lambda c: F.when(c["value"].rlike(SECRET), F.lit(len(KINDS)))
+
+    def row(x: Column, around: Column, rank: Column, seed: Column) -> Column:
+        near = _patterns(around, {"start": x["start"] + lead, "end": x["end"] + lead})
+        return F.struct((x["start"] + piece["at"]).alias("start"), (x["end"] + piece["at"]).alias("end"), x["value"], rank.alias("rank"), seed.alias("seed"), near.alias("patterns"))
+
+    def both(base: Column) -> Column:
+        seeds = let(around, lambda a: F.transform(base, lambda b: row(b, a, b["rank"], none)))
+        return F.concat(seeds, let(around, lambda a: F.transform(candidates(piece["t"], base), lambda c: row(c, a, none, secret(c)))))
+
+    return let(base_spans(piece["t"]), both)
+
+
 def _list(spans: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in ALL])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -222,13 +259,10 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     id and text get the same spans.  An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
-    rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("free", candidates(F.col("t"), F.col("base")))
-    t, none = F.col("t"), F.lit(None).cast("int")
-    seeds_in = F.transform("base", lambda b: F.struct(b["start"], b["end"], b["value"], b["rank"], none.alias("seed"), _patterns(t, b).alias("patterns")))
-    secret = lambda c: F.when(c["value"].rlike(SECRET), F.lit(len(KINDS)))
-    free_in = F.transform("free", lambda c: F.struct(c["start"], c["end"], c["value"], none.alias("rank"), secret(c).alias("seed"), _patterns(t, c).alias("patterns")))
-    rows = settle(rows.select("id", "key", "base", F.concat(seeds_in, free_in).alias("seen")), "spans")
+    seen = F.flatten(F.transform(_pieces(text), _seen))
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), seen.alias("seen")), "spans")
+    base = F.transform(F.filter("seen", lambda s: s["rank"].isNotNull()), lambda s: F.struct(s["start"], s["rank"], s["end"], s["value"]))
+    rows = rows.withColumn("base", base)
 
     seen = rows.select("id", "key", F.explode("seen").alias("s")).select("id", "key", "s.*").withColumn("v", F.lower("value"))
     edges = seen.select(F.explode("patterns").alias("pattern"), F.col("v").alias("value"), "rank", "seed")
@@ -258,14 +292,17 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     spans = settle(found.filter(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["rank"])).alias("__spans")).distinct(), "redactions")
     text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.element_at(marks, s["rank"] + 1)).alias("out")))
+    def clean_piece(p: Column) -> Column:
+        """Spans lie within pieces, so each piece is rebuilt on its own."""
+        def step(acc: Column, s: Column) -> Column:
+            start, end = s["start"] - p["at"], s["end"] - p["at"]
+            gap = F.substring(p["t"], (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int"))
+            return F.when(start < acc["at"], F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], gap, F.element_at(marks, s["rank"] + 1)).alias("out")))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+        own = F.filter("__spans", lambda s: (s["start"] >= p["at"]) & (s["start"] < p["at"] + F.length(p["t"])))
+        return F.aggregate(own, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(p["t"], (acc["at"] + 1).cast("int"), F.length(p["t"]))))
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, finish)
+    clean = F.array_join(F.transform(_pieces(text), clean_piece), "")
     keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(text, F.lit(""))))
     joined = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
     return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
