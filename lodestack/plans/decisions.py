@@ -114,7 +114,8 @@ def _(t):
     return V.attempt_models(v.select("run_id", "item_id", "voter_id"), config).select("item_id", "voter_id", "model")
 
 
-@query("score_votes")
+@query("score_votes", """SELECT 'c_length' AS voter_id, 'succeeded' AS status, CASE WHEN length(coalesce(text, '')) >= 1000 THEN 'relevant' ELSE 'not_relevant' END AS label, count(*) AS n FROM documents GROUP BY 3
+UNION ALL SELECT 'z_broken', 'error', NULL, count(*) FROM documents""")
 def _(t):
     from lodestack.functions.voters import score_votes
 

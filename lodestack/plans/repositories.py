@@ -125,12 +125,30 @@ def _(t):
     return rows.groupBy(F.col("platform").alias("connector")).agg(F.count_if(F.col("rejected").isNull()).alias("records"))
 
 
-@query("register_provider", "SELECT 'labels' AS provider, count(*) AS n FROM labels UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
+@query("register_provider", "SELECT 'labels' AS provider, count(*) AS n FROM labels WHERE quality = 1 UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
 def _(t):
     from lodestack.operators.tables import combine_providers, provider_results
+    from lodestack.scratch import new_path
+    from lodestack.sources.providers import register_provider
+
+    root = new_path(t.spark, "provider")
+    t.labels.select("doc_id", "quality").write.parquet(root)  # what the provider answers, a file a page
+
+    def pages(options):
+        import os
+
+        path = options["path"].removeprefix("file://").removeprefix("file:")
+        return sorted(f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet"))
+
+    def read(options, page, wanted):
+        import pyarrow.parquet as pq
+
+        rows = pq.read_table(page, filters=[(c, "=", v) for c, v in wanted.items()] or None)
+        yield from zip(*(rows.column(c).to_pylist() for c in ("doc_id", "quality")), strict=True)
 
+    register_provider(t.spark, "labels_provider", "doc_id long, quality int", pages, read)
     readers = Registry("provider")
-    readers.register("labels", lambda: t.labels.select(F.col("doc_id").alias("id")))
+    readers.register("labels", lambda: t.spark.read.format("labels_provider").option("path", root).load().filter("quality = 1").select(F.col("doc_id").alias("id")))
     readers.register("benchmark", lambda: t.benchmark.select(F.col("item_id").alias("id")))
     status = t.spark.range(1).select(F.lit("labels").alias("provider"), F.lit(True).alias("ok"))
     rows, _w = combine_providers(*provider_results({n: readers.apply(n) for n in ("labels", "benchmark")}), status)

@@ -181,7 +181,10 @@ def _(t):
     return Q.quota_replay(requests(t), ["owner_id"], "ts", "request_id", "amount", 4, "day").select("request_id", "admitted")
 
 
-@query("quota_replay_all")
+@query("quota_replay_all", """WITH r AS (SELECT request_id, owner_id, CAST(owner_id AS BIGINT) % 7 AS client, date_trunc('day', ts) AS d, ts FROM pv_requests),
+a AS (SELECT *, row_number() OVER (PARTITION BY client, d, owner_id ORDER BY ts, request_id) <= 2 AS fits FROM r),
+b AS (SELECT *, fits AND sum(CAST(fits AS INT)) OVER (PARTITION BY client, d ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) <= 20 AS charged FROM a)
+SELECT request_id, charged AND sum(CAST(charged AS INT)) OVER (PARTITION BY d ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) <= 100 AS admitted FROM b""", "pv_requests")
 def _(t):
     r = requests(t).withColumn("client", (F.col("owner_id").cast("int") % 7).cast("string"))
     return Q.quota_replay_all(r, "client", "owner_id", "ts", "request_id", 2, 20, 100)
