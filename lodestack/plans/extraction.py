@@ -225,11 +225,19 @@ def _(t):
     return probes(t).groupBy(A.sniff(F.col("body").cast("binary")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("sniff_files")
+@query("sniff_files", """WITH n AS (SELECT count(DISTINCT r_regionkey) AS n FROM region) SELECT format, claimed, format <> claimed AS mismatch, n FROM n, (VALUES ('CSV', 'CSV'), ('TSV', 'CSV'), ('JSON', 'JSON'), ('PARQUET', 'PARQUET'), ('GZ', 'GZ')) AS v(format, claimed)""")
 def _(t):
+    from lodestack.scratch import new_path
     from lodestack.sources.files import sniff_files
 
-    return sniff_files(t.spark, f"{t.dir}/*.parquet").groupBy("format", "claimed", "mismatch").agg(F.count("*").alias("n"))
+    root = new_path(t.spark, "files")
+    each = t.region.withColumn("k", F.col("r_regionkey")).repartition("k").write.partitionBy("k")  # a file a region
+    each.csv(f"{root}/commas", header=True)
+    each.csv(f"{root}/tabs", header=True, sep="\t")
+    each.json(f"{root}/objects")
+    each.parquet(f"{root}/columns")
+    each.csv(f"{root}/packed", header=True, compression="gzip")
+    return sniff_files(t.spark, root).groupBy("format", "claimed", "mismatch").agg(F.count("*").alias("n"))
 
 
 @query("plausible_tables", r"""WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(replace(text, '. ', '.' || chr(10)), '"[^"]*"', 'q', 'g'), chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
