@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from lodestack.operators import merge as M
 from lodestack.scratch import new_path, ship
@@ -207,39 +208,61 @@ def stalled_work_stream(events: DataFrame, time: str, deadline_s: int = 300, lat
     return events.withWatermark(time, late).groupBy("work_id").transformWithStateInPandas(Stalled(deadline_s * 1000), "work_id long, started_ms long", "Append", "EventTime")
 
 
-#: Parts of a streamed catalogue; a batch rewrites only those that it touches.
-PARTS = 64
+#: Rows, about, of a part of a streamed catalogue's base; share of the base's rows, and number of rows, that deltas
+#: may have before they are folded into a new base.
+PART_ROWS, SHARE, LEAST = 1_000_000, 0.5, 100_000
 
 
-def read_streamed_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of every part of a streamed catalogue."""
-    newest = spark.read.parquet(f"{root}/pointer").groupBy("part").agg(F.max("version").alias("version")).collect()  # at most PARTS rows
-    return spark.read.option("basePath", f"{root}/data").parquet(*[f"{root}/data/version={r.version}/part={r.part}" for r in newest]).drop("version", "part")
+def _entries(spark: SparkSession, root: str, upto: int | None = None) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+    """((version, rows) of the newest base, (-1, 0) if there is none; those of the deltas after it)."""
+    log = spark.read.parquet(f"{root}/manifest").groupBy("kind", "version").agg(F.max("rows").alias("rows"))
+    if upto is not None:
+        log = log.filter(F.col("version") <= upto)
+    best = log.filter("kind = 'base'").agg(F.max_by(F.struct("version", "rows"), "version")).first()[0]
+    base = (best.version, best.rows) if best else (-1, 0)
+    deltas = log.filter((F.col("kind") == "delta") & (F.col("version") > base[0])).orderBy("version").collect()  # a row a batch since the base
+    return base, [(r.version, r.rows) for r in deltas]
+
+
+def _folded(spark: SparkSession, root: str, base: int, deltas: list[int], schema: StructType) -> DataFrame:
+    """The catalogue of a base and the observations of deltas after it."""
+    new = spark.read.schema(schema).parquet(*[f"{root}/delta/version={v}" for v in deltas]) if deltas else spark.createDataFrame([], schema)
+    old = spark.read.parquet(f"{root}/base/version={base}") if base >= 0 else new.limit(0).withColumns({"first_seen": F.col("observed_at"), "last_seen": F.col("observed_at")}).drop("observed_at")
+    return M.upsert_datasets(old, new, "dataset_url", ["title", "publisher"], ["source"], "observed_at")
+
+
+def read_streamed_catalog(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """A streamed catalogue as of its last batch; ``schema`` is that of its observations."""
+    base, deltas = _entries(spark, root)
+    return _folded(spark, root, base[0], [v for v, _ in deltas], schema)
 
 
 def catalog_upsert_stream(observations: DataFrame, root: str | None = None) -> DataFrame:
     """Fold observations into a catalogue below ``root`` and return it.
 
-    A micro-batch reads and rewrites the parts that it touches and publishes them in a pointer table
-    under its number; state and progress lie below ``root``, so a stream that is started again with
-    the same root goes on where it was, and a batch that is run again gives the same version."""
+    A micro-batch only writes its own rows, as a delta under its number, and notes it in a manifest.  Once the
+    deltas are more than a share of the base, the batch folds them into a new base, whose number of
+    parts doubles as it grows; so the work of all foldings is in proportion to the rows that came.  State and
+    progress lie below ``root``, so a stream that is started again with the same root goes on where it was,
+    and a batch that is run again writes the same versions."""
     spark = observations.sparkSession
-    root = root or new_path(spark, "catalogue")
-    part = F.pmod(F.xxhash64("dataset_url"), F.lit(PARTS)).cast("int")
-    spark.createDataFrame([], "part int, version long").write.mode("append").parquet(f"{root}/pointer")
+    root, schema = root or new_path(spark, "catalogue"), observations.schema
+    spark.createDataFrame([], "version long, kind string, rows long").write.mode("append").parquet(f"{root}/manifest")
+
+    def note(spark: SparkSession, version: int, kind: str, rows: int) -> None:
+        spark.createDataFrame([(version, kind, rows)], "version long, kind string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
     def fold(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # at most PARTS rows
-        known = spark.read.parquet(f"{root}/pointer").filter((F.col("version") < version) & F.col("part").isin(touched)).groupBy("part").agg(F.max("version").alias("version")).collect()
-        if known:
-            old = spark.read.option("basePath", f"{root}/data").parquet(*[f"{root}/data/version={r.version}/part={r.part}" for r in known]).drop("version", "part")
-        else:
-            old = batch.limit(0).withColumns({"first_seen": F.col("observed_at"), "last_seen": F.col("observed_at")}).drop("observed_at")
-        rows = M.upsert_datasets(old, batch, "dataset_url", ["title", "publisher"], ["source"], "observed_at")
-        rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{root}/data/version={version}")
-        spark.createDataFrame([(p, version) for p in touched], "part int, version long").write.mode("append").parquet(f"{root}/pointer")
+        batch.write.mode("overwrite").parquet(f"{root}/delta/version={version}")
+        note(spark, version, "delta", spark.read.schema(schema).parquet(f"{root}/delta/version={version}").count())
+        (base, size), deltas = _entries(spark, root, version)
+        if sum(n for _, n in deltas) > max(LEAST, SHARE * size):
+            rows = _folded(spark, root, base, [v for v, _ in deltas], schema)
+            parts = 1 << max(0, (size + sum(n for _, n in deltas)) // PART_ROWS).bit_length()
+            rows.repartition(parts, "dataset_url").write.mode("overwrite").parquet(f"{root}/base/version={version}")
+            note(spark, version, "base", spark.read.parquet(f"{root}/base/version={version}").count())
 
     q = observations.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return read_streamed_catalog(spark, root)
+    return read_streamed_catalog(spark, root, schema)

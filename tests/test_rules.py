@@ -386,3 +386,35 @@ def test_many_providers_in_one_pass(spark):
     assert {r.code for r in warnings.collect()} == {"incomplete"} and warnings.count() == n // 10
     got, warnings = combine_providers(rows, ranks, status.withColumn("ok", F.lit(False)))
     assert got.count() == 0 and {r.code for r in warnings.collect()} == {"all_failed"}
+
+
+def test_streamed_catalogue_writes_deltas_and_folds_them(spark, monkeypatch):
+    """A small batch writes its own rows only; bases come as deltas add up; reading is the fold of all batches."""
+    import os
+
+    from lodestack.operators.merge import upsert_datasets
+    from lodestack.scratch import new_path
+    from lodestack.streaming import jobs as J
+
+    monkeypatch.setattr(J, "LEAST", 50)
+    monkeypatch.setattr(J, "PART_ROWS", 40)
+    root, src, schema = new_path(spark, "streamed"), new_path(spark, "source"), "dataset_url string, seq long, observed_at timestamp, title string, publisher string, source string"
+    at, seq, every = dt.datetime(2024, 1, 1), 0, []
+    list_of = lambda kind: sorted(os.listdir(f"{root}/{kind}")) if os.path.isdir(f"{root}/{kind}") else []
+    for size in (60, 1, 20, 1, 60, 1):
+        rows = []
+        for _ in range(size):
+            seq += 1
+            rows.append((f"u{seq * 7 % 83}", seq, at + dt.timedelta(minutes=seq), "" if seq % 3 else f"t{seq}", "" if seq % 4 else f"p{seq}", f"s{seq % 2}"))
+        every += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        before = list_of("base")
+        got = J.catalog_upsert_stream(spark.readStream.schema(schema).parquet(src), root)
+        if size == 1:
+            assert list_of("base") == before
+        whole = spark.createDataFrame(every, schema)
+        old = whole.limit(0).withColumns({"first_seen": F.col("observed_at"), "last_seen": F.col("observed_at")}).drop("observed_at")
+        want = upsert_datasets(old, whole, "dataset_url", ["title", "publisher"], ["source"], "observed_at")
+        assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(want.columns)).collect()))
+    assert len([x for x in list_of("base") if x.startswith("version")]) == 2 and len([x for x in list_of("delta") if x.startswith("version")]) == 6
+    assert len([x for x in os.listdir(f"{root}/base/{list_of('base')[-1]}") if x.startswith("part-")]) >= 2
