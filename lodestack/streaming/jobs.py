@@ -260,7 +260,7 @@ def catalog_upsert_stream(observations: DataFrame, root: str | None = None) -> D
         if sum(n for _, n in deltas) > max(LEAST, SHARE * size):
             rows = _folded(spark, root, base, [v for v, _ in deltas], schema)
             parts = 1 << max(0, (size + sum(n for _, n in deltas)) // PART_ROWS).bit_length()
-            rows.repartition(parts, "dataset_url").write.mode("overwrite").parquet(f"{root}/base/version={version}")
+            rows.repartition(parts, F.xxhash64("dataset_url")).write.mode("overwrite").parquet(f"{root}/base/version={version}")
             note(spark, version, "base", spark.read.parquet(f"{root}/base/version={version}").count())
 
     q = observations.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
