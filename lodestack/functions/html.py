@@ -1,6 +1,7 @@
-"""Page rules by regular expressions: links, fields, visible text, JSON-LD blocks, limits.
+"""Page rules: links, fields, visible text, JSON-LD blocks, barriers, limits.
 
-Less tolerant than a parser for malformed markup; callers can count pages without a match.
+A page is read once by the state machine of ``markup``, which takes broken markup too; what was found in it
+is judged in columns.
 """
 
 from __future__ import annotations
@@ -9,47 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls as U
+from lodestack.functions.markup import page
 
-#: Character entities that are decoded; the ampersand goes last. Fixed values.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 MAX_LINKS, MAX_JSONLD = 2000, 32
-
-
-def decode(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def _squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+#: Links to these are none. A fixed pattern.
+NO_LINK = "^(mailto|tel|javascript|data):"
 
 
 def visible_text(html: Column) -> Column:
     """Text without hidden elements, comments and tags; entities decoded, spaces collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    return _squeeze(decode(bare))
+    return page(html, "text")["text"]
 
 
-def element_text(html: Column, tag: str) -> Column:
-    """Text of the first such element, '' if there is none."""
-    return visible_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+def plain_text(text: Column) -> Column:
+    """Visible text of a description whose markup may itself be escaped."""
+    return page(text, "text", escaped=True)["text"]
 
 
 def element_texts(html: Column, tag: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)), visible_text)
-
-
-def meta(html: Column, name: str) -> Column:
-    """Content of a meta element by name or property, '' if there is none."""
-    tag = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*(?:name|property)\s*=\s*["']?{name}["'\s/>][^>]*>""", 0)
-    return _squeeze(decode(F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1)))
-
-
-def canonical_link(html: Column) -> Column:
-    tag = F.regexp_extract(html, r"""(?is)<link\b[^>]*rel\s*=\s*["']?canonical["'\s][^>]*>""", 0)
-    return F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1)
+    """Texts of all h2 or h3 elements, in order; '' for one without text."""
+    return F.transform(F.filter(page(html, "headings")["headings"], lambda h: h["tag"] == tag), lambda h: h["text"])
 
 
 #: Names of meta elements that give the publisher, and names, properties and item properties that
@@ -59,30 +39,24 @@ PLACES = ("citation_country", "country", "countries", "coverage", "dc.coverage",
 PLACE_ITEMS = ("country", "spatialcoverage", "contentlocation")
 
 
-def metas(html: Column) -> Column:
-    """All meta elements in order: structs of name, property, itemprop (lower-cased) and content."""
-    value = lambda tag, a: decode(F.regexp_replace(F.regexp_extract(tag, rf"""(?is)\b{a}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), r"""^["']|["']$""", ""))
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    return F.transform(tags, lambda tag: F.struct(*[F.lower(value(tag, a)).alias(a) for a in ("name", "property", "itemprop")], _squeeze(value(tag, "content")).alias("content")))
-
-
 def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     """Title, headings, descriptive fields, publisher, places and DOI of every page as columns.
 
     Places are split at commas and semicolons; the last citation DOI that is one counts."""
     from lodestack.operators.metadata import clean_strings, normalize_doi
 
-    h = F.col(html)
-    heads = F.concat(element_texts(h, "h2"), element_texts(h, "h3"))
-    rows = pages.withColumn("_m", F.filter(metas(h), lambda m: m["content"] != ""))
+    rows = pages.withColumn("_p", page(F.col(html), "title", "h1", "headings", "metas", "canonical"))
+    rows = rows.withColumn("_m", F.filter(F.col("_p.metas"), lambda m: m["content"] != ""))
+    of = lambda tag: F.filter("_p.headings", lambda h: (h["tag"] == tag) & (h["text"] != ""))
+    heads = F.concat(of("h2"), of("h3"))
     first = lambda ok: F.coalesce(F.try_element_at(F.filter("_m", ok), F.lit(1))["content"], F.lit(""))
     place = lambda m: m["name"].isin(*PLACES) | m["property"].isin(*PLACES) | m["itemprop"].isin(*PLACE_ITEMS)
     dois = F.filter(F.transform(F.filter("_m", lambda m: m["name"] == "citation_doi"), lambda m: normalize_doi(m["content"])), lambda d: d.isNotNull())
     return rows.withColumns({
-        "title": element_text(h, "title"), "h1": element_text(h, "h1"), "headings": F.filter(heads, lambda x: x != ""),
+        "title": F.col("_p.title"), "h1": F.col("_p.h1"), "headings": F.transform(heads, lambda h: h["text"]),
         "description": first(lambda m: m["name"] == "description"), "og_title": first(lambda m: m["property"] == "og:title"), "og_description": first(lambda m: m["property"] == "og:description"),
         "publisher": first(lambda m: m["name"].isin(*PUBLISHER)), "geography": clean_strings(F.flatten(F.transform(F.filter("_m", place), lambda m: F.split(m["content"], "[,;]")))),
-        "doi": F.coalesce(F.try_element_at(dois, F.lit(-1)), F.lit("")), "canonical": canonical_link(h)}).drop("_m")
+        "doi": F.coalesce(F.try_element_at(dois, F.lit(-1)), F.lit("")), "canonical": F.col("_p.canonical")}).drop("_m", "_p")
 
 
 def scan_pages(spark: SparkSession, path: str, columns: tuple[str, ...] = ("page_id", "url", "html")) -> DataFrame:
@@ -94,12 +68,10 @@ def scan_pages(spark: SparkSession, path: str, columns: tuple[str, ...] = ("page
 
 
 def page_to_links(html: str, url: str) -> Column:
-    """The links of one page as an array of structs (pos, href, anchor), for LATERAL use on any table."""
-    shown = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
-    found = F.slice(F.regexp_extract_all(shown, F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0)), 1, MAX_LINKS)
-    href = lambda a: decode(F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']?([^"'>\s]*)""", 1))
-    rows = F.transform(found, lambda a, i: F.struct(i.alias("pos"), href(a).alias("href"), visible_text(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a\s*>$", "")).alias("anchor")))
-    rows = F.filter(rows, lambda r: (r["href"] != "") & ~F.lower(r["href"]).rlike("^(mailto|tel|javascript|data):"))
+    """The links of one page as an array of structs (pos, link, anchor), for LATERAL use on any table."""
+    found = F.slice(page(F.col(html), "links")["links"], 1, MAX_LINKS)
+    rows = F.transform(found, lambda a, i: F.struct(i.alias("pos"), a["href"].alias("href"), a["anchor"].alias("anchor")))
+    rows = F.filter(rows, lambda r: (r["href"] != "") & ~F.lower(r["href"]).rlike(NO_LINK))
     rows = F.transform(rows, lambda r: F.struct(r["pos"].alias("pos"), U.canonical(r["href"], F.col(url)).alias("link"), r["anchor"].alias("anchor")))
     return F.filter(rows, lambda r: U.problem(r["link"]).isNull())
 
@@ -108,23 +80,18 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", limit:
     """One row per link: page columns, pos, link (canonical), anchor, extension, same_domain.
 
     Only http links; at most ``limit`` link elements of a page are read, in order."""
-    shown = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->", " ")
-    found = F.slice(F.regexp_extract_all(shown, F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0)), 1, limit)
     keep = [c for c in pages.columns if c != html]
-    each = pages.select(*keep, F.posexplode(found).alias("pos", "_a"))
-    raw = F.regexp_extract("_a", r"""(?is)\bhref\s*=\s*["']?([^"'>\s]*)""", 1)
-    anchor = visible_text(F.regexp_replace("_a", r"(?is)^<a\b[^>]*>|</a\s*>$", ""))
-    each = each.withColumns({"_h": decode(raw), "anchor": anchor}).filter((F.col("_h") != "") & ~F.lower("_h").rlike("^(mailto|tel|javascript|data):"))
-    each = each.withColumn("link", U.canonical(F.col("_h"), F.col(url))).filter(U.problem(F.col("link")).isNull())
+    each = pages.select(*keep, F.posexplode(F.slice(page(F.col(html), "links")["links"], 1, limit)).alias("pos", "_a"))
+    each = each.filter((F.col("_a.href") != "") & ~F.lower("_a.href").rlike(NO_LINK))
+    each = each.withColumn("link", U.canonical(F.col("_a.href"), F.col(url))).filter(U.problem(F.col("link")).isNull())
     extension = F.lower(F.regexp_extract(U.path(F.col("link")), r"(\.[A-Za-z0-9]+)$", 1))
-    return each.select(*keep, "pos", "link", "anchor", extension.alias("extension"), (U.host(F.col("link")) == U.host(F.col(url))).alias("same_domain"))
+    return each.select(*keep, "pos", "link", F.col("_a.anchor").alias("anchor"), extension.alias("extension"), (U.host(F.col("link")) == U.host(F.col(url))).alias("same_domain"))
 
 
 def jsonld_blocks(pages: DataFrame, html: str = "html", limit: int = MAX_JSONLD) -> DataFrame:
     """One row per JSON-LD block: page columns, block, body, valid."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""), F.lit(1))
     keep = [c for c in pages.columns if c != html]
-    each = pages.select(*keep, F.posexplode(F.slice(found, 1, limit)).alias("block", "body"))
+    each = pages.select(*keep, F.posexplode(F.slice(page(F.col(html), "jsonld")["jsonld"], 1, limit)).alias("block", "body"))
     return each.withColumn("valid", F.try_parse_json("body").isNotNull())
 
 
@@ -132,10 +99,8 @@ def landing_barrier(html: Column) -> Column:
     """restricted for a password form, unconfirmed for a captcha or barrier text, else null."""
     from lodestack.functions.access import barrier
 
-    shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    password = shown.rlike(r"""(?is)<form\b.*?<input\b[^>]*type\s*=\s*["']?password""")
-    captcha = shown.rlike(r"""(?is)class\s*=\s*["'][^"']*\b(g-recaptcha|h-captcha|cf-turnstile)\b""")
-    return F.when(password, "restricted").otherwise(F.coalesce(barrier(visible_text(html)), F.when(captcha, "unconfirmed")))
+    seen = page(html, "text", "password", "captcha")
+    return F.when(seen["password"], "restricted").otherwise(F.coalesce(barrier(seen["text"]), F.when(seen["captcha"], "unconfirmed")))
 
 
 def limits_audit(pages: DataFrame, html: str = "html", max_chars: int = 2_000_000, max_links: int = MAX_LINKS, max_blocks: int = MAX_JSONLD) -> DataFrame:

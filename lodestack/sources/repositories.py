@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import urls as U
-from lodestack.functions.html import visible_text
+from lodestack.functions.html import plain_text
 from lodestack.operators.metadata import normalize_doi
 
 FILE = "struct<link:string,name:string,mime:string,size:bigint,restricted:boolean>"
@@ -66,7 +66,7 @@ def scan_datacite_dump(bodies: DataFrame, body: str = "body") -> DataFrame:
     dates = F.coalesce(F.try_element_at(F.filter(a("dates"), lambda d: d["dateType"] == "Issued"), F.lit(1)), F.try_element_at(a("dates"), F.lit(1)))
     keywords = F.coalesce(F.array_distinct(F.filter(F.transform(a("subjects"), lambda s: _t(s["subject"])), lambda s: s != "")), F.array().cast("array<string>"))
     rejected = F.when(F.col("pos").isNull(), "invalid_response").when(F.col("r.attributes").isNull(), "no_attributes").when((title == "") | (url == ""), "no_title_or_url")
-    return each.select("pos", title.alias("title"), visible_text(text).alias("description"), url.alias("url"), F.lit("DataCite").alias("source"), _t(a("publisher")).alias("publisher"), F.coalesce(F.nullif(_t(a("publicationYear")), F.lit("")), dates["date"], F.lit("")).alias("date"), doi.alias("doi"), keywords.alias("keywords"), rejected.alias("rejected"))
+    return each.select("pos", title.alias("title"), plain_text(text).alias("description"), url.alias("url"), F.lit("DataCite").alias("source"), _t(a("publisher")).alias("publisher"), F.coalesce(F.nullif(_t(a("publicationYear")), F.lit("")), dates["date"], F.lit("")).alias("date"), doi.alias("doi"), keywords.alias("keywords"), rejected.alias("rejected"))
 
 
 def scan_zenodo(payloads: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def scan_zenodo(payloads: DataFrame) -> DataFrame:
     resources = F.transform(files, lambda f: _file(F.coalesce(f["links"]["content"], f["links"]["self"]), f["key"], _t(f["mimetype"]), f["size"], closed))
     rejected = F.when(F.col("r").isNull() | F.col("r.id").isNull(), "invalid_response").when(~((F.col("r.id") == wanted) | F.coalesce(concept, F.lit(False))), "identity_mismatch").when(_t(F.col("r.metadata.title")) == "", "no_title").when(F.coalesce(_bad_files(F.col("r.files"), lambda f: f["key"]), F.lit(True)), "invalid_files").when((file != "") & (F.size(files) == 0), "file_missing")
     doi = F.coalesce(normalize_doi(_t(F.col("r.doi"))), F.lit(""))
-    return _finish(p, "zenodo", {"kind": F.when(file != "", "file").otherwise("dataset"), "native_id": F.when(file != "", F.concat_ws("/", "r.id", F.lit("files"), file)).otherwise(F.col("r.id")), "persistent_id": F.when(file == "", doi).otherwise(""), "version": _t(F.col("r.metadata.version")), "title": F.when(file != "", file).otherwise(_t(F.col("r.metadata.title"))), "description": visible_text(_t(F.col("r.metadata.description"))), "publisher": _t(F.col("r.metadata.publisher")), "publication_date": _t(F.col("r.metadata.publication_date")), "license": _t(F.col("r.metadata.license.id")), "doi": F.when(file == "", doi).otherwise(""), "resources": resources}, rejected)
+    return _finish(p, "zenodo", {"kind": F.when(file != "", "file").otherwise("dataset"), "native_id": F.when(file != "", F.concat_ws("/", "r.id", F.lit("files"), file)).otherwise(F.col("r.id")), "persistent_id": F.when(file == "", doi).otherwise(""), "version": _t(F.col("r.metadata.version")), "title": F.when(file != "", file).otherwise(_t(F.col("r.metadata.title"))), "description": plain_text(_t(F.col("r.metadata.description"))), "publisher": _t(F.col("r.metadata.publisher")), "publication_date": _t(F.col("r.metadata.publication_date")), "license": _t(F.col("r.metadata.license.id")), "doi": F.when(file == "", doi).otherwise(""), "resources": resources}, rejected)
 
 
 def scan_figshare(payloads: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def scan_figshare(payloads: DataFrame) -> DataFrame:
     resources = F.transform("r.files", lambda f: _file(f["download_url"], f["name"], _t(f["mimetype"]), f["size"], F.col("r.is_embargoed")))
     rejected = F.when(F.col("r").isNull() | F.col("r.id").isNull(), "invalid_response").when((F.col("r.id") != wanted) | F.col("r.version").isNull() | ((pinned != "") & (F.col("r.version") != pinned)), "identity_mismatch").when(_t(F.col("r.title")) == "", "no_title").when(F.coalesce(_bad_files(F.col("r.files"), lambda f: f["id"]), F.lit(True)), "invalid_files")
     doi = F.coalesce(normalize_doi(_t(F.col("r.doi"))), F.lit(""))
-    return _finish(p, "figshare", {"kind": F.lit("dataset"), "native_id": F.col("r.id"), "persistent_id": doi, "version": F.col("r.version"), "title": _t(F.col("r.title")), "description": visible_text(_t(F.col("r.description"))), "publisher": _t(F.col("r.publisher")), "publication_date": _t(F.col("r.published_date")), "license": _t(F.col("r.license.name")), "doi": doi, "resources": resources}, rejected)
+    return _finish(p, "figshare", {"kind": F.lit("dataset"), "native_id": F.col("r.id"), "persistent_id": doi, "version": F.col("r.version"), "title": _t(F.col("r.title")), "description": plain_text(_t(F.col("r.description"))), "publisher": _t(F.col("r.publisher")), "publication_date": _t(F.col("r.published_date")), "license": _t(F.col("r.license.name")), "doi": doi, "resources": resources}, rejected)
 
 
 def scan_dataverse(payloads: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def scan_dataverse(payloads: DataFrame) -> DataFrame:
     rejected = F.when(F.coalesce(F.col("r.status"), F.lit("")) != "OK", "invalid_response").when((pid != "") & (persistent != pid), "identity_mismatch").when(F.coalesce(_bad_files(files, lambda f: f["dataFile"]["id"]), F.lit(True)), "invalid_files")
     v = F.col("r.data.latestVersion")
     title = F.when(cite("title") != "", cite("title")).otherwise(F.coalesce(F.try_element_at(resources, F.lit(1))["name"], F.lit("")))
-    return _finish(p, "dataverse", {"kind": F.when(is_file, "file").otherwise("dataset"), "native_id": F.when(is_file, F.col("r.data.dataFile.id")).otherwise(F.col("r.data.id")), "persistent_id": persistent, "version": F.when(v["versionNumber"].isNotNull(), F.concat_ws(".", v["versionNumber"].cast("string"), F.coalesce(v["versionMinorNumber"], F.lit(0)).cast("string"))).otherwise(""), "title": title, "description": visible_text(cite("dsDescription")), "publisher": cite("publisher"), "publication_date": _t(v["releaseTime"]), "license": _t(v["license"]["name"]), "doi": F.coalesce(normalize_doi(persistent), F.lit("")), "resources": resources}, rejected)
+    return _finish(p, "dataverse", {"kind": F.when(is_file, "file").otherwise("dataset"), "native_id": F.when(is_file, F.col("r.data.dataFile.id")).otherwise(F.col("r.data.id")), "persistent_id": persistent, "version": F.when(v["versionNumber"].isNotNull(), F.concat_ws(".", v["versionNumber"].cast("string"), F.coalesce(v["versionMinorNumber"], F.lit(0)).cast("string"))).otherwise(""), "title": title, "description": plain_text(cite("dsDescription")), "publisher": cite("publisher"), "publication_date": _t(v["releaseTime"]), "license": _t(v["license"]["name"]), "doi": F.coalesce(normalize_doi(persistent), F.lit("")), "resources": resources}, rejected)
 
 
 def scan_inveniordm(payloads: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def scan_inveniordm(payloads: DataFrame) -> DataFrame:
     m = F.col("r.record.metadata")
     rejected = F.when(F.col("r.record").isNull(), "invalid_response").when((F.col("r.record.id") != wanted) | ~F.coalesce(F.col("r.record.is_published"), F.lit(False)), "identity_mismatch").when(_t(m["title"]) == "", "no_title").when(bad, "invalid_files")
     doi = F.coalesce(normalize_doi(_t(F.col("r.record.pids.doi.identifier"))), F.lit(""))
-    return _finish(p, "inveniordm", {"kind": F.lit("dataset"), "native_id": F.col("r.record.id"), "persistent_id": doi, "version": _t(F.col("r.record.versions.index")), "title": _t(m["title"]), "description": visible_text(_t(m["description"])), "publisher": _t(m["publisher"]), "publication_date": _t(m["publication_date"]), "license": _t(F.try_element_at(m["rights"], F.lit(1))["id"]), "doi": doi, "resources": resources}, rejected)
+    return _finish(p, "inveniordm", {"kind": F.lit("dataset"), "native_id": F.col("r.record.id"), "persistent_id": doi, "version": _t(F.col("r.record.versions.index")), "title": _t(m["title"]), "description": plain_text(_t(m["description"])), "publisher": _t(m["publisher"]), "publication_date": _t(m["publication_date"]), "license": _t(F.try_element_at(m["rights"], F.lit(1))["id"]), "doi": doi, "resources": resources}, rejected)
 
 
 def scan_dryad(datasets: DataFrame, versions: DataFrame, files: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def scan_dryad(datasets: DataFrame, versions: DataFrame, files: DataFrame) -> Da
     resources = F.transform(F.coalesce("files", F.array().cast("array<struct<link:string,name:string,mime:string,size:bigint>>")), lambda x: _file(x["link"], x["name"], _t(x["mime"]), x["size"], F.coalesce(F.col("visibility"), F.lit("")) != "public"))
     doi = normalize_doi(F.col("identifier"))
     rejected = F.when(doi.isNull() | (doi != F.coalesce(normalize_doi(F.regexp_extract("url", r"(10\.[^?#]+)", 1)), F.lit(""))), "identity_mismatch").when(F.col("of").isNull() | (F.col("of") != F.col("self")), "version_mismatch").when(_t(F.col("title")) == "", "no_title")
-    return _finish(j, "dryad", {"kind": F.lit("dataset"), "native_id": doi, "persistent_id": doi, "version": _t(F.col("number")), "title": _t(F.col("title")), "description": visible_text(_t(F.col("abstract"))), "publisher": F.lit("Dryad"), "publication_date": _t(F.col("date")), "license": _t(F.col("license")), "doi": doi, "resources": resources}, rejected)
+    return _finish(j, "dryad", {"kind": F.lit("dataset"), "native_id": doi, "persistent_id": doi, "version": _t(F.col("number")), "title": _t(F.col("title")), "description": plain_text(_t(F.col("abstract"))), "publisher": F.lit("Dryad"), "publication_date": _t(F.col("date")), "license": _t(F.col("license")), "doi": doi, "resources": resources}, rejected)
 
 
 def scan_dspace(items: DataFrame, bundles: DataFrame, bitstreams: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def scan_dspace(items: DataFrame, bundles: DataFrame, bitstreams: DataFrame) ->
     wanted = F.regexp_extract("url", r"/items/([^/?#]+)", 1)
     rejected = F.when(F.col("r.uuid").isNull(), "invalid_response").when((F.col("r.uuid") != wanted) | ~F.coalesce(F.col("r.inArchive"), F.lit(False)) | F.coalesce(F.col("r.withdrawn"), F.lit(False)), "identity_mismatch").when(value("dc.title") == "", "no_title")
     doi = F.coalesce(normalize_doi(value("dc.identifier.doi")), normalize_doi(value("dc.identifier.uri")), F.lit(""))
-    return _finish(j, "dspace", {"kind": F.lit("dataset"), "native_id": F.col("r.uuid"), "persistent_id": doi, "title": value("dc.title"), "description": visible_text(value("dc.description.abstract")), "publisher": value("dc.publisher"), "publication_date": value("dc.date.issued"), "license": value("dc.rights"), "doi": doi, "resources": resources}, rejected)
+    return _finish(j, "dspace", {"kind": F.lit("dataset"), "native_id": F.col("r.uuid"), "persistent_id": doi, "title": value("dc.title"), "description": plain_text(value("dc.description.abstract")), "publisher": value("dc.publisher"), "publication_date": value("dc.date.issued"), "license": value("dc.rights"), "doi": doi, "resources": resources}, rejected)
 
 
 def unify_records(*frames: DataFrame) -> DataFrame:
