@@ -13,14 +13,15 @@ k-th best of a first few is never ranked.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.scratch import arrow_batches, let, settle
+from lodestack.functions.stems import english_stem
+from lodestack.scratch import arrow_batches, settle
 
 #: Documents, about, of a block; distance between fields in positions.
 BLOCK, FIELD = 512, 1 << 40
@@ -29,39 +30,15 @@ FIRST, FIRST_BLOCKS = 4, 4
 
 #: Weights of title, description, publisher and place, platform and url words. Fixed values.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-#: Suffix rules of the light English stemmer in groups; of each group the first rule that fits is
-#: applied.  A rule with nothing to put in keeps the word as it is, which guards its ending.
-STEMS = (
-    ((r"sses$", "ss"), (r"([a-z]{2})ies$", "$1y"), (r"(ss|us|is|ous)$", None), (r"([a-z]{2})s$", "$1")),
-    ((r"eed$", None), (r"([a-z]*[aeiouy][a-z]*[bcdfghjklmnpqrtvwxz])(ing|edly|ed)$", "$1"), (r"([a-z]*[aeiouy][a-z]*[aeiouys])(ing|edly|ed)$", "$1"), (r"([a-z]{3})ly$", "$1")),
-    tuple((rf"([a-z]{{2}}{c}){c}$", "$1") for c in "bdfgmnprt"),
-    ((r"([a-z]{3})e$", "$1"),),
-)
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def stem(term: Column) -> Column:
-    """A light English stem: plurals, -ing, -ed, -ly, doubled consonants before them, a final e."""
-    def step(group: tuple) -> Callable[[Column], Column]:
-        def apply(x: Column) -> Column:
-            out = F.when(F.lit(False), x)
-            for pattern, to in group:
-                out = out.when(x.rlike(pattern), x if to is None else F.regexp_replace(x, pattern, to))
-            return out.otherwise(x)
-
-        return apply
-
-    for group in STEMS:
-        term = let(term, step(group))
-    return term
-
-
 def stem_vocabulary(postings: DataFrame) -> DataFrame:
     """(term, stem) of the distinct terms only."""
-    return postings.select("term").distinct().withColumn("stem", stem(F.col("term")))
+    return postings.select("term").distinct().withColumn("stem", english_stem("term"))
 
 
 def posting_lists(postings: DataFrame, docs: int | None = None) -> DataFrame:
@@ -92,7 +69,7 @@ def prepare(postings: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFra
 
     Terms become stems on both sides, so variants of a word match each other.  The vocabulary is cut
     to the asked stems first; the postings then meet only the few terms that are left."""
-    asked = settle(queries.withColumn("term", stem(F.col("term"))), "asked")
+    asked = settle(queries.withColumn("term", english_stem("term")), "asked")
     wanted = stem_vocabulary(postings).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
     held = postings.join(settle(wanted, "variants"), "term").select("doc", F.col("stem").alias("term"), "pos", "weight")
     return posting_lists(settle(held, "postings")), asked

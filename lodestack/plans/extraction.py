@@ -93,7 +93,7 @@ def _(t):
 
 
 @query("extract_page_fields", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<h2\b[^>]*>(.*?)</h2\s*>', 1)) AS INTEGER) AS n_h2,
-md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS h1, md5(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS title,
+md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS h1, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS title,
 'Press & Co' AS publisher, 'Chad|Mali' AS geography, CASE WHEN page_id % 3 = 0 THEN '10.1234/p' || page_id ELSE '' END AS doi FROM pages""")
 def _(t):
     k = F.col("page_id") % 3
@@ -103,7 +103,7 @@ def _(t):
     return f.select("page_id", F.size(H.element_texts(F.col("html"), "h2")).alias("n_h2"), F.md5("h1").alias("h1"), F.md5("title").alias("title"), "publisher", F.array_join("geography", "|").alias("geography"), "doi")
 
 
-@query("page_defaults", r"""WITH f AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages)
+@query("page_defaults", r"""WITH f AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages)
 SELECT page_id, md5(CASE WHEN page_id % 3 <> 0 AND title <> '' THEN title ELSE h1 END) AS title FROM f""")
 def _(t):
     from lodestack.operators.metadata import first_filled

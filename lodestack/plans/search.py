@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.functions import stems as E
 from lodestack.operators import search as S
 from lodestack.operators.tables import with_children
 from lodestack.plans.base import query
@@ -15,13 +16,38 @@ td AS (SELECT doc_id AS doc, unnest({TOK.format("'https://' || source || '.examp
 tb AS (SELECT doc_id AS doc, unnest({TOK.format("text")}) AS term, generate_subscripts({TOK.format("text")}, 1) - 1 AS i FROM documents),
 stops AS (SELECT * FROM (VALUES ('the'), ('of'), ('and'), ('de'), ('la'), ('to'), ('in'), ('a')) AS s(term)),
 post0 AS (SELECT * FROM (SELECT doc, term, i AS pos, 1.0::DOUBLE AS weight FROM ta UNION ALL SELECT doc, term, 1099511627776 + i, 0.4::DOUBLE FROM tb UNION ALL SELECT doc, term, 2 * 1099511627776 + i, 0.2::DOUBLE FROM tc UNION ALL SELECT doc, term, 3 * 1099511627776 + i, 0.1::DOUBLE FROM td) WHERE term NOT IN (SELECT term FROM stops))"""
+
+
+def _rules(rules: tuple, x: str = "x") -> str:
+    """A step of the stemmer over columns x, r1 and r2."""
+    arms = []
+    for suffix, ways in E.by_suffix(rules):
+        size = f"length({x}) - {len(suffix)}"
+        inner = ""
+        for region, pattern, instead in ways:
+            held = ["true", f"{size} >= r1", f"{size} >= r2"][region] if region < 3 else "false"
+            if pattern:
+                held += f" AND {'NOT ' if pattern[0] == '!' else ''}regexp_matches(left({x}, {size}), '{pattern.lstrip('!')}')"
+            inner += f" WHEN {held} THEN left({x}, {size}) || '{instead}'"
+        arms.append(f"WHEN ends_with({x}, '{suffix}') THEN CASE{inner} ELSE {x} END")
+    return f"CASE {' '.join(arms)} ELSE {x} END"
+
+
 def _stems() -> str:
-    """CTEs v0 .. voc (term, stem): the stemmer's groups of rules, one step each."""
-    steps = ["v0 AS (SELECT term, term AS x FROM (SELECT term FROM post0 UNION SELECT term FROM qt))"]
-    for i, group in enumerate(S.STEMS):
-        arms = " ".join(f"WHEN regexp_matches(x, '{p}') THEN " + ("x" if to is None else f"regexp_replace(x, '{p}', '{to.replace('$', chr(92))}')") for p, to in group)
-        steps.append(f"v{i + 1} AS (SELECT term, CASE {arms} ELSE x END AS x FROM v{i})")
-    return ", ".join(steps) + f", voc AS (SELECT term, x AS stem FROM v{len(S.STEMS)})"
+    """CTEs v0 .. voc (term, stem): regions first, then a step each."""
+    region = "CASE WHEN regexp_matches({0}, '" + E.REGION + "') THEN length(regexp_extract({0}, '" + E.REGION + "')) ELSE length({0}) END"
+    steps = ["v0 AS (SELECT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS x FROM (SELECT term FROM post0 UNION SELECT term FROM qt))",
+             f"va AS (SELECT term, x, CASE WHEN regexp_matches(x, '{E.BEGINNINGS}') THEN length(regexp_extract(x, '{E.BEGINNINGS}')) ELSE {region.format('x')} END AS r1 FROM v0)",
+             f"vb AS (SELECT term, x, r1, r1 + {region.format('substring(x, r1 + 1)')} AS r2 FROM va)",
+             f"vc AS (SELECT term, {_rules(E.PLURALS)} AS x, r1, r2 FROM vb)",
+             f"vd AS (SELECT term, x AS whole, {_rules(E.ENDINGS)} AS x, r1, r2 FROM vc)",
+             f"ve AS (SELECT *, {_rules(E.AFTER_ENDINGS)} AS mended FROM vd)",
+             f"v1 AS (SELECT term, whole, r1, r2, CASE WHEN x = whole OR regexp_matches(whole, 'eed(ly)?$') THEN x WHEN mended <> x THEN mended WHEN length(x) <= r1 AND regexp_matches(x, '{E.SHORT}') THEN x || 'e' ELSE x END AS x FROM ve)"]
+    rest = (E.LAST_Y, E.DERIVED, E.DERIVED_TWICE, E.BARE, E.LAST)
+    steps += [f"v{i + 2} AS (SELECT term, whole, r1, r2, {_rules(r)} AS x FROM v{i + 1})" for i, r in enumerate(rest)]
+    known = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in E.EXCEPTIONS.items())
+    kept = ", ".join(f"'{w}'" for w in E.KEPT)
+    return ", ".join(steps) + f", voc AS (SELECT term, CASE WHEN length(term) <= 2 THEN term ELSE CASE term {known} ELSE CASE WHEN whole IN ({kept}) THEN whole ELSE replace(x, 'Y', 'y') END END END AS stem FROM v{len(rest) + 1})"
 
 
 QT = f"""qt AS (SELECT item_id AS query, unnest({TOK.format("text")}) AS term, generate_subscripts({TOK.format("text")}, 1) - 1 AS i FROM benchmark)"""
