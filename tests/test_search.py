@@ -105,3 +105,35 @@ def test_a_term_in_every_document_is_many_keys(spark, monkeypatch):
     assert S.posting_lists(postings.limit(0)).count() == 0
     empty = S.match_terms(postings.limit(0), spark.createDataFrame(QUERIES, "query string, term string, role string, position int"))
     assert empty.count() == 0
+
+
+def test_words_are_stemmed_once_and_lists_lie_by_document(spark):
+    postings, _ = catalogue(spark, 300, 30)
+    asked = spark.createDataFrame([("t1",), ("every",)], "stem string")
+    wanted = S.stem_vocabulary(postings).join(asked, "stem", "left_semi")
+    # a distinct in the same plan lets the join, and with it the stemmer, be pushed below it to every posting
+    assert "Aggregate [term" not in wanted._jdf.queryExecution().optimizedPlan().toString()
+    lists = S.posting_lists(postings, 300)
+    files = lists.select("doc", F.input_file_name().alias("file")).groupBy("doc").agg(F.count_distinct("file").alias("files"))
+    assert files.filter("files > 1").count() == 0
+    assert lists.select("doc", "term").distinct().count() == lists.count() == postings.select("doc", "term").distinct().count()
+
+
+def test_stop_words_do_not_move_the_postings(spark):
+    from lodestack.plans.base import Tables
+    from lodestack.plans.search import postings
+    from tests.conftest import SF
+
+    plan = postings(Tables(spark, SF))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lists_of_pairs(spark):
+    postings, rows = catalogue(spark, 60, 8)
+    lists = S.posting_lists(postings, 60)
+    asked = spark.createDataFrame([("a", "t0"), ("a", "t1"), ("a", "t1"), ("b", "t1"), ("b", "every"), ("c", "none")], "query string, term string")
+    pairs = spark.createDataFrame([("a", d) for d in range(0, 60, 2)] + [("b", d) for d in range(0, 60, 3)] + [("b", 0), ("c", 1)], "query string, doc long")
+    held = {(d, t) for d, t, *_ in rows}
+    want = {(q, d, t) for q, d in map(tuple, pairs.collect()) for a, t in map(tuple, asked.collect()) if a == q and (d, t) in held}
+    got = [tuple(r) for r in S.lists_of(lists, asked, pairs).collect()]
+    assert set(got) == want and len(got) == len(want)
