@@ -135,11 +135,17 @@ def scan_dryad(datasets: DataFrame, versions: DataFrame, files: DataFrame) -> Da
     """Dataset, version and file payload tables that agree by their links.
 
     datasets(url, body), versions(body), files(body): HAL documents whose _links name each other."""
-    link = lambda name: F.get_json_object("body", f"$._links['{name}'].href")
-    d = datasets.select("url", F.get_json_object("body", "$.identifier").alias("identifier"), F.get_json_object("body", "$.visibility").alias("visibility"), F.get_json_object("body", "$.license").alias("license"), link("stash:version").alias("v"), link("self").alias("self"))
-    v = versions.select(link("self").alias("v"), link("stash:dataset").alias("of"), F.get_json_object("body", "$.title").alias("title"), F.get_json_object("body", "$.abstract").alias("abstract"), F.get_json_object("body", "$.publicationDate").alias("date"), F.get_json_object("body", "$.versionNumber").alias("number"))
-    f = files.select(link("stash:version").alias("v"), link("self").alias("link"), F.get_json_object("body", "$.path").alias("name"), F.get_json_object("body", "$.mimeType").alias("mime"), F.get_json_object("body", "$.size").cast("bigint").alias("size"))
-    listed = f.groupBy("v").agg(F.array_sort(F.collect_list(F.struct(F.concat("link", F.lit("/download")).alias("link"), "name", "mime", "size"))).alias("files"))
+    def read(payloads: DataFrame, links: str, fields: str) -> DataFrame:
+        """Payloads with ``r``, read once; what is no JSON object has no fields."""
+        linked = ",".join(f"`{k}`:struct<href:string>" for k in links.split())
+        own = ",".join(f"{k} string" for k in fields.split())
+        return payloads.withColumn("r", F.from_json(F.when(F.col("body").rlike(r"^\s*\{"), F.col("body")), f"_links struct<{linked}>,{own}"))
+
+    link = lambda name: F.col(f"r._links.`{name}`.href")
+    d = read(datasets, "self stash:version", "identifier visibility license").select("url", "r.identifier", "r.visibility", "r.license", link("stash:version").alias("v"), link("self").alias("self"))
+    v = read(versions, "self stash:dataset", "title abstract publicationDate versionNumber").select(link("self").alias("v"), link("stash:dataset").alias("of"), "r.title", "r.abstract", F.col("r.publicationDate").alias("date"), F.col("r.versionNumber").alias("number"))
+    f = read(files, "self stash:version", "path mimeType size").select(link("stash:version").alias("v"), link("self").alias("link"), F.col("r.path").alias("name"), F.col("r.mimeType").alias("mime"), F.col("r.size").try_cast("bigint").alias("size"))
+    listed = f.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(F.concat("link", F.lit("/download")).alias("link"), "name", "mime", "size"))).alias("files"))
     j = d.join(v, "v", "left").join(listed, "v", "left")
     resources = F.transform(F.coalesce("files", F.array().cast("array<struct<link:string,name:string,mime:string,size:bigint>>")), lambda x: _file(x["link"], x["name"], _t(x["mime"]), x["size"], F.coalesce(F.col("visibility"), F.lit("")) != "public"))
     doi = normalize_doi(F.col("identifier"))
