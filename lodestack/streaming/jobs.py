@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -83,43 +84,46 @@ def command_dedup_stream(commands: DataFrame, time: str, keys: list[str], retent
     return commands.withWatermark(time, retention).dropDuplicatesWithinWatermark(keys)
 
 
-class Commands(StatefulProcessor):
-    """First command of a key is accepted; the same one again is a replay, another one a conflict."""
+#: Groups that command keys are dealt into by a hash.
+KEY_GROUPS = 16_384
 
-    def __init__(self, retention_ms: int):
-        self.retention = retention_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("first", "print string")
+def command_outcomes(retention_ms: int):
+    """First command of a key is accepted; the same one again is a replay, another one a conflict.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows).sort_values(["ts_us", "command_id"], kind="stable")
-        first = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for command, mark, at in zip(pdf["command_id"], pdf["fingerprint"], pdf["ts_us"], strict=True):
-            if first is None:
-                first, outcome = mark, "accepted"
-                self.state.update((mark,))
-                self.handle.registerTimer(int(at) // 1000 + self.retention)
+    Keys are judged a group at a time: a call, a frame and a state for every key would cost far more than its rows."""
+    def judge(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()  # no row is older, so a key whose time it has passed is forgotten for all
+        known = {k: (first, until) for k, first, until in zip(*state.get, strict=True) if until > now} if state.exists else {}
+        # rows of one batch come in chunks, which are not in order among themselves
+        columns = ("ts_us", "command_id", "command_key", "fingerprint")
+        rows = [] if state.hasTimedOut else [r for pdf in chunks for r in zip(*(pdf[c].tolist() for c in columns), strict=True)]
+        rows.sort(key=lambda r: r[:2])
+        outcomes = []
+        for at, _id, key, mark in rows:
+            if key in known:
+                outcomes.append("replay" if mark == known[key][0] else "conflict")
             else:
-                outcome = "replay" if mark == first else "conflict"
-            out.append((key[0], int(command), outcome))
-        yield pd.DataFrame(out, columns=["command_key", "command_id", "outcome"])
+                known[key] = (mark, at // 1000 + retention_ms)
+                outcomes.append("accepted")
+        left = {k: v for k, v in known.items() if v[1] > now}
+        if left:
+            state.update((list(left), [first for first, _ in left.values()], [until for _, until in left.values()]))
+            state.setTimeoutTimestamp(min(until for _, until in left.values()))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame({"command_key": [r[2] for r in rows], "command_id": [r[1] for r in rows], "outcome": outcomes})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+    return judge
 
 
 def command_outcome_stream(commands: DataFrame, time: str, retention_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
     """(command_key, command_id, outcome) of commands with command_key, command_id, ts_us, fingerprint and
     ``time``; a key is forgotten the retention time after its first command, in event time."""
     ship(commands.sparkSession)
-    return commands.withWatermark(time, late).groupBy("command_key").transformWithStateInPandas(Commands(retention_ms), "command_key string, command_id long, outcome string", "Append", "EventTime")
+    dealt = commands.withWatermark(time, late).withColumn("key_group", F.pmod(F.xxhash64("command_key"), F.lit(KEY_GROUPS))).groupBy("key_group")
+    return dealt.applyInPandasWithState(command_outcomes(retention_ms), "command_key string, command_id long, outcome string", "keys array<string>, firsts array<string>, untils array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class LatestState(StatefulProcessor):
