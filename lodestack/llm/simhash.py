@@ -221,12 +221,17 @@ def verified_links(candidates: DataFrame, sets: DataFrame, similarity: float = S
     differ rarely meet.  Groups of many near copies would still meet pair by pair, so before that
     ``STARS`` rounds compare a whole group with one of its sets, the one whose shingles are most common, and
     pairs that are linked through these need no comparison any more.
+
+    Two sets share nothing before the first shingle at which they meet.  So a set with k shingles from there on
+    has at most k in common with the other, which must not have over ``room`` = k * (1 + 1 / similarity) - n
+    shingles.  A set that has as many rare shingles as edits bring meets none of its size.
     """
     each = candidates.join(sets, "node").select("group", "node", "n", F.explode("s").alias("s"))
     shared = each.groupBy("group", "s").agg(F.count("*").alias("df")).filter("df > 1")
     held = each.join(shared, ["group", "s"]).groupBy("group", "node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"), (F.sum("df") / F.col("n")).alias("common"))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("own"))  # shingles that no other has come first
-    own = held.withColumn("first", first).filter("first > 0").select("group", "node", "n", "common", F.transform(F.slice("own", 1, F.col("first").cast("int")), lambda x: x["s"]).alias("s"))
+    room = lambda i: (F.size("own") - i) * (1 + 1 / similarity) - F.col("n") + 1e-6
+    own = held.withColumn("first", first).filter("first > 0").select("group", "node", "n", "common", F.transform(F.slice("own", 1, F.col("first").cast("int")), lambda x, i: F.struct(x["s"].alias("s"), room(i).alias("room"))).alias("s"))
     own = settle(own, "prefixes")
     stars = None
     rest = own.select("group", "node", "common")
@@ -242,12 +247,17 @@ def verified_links(candidates: DataFrame, sets: DataFrame, similarity: float = S
             break
     stars = stars.select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = own.select("group", "node", "n", "s").join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lists = settle(labels.select("group", "node", "n", "label", F.explode("s").alias("s")), "lists")
-    mixed = lists.groupBy("group", "s", "label").agg(F.count("*").alias("k")).groupBy("group", "s").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels"))
-    mixed = settle(mixed.filter("labels > 1").select("group", "s", "most"), "mixed")
-    minor = lists.join(mixed, ["group", "s"]).filter("label <> most").select("group", "s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    other = lists.join(mixed.select("group", "s"), ["group", "s"]).select("group", "s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    meet = minor.join(other, ["group", "s"]).filter((F.col("lx") != F.col("ly")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")))
+    lists = settle(labels.select("group", "node", "n", "label", F.explode("s").alias("s")).select("group", "node", "n", "label", "s.s", "s.room"), "lists")
+    spans = F.min("n").alias("low"), F.max("room").alias("high")
+    fits = lists.join(lists.groupBy("group", "s").agg(*spans), ["group", "s"]).filter("n <= high and low <= room").drop("low", "high")
+    fits = settle(fits, "fitting")
+    mixed = fits.groupBy("group", "s", "label").agg(F.count("*").alias("k"), *spans).groupBy("group", "s")
+    mixed = mixed.agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels"), F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = settle(mixed.filter("labels > 1").drop("labels"), "mixed")
+    held = settle(fits.join(mixed, ["group", "s"]).filter("n <= high and low <= room").drop("low", "high"), "meeting")
+    side = lambda c: [F.col(k).alias(k + c) for k in ("node", "n", "label", "room")]
+    meet = held.filter("label <> most").select("group", "s", *side("x")).join(held.select("group", "s", *side("y")), ["group", "s"])
+    meet = meet.filter((F.col("labelx") != F.col("labely")) & (F.col("nx") <= F.col("roomy")) & (F.col("ny") <= F.col("roomx"))).select(F.col("nodex").alias("x"), F.col("nodey").alias("y"))
     pairs = settle(meet.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     return settle(stars.unionByName(alike(pairs, sets, similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
 

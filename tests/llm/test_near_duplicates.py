@@ -157,3 +157,43 @@ def test_links_within_groups_are_all_pairs_by_brute_force(spark):
                     parent[y] = x
     assert {k: labels.get(k, k) for k in sets} == {k: root(k) for k in sets}
     assert frame.filter(F.col("n") > 0).count() == len(sets)
+
+
+def test_edited_copies_of_one_text_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Four hundred sets around one, most too far from it to be alike, and a few twins among them: as many
+    links as by brute force, and compared pairs that do not grow with the square of the group."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 1 << 60, 150)
+    sets = {}
+    for i in range(400):
+        own = core[: rng.integers(130, 151)].copy()
+        at = rng.choice(len(own), rng.integers(5, 45), replace=False)
+        own[at] = rng.integers(0, 1 << 60, len(at))
+        sets[i] = sorted({*own.tolist()})
+        if i % 40 == 0:
+            sets[1000 + i] = sorted({*sets[i][3:], i})
+    compared, alike = [], simhash.alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    frame = spark.createDataFrame([(k, len(s), s) for k, s in sets.items()], "node long, n long, s array<long>")
+    held = frame.select("node", F.lit(0).cast("long").alias("group"))
+    labels = {r.node: r.label for r in simhash.components(simhash.verified_links(held, frame)).collect()}
+    parent = {k: k for k in sets}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            i = len({*sets[a]} & {*sets[b]}) if a < b else 0
+            if i and i >= 0.8 * (len(sets[a]) + len(sets[b]) - i):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {k: labels.get(k, k) for k in sets} == {k: root(k) for k in sets}
+    assert sum(compared) < 10 * len(sets), compared
