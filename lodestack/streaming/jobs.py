@@ -84,7 +84,7 @@ def command_dedup_stream(commands: DataFrame, time: str, keys: list[str], retent
     return commands.withWatermark(time, retention).dropDuplicatesWithinWatermark(keys)
 
 
-#: Groups that command keys are dealt into by a hash.
+#: Groups that the keys of commands and of work are dealt into by a hash.
 KEY_GROUPS = 16_384
 
 
@@ -151,65 +151,50 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").transformWithStateInPandas(LatestState(), "job_id long, version long, status string", "Append", "None")
 
 
-class Stalled(StatefulProcessor):
+def stalled_work(deadline_ms: int):
     """Work that was not finished within its deadline, by event time.
 
-    Rows wait in a buffer until the watermark has passed them and are then folded in order of time (at one time
-    finished first), so order, chunks and batches of arrival do not matter.  A start opens work until it is
-    finished or its deadline has passed; starts of open work do not count."""
-
-    def __init__(self, deadline_ms: int):
-        self.deadline = deadline_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, kind string")
-        self.open = handle.getValueState("open", "ms long")
-
-    def settled(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        """Fold all that the watermark has passed; wake again for the next of the rest."""
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        started = self.open.get()[0] if self.open.exists() else None
-        due, rest = [r for r in rows if r[0] <= watermark], [r for r in rows if r[0] > watermark]
-        late = []
-        for at, kind in [*due, (watermark, "")]:
-            if started is not None and started + self.deadline < at + (not kind):  # the mark itself tells that nothing came up to it
-                late.append(started)
-                started = None
+    Rows wait until the watermark has passed them and are then folded in order of time (at one time finished
+    first), so order, chunks and batches of arrival do not matter.  A start opens work until it is finished or its
+    deadline has passed; starts of open work do not count.  Works are judged a group at a time, as commands are."""
+    def judge(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        works, times, kinds, held, since = state.get if state.exists else ([], [], [], [], [])
+        rows, opened = list(zip(times, kinds, works, strict=True)), dict(zip(held, since, strict=True))
+        if not state.hasTimedOut:
+            rows += [(int(ms), str(kind), work) for pdf in chunks for ms, kind, work in zip(*(pdf[c].tolist() for c in ("ms", "kind", "work_id")), strict=True)]
+        due, late = sorted((r for r in rows if r[0] <= mark), key=lambda r: r[:2]), []
+        for at, kind, work in due:
+            if work in opened and opened[work] + deadline_ms < at:
+                late.append((work, opened.pop(work)))
             if kind == "finished":
-                started = None
-            elif kind and started is None:
-                started = at
-        if due:
-            self.waiting.clear()
-            if rest:
-                self.waiting.put([(int(ms), kind) for ms, kind in rest])
-        self.open.clear()
-        if started is not None:
-            self.open.update((int(started),))
-            self.handle.registerTimer(int(started + self.deadline))
-        if rest:
-            self.handle.registerTimer(int(rest[0][0]))
+                opened.pop(work, None)
+            else:
+                opened.setdefault(work, at)
+        late += [(work, at) for work, at in opened.items() if at + deadline_ms <= mark]  # the mark itself tells that nothing came up to it
+        opened = {work: at for work, at in opened.items() if at + deadline_ms > mark}
+        rest = [r for r in rows if r[0] > mark]
+        if rest or opened:
+            state.update(([r[2] for r in rest], [r[0] for r in rest], [r[1] for r in rest], list(opened), list(opened.values())))
+            # a group wakes when the watermark is past this, so at the next row's or deadline's own time
+            state.setTimeoutTimestamp(max(1, min([r[0] for r in rest] + [at + deadline_ms for at in opened.values()]) - 1))
+        elif state.exists:
+            state.remove()
         if late:
-            yield pd.DataFrame({"work_id": [key[0]] * len(late), "started_ms": late})
+            yield pd.DataFrame(late, columns=["work_id", "started_ms"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.waiting.appendList([(int(ms), str(kind)) for ms, kind in zip(pdf["ms"], pdf["kind"], strict=True)])
-        return self.settled(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self.settled(key, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+    return judge
 
 
 def stalled_work_stream(events: DataFrame, time: str, deadline_s: int = 300, late: str = "1 minute") -> DataFrame:
     """(work_id, started_ms) of work that was not finished within its deadline; events has work_id, kind
     (started or finished), ms and time.  Rows later than the watermark are dropped."""
     ship(events.sparkSession)
-    return events.withWatermark(time, late).groupBy("work_id").transformWithStateInPandas(Stalled(deadline_s * 1000), "work_id long, started_ms long", "Append", "EventTime")
+    # ids travel as text, since pandas has no long that may be null
+    dealt = events.select(F.col("work_id").cast("string").alias("work_id"), "kind", "ms", time).withWatermark(time, late)
+    dealt = dealt.withColumn("key_group", F.pmod(F.xxhash64("work_id"), F.lit(KEY_GROUPS))).groupBy("key_group")
+    out = dealt.applyInPandasWithState(stalled_work(deadline_s * 1000), "work_id string, started_ms long", "works array<string>, times array<long>, kinds array<string>, held array<string>, since array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("work_id").cast("long").alias("work_id"), "started_ms")
 
 
 #: Rows, about, of a part of a streamed catalogue's base; share of the base's rows, and number of rows, that deltas
