@@ -18,6 +18,7 @@ tokens of context (start marks before the document).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -270,6 +271,34 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> DataFrame:
     return words.filter(step >= least) if least is not None else words.limit(0)
 
 
+def together(batches: Iterable[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, or one given batch if that is larger."""
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if rest := pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+        yield rest[0]
+
+
+def text_ids(memo: subwords.Memo, texts: pa.Array, coded: pa.DictionaryArray, own: np.ndarray) -> list[bytes]:
+    """Subword ids of each text, whose words are ``coded``, with the text of each in ``own``."""
+    at, data = np.concatenate([[0], np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False))]).tolist(), b""
+    if at[-1]:
+        data = coded.dictionary.buffers()[2].to_pybytes()
+    runs = pa.array([memo[data[a:b]] for a, b in zip(at, at[1:], strict=False)], pa.binary()).take(coded.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(runs).to_numpy(zero_copy_only=False))])
+    cuts = ends[np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(texts)))])].tolist()
+    joined = b"" if not cuts[-1] else runs.buffers()[2].to_pybytes()  # the ids of all words in a row
+    out = [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    for i, t in enumerate(texts.to_pylist()):
+        if memo.literal(t):
+            out[i] = memo.ids(t)
+    return out
+
+
 def encode(docs: DataFrame, words: DataFrame, n_docs: int, path: str) -> DataFrame:
     """Rows (id, train, t) with their subword ids and their part of the base score, stored.
 
@@ -283,18 +312,19 @@ def encode(docs: DataFrame, words: DataFrame, n_docs: int, path: str) -> DataFra
         (known, logs), memo = shared.value, subwords.memo(path)
         mark = np.array([END], dtype="<u2").tobytes()
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in together(batches):
             n = b.num_rows
-            ids = [memo.ids(t) + mark for t in b.column(2).to_pylist()]
             words, own = flat_words(b.column(2))
-            at = pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False)
+            coded = words.dictionary_encode()  # what a word costs is paid once a batch
+            distinct, code = coded.dictionary, coded.indices.to_numpy()
+            ids = [x + mark for x in text_ids(memo, b.column(2), coded, own)]
+            at = pc.index_in(distinct, known).fill_null(-1).to_numpy(zero_copy_only=False)[code]
             base = ended + np.bincount(own, weights=logs[at], minlength=n)
             hits = np.bincount(own[at >= 0], minlength=n) + int(n_docs > 0)
             # the rest, each word of a text once with its number
-            rest = words.filter(pa.array(at < 0)).dictionary_encode()
-            pairs, times = np.unique(own[at < 0] * max(1, len(rest.dictionary)) + rest.indices.to_numpy(), return_counts=True)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // max(1, len(rest.dictionary)), minlength=n))])
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest.dictionary.take(pa.array(pairs % max(1, len(rest.dictionary)))))
+            pairs, times = np.unique(own[at < 0] * max(1, len(distinct)) + code[at < 0], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // max(1, len(distinct)), minlength=n))])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), distinct.take(pa.array(pairs % max(1, len(distinct)))))
             times = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32()))
             sizes = np.bincount(own, minlength=n) + 1
             keys = [hashlib.md5(x).digest() for x in ids]

@@ -9,6 +9,7 @@ Texts with the literal of an added token, which counts in its own case only, go
 from __future__ import annotations
 
 import os
+import re
 import struct
 from functools import lru_cache
 
@@ -22,6 +23,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 MARKS = frozenset(b"%c" % c for c in b",.;:!?")
 #: Characters outside of this take the library's own normaliser.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-ſ]+")
+#: The same for words of ASCII, whose letters are lower case.
+ASCII, ASCII_SPLIT = re.compile(rb"[\x21-\x7e]+"), re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def default_path() -> str:
@@ -64,6 +67,9 @@ class Memo(dict):
             got = self.piece(word.decode("ascii"))
         elif word[-1:] in MARKS and word[:-1].isalpha():
             got = self[word[:-1]] + self[word[-1:]]
+        elif ASCII.fullmatch(word):
+            pieces = ASCII_SPLIT.findall(word)
+            got = self.piece(word.decode("ascii")) if len(pieces) == 1 else b"".join([self[p] for p in pieces])
         else:
             text = word.decode("utf-8", "replace")
             if PLAIN.fullmatch(text):
@@ -77,9 +83,13 @@ class Memo(dict):
         self[word] = got
         return got
 
+    def literal(self, text: str | None) -> bool:
+        """Whether the text has the literal of an added token, so that its words do not tell its ids."""
+        return bool(text) and any(a in text for a in self.added)
+
     def ids(self, text: str | None, ws: list[bytes] | None = None) -> bytes:
         """Ids of a whole text; null counts as empty.  ``ws`` are its words if they are known."""
-        if text and any(a in text for a in self.added):
+        if self.literal(text):
             found = self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
             return struct.pack(f"<{len(found)}H", *found)
         return b"".join(map(self.__getitem__, words(text) if ws is None else ws))

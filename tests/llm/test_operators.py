@@ -571,6 +571,21 @@ def test_longest_first_bound():
 # op9
 
 
+def test_counts_of_words_are_sought_once_for_many_batches(monkeypatch):
+    """The table of frequent words is built anew at each look-up, so small batches are put together; large ones stay."""
+    import pyarrow as pa
+
+    rows = pa.record_batch({"id": pa.array(range(5000)), "t": pa.array([f"Word{i} don't, été 12a" * (i % 3) for i in range(5000)])})
+    small = [rows.slice(i, 512) for i in range(0, 5000, 512)]
+    assert [b.equals(rows) for b in lm.together(small)] == [True]
+    assert [b.num_rows for b in lm.together(small, 1)] == [b.num_rows for b in small] and not list(lm.together([]))
+    memo = subwords.memo(subwords.default_path())
+    texts = pa.array([None, "", " \t", "<|endoftext|> It's", "It's 3rd-rate, it'll do!!", "naïve Œuvre ’t 日本 x\u00a0y", "it's", *rows.column(1).to_pylist()[:50]])
+    for part in (texts, texts[:3], texts[3:7]):
+        words, own = lm.flat_words(part)
+        assert lm.text_ids(memo, part, words.dictionary_encode(), own) == [memo.ids(t) for t in part.to_pylist()]
+
+
 def test_lm_scores(spark, docs, texts):
     got = {r.doc_id: r for r in registry.op9_lm_score(spark, SF).collect()}
     train = [d for d in texts if zlib.crc32(str(d).encode()) % 5 != 1]
