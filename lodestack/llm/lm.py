@@ -46,6 +46,9 @@ FREQUENT = 1 << 18
 F32 = np.float32
 _OPEN = np.tril(np.ones((WINDOW, WINDOW), dtype=F32))
 _ONES = np.ones(max(BATCH, STEP_BATCH) * WINDOW, dtype=F32)
+_EYE = np.eye(GROUPS, dtype=F32)
+#: Where each row of a flat array with 16 columns begins.
+_ROWS = np.arange(len(_ONES)) * DIM
 
 
 def shapes(vocabulary: int) -> dict[str, tuple[int, int]]:
@@ -54,40 +57,59 @@ def shapes(vocabulary: int) -> dict[str, tuple[int, int]]:
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndarray, first: int = 0) -> tuple:
+    """``leaf_logs`` of windows (B, WINDOW) of input tokens ``x``."""
+    e = w["emb"].take(x, axis=0)
+    e += w["pos"]
+    return leaf_logs(w, e, g, s, first)
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def leaf_logs(w: dict[str, np.ndarray], e: np.ndarray, g: np.ndarray, s: np.ndarray, first: int = 0, held: bool = False) -> tuple:
     """Natural log-probabilities of the leaves (g, s), flat, for positions from ``first`` on.
 
-    ``x`` has windows (B, WINDOW) of input tokens.  One matrix stands for the product of query and
-    key projections, and the embeddings themselves are keys and values.
+    ``e`` has windows (B, WINDOW, DIM) of embeddings with their places added.  One matrix stands for the
+    product of query and key projections, and the embeddings themselves are keys and values.  Exponents
+    are ``held`` within bounds only where sums and logarithms show that some lie outside.
     """
-    n = len(x)
-    e = w["emb"].take(x, axis=0)
-    e += w["pos"]
+    n = len(e)
     own = np.ascontiguousarray(e[:, first:]).reshape(-1, DIM)
     q = own @ w["wa"]
     a = q.reshape(n, -1, DIM) @ e.transpose(0, 2, 1)
-    if n and a.max() > 60:  # far from overflow otherwise
+    if held:
         np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= _OPEN[first:]
     sums = a.reshape(-1, WINDOW) @ _ONES[:WINDOW]
     sums += F32(1e-30)
+    a /= sums.reshape(n, -1, 1)
     c = (a @ e).reshape(-1, DIM)
-    c /= sums[:, None]
     h = c @ w["wo"]
     h += own
     pg = h @ w["wg"]
-    pg += w["bg"]
-    np.clip(pg, -40, 40, out=pg)
+    lines = pg.reshape(-1, (WINDOW - first) * GROUPS)  # long rows add faster than short ones
+    lines += np.concatenate([w["bg"][0]] * (WINDOW - first))
+    if held:
+        pg.clip(-40, 40, out=pg)
     gate = w["gate"].take(g, axis=0)
-    ps = (h * gate) @ w["ws"]
+    hg = h * gate
+    ps = hg @ w["ws"]
     ps += w["bs"].take(g, axis=0)
-    np.clip(ps, -40, 40, out=ps)
-    at = np.arange(len(h))
-    z = pg[at, g] + ps[at, s]
+    if held:
+        ps.clip(-40, 40, out=ps)
+    at_g, at_s = _ROWS[: len(h)] + g, _ROWS[: len(h)] + s
+    z, zs = pg.take(at_g), ps.take(at_s)
     np.exp(pg, out=pg)
     np.exp(ps, out=ps)
     tg, ts = pg @ _ONES[:GROUPS], ps @ _ONES[:SUBS]
-    return z - np.log(tg * ts), (pg, ps, tg, ts, h, gate, c, sums, a, e, q)
+    if not held and n:
+        # what an exponent below -40 adds to such sums is less than their last bit
+        low, high = np.minimum.reduce, np.maximum.reduce
+        fine = high(sums) < 1e26 and high(tg) < 2e17 and high(ts) < 2e17 and low(tg) > 1e-7 and low(ts) > 1e-7 and low(z) > -40 and low(zs) > -40
+        if not fine:
+            return leaf_logs(w, e, g, s, first, True)
+    z += zs
+    z -= np.log(tg * ts)
+    return z, (pg, ps, tg, ts, h, gate, hg, c, a, e, q, at_g, at_s)
 
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -95,26 +117,26 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndar
 
     ``emb`` has rows only for the input tokens that occur, which come second."""
     n = len(x)
-    _, (pg, ps, tg, ts, h, gate, c, sums, a, e, q) = forward(w, x, g, s)
+    _, (pg, ps, tg, ts, h, gate, hg, c, a, e, q, at_g, at_s) = forward(w, x, g, s)
     m = mask.reshape(-1).astype(F32)
     m /= max(F32(1), m.sum())
-    at, one = np.arange(len(h)), _ONES[: len(h)]
+    one = _ONES[: len(h)]
     pg *= (m / tg)[:, None]
-    pg[at, g] -= m
+    pg.reshape(-1)[at_g] -= m
     ps *= (m / ts)[:, None]
-    ps[at, s] -= m
-    hot = np.zeros((len(h), GROUPS), dtype=F32)
-    hot[at, g] = 1
-    out = {"wg": h.T @ pg, "bg": (one @ pg)[None], "ws": (h * gate).T @ ps, "bs": hot.T @ ps}
+    ps.reshape(-1)[at_s] -= m
+    hot = _EYE.take(g, axis=0).T
+    out = {"wg": h.T @ pg, "bg": (one @ pg)[None], "ws": hg.T @ ps, "bs": hot @ ps}
     d = ps @ w["ws"].T
-    out["gate"] = hot.T @ (d * h)
+    h *= d
+    out["gate"] = hot @ h
     d *= gate
     d += pg @ w["wg"].T
     out["wo"] = c.T @ d
     dc = d @ w["wo"].T
-    back = ((dc * c) @ _ONES[:DIM]).reshape(n, WINDOW, 1)
+    c *= dc
+    back = (c @ _ONES[:DIM]).reshape(n, WINDOW, 1)
     dc = dc.reshape(n, WINDOW, DIM)
-    a /= sums.reshape(n, WINDOW, 1)
     de = a.transpose(0, 2, 1) @ dc
     da = dc @ e.transpose(0, 2, 1)
     da -= back
@@ -127,9 +149,9 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, g: np.ndarray, s: np.ndar
     de += d
     out["pos"] = (_ONES[:n] @ de.reshape(n, -1)).reshape(WINDOW, DIM)
     order = np.argsort(x, axis=None, kind="stable")
-    seen = x.reshape(-1)[order]
+    seen = x.reshape(-1).take(order)
     first = np.concatenate([[0], np.flatnonzero(seen[1:] != seen[:-1]) + 1])
-    out["emb"] = np.add.reduceat(de[order], first, axis=0)
+    out["emb"] = np.add.reduceat(de.take(order, axis=0), first, axis=0)
     return out, seen[first]
 
 
@@ -176,13 +198,14 @@ class Model:
         self.weights["bs"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(F32)
 
     def rows(self) -> np.ndarray:
-        """The weights as rows of DIM numbers, embeddings first."""
+        """The weights as new rows of DIM numbers, embeddings first."""
         return np.concatenate([self.weights[k] for k in shapes(len(self.group))])
 
     def set_rows(self, rows: np.ndarray) -> None:
+        """Take the weights from such rows, as views if they have single precision."""
         at = 0
         for k, s in shapes(len(self.group)).items():
-            self.weights[k] = rows[at : at + s[0]].astype(F32)
+            self.weights[k] = rows[at : at + s[0]].astype(F32, copy=False)
             at += s[0]
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -190,19 +213,18 @@ class Model:
 
         A window scores its last STEP positions; a document's windows are computed on their own, since
         the last bit of a matrix product depends on a row's place in it."""
-        out = np.zeros(len(docs))
+        out, emb, pos, start = np.zeros(len(docs)), self.weights["emb"], self.weights["pos"], len(self.group)
         for i, ids in enumerate(docs):
             total = 0.0
             for at in range(0, len(ids), STEP * BATCH):
-                own = ids[at : at + STEP * BATCH]
-                y = np.zeros(-(-len(own) // STEP) * STEP, dtype=own.dtype)
-                y[: len(own)] = own
-                x = np.full(LEAD + 1 + len(y), len(self.group), dtype=own.dtype)
-                seen = ids[max(0, at - LEAD - 1) : at]
-                x[LEAD + 1 - len(seen) : LEAD + 1] = seen
-                x[LEAD + 1 :] = y
-                x = np.lib.stride_tricks.sliding_window_view(x[:-1], WINDOW)[::STEP]
-                got = forward(self.weights, x, self.group[y], self.member[y], LEAD)[0] + self.inside[y]
+                own, seen = ids[at : at + STEP * BATCH], ids[max(0, at - LEAD - 1) : at]
+                n, lead = -(-len(own) // STEP), LEAD + 1
+                x = np.full(lead + n * STEP, start)
+                x[lead - len(seen) : lead], x[lead : lead + len(own)], x[lead + len(own) :] = seen, own, 0
+                y, rows = x[lead:], emb.take(x[:-1], axis=0)
+                # windows overlap: each is a view of the rows from its first on
+                e = np.ndarray((n, WINDOW, DIM), F32, rows, strides=(STEP * rows.strides[0], *rows.strides)) + pos
+                got = leaf_logs(self.weights, e, self.group.take(y), self.member.take(y), LEAD)[0] + self.inside.take(y)
                 total += got[: len(own)].sum()
             out[i] = total
         return out / np.log(10)
@@ -212,18 +234,30 @@ class Model:
         parts = [training_windows(d, p, len(self.group)) for d, p in pieces]
         inputs, targets = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.random.default_rng(seed).permutation(len(inputs))
-        m = {k: np.zeros_like(a) for k, a in self.weights.items()}
-        v = {k: np.zeros_like(a) for k, a in self.weights.items()}
+        w = self.rows()
+        self.set_rows(w)  # all weights are one array, so that a step is one
+        m, v, kinds = np.zeros_like(w), np.zeros_like(w), list(shapes(len(self.group)))
+        rest = np.arange(len(self.weights["emb"]), len(w))
         for step, lo in enumerate(range(0, len(order), STEP_BATCH), 1):
-            w = order[lo : lo + STEP_BATCH]
-            y = targets[w].reshape(-1)
-            grad, met = gradients(self.weights, inputs[w], self.group[y], self.member[y], y >= 0)
+            some = order[lo : lo + STEP_BATCH]
+            y = targets.take(some, axis=0).reshape(-1)
+            grad, met = gradients(self.weights, inputs.take(some, axis=0), self.group.take(y), self.member.take(y), y >= 0)
             r = F32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
-            for k, d in grad.items():
-                rows = met if k == "emb" else slice(None)  # embeddings move where their token occurs
-                m[k][rows] = mk = m[k][rows] * F32(0.9) + F32(0.1) * d
-                v[k][rows] = vk = v[k][rows] * F32(0.99) + F32(0.01) * d * d
-                self.weights[k][rows] -= r * mk / (np.sqrt(vk) + F32(1e-6))
+            at, d = np.concatenate([met, rest]), np.concatenate([grad[k] for k in kinds])  # embeddings move where their token occurs
+            mk, vk, wk = (z.take(at, axis=0) for z in (m, v, w))
+            mk *= F32(0.9)
+            mk += F32(0.1) * d
+            vk *= F32(0.99)
+            d *= d
+            d *= F32(0.01)
+            vk += d
+            m[at], v[at] = mk, vk
+            np.sqrt(vk, out=vk)
+            vk += F32(1e-6)
+            mk *= r
+            mk /= vk
+            wk -= mk
+            w[at] = wk
         return sum(len(d) for d, _ in pieces)
 
 

@@ -21,8 +21,11 @@ MEMO = 1_200_000
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Marks that often end a word and are a piece of their own.
 MARKS = frozenset(b"%c" % c for c in b",.;:!?")
+TEXT_MARKS = frozenset(",.;:!?")
 #: Characters outside of this take the library's own normaliser.
-PLAIN = regex.compile(r"[\x21-\x7e\xa1-ſ]+")
+PLAIN = re.compile(r"[\x21-\x7e\xa1-ſ]+")
+#: How some ids are written, by their number.
+PACKED = [struct.Struct(f"<{n}H") for n in range(64)]
 #: The same for words of ASCII, whose letters are lower case.
 ASCII, ASCII_SPLIT = re.compile(rb"[\x21-\x7e]+"), re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -60,7 +63,8 @@ class Memo(dict):
     def piece(self, p: str) -> bytes:
         """Ids of one piece: a run of letters, a number, or a run of other characters."""
         found = self.merge(p if p.isascii() else p.encode().decode("latin-1").translate(self.table))
-        return struct.pack(f"<{len(found)}H", *[t.id for t in found])
+        kind = PACKED[len(found)] if len(found) < len(PACKED) else struct.Struct(f"<{len(found)}H")
+        return kind.pack(*[t.id for t in found])
 
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters stand for themselves
@@ -73,8 +77,14 @@ class Memo(dict):
         else:
             text = word.decode("utf-8", "replace")
             if PLAIN.fullmatch(text):
-                pieces = SPLIT.findall(text.lower())
-                got = self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+                text = text.lower()
+                if text.isalpha():  # letters only are one piece, and a mark behind them is another
+                    got = self.piece(text)
+                elif text[-1] in TEXT_MARKS and text[:-1].isalpha():
+                    got = self[text[:-1].encode()] + self[word[-1:]]
+                else:
+                    pieces = SPLIT.findall(text)
+                    got = self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
             else:
                 ids = self.plain.encode(text, add_special_tokens=False).ids
                 got = struct.pack(f"<{len(ids)}H", *ids)

@@ -632,6 +632,59 @@ def test_scores_are_the_plain_ones():
     assert np.array_equal(got[::-1], m.score(docs[::-1])) and m.score([docs[3]])[0] == got[3]
 
 
+def test_scoring_embeds_a_token_once_and_bounds_exponents_only_where_needed(monkeypatch):
+    class Counted(np.ndarray):
+        taken = 0
+
+        def take(self, at, axis=None):
+            Counted.taken += np.size(at)
+            return np.asarray(self).take(at, axis=axis)
+
+    m, rng = small_model()
+    ids, runs, plain = rng.integers(0, 300, 18 * 200).astype("<u2"), [], lm.leaf_logs
+    monkeypatch.setattr(lm, "leaf_logs", lambda *a: runs.append(len(a) > 5) or plain(*a))
+    m.weights["emb"] = m.weights["emb"].view(Counted)
+    m.score([ids])
+    assert Counted.taken <= len(ids) + 2 * lm.LEAD and not any(runs)
+    # windows with exponents far outside of the bounds, in attention, groups and members
+    x, y = rng.integers(0, 300, (2, lm.WINDOW)), rng.integers(0, 300, 2 * lm.WINDOW)
+    for k, times in (("wa", 1e5), ("wg", 1e4), ("ws", 1e4), ("ws", 1e-9)):
+        w = m.weights | {k: m.weights[k] * np.float32(times)}
+        runs.clear()
+        got = lm.forward(w, x, m.group[y], m.member[y])[0]
+        assert any(runs) == (times > 1) and np.isfinite(got).all() and got.min() >= -200
+        e = np.asarray(w["emb"])[x] + w["pos"]
+        assert np.array_equal(got, plain(w, e, m.group[y], m.member[y], 0, True)[0])
+
+
+def test_steps_are_those_of_adam_weight_by_weight():
+    (m, rng), (plain, _) = small_model(), small_model()
+    pieces = [(rng.integers(0, 40, n).astype("<u2"), 300) for n in (2000, 3000)]
+    m.fit(pieces, 0.02, 7)
+    x, y = (np.concatenate(c) for c in zip(*[lm.training_windows(d, p, 300) for d, p in pieces]))
+    order, w = np.random.default_rng(7).permutation(len(x)), plain.weights
+    state = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in w.items()}
+    for step, lo in enumerate(range(0, len(order), lm.STEP_BATCH), 1):
+        some = order[lo : lo + lm.STEP_BATCH]
+        t = y[some].reshape(-1)
+        grad, met = lm.gradients(w, x[some], plain.group[t], plain.member[t], t >= 0)
+        for k, d in grad.items():
+            at, (a, b) = met if k == "emb" else slice(None), state[k]
+            a[at], b[at] = 0.9 * a[at] + 0.1 * d, 0.99 * b[at] + 0.01 * d * d
+            w[k][at] -= 0.02 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * a[at] / (np.sqrt(b[at]) + 1e-6)
+    assert step > 1 and all(np.allclose(m.weights[k], w[k], atol=1e-4) for k in w)
+
+
+def test_latin_words_of_letters_need_no_pattern(monkeypatch):
+    memo = subwords.Memo(subwords.default_path())
+    words = ["naïve", "été,", "Œuvre", "straße.", "x²é", "İx.", "ª", "é!!", "l'été", "§;", "é" * 200]
+    want = [b"".join(i.to_bytes(2, "little") for i in memo.plain.encode(w, add_special_tokens=False).ids) for w in words]
+    assert [memo[w.encode()] for w in words] == want
+    monkeypatch.setattr(subwords, "SPLIT", None)
+    memo.clear()
+    assert [memo[w.encode()] for w in words[:4]] == want[:4]
+
+
 def test_probabilities_add_up_and_see_no_future():
     m, rng = small_model()
     x = rng.integers(0, 300, (2, lm.WINDOW)).astype("<u2")
